@@ -68,12 +68,17 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = min(last, n)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all strings in order, and the word offsets of each string."""
+#: Also ASCII punctuation ends a word.
+MARKS = _SPACE.copy()
+MARKS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all strings in order, and the word offsets of each string; ``space`` tells what ends a word."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     before = cut[:-1].copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import exact_dedup, ngram_join, packing, secret_scan
+from trendloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secret_scan, spotsigs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the co-trained views."""
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", "quality_scores.*")
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document's block, for weights by the square root of source sizes."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.tempered_weights(docs))
+
+
+def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document's whole text, from an empty ledger."""
     spans = F.col("spans")
@@ -51,6 +68,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_cotraining": op3_quality_cotraining,
+    "op4_pfair_mixing": op4_pfair_mixing,
+    "op5_spotsigs_fingerprints": op5_spotsigs_fingerprints,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
