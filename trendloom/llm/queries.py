@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import exact_dedup, mixing, ngram_join, packing, quality, secret_scan, spotsigs
+from trendloom.llm import exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, secret_scan, spotsigs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+#: The key of the registered query; a deployment passes its own secret.
+PII_KEY = "registered query"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by the co-trained views."""
     docs = table(spark, sf_dir, "documents")
@@ -37,6 +50,31 @@ def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, as WARC, against a replica with stated damage.
+
+    The replica has the bytes of every 97th record changed, every 211th record
+    missing and, after every 503rd, one record more.
+    """
+    hashes = fixity.record_hashes(fixity.manifest(table(spark, sf_dir, "pages")))
+    changed = F.when(F.col("record") % 97 == 0, F.sha2(F.concat("hash", F.lit("changed")), 256)).otherwise(F.col("hash"))
+    replica = hashes.where("record % 211 <> 0").withColumn("hash", changed)
+    extra = hashes.where("record % 503 = 0").select("file", (-F.col("record") - 2).alias("record"), (F.col("offset") + 1).alias("offset"), F.sha2(F.lit("extra"), 256).alias("hash"))
+    return fixity.audit(hashes, replica.unionByName(extra))
+
+
+OP6_SQL = """
+WITH r AS (
+  SELECT page_id AS record, CAST(floor(page_id / 1000.0) AS BIGINT) AS file,
+    strlen('WARC/1.1' || 'WARC-Type: response' || 'WARC-Target-URI: ' || 'Content-Length: ') + 10 + strlen(coalesce(url, ''))
+      + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages),
+m AS (SELECT file, record, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT file, record, "offset", CASE WHEN record % 211 = 0 THEN 'missing' ELSE 'changed' END AS damage FROM m WHERE record % 211 = 0 OR record % 97 = 0
+UNION ALL SELECT file, -record - 2, "offset" + 1, 'extra' FROM m WHERE record % 503 = 0
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document's whole text, from an empty ledger."""
     spans = F.col("spans")
@@ -68,12 +106,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_quality_cotraining": op3_quality_cotraining,
     "op4_pfair_mixing": op4_pfair_mixing,
     "op5_spotsigs_fingerprints": op5_spotsigs_fingerprints,
+    "op6_merkle_fixity": op6_merkle_fixity,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_merkle_fixity": OP6_SQL, "op9_exact_dedup": OP9_SQL}
