@@ -54,8 +54,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = tested.where("__again").select("doc_id", digest.alias("digest"), *last)
     # Rows that repeat both text and id are numbered; every id of a group of copies is its own small window.
     again = again.withColumn("__nth", F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("doc_id")))
-    sizes = (
-        tested.where("__again").select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    )
+    sizes = tested.where("__again").select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    sizes = stored(sizes, "sizes")  # a table, so that the join below may split a digest that holds many rows
     joined = again.join(sizes, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1)).alias("kept"), "digest", *last)
     return alone.unionByName(joined)

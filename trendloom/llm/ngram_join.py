@@ -17,8 +17,9 @@ of each; that holds under every order, so a pair must pass all of them.
    that differ from their pivot against all others.  A pair with equal labels is
    known to be connected, so components lose nothing and groups of thousands of
    copies need no quadratic number of pairs.
-4. Before the sets are compared, the prefixes under a second and third order
-   (other cell granularity, other hash) must meet too.
+4. Before the sets are fetched, the prefixes under the first, a second and a
+   third order (other cell granularity, other hash) must meet, and in enough
+   tokens: what two prefixes do not share, the rest of one set must make up for.
 5. Components come from large-star/small-star steps on the verified links.
 """
 
@@ -106,7 +107,7 @@ def _profile(rule: Rule):
 
 
 def _postings(rule: Rule, shared):
-    names = ["token", "node", "size", "pos", "mid", "salts"]
+    names = ["token", "node", "place", "extra"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -132,7 +133,9 @@ def _postings(rule: Rule, shared):
                 ok = size - pos >= -(-rule.percent * (size + least) // (100 + rule.percent))
                 at, pos = at[ok], pos[ok]
                 same = np.full(len(at), 1, np.int64)
-                out.append((own[at].view(np.int64), same * node, same * size, pos, same * int(count.mean()), 1 + count[at] // SALT_COUNT))
+                # Two numbers in one: size and position; the mean count on a scale of logarithms, and the token's salts.
+                mid = int(16 * np.log2(1 + count.mean()))
+                out.append((own[at].view(np.int64), same * node, (same * size << 31) | pos, (same * mid << 31) | (1 + count[at] // SALT_COUNT)))
                 rows += len(at)
                 if rows > 50_000:
                     yield flush()
@@ -143,25 +146,39 @@ def _postings(rule: Rule, shared):
     return run
 
 
-def _sets(rule: Rule, shared):
+def _prefixes(rule: Rule, shared):
+    """node, size and its prefixes under the three orders, low 32 bits of each token."""
+    names = ["node", "size", "first", "second", "third"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        kind = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
         for batch in batches:
             rows: list[tuple] = []
-            held = 0
             for _, own in K.shingle_sets(batch.column(1), rule.words):
                 if len(own) and (node := _node(own)) not in seen:
                     seen.add(node)
                     count = counts[_cells(own)]
-                    short = [(own[_prefix(own, _order(own, count, k), rule.percent)] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for k in (1, 2)]
-                    rows.append((node, own.view(np.int64), *short))
-                    held += len(own)
-                    if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
-                        rows, held = [], 0
+                    rows.append((node, len(own), *((own[_prefix(own, _order(own, count, k), rule.percent)] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for k in range(3))))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _sets(rule: Rule):
+    """node and all its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows: list[tuple] = []
+            for _, own in K.shingle_sets(batch.column(1), rule.words):
+                if len(own) and (node := _node(own)) not in seen:
+                    seen.add(node)
+                    rows.append((node, own.view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["node", "tokens"])
 
     return run
 
@@ -203,8 +220,10 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     hop = sym.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n1"), F.least("a", "m").alias("l1"))
     label = sym.join(hop, sym["b"] == hop["n1"]).groupBy("a").agg(F.min("l1").alias("l2")).select(F.col("a").alias("node"), "l2")
     far = label.withColumnRenamed("node", "pivot").withColumnRenamed("l2", "pivot_l2")
+    # Lists of two nodes are done; the others hold a node that is neither the least nor the greatest.
+    wide = lists.join(lists.where("third").select("token").distinct(), "token", "left_semi")
     labelled = stored(
-        lists.join(label, "node", "left").join(far, "pivot", "left").select("token", "node", "size", "pos", "least_size", F.coalesce("l2", "node").alias("label"), F.coalesce("pivot_l2", "pivot").alias("main")),
+        wide.join(label, "node", "left").join(far, "pivot", "left").select("token", "node", "size", "pos", "least_size", F.coalesce("l2", "node").alias("label"), F.coalesce("pivot_l2", "pivot").alias("main")),
         "labelled",
     )
     least_partner = f"greatest(least_size, CAST(ceil({rule.percent} * size / 100.0) AS LONG))"
@@ -235,29 +254,53 @@ def _lists(texts: DataFrame, rule: Rule, shared) -> DataFrame:
     The lists are dealt by (token, salt), and a token's figures are first made
     for each salt, then combined: a token in a third of all nodes is split.
     """
-    dealt = texts.mapInArrow(_postings(rule, shared), "token long, node long, size long, pos long, mid long, salts long").withColumn("salt", F.expr("pmod(node, salts)"))
-    dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
+    dealt = texts.mapInArrow(_postings(rule, shared), "token long, node long, place long, extra long").withColumn("salt", F.expr("pmod(node, extra & 2147483647)"))
+    # Joins would filter nulls below the shuffle; said here, both uses of it stay alike and it is done once.
+    dealt = dealt.where("token IS NOT NULL AND salt IS NOT NULL").repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
+    size, pos = F.expr("shiftright(place, 31)"), F.expr("place & 2147483647")
     part = dealt.groupBy("token", "salt").agg(
-        F.max("salts").alias("n_salts"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("size").alias("least_size"), F.max(F.struct(F.expr("size - pos").alias("left"), "mid", "node", "size", "pos")).alias("best")
+        F.max(F.expr("extra & 2147483647")).alias("n_salts"),
+        F.min("node").alias("lo"),
+        F.max("node").alias("hi"),
+        F.min(size).alias("least_size"),
+        F.max(F.struct((size - pos).alias("left"), F.expr("shiftright(extra, 31)").alias("mid"), "node", size.alias("size"), pos.alias("pos"))).alias("best"),
     )
     whole = (
         part.where("n_salts > 1 OR lo <> hi")
         .groupBy("token")
         .agg(F.max("n_salts").alias("n_salts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_size").alias("least_size"), F.max("best").alias("best"))
         .where("lo <> hi")
-        .select("token", F.explode(F.expr("sequence(0L, n_salts - 1)")).alias("salt"), "least_size", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"), F.col("best.pos").alias("pivot_pos"))
+        .select("token", F.explode(F.expr("sequence(0L, n_salts - 1)")).alias("salt"), "lo", "hi", "least_size", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"), F.col("best.pos").alias("pivot_pos"))
     )
-    return dealt.drop("salts", "mid").join(whole.hint("shuffle_hash"), ["token", "salt"]).select("token", "node", "size", "pos", "least_size", "pivot", "pivot_size", "pivot_pos").distinct()
+    # All columns stay up to here, so that both uses of the dealt postings share one shuffle.
+    lists = dealt.join(whole.hint("shuffle_hash"), ["token", "salt"]).dropDuplicates(["token", "salt", "node"])
+    third = F.expr("node <> lo AND node <> hi").alias("third")
+    return lists.select("token", "node", size.alias("size"), pos.alias("pos"), "least_size", "pivot", "pivot_size", "pivot_pos", third, "extra")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, shared) -> DataFrame:
-    """The pairs (a, b) whose prefixes meet under the other orders too and whose sets are similar enough."""
+def _fetched(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, make, kind: str) -> DataFrame:
+    """What ``make`` says of each node of the pairs, one row a node; only texts that may be wanted go to Python."""
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("rep", "node"), "wanted")
     few = maybe_in(texts, F.col("doc_id"), wanted.select("rep"), "__wanted", wanted.count()).where("__wanted OR doc_id IS NULL").select("doc_id", "text")
-    made = few.mapInArrow(_sets(rule, shared), "node long, tokens array<long>, second array<int>, third array<int>")
-    made = stored(made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("second").alias("second"), F.first("third").alias("third")), "sets")
-    left = made.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("tokens", "second", "third")))
-    right = made.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("tokens", "second", "third")))
-    both = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-    shared_tokens = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.withColumn("meet", shared_tokens).where(F.expr(f"100 * meet >= {rule.percent} * (size(tokens_a) + size(tokens_b) - meet)")).select("a", "b")
+    return few.mapInArrow(make, kind).where("node IS NOT NULL").join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _joined(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs with the columns of both nodes, ending in _a and _b."""
+    sides = [made.select(*[F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in made.columns]) for k in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, shared) -> DataFrame:
+    """The pairs (a, b) that pass the filters of all orders and whose sets are similar enough."""
+    t = rule.percent
+    prefixes = _fetched(texts, pairs, nodes, _prefixes(rule, shared), "node long, size long, first array<int>, second array<int>, third array<int>")
+    prefixes = stored(prefixes, "prefixes")
+    left = pairs
+    for k in ("first", "second", "third"):
+        # The tokens beyond one of the prefixes are all that can be shared besides those in both.
+        enough = f"size(array_intersect({k}_a, {k}_b)) >= greatest(1, ceil({t} * (size_a + size_b) / {100 + t}.0) - greatest(size_a - size({k}_a), size_b - size({k}_b)))"
+        left = stored(_joined(left, prefixes.select("node", "size", k)).where(F.expr(enough)).select("a", "b"), "candidates")
+    sets = _fetched(texts, left, nodes, _sets(rule), "node long, tokens array<long>")
+    meet = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return _joined(left, sets).withColumn("meet", meet).where(F.expr(f"100 * meet >= {t} * (size(tokens_a) + size(tokens_b) - meet)")).select("a", "b")
