@@ -7,7 +7,7 @@ of each; that holds under every order, so a pair must pass all of them.
 
 1. ``_profile`` reads all texts: set size and set digest of each document, and
    how often tokens occur, counted for all documents in a table of fixed size
-   (2**18 cells by token hash).  Any function of the token is a valid order; the
+   (2**19 cells by token hash).  Any function of the token is a valid order; the
    counts only serve to put frequent tokens last.
 2. ``_postings`` emits each node's prefix under the first order (cell count,
    hash).  Lists of frequent tokens are dealt out by (token, salt).
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from trendloom.llm import kernels as K
 from trendloom.llm.shared import components, maybe_in, small_batches, stored
 
-CELL_BITS = 18
+CELL_BITS = 19
 SALT_COUNT = 200_000  # cell counts above this deal a token's list out over more salts
 U = np.uint64
 _LIMIT = (1 << 24) - 1
@@ -198,10 +198,10 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(texts.mapInArrow(_profile(rule), "doc_id long, n_shingles long, node long, cell long, hits long"), "profile")
     base = profile.where("cell IS NULL").select("doc_id", "n_shingles", "node")
-    cells = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("hits").alias("hits")).toPandas()  # 2**18 rows at most
+    cells = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("hits").alias("hits")).toPandas()  # 2**19 rows at most
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[cells["cell"].to_numpy(np.int64)] = cells["hits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(counts)  # 2 MB, whatever the input
+    shared = spark.sparkContext.broadcast(counts)  # 4 MB, whatever the input
 
     lists = stored(_lists(texts, rule, shared), "lists")
     reach = F.expr("least(size - pos, pivot_size - pivot_pos)")
@@ -227,10 +227,13 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
         "labelled",
     )
     least_partner = f"greatest(least_size, CAST(ceil({rule.percent} * size / 100.0) AS LONG))"
-    odd = labelled.where((F.col("label") != F.col("main")) & (F.expr("size - pos") >= need("size", least_partner)))
-    odd = odd.select(F.col("token").alias("t"), F.col("node").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
+    is_odd = (F.col("label") != F.col("main")) & (F.expr("size - pos") >= need("size", least_partner))
+    labelled = labelled.withColumn("odd", is_odd)
+    odd = labelled.where("odd").select(F.col("token").alias("t"), F.col("node").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
+    # Of two odd members, only the one of the smaller number makes the pair.
+    once = ~F.col("odd") | (F.col("x") < F.col("node"))
     second = (
-        odd.join(labelled, (F.col("t") == F.col("token")) & (F.col("xl") != F.col("label")) & close("xs", "size") & (F.expr("least(xs - xp, size - pos)") >= need("xs", "size")))
+        odd.join(labelled, (F.col("t") == F.col("token")) & once & (F.col("xl") != F.col("label")) & close("xs", "size") & (F.expr("least(xs - xp, size - pos)") >= need("xs", "size")))
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
