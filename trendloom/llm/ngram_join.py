@@ -198,9 +198,9 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(texts.mapInArrow(_profile(rule), "doc_id long, n_shingles long, node long, cell long, hits long"), "profile")
     base = profile.where("cell IS NULL").select("doc_id", "n_shingles", "node")
-    cells = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("hits").alias("hits")).toPandas()  # 2**19 rows at most
+    cells = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("hits").alias("hits")).toArrow()  # 2**19 rows of 16 bytes at most
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    counts[cells["cell"].to_numpy(np.int64)] = cells["hits"].to_numpy(np.int64)
+    counts[cells["cell"].to_numpy().astype(np.int64)] = cells["hits"].to_numpy().astype(np.int64)
     shared = spark.sparkContext.broadcast(counts)  # 4 MB, whatever the input
 
     lists = stored(_lists(texts, rule, shared), "lists")
