@@ -15,6 +15,7 @@ of the id; everything else covers all rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ from trendloom.llm import kernels as K
 
 WINDOW = 256
 BINS = 16
+BLOCK = 2048  # rows of a fit's design matrix held at a time
 _KINDS = 10
 # Kinds of bytes: 0 other letters, 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 stops, 7 marks, 8 bars and brackets, 9 control.
 _KIND = np.zeros(256, np.int64)
@@ -82,6 +84,7 @@ def _figures(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 N_TEXT = 10 + 6 + 3 + 5
+N_META = 3
 
 
 def meta_figures(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
@@ -135,14 +138,18 @@ def _cuts(x: np.ndarray, whole_numbers: bool) -> list[np.ndarray]:
     return out
 
 
-def _newton(design: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    w = np.zeros(design.shape[1])
-    penalty = np.full(design.shape[1], ridge)
+def _newton(design: Callable[[int, int], np.ndarray], size: int, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a ridge logistic fit; design gives rows first..last, so the driver holds BLOCK rows of it at a time."""
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[0] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ ((y - p) * weight) - penalty * w
-        curve = (design * (p * (1 - p) * weight)[:, None]).T @ design + np.diag(penalty)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for first in range(0, len(y), BLOCK):
+            part = design(first, first + BLOCK)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (y[first : first + BLOCK] - p)
+            curve += (part * (p * (1 - p))[:, None]).T @ part
         move = np.linalg.solve(curve, slope)
         w += move
         if np.abs(move).max() < 1e-5:
@@ -153,17 +160,22 @@ def _newton(design: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float)
 def _fit(x: np.ndarray, y: np.ndarray, whole_numbers: bool) -> View:
     view = View(_cuts(x, whole_numbers), np.zeros(0))
     size = 1 + sum(len(c) + 1 for c in view.cuts)
-    design = np.zeros((len(x), size))
-    design[:, 0] = 1
     bins = view.bins(x)
-    for k in range(bins.shape[1]):
-        design[np.arange(len(x)), bins[:, k]] = 1
-    view.weights = _newton(design, y, np.ones(len(y)), 1.0)
+
+    def design(first: int, last: int) -> np.ndarray:
+        part = bins[first:last]
+        rows = np.zeros((len(part), size))
+        rows[:, 0] = 1
+        rows[np.arange(len(part))[:, None], part] = 1
+        return rows
+
+    view.weights = _newton(design, size, y, 1.0)
     return view
 
 
 def _calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
-    line = _newton(np.column_stack([np.ones(len(x)), view.raw(x)]), y, np.ones(len(y)), 1e-3)
+    rows = np.column_stack([np.ones(len(x)), view.raw(x)])
+    line = _newton(lambda first, last: rows[first:last], 2, y, 1e-3)
     view.line = (float(line[1]), float(line[0]))
     return view
 
@@ -225,7 +237,9 @@ def _newton_around(design: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge:
     return w
 
 
-_META = "struct<lang:string,source:string,n_chars:bigint>"
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The lists of a column, all of N_TEXT + N_META figures, as rows."""
+    return np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)]).reshape(-1, N_TEXT + N_META)
 
 
 def _inputs(docs: DataFrame, text_col: str) -> list[Column]:
@@ -248,17 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_col
 
     made = figures("text", "lang", "source", "n_chars").alias("x")
     # Bounded by most_labelled, so it may be broadcast.
-    labelled = rows.join(F.broadcast(sample), "__id").select("__id", "__y", made).dropDuplicates(["__id"]).toPandas()
-    labelled = labelled.sort_values("__id")
-    if labelled["__y"].nunique() < 2:
+    labelled = rows.join(F.broadcast(sample), "__id").select("__id", "__y", made).dropDuplicates(["__id"]).toArrow().sort_by("__id")
+    y = labelled["__y"].to_numpy().astype(float)
+    if len(np.unique(y)) < 2:
         return None
-    order = labelled.index if len(labelled) < 2 else np.argsort(K.mix(labelled["__id"].to_numpy(np.int64).view(np.uint64)))
-    x, y = np.stack(labelled["x"].to_numpy())[order], labelled["__y"].to_numpy(float)[order]
+    order = np.argsort(K.mix(labelled["__id"].to_numpy().astype(np.int64).view(np.uint64)))
+    x, y = _matrix(labelled["x"])[order], y[order]
     total = max(1, docs.count())
     share = min(1.0, 1.2 * options.most_pool / total)
     hashed = F.pmod(F.xxhash64("__id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000)
-    pool = rows.where(hashed).join(F.broadcast(sample.select("__id")), "__id", "left_anti").limit(options.most_pool).select(made).toPandas()
-    u = np.stack(pool["x"].to_numpy()) if len(pool) else np.zeros((0, x.shape[1]))
+    pool = rows.where(hashed).join(F.broadcast(sample.select("__id")), "__id", "left_anti").limit(options.most_pool).select(made).toArrow()
+    u = _matrix(pool["x"])
     return co_train(x[:, :N_TEXT], x[:, N_TEXT:], y, u[:, :N_TEXT], u[:, N_TEXT:], options)
 
 
