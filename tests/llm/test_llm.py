@@ -213,6 +213,7 @@ def test_surrogates_keep_type_and_tell_apart(spark):
 def test_fixity_finds_every_damage(spark):
     pages = spark.createDataFrame([(k, f"u{k}" if k % 7 else None, "x" * (k * 37 % 900)) for k in range(400)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
     h = fixity.record_hashes(fixity.manifest(pages, records_a_file=50)).cache()
+    assert sorted(map(tuple, fixity.page_hashes(pages, records_a_file=50).collect())) == sorted(map(tuple, h.collect()))
     bad = h.where("record <> 77").withColumn("hash", F.when(F.col("record").isin(3, 399), F.lit("z")).otherwise(F.col("hash")))
     got = fixity.audit(h, bad, leaf_bytes=2000, fan_out=4).collect()
     assert sorted((r.record, r.damage) for r in got) == [(3, "changed"), (77, "missing"), (399, "changed")]

@@ -19,22 +19,33 @@ LEAF_BYTES = 1 << 16
 FAN_OUT = 16
 
 
-def manifest(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """file, record, offset, length, content of every row of pages, laid out as WARC response records.
-
-    File = record div records_a_file; a null id has file and record -1, rows that
-    repeat an id follow each other by content.  The content is a WARC header with
-    the target URI and the page's bytes; nulls are empty.  Offsets need all
-    records of a file only, a bounded group for ids that do not repeat.
-    """
+def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """The columns of a manifest and each record's hash, made before rows move: without content, no text is shuffled."""
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     record = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
     content = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n")
     )
-    rows = pages.select(record.alias("record"), content.alias("content")).withColumn("file", F.floor(F.col("record") / records_a_file).cast("long")).withColumn("length", F.octet_length("content").cast("long"))
-    before = Window.partitionBy("file").orderBy("record", "content").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", "record", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "content")
+    rows = pages.select(record.alias("record"), content.alias("content")).withColumn("file", F.floor(F.col("record") / records_a_file).cast("long"))
+    rows = rows.withColumn("length", F.octet_length("content").cast("long")).withColumn("hash", F.sha2("content", 256))
+    before = Window.partitionBy("file").orderBy("record", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("file", "record", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "content", "hash")
+
+
+def manifest(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """file, record, offset, length, content of every row of pages, laid out as WARC response records.
+
+    File = record div records_a_file; a null id has file and record -1, rows that
+    repeat an id follow each other by the hash of their content.  The content is a
+    WARC header with the target URI and the page's bytes; nulls are empty.  Offsets
+    need all records of a file only, a bounded group for ids that do not repeat.
+    """
+    return _laid_out(pages, records_a_file, id_col, url_col, html_col).drop("hash")
+
+
+def page_hashes(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``record_hashes`` of the manifest of pages, stored: the audit's passes read hashes, not pages."""
+    return stored(_laid_out(pages, records_a_file, id_col, url_col, html_col).select("file", "record", "offset", "hash"), "record-hashes")
 
 
 def record_hashes(records: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     The replica has the bytes of every 97th record changed, every 211th record
     missing and, after every 503rd, one record more.
     """
-    hashes = fixity.record_hashes(fixity.manifest(table(spark, sf_dir, "pages")))
+    hashes = fixity.page_hashes(table(spark, sf_dir, "pages"))
     changed = F.when(F.col("record") % 97 == 0, F.sha2(F.concat("hash", F.lit("changed")), 256)).otherwise(F.col("hash"))
     replica = hashes.where("record % 211 <> 0").withColumn("hash", changed)
     extra = hashes.where("record % 503 = 0").select("file", (-F.col("record") - 2).alias("record"), (F.col("offset") + 1).alias("offset"), F.sha2(F.lit("extra"), 256).alias("hash"))
