@@ -148,6 +148,32 @@ def test_mixing_deviates_less_than_a_block(spark):
     assert all(len(v) == 1 for v in of_slot.values()) and {r.source for r in got} == {"s0", "s1", mixing.OTHER}
 
 
+def test_mixing_keeps_to_the_given_weights_over_the_whole_run(spark):
+    # One hot source, 40 equal ones and 300 of a few rows each, a row a block.
+    source = F.expr("CASE WHEN id < 12000 THEN 'hot' WHEN id < 24000 THEN concat('s', id % 40) ELSE concat('rare', id % 300) END")
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), source.alias("source"), F.lit("x" * 10).alias("text"))
+    weights = mixing.tempered_weights(docs)
+    counts = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    assert len(counts) == 341 and all(abs(weights[n] - (10 * c) ** 0.5) < 1e-9 for n, c in counts.items())
+    for w in (weights, {**weights, "hot": 1e5, "s1": 1e-3}):
+        got = mixing.mix(docs, w, block=10).select("source", "slot").toPandas()
+        assert sorted(got.slot) == list(range(25_000)) and set(got.source) == set(counts)
+        order = got.sort_values("slot").source.to_numpy()
+        names = sorted(counts)
+        blocks, share = np.array([counts[n] for n in names], float), np.array([w[n] for n in names])
+        given, fluid, worst = np.zeros(len(names)), np.zeros(len(names)), 0.0
+        at = {n: k for k, n in enumerate(names)}
+        for n in order:
+            given[at[n]] += 1
+            free = 1.0  # the ideal mixture of those that are left, for one slot
+            while free > 1e-9 and (left := fluid < blocks - 1e-9).any():
+                rate = np.where(left, share, 0) / share[left].sum()
+                step = min(free, ((blocks - fluid)[left] / rate[left]).min())
+                fluid, free = fluid + rate * step, free - step
+            worst = max(worst, np.abs(given - fluid).max())
+        assert worst < 1 + 1e-6
+
+
 def test_fingerprints(spark):
     docs = [(i, t) for i, t in texts() if i != 3] + [(None, "the last one is here")]
     got = {r.doc_id: r for r in spotsigs.fingerprints(table(spark, docs)).collect()}

@@ -1,32 +1,37 @@
 """Mixing of sources to target weights by Pfair scheduling of blocks.
 
-Weights are whole shares of ``period`` slots.  Block j (from 0) of a source with
-share p is released in slot floor(j * period / p) and due at
-ceil((j + 1) * period / p); in each slot the released block with the earliest
-deadline goes (ties: by name).  On one processor with shares that add up to the
-period this meets every deadline, so that at no time a source is a whole block
-ahead of its weight or behind it, and the schedule repeats after each period: it
-is computed for one period, on the driver, and every block finds its slot from
-its number alone.  When a source runs out, the rest go on with shares of what
-remains: a new phase, at most one for each source.  All rows stay.
+In the ideal, fluid mixture all sources that have blocks left flow at once, in
+proportion to their weights.  Block j (from 0) of a source is released in the
+slot in which the fluid begins it, and due when the fluid has ended it; in each
+slot the released block with the earliest deadline goes (ties: by name).  While
+no source has run out these are floor(j / w) and ceil((j + 1) / w) for the share w
+of all weights.  Unit blocks on one processor then meet every deadline, so that
+at no time of the whole run a source is a whole block ahead of the fluid or
+behind it.  Weights count exactly, as the fractions that they are, and the whole
+run is scheduled on the driver, which holds a number for each block.  All rows stay.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from bisect import bisect_right
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.shared import stored
 
-PERIOD = 1000
 OTHER = "(other)"
 BUCKET_ROWS = 2000
+CHUNK = 256  # blocks whose slots make one row of the plan
 
 
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
+def shares(weights: Mapping[str, float], period: int = 1000) -> dict[str, int]:
     """Whole shares of the period by largest remainder; each source has one slot at least.
 
     A period shorter than the number of sources is lengthened to hold them.
@@ -43,70 +48,70 @@ def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]
     return out
 
 
-def one_period(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period, by earliest deadline first among the released."""
-    period = sum(share.values())
-    waiting = [(0, n, 0) for n in sorted(share)]
-    heapq.heapify(waiting)
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, array]:
+    """The slot of each block of each source over the whole run."""
+    exact = {n: Fraction(weights[n]) for n, b in blocks.items() if b > 0}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    left = {n: int(blocks[n]) for n in sorted(exact)}
+    w = {n: int(exact[n] * scale) for n in left}
+    # Sources in the order in which the fluid ends them, the blocks of those ended, the weight of those left.
+    ends = sorted(left, key=lambda n: Fraction(left[n], w[n]))
+    done, rest = [0], [sum(w.values())]
+    for n in ends:
+        done.append(done[-1] + left[n])
+        rest.append(rest[-1] - w[n])
+    limit = [(left[n], w[n]) for n in ends]
+    at_end = dict.fromkeys(left, 0)  # how many sources had ended before a source's last block looked at
+
+    def fluid(n: str, j: int) -> tuple[int, int]:
+        """floor and ceiling of the time at which the fluid has given j blocks of n."""
+        k, own = at_end[n], w[n]
+        if k < len(limit) and limit[k][0] * own <= j * limit[k][1]:
+            k = at_end[n] = bisect_right(limit, 0, k, key=lambda x: 0 if x[0] * own <= j * x[1] else 1)
+        whole, part = divmod(done[k] * own + j * rest[k], own)
+        return whole, whole + (part > 0)
+
+    slots = {n: array("q") for n in left}
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {n: [] for n in share}
-    for slot in range(period):
+    waiting = [(0, n, 0, *fluid(n, 1)) for n in left]
+    heapq.heapify(waiting)
+    for slot in range(sum(left.values())):
         while waiting and waiting[0][0] <= slot:
-            _, n, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // share[n]), n, j))
-        if ready:  # always so: the shares fill the period
-            _, n, j = heapq.heappop(ready)
-            slots[n].append(slot)
-            if j + 1 < share[n]:
-                heapq.heappush(waiting, ((j + 1) * period // share[n], n, j + 1))
+            _, n, j, after, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, n, j, after))
+        _, n, j, after = heapq.heappop(ready)  # never empty: the fluid fills every slot
+        slots[n].append(slot)
+        if j + 1 < left[n]:
+            heapq.heappush(waiting, (after, n, j + 1, *fluid(n, j + 2)))
     return slots
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple[int, str, int, int, int, list[int]]]:
-    """(first slot, source, first block, last block + 1, period, slots in a period) of each phase and source.
-
-    A phase ends with the slot of the last block of a source that runs out.
-    """
-    left, at, out = {n: b for n, b in blocks.items() if b > 0}, 0, []
-    used = dict.fromkeys(left, 0)
-    while left:
-        share = shares({n: weights[n] for n in left}, period)
-        slots, length = one_period(share), sum(share.values())
-
-        def slot_of(n: str, j: int) -> int:
-            return j // share[n] * length + slots[n][j % share[n]]  # noqa: B023
-
-        end = min(slot_of(n, b - 1) for n, b in left.items()) + 1
-        whole, rest = divmod(end, length)
-        took = {n: whole * share[n] + sum(s < rest for s in slots[n]) for n in left}
-        out += [(at, n, used[n], used[n] + took[n], length, slots[n]) for n in sorted(left)]
-        for n, k in took.items():
-            used[n] += k
-            left[n] -= k
-        left = {n: b for n, b in left.items() if b > 0}
-        at += end
-    return out
+def one_period(share: Mapping[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks within one period of whole shares."""
+    return {n: list(s) for n, s in schedule(share, share).items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, period: int = PERIOD, size: str = "octet_length(coalesce(text, ''))", id_col: str = "doc_id", source_col: str = "source", keep_row: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, period: int | None = None, size: str = "octet_length(coalesce(text, ''))", id_col: str = "doc_id", source_col: str = "source", keep_row: bool = False) -> DataFrame:
     """doc_id, source, block, slot, place of every row; sorting by (slot, place) gives the mixture.
 
     A source's rows are taken in an order scattered by id and cut into blocks of
     about ``block`` units of ``size``, an SQL expression on docs: a row belongs to
-    the block in which it begins.  ``weights`` is the stated, hence bounded, list
-    of sources; rows of any other source, null too, are mixed as "(other)", whose
-    weight is ``weights["(other)"]`` or else the mean weight.  Null ids, repeated
+    the block in which it begins.  Rows of a source that ``weights`` does not
+    list, null too, are mixed as "(other)", whose weight is ``weights["(other)"]``
+    or else the mean weight.  Weights hold exactly; only with ``period`` are they
+    first rounded to whole shares of so many slots.  The driver holds a number
+    for each source and each block, and the blocks' numbers are broadcast.  Null ids, repeated
     rows, empty texts and ties are rows like others.  With keep_row the struct
     ``row`` holds the columns of docs, whatever their names.  An empty table
     gives an empty one.
     """
     named = {n: float(w) for n, w in weights.items() if w > 0}
     named.setdefault(OTHER, sum(named.values()) / max(1, len(named)) or 1.0)
-    listed = [n for n in named if n != OTHER]
+    listed = docs.sparkSession.createDataFrame([(n,) for n in named if n != OTHER], "__listed string")
     source = F.col(source_col).cast("string")
-    rows = docs.select(
+    rows = docs.join(F.broadcast(listed), source == F.col("__listed"), "left").select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.when(source.isin(*listed), source).otherwise(OTHER).alias("source") if listed else F.lit(OTHER).alias("source"),
+        F.coalesce("__listed", F.lit(OTHER)).alias("source"),
         F.greatest(F.expr(size).cast("long"), F.lit(1)).alias("__size"),
         F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("__order"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []),
@@ -124,27 +129,20 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, per
 
     # A block that no row begins in has no rows; its slot stays empty and shifts nothing.
     totals = {r["source"]: -(-int(r["n"]) // int(block)) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each stated source
-    plan = phases(totals, named, period)
-    if not plan:
-        slot = F.lit(0).cast("long")
-        return rows.select("doc_id", "source", "block", slot.alias("slot"), "__at", *(["row"] if keep_row else [])).withColumnRenamed("__at", "place")
-    steps = docs.sparkSession.createDataFrame(
-        [(n, first, last, at, length, slots) for at, n, first, last, length, slots in plan if last > first], "source string, first long, last long, start long, period long, slots array<long>"
-    )
-    timed = rows.join(F.broadcast(steps.withColumnRenamed("source", "__s")), (F.col("source") == F.col("__s")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
-    j = F.col("block") - F.col("first")
-    slot = F.col("start") + F.floor(j / F.size("slots")) * F.col("period") + F.get("slots", (j % F.size("slots")).cast("int"))
-    return timed.select("doc_id", "source", "block", slot.cast("long").alias("slot"), F.col("__at").alias("place"), *(["row"] if keep_row else []))
-
-
-def tempered_weights(docs: DataFrame, power: float = 0.5, most: int = 256, size: str = "octet_length(coalesce(text, ''))", source_col: str = "source") -> dict[str, float]:
-    """Target weights in proportion to a power of each source's size.
-
-    The ``most`` largest sources are named; all others, and null, share "(other)".
-    """
-    sums = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.sum(F.expr(size).cast("double")).alias("n"))
-    named = {r["s"]: float(r["n"]) for r in sums.where("s IS NOT NULL").orderBy(F.desc("n"), "s").limit(most).collect() if r["n"] and r["s"] != OTHER}
-    total = float(sums.agg(F.sum("n")).first()[0] or 0)
-    out = {s: n**power for s, n in named.items()}
-    out[OTHER] = max(total - sum(named.values()), 1.0) ** power
+    blocks = {n: b for n, b in totals.items() if b > 0}
+    plan = schedule(blocks, shares({n: named[n] for n in blocks}, period) if period and blocks else named)
+    chunks = [(n, k // CHUNK, s[k : k + CHUNK]) for n, s in plan.items() for k in range(0, len(s), CHUNK)]
+    kind = pa.schema([("__s", pa.string()), ("__chunk", pa.int64()), ("__slots", pa.list_(pa.int64()))])
+    steps = stored(docs.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*chunks, strict=True)) or [[]] * 3, kind, strict=True)], kind)), "slots")
+    chunk = F.floor(F.col("block") / CHUNK).cast("long")
+    timed = rows.join(F.broadcast(steps), (F.col("source") == F.col("__s")) & (chunk == F.col("__chunk")))
+    slot = F.get("__slots", (F.col("block") % CHUNK).cast("int"))
+    return timed.select("doc_id", "source", "block", slot.alias("slot"), F.col("__at").alias("place"), *(["row"] if keep_row else []))
+
+
+def tempered_weights(docs: DataFrame, power: float = 0.5, size: str = "octet_length(coalesce(text, ''))", source_col: str = "source") -> dict[str, float]:
+    """Target weights in proportion to a power of each source's size, null's under "(other)"; the driver holds a number for each source."""
+    sums = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(OTHER)).alias("s")).agg(F.sum(F.expr(size).cast("double")).alias("n"))
+    out = {r["s"]: max(float(r["n"] or 0), 1.0) ** power for r in sums.collect()}
+    out.setdefault(OTHER, 1.0)
     return out
