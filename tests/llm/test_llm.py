@@ -260,6 +260,29 @@ def test_co_training_on_held_out_rows():
     assert ((model.scores(x[200:], meta[200:])[2] > 0.5) == y[200:]).mean() > 0.97
 
 
+def test_co_training_learns_from_every_unlabelled_row(spark):
+    # Two sources that no labelled row has, in the last 600 of 24,600 unlabelled rows.
+    place = lambda n: zlib.crc32(n.encode()) % 127
+    names = [n for n in (f"n{k}" for k in range(200)) if place(n) > max(place("a"), place("b"))]
+    rare = sorted({place(n): n for n in names}.values())[:2]
+    r, words = random.Random(3), [f"word{k}" for k in range(50)] + "the cat sat on a mat and saw more of it".split()
+    good, junk = [" ".join(r.choices(words, k=20)) + "." for _ in range(50)], [" ".join(r.choices(["BUY!!", "NOW!!", "|", "$$$"], k=20)) for _ in range(50)]
+    kind = lambda i: (i // 2) % 2
+    rows = [(i, (junk if kind(i) else good)[r.randrange(50)], "en", ("a", "b")[kind(i)] if i < 24_200 else rare[kind(i)], 100) for i in range(24_800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = range(200)
+    labels = spark.createDataFrame([(i, 1 - kind(i)) for i in ids], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    good_rare, junk_rare = quality._probability(model.meta.logit(quality.meta_figures(pa.array(["en"] * 2), pa.array(rare), pa.array([100, 100]))))
+    assert good_rare > 0.8 and junk_rare < 0.2
+    order = np.argsort(quality.K.mix(np.array(ids, np.int64).view(np.uint64)))
+    x = quality.text_figures(pa.array([t for _, t, *_ in rows]))
+    meta = quality.meta_figures(pa.array([v[2] for v in rows]), pa.array([v[3] for v in rows]), pa.array([v[4] for v in rows]))
+    whole = quality.co_train(x[order], meta[order], np.array([1.0 - kind(i) for i in order]), x[200:], meta[200:])
+    for a, b in ((model.text, whole.text), (model.meta, whole.meta)):
+        assert np.allclose(a.weights, b.weights, atol=1e-6)
+
+
 def test_empty_tables_and_missing_labels(spark):
     none = table(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int")

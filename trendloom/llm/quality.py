@@ -8,14 +8,15 @@ which it is sure, after calibration on held-out labels, and hands these to the
 other.  At the end the calibrated views are combined, again on held-out labels,
 and score every document.
 
-Models are fitted on the driver from figures, not texts, of at most
-``most_labelled`` labelled and ``most_pool`` unlabelled documents, taken by hash
-of the id; everything else covers all rows.
+In each round every unlabelled document is scored, and all of which a view is
+sure are handed over: what a fit needs of them are sums over pairs of bins, which
+the cluster adds up in each step of the fit.  Only labelled documents come to the
+driver, as figures, at most ``most_labelled``, taken by hash of the id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm import kernels as K
+from trendloom.llm.shared import small_batches, stored
 
 WINDOW = 256
 BINS = 16
-BLOCK = 2048  # rows of a fit's design matrix held at a time
+BLOCK = 2048  # rows of which sums are made at a time
 _KINDS = 10
 # Kinds of bytes: 0 other letters, 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 stops, 7 marks, 8 bars and brackets, 9 control.
 _KIND = np.zeros(256, np.int64)
@@ -39,10 +41,8 @@ _KIND[[*range(0, 9), *range(14, 32), 127]] = 9
 @dataclass(frozen=True)
 class Options:
     most_labelled: int = 20_000
-    most_pool: int = 20_000
     rounds: int = 3
     sure: float = 0.97
-    growth: int = 1_000  # documents that a view hands over in a round, at most
     keep_from: float = 0.5
 
 
@@ -85,6 +85,7 @@ def _figures(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 N_TEXT = 10 + 6 + 3 + 5
 N_META = 3
+HASHES = (15, 127)  # bins of hashes of language and source
 
 
 def meta_figures(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
@@ -96,7 +97,7 @@ def meta_figures(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndar
         return np.where(np.asarray(column.is_valid()), values, bins)
 
     length = np.log1p(np.maximum(0, np.asarray(n_chars.cast(pa.float64()).fill_null(0.0))))
-    return np.column_stack([hashed(lang, 15), hashed(source, 127), length])
+    return np.column_stack([hashed(lang, HASHES[0]), hashed(source, HASHES[1]), length])
 
 
 def hash_bytes(value: bytes) -> int:
@@ -123,59 +124,89 @@ class View:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.weights[self.bins(x)].sum(axis=1) + self.weights[0]
 
+    def of_bins(self, bins: np.ndarray) -> np.ndarray:
+        return self.line[0] * (self.weights[bins].sum(axis=1) + self.weights[0]) + self.line[1]
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.line[0] * self.raw(x) + self.line[1]
 
 
 def _cuts(x: np.ndarray, whole_numbers: bool) -> list[np.ndarray]:
+    """Cuts by the labelled rows; each hash of a language or source has its own bin, whether they show it or not."""
     out = []
     for k in range(x.shape[1]):
         values = np.unique(x[:, k])
         edges = (values[1:] + values[:-1]) / 2
-        if not (whole_numbers and k < 2) and len(edges) > BINS - 1:
+        if whole_numbers and k < 2:
+            edges = np.arange(HASHES[k]) + 0.5
+        elif len(edges) > BINS - 1:
             edges = np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1]))
         out.append(edges)
     return out
 
 
-def _newton(design: Callable[[int, int], np.ndarray], size: int, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights of a ridge logistic fit; design gives rows first..last, so the driver holds BLOCK rows of it at a time."""
-    w = np.zeros(size)
-    penalty = np.full(size, ridge)
+def _newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a ridge logistic fit; sums gives slope and curvature of all rows at some weights."""
+    w = start.copy()
+    penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(25):
-        slope, curve = -penalty * w, np.diag(penalty)
-        for first in range(0, len(y), BLOCK):
-            part = design(first, first + BLOCK)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            slope += part.T @ (y[first : first + BLOCK] - p)
-            curve += (part * (p * (1 - p))[:, None]).T @ part
-        move = np.linalg.solve(curve, slope)
+        slope, curve = sums(w)
+        move = np.linalg.solve(curve + np.diag(penalty), slope - penalty * w)
         w += move
         if np.abs(move).max() < 1e-5:
             break
     return w
 
 
-def _fit(x: np.ndarray, y: np.ndarray, whole_numbers: bool) -> View:
-    view = View(_cuts(x, whole_numbers), np.zeros(0))
-    size = 1 + sum(len(c) + 1 for c in view.cuts)
-    bins = view.bins(x)
+def _sums(bins: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the log likelihood of rows given by the places of their bins in w."""
+    slope, curve, size = np.zeros(len(w)), np.zeros(len(w) ** 2), len(w)
+    for first in range(0, len(y), BLOCK):
+        at = np.column_stack([np.zeros(len(y[first : first + BLOCK]), np.int64), bins[first : first + BLOCK]])
+        p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -30, 30)))
+        slope += np.bincount(at.ravel(), np.repeat(y[first : first + BLOCK] - p, at.shape[1]), size)
+        weight = p * (1 - p)
+        for k in range(at.shape[1]):
+            pair = at[:, k :] + (at[:, k] * size)[:, None]
+            rows = np.repeat(weight, pair.shape[1])
+            low, high = int(at[:, k].min()) * size, (int(at[:, k].max()) + 1) * size
+            curve[low:high] += np.bincount(pair.ravel() - low, rows, high - low)
+    curve = curve.reshape(size, size)
+    return slope, curve + np.triu(curve, 1).T
+
+
+def _labels(bins: list[np.ndarray], past: list[list[View]], sure: float) -> list[np.ndarray]:
+    """What each view says of the rows, by the first round in which it was sure; NaN where it never was."""
+    out = []
+    for v in (0, 1):
+        said = np.full(len(bins[v]), np.nan)
+        for views in past:
+            p = _probability(views[v].of_bins(bins[v]))
+            now = np.isnan(said) & (np.maximum(p, 1 - p) >= sure)
+            said[now] = p[now] > 0.5
+        out.append(said)
+    return out
 
-    def design(first: int, last: int) -> np.ndarray:
-        part = bins[first:last]
-        rows = np.zeros((len(part), size))
-        rows[:, 0] = 1
-        rows[np.arange(len(part))[:, None], part] = 1
-        return rows
 
-    view.weights = _newton(design, size, y, 1.0)
-    return view
+def pool_sums(bins: list[np.ndarray], past: list[list[View]], weights: list[np.ndarray | None], sure: float) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """For each view with weights, slope and curvature of the rows of which the other view is or was sure."""
+    said = _labels(bins, past, sure)
+    out: list[tuple[np.ndarray, np.ndarray] | None] = []
+    for v, w in enumerate(weights):
+        own = ~np.isnan(said[1 - v])
+        out.append(None if w is None else _sums(bins[v][own], said[1 - v][own], w))
+    return out
 
 
 def _calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
     rows = np.column_stack([np.ones(len(x)), view.raw(x)])
-    line = _newton(lambda first, last: rows[first:last], 2, y, 1e-3)
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = _probability(rows @ w)
+        return rows.T @ (y - p), (rows * (p * (1 - p))[:, None]).T @ rows
+
+    line = _newton(sums, np.zeros(2), 1e-3)
     view.line = (float(line[1]), float(line[0]))
     return view
 
@@ -195,29 +226,51 @@ class Model:
         return _probability(a), _probability(b), _probability(self.weights[0] + self.weights[1] * a + self.weights[2] * b)
 
 
+#: Of past views and present weights (None: not asked), the sums of ``pool_sums`` over all unlabelled rows.
+PoolSums = Callable[[list[list[View]], list["np.ndarray | None"]], list["tuple[np.ndarray, np.ndarray] | None"]]
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, options: Options = Options()) -> Model:
+    """Fits both views to labelled rows and a pool, all in memory."""
+
+    def of_pool(cuts: list[list[np.ndarray]]) -> PoolSums:
+        bins = [View(cuts[v], np.zeros(0)).bins(x) for v, x in enumerate((pool_text, pool_meta))]
+        return lambda past, weights: pool_sums(bins, past, weights, options.sure)
+
+    return _co_train(text, meta, y, of_pool, options)
+
+
+def _co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, of_pool: Callable[[list[list[np.ndarray]]], PoolSums], options: Options) -> Model:
     """Fits both views; every fifth labelled row is held out for calibration and combination."""
     held = np.arange(len(y)) % 5 == 0 if len(y) >= 10 else np.ones(len(y), bool)
     train = ~held if len(y) >= 10 else held
-    views = []
-    own = [(text[train], y[train]), (meta[train], y[train])]
-    pools, held_x = (pool_text, pool_meta), (text[held], meta[held])
-    free = [np.ones(len(pool_text), bool), np.ones(len(pool_text), bool)]
+    own, held_x = (text[train], meta[train]), (text[held], meta[held])
+    cuts = [_cuts(own[v], whole_numbers=v == 1) for v in (0, 1)]
+    bins = [View(cuts[v], np.zeros(0)).bins(own[v]) for v in (0, 1)]
+    pool = of_pool(cuts)
+    past: list[list[View]] = []
+    weights = [np.zeros(1 + sum(len(c) + 1 for c in cuts[v])) for v in (0, 1)]
     for r in range(options.rounds + 1):
-        views = [_calibrated(_fit(*own[v], whole_numbers=v == 1), held_x[v], y[held]) for v in (0, 1)]
-        if r == options.rounds:
-            break
-        sure = []
-        for v in (0, 1):
-            p = _probability(views[v].logit(pools[v])) if len(pools[v]) else np.zeros(0)
-            margin = np.maximum(p, 1 - p)
-            at = np.flatnonzero((margin >= options.sure) & free[v])
-            at = at[np.argsort(-margin[at], kind="stable")[: options.growth]]
-            free[v][at] = False
-            sure.append((at, (p[at] > 0.5).astype(float)))
-        for v in (0, 1):
-            at, said = sure[1 - v]
-            own[v] = (np.concatenate([own[v][0], pools[v][at]]), np.concatenate([own[v][1], said]))
+        going, ridge = [True, True], 1.0
+        for _ in range(25):
+            handed = pool(past, [w if g else None for w, g in zip(weights, going, strict=True)]) if past else [None, None]
+            for v in (0, 1):
+                if not going[v]:
+                    continue
+                slope, curve = _sums(bins[v], y[train], weights[v])
+                if handed[v] is not None:
+                    slope, curve = slope + handed[v][0], curve + handed[v][1]
+                penalty = np.full(len(slope), ridge)
+                penalty[0] = 1e-6
+                move = np.linalg.solve(curve + np.diag(penalty), slope - penalty * weights[v])
+                weights[v] = weights[v] + move
+                going[v] = np.abs(move).max() >= 1e-4
+            if not any(going):
+                break
+        # The order in which the cluster adds up shows in the last digits only.
+        weights = [np.round(w, 9) for w in weights]
+        views = [_calibrated(View(cuts[v], weights[v]), held_x[v], y[held]) for v in (0, 1)]
+        past.append(views)
     a, b = (views[v].logit(held_x[v]) for v in (0, 1))
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))) if len(y) else 0.0
     # Independent views: the log-odds add up and the base rate counts once; the fit may only move near that.
@@ -251,6 +304,7 @@ def _inputs(docs: DataFrame, text_col: str) -> list[Column]:
 
 def fit(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Co-trained model; None if the labels do not show both classes (or there are none)."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
     sample = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(options.most_labelled).groupBy("__id").agg(F.min("__y").alias("__y"))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), *(c.alias(n) for c, n in zip(_inputs(docs, text_col), ("text", "lang", "source", "n_chars"), strict=True)))
@@ -268,12 +322,75 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_col
         return None
     order = np.argsort(K.mix(labelled["__id"].to_numpy().astype(np.int64).view(np.uint64)))
     x, y = _matrix(labelled["x"])[order], y[order]
-    total = max(1, docs.count())
-    share = min(1.0, 1.2 * options.most_pool / total)
-    hashed = F.pmod(F.xxhash64("__id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000)
-    pool = rows.where(hashed).join(F.broadcast(sample.select("__id")), "__id", "left_anti").limit(options.most_pool).select(made).toArrow()
-    u = _matrix(pool["x"])
-    return co_train(x[:, :N_TEXT], x[:, N_TEXT:], y, u[:, :N_TEXT], u[:, N_TEXT:], options)
+    return _co_train(x[:, :N_TEXT], x[:, N_TEXT:], y, lambda cuts: _on_cluster(rows.join(F.broadcast(sample.select("__id")), "__id", "left_anti"), cuts, options), options)
+
+
+PARTS = 4
+_PART = "v long, cells binary, x binary"
+
+
+def _part(v: int, whole: np.ndarray) -> pa.RecordBatch:
+    """A view's sums as one row: the places and values of those that are not zero."""
+    at = np.flatnonzero(whole)
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()), pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([whole[at].tobytes()], pa.binary())], ["v", "cells", "x"])
+
+
+def _added(batches: Iterable[pa.RecordBatch], size: list[int | None]) -> list[np.ndarray | None]:
+    """The rows of ``_part`` added up for each view."""
+    out = [None if n is None else np.zeros(n) for n in size]
+    for batch in batches:
+        for row in batch.to_pylist():
+            out[row["v"]][np.frombuffer(row["cells"], np.int64)] += np.frombuffer(row["x"], np.float64)
+    return out
+
+
+def _on_cluster(pool: DataFrame, cuts: list[list[np.ndarray]], options: Options) -> PoolSums:
+    """Sums over the rows of pool, each stored as the numbers of its bins, a byte a figure."""
+    empty = [View(c, np.zeros(0)) for c in cuts]
+    starts = [np.concatenate(([1], 1 + np.cumsum([len(c) + 1 for c in own])[:-1])).astype(np.int64) for own in cuts]
+    width = [len(c) for c in cuts]
+
+    @F.arrow_udf("binary")
+    def binned(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        figures = (text_figures(text), meta_figures(lang, source, n_chars))
+        made = np.column_stack([v.bins(x) - s for v, x, s in zip(empty, figures, starts, strict=True)]).astype(np.uint8)
+        return pa.array([row.tobytes() for row in made], pa.binary())
+
+    table = stored(pool.select(binned("text", "lang", "source", "n_chars").alias("bins")), "bins")
+
+    def sums(past: list[list[View]], weights: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: list[list[np.ndarray] | None] = [None if w is None else [np.zeros(len(w)), np.zeros((len(w), len(w)))] for w in weights]
+            for batch in batches:
+                raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, sum(width)).astype(np.int64)
+                bins = [raw[:, : width[0]] + starts[0], raw[:, width[0] :] + starts[1]]
+                for t, made in zip(total, pool_sums(bins, past, weights, options.sure), strict=True):
+                    if t is not None and made is not None:
+                        t[0] += made[0]
+                        t[1] += made[1]
+            for v, t in enumerate(total):
+                if t is not None:
+                    yield _part(v, np.concatenate([t[0], np.triu(t[1]).ravel()]))
+
+        size = [None if w is None else len(w) + len(w) ** 2 for w in weights]
+
+        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for v, whole in enumerate(_added(batches, size)):
+                if whole is not None:
+                    yield _part(v, whole)
+
+        # A row for each task and view, then for each of PARTS: the driver gets a bounded number.
+        made = table.mapInArrow(run, _PART).repartition(PARTS).mapInArrow(combine, _PART).toArrow()
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for w, whole in zip(weights, _added(made.to_batches(), size), strict=True):
+            if w is None:
+                out.append(None)
+                continue
+            curve = whole[len(w) :].reshape(len(w), len(w))
+            out.append((whole[: len(w)], curve + np.triu(curve, 1).T))
+        return out
+
+    return sums
 
 
 def scored(docs: DataFrame, model: Model | None, options: Options = Options(), text_col: str = "text", name: str = "quality_scores") -> DataFrame:
