@@ -24,18 +24,34 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by five-word shingles with similarity 0.8 or more.
+    """One row of each group linked by five-word shingles with similarity 0.8 or more: that of the least doc_id, then text hash; null ids last.
 
-    Documents without words, and those with a null doc_id, stay.
+    Rows count by themselves, whether their ids repeat, with whatever texts, or are
+    null; of rows equal in id and text one is kept.  Documents without words stay.
     """
-    classes = ngram_join.near_classes(docs, ngram_join.Rule(words=5, percent=80))
-    gone = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    flag = "maybe_gone" + "_" * max(map(len, docs.columns))
-    # Most rows surely stay and are not moved; only the others meet the list, unless they are surely new.
-    tested = maybe_in(docs, F.col("doc_id").cast("long"), gone, flag, gone.count())
-    sure = tested.where(~F.col(flag)).drop(flag)
-    unsure = tested.where(F.col(flag)).drop(flag)
-    return sure.unionByName(unsure.join(gone.withColumnRenamed("doc_id", "__gone").hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    classes = ngram_join.near_classes(docs, ngram_join.Rule(words=5, percent=80), first_of=True).where("n_shingles > 0")
+    key = ["doc_id", "text_hash"]
+    gone = stored(classes.where("NOT first").select(*key).distinct(), "gone")
+    again = stored(classes.where("first").groupBy(*key).count().where("count > 1").select(*key), "again")
+    end = "_" * max(map(len, docs.columns))
+    flag, id_, hash_ = f"maybe_gone{end}", f"id{end}", f"hash{end}"
+    hashed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(hash_, F.xxhash64(F.col("text").cast("string")))
+    # Most rows surely stay and are not moved; only the others meet the lists, unless they are surely new.
+    listed = gone.union(again)
+    tested = maybe_in(hashed, F.xxhash64(id_, hash_), listed.select(F.xxhash64(*key)), flag, listed.count())
+    sure, unsure = tested.where(~F.col(flag)), tested.where(F.col(flag))
+
+    def met(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).hint("shuffle_hash")
+        # The hash alone is an equality that the join can deal by; null ids meet null ids.
+        return unsure.join(keys, (F.col(hash_) == F.col("__hash")) & F.col(id_).eqNullSafe(F.col("__id")), how)
+
+    out = sure.unionByName(met(listed, "left_anti"))
+    if again.count():
+        rows = met(again, "left_semi").select(id_, hash_, F.struct(*columns).alias("row"))
+        out = out.select(*columns).unionByName(rows.groupBy(id_, hash_).agg(F.first("row").alias("row")).select("row.*"))
+    return out.select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,6 +294,29 @@ def test_empty_tables_and_missing_labels(spark):
     assert pii.pseudonymised(none, "k").count() == 0
 
 
+def test_near_copies_by_row_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    base = [" ".join(f"v{r.randrange(10_000)}" for _ in range(40)) for _ in range(12)]
+    rows = [(None if k % 4 == 0 else r.randrange(20), f"{base[k % 12]} end{k // 12}", k) for k in range(72)]  # six near copies each
+    rows += [(1, base[0] + " end0", 100), (2, "clean text one of its own with words", 101), (2, base[3] + " end1", 102), (2, base[3] + " end1", 103), (7, None, 104), (7, "", 105), (None, "", 106)]
+    rows += [(None, "no id and the very same text twice over", k) for k in (107, 108)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = sorted(v.n for v in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for _, t, _ in rows)]
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            group = [group[a] if g == group[b] else g for g in group]
+    kept = collections.Counter(group[k] for k in range(len(rows)) if rows[k][2] in set(got))
+    assert kept == collections.Counter(set(group)) and len(got) == len(set(got))
+    for k, (i, _, n) in enumerate(rows):
+        if n in got:
+            ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[k]]
+            assert i == min((x for x in ids if x is not None), default=None)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     import oracle

@@ -81,7 +81,7 @@ def _order(own: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
 
 def _profile(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts, more_of = np.zeros(1 << CELL_BITS, np.int64), []
         for batch in batches:
             n, nodes, waiting, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], 0
             for row, own in K.shingle_sets(batch.column(1), rule.words):
@@ -96,12 +96,13 @@ def _profile(rule: Rule):
             if waiting:
                 counts += np.bincount(_cells(np.concatenate(waiting)), minlength=len(counts))
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(nodes), none, none], ["doc_id", "n_shingles", "node", "cell", "hits"])
+            kept, more_of = [batch.column(k) for k in range(2, batch.num_columns)], batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(nodes), none, none, *kept], ["doc_id", "n_shingles", "node", "cell", "hits", *more_of])
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 20_000):
             part = at[i : i + 20_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part), pa.array(counts[part])], ["doc_id", "n_shingles", "node", "cell", "hits"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part), pa.array(counts[part]), *[none] * len(more_of)], ["doc_id", "n_shingles", "node", "cell", "hits", *more_of])
 
     return run
 
@@ -183,7 +184,7 @@ def _sets(rule: Rule):
     return run
 
 
-def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", first_of: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs; nothing else of docs is read.
 
     Two documents link when 100 * intersection >= percent * union of their
@@ -192,12 +193,17 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     component.  A text of fewer words than a shingle has one, the whole sequence.
     Rows that repeat an id give a row each.  A null id never is a component_id
     unless all ids of the component are null.  An empty table gives an empty one.
+    With first_of also text_hash, xxhash64 of the row's text, and first, true if
+    the row's (doc_id, text_hash) is the least of its component, null ids last:
+    ids may repeat with different texts, and only equal rows are first together.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(texts.mapInArrow(_profile(rule), "doc_id long, n_shingles long, node long, cell long, hits long"), "profile")
-    base = profile.where("cell IS NULL").select("doc_id", "n_shingles", "node")
+    more_of = ["text_hash"] if first_of else []
+    read = texts.select("*", *[F.xxhash64("text").alias(c) for c in more_of])
+    profile = stored(read.mapInArrow(_profile(rule), "doc_id long, n_shingles long, node long, cell long, hits long" + "".join(f", {c} long" for c in more_of)), "profile")
+    base = profile.where("cell IS NULL").select("doc_id", "n_shingles", "node", *more_of)
     cells = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("hits").alias("hits")).toArrow()  # 2**19 rows of 16 bytes at most
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[cells["cell"].to_numpy().astype(np.int64)] = cells["hits"].to_numpy().astype(np.int64)
@@ -212,7 +218,8 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
     )
-    nodes = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more_of)
+    nodes = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(order).alias("head") for _ in more_of])
     links = stored(_verified(texts, stored(first, "pairs"), nodes, rule, shared), "links")
 
     # Two hops of least labels join all leaves of a pivot; unequal labels only cost comparisons.
@@ -242,12 +249,16 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     roots = components(links.union(more))
 
     of = roots.join(nodes, "node")
-    least = of.groupBy("root").agg(F.min("rep").alias("least"))
-    joined = of.join(least, "root").select("node", "least")
-    known = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    return (
-        base.join(known, (base["node"] == known["node"]) & (base["n_shingles"] > 0), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = of.groupBy("root").agg(F.min("rep").alias("least"), *[F.min("head").alias("least_head") for _ in more_of])
+    joined = of.join(least, "root").select("node", "least", *[F.col("least_head") for _ in more_of])
+    known = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"), *[F.coalesce("least_head", "head").alias("head") for _ in more_of])
+    out = base.join(known, (base["node"] == known["node"]) & (base["n_shingles"] > 0), "left")
+    is_first = F.col("head").isNull() | (F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & F.col("head.text_hash").eqNullSafe(F.col("text_hash"))) if first_of else None
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([F.col("text_hash"), is_first.alias("first")] if first_of else []),
     )
 
 
