@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -236,6 +237,16 @@ def test_surrogates_keep_type_and_tell_apart(spark):
     assert [r.n_entities for r in pii.collisions(clash).collect()] == [2]
 
 
+def test_surrogates_of_other_scripts(spark):
+    one = "Dr 王伟 and Mr 李娜, Dr محمد, Mr Müller."
+    new, found = pii.replace(b"k", one)
+    names = {one[s:e]: n for s, e, _, _, n in found}
+    assert set(names) == {"王伟", "李娜", "محمد", "Müller"} and len(set(names.values())) == 4
+    assert not any(x in new for x in names) and "*" not in new and names["Müller"][1] != "ü"
+    assert all("CJK" in unicodedata.name(c) for c in names["王伟"]) and all("ARABIC" in unicodedata.name(c) for c in names["محمد"])
+    assert pii.pseudonymised(table(spark, [(1, "Dr 王伟 met Mr 李娜")]), "k").count() == 1
+
+
 def test_fixity_finds_every_damage(spark):
     pages = spark.createDataFrame([(k, f"u{k}" if k % 7 else None, "x" * (k * 37 % 900)) for k in range(400)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
     h = fixity.record_hashes(fixity.manifest(pages, records_a_file=50)).cache()

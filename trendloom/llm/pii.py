@@ -11,10 +11,13 @@ or separators.  ``collisions`` checks that on the entities of a whole corpus.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import ipaddress
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -91,13 +94,52 @@ def _luhn(digits: list[int]) -> bool:
     return total % 10 == 0
 
 
+@functools.cache
+def _block(c: str) -> tuple[str, int] | None:
+    """The alphabet of a letter or digit, which is of c's own script and kind, and c's place in it; None for other characters.
+
+    Letters beyond the stated alphabets are those of their script (the first word
+    of the Unicode name) with the same category, and, of two cases, the lower ones
+    whose upper case is one letter that leads back.
+    """
+    if c in _CLASS:
+        return _CLASS[c]
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return None
+    alphabet = _scripts().get(_script(c), c)
+    return (alphabet, alphabet.index(c)) if c in alphabet else None
+
+
+def _script(c: str) -> tuple[str, str, bool]:
+    upper = c.upper()
+    return unicodedata.name(c, "?").split(" ")[0].split("-")[0], unicodedata.category(c), len(upper) == 1 and upper != c and upper.lower() == c
+
+
+@functools.cache
+def _scripts() -> dict[tuple[str, str, bool], str]:
+    found: dict[tuple[str, str, bool], list[str]] = {}
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        # Lower-case and caseless characters only: capitals are respelt.
+        if unicodedata.category(c)[0] in "LN" and c == c.lower() and c not in _CLASS:
+            found.setdefault(_script(c), []).append(c)
+    return {k: "".join(v) for k, v in found.items()}
+
+
+def _plain(c: str) -> str:
+    """c in lower case, where that is one letter that leads back to c."""
+    low = c.lower()
+    return low if len(low) == 1 and low.upper() == c else c
+
+
 def _respell(template: str, letters: Iterator[str]) -> str:
     """letters in the places, and in the case, of those of the template that have a class."""
     out = []
     for c in template:
-        if c.lower() in _CLASS:
+        if _block(_plain(c)):
             x = next(letters)
-            out.append(x.upper() if c != c.lower() else x)
+            out.append(x.upper() if c != _plain(c) else x)
         else:
             out.append(c)
     return "".join(out)
@@ -105,7 +147,7 @@ def _respell(template: str, letters: Iterator[str]) -> str:
 
 def _format_next(cycle: Cycle, text: str) -> str:
     """The surrogate of text among those with letters and digits of the same alphabets in the same places."""
-    chars = [_CLASS[c.lower()] for c in text if c.lower() in _CLASS]
+    chars = [b for c in text if (b := _block(_plain(c)))]
     if not chars:
         return "*" * len(text)
     new = cycle.next([i for _, i in chars], [len(a) for a, _ in chars])
