@@ -247,6 +247,15 @@ def test_surrogates_of_other_scripts(spark):
     assert pii.pseudonymised(table(spark, [(1, "Dr 王伟 met Mr 李娜")]), "k").count() == 1
 
 
+def test_later_mentions_of_a_name_have_its_surrogate():
+    one = "Keller left before Mr Keller came; Keller's car, Dr 王伟, 王伟 too. Killer stays."
+    new, found = pii.replace(b"k", one)
+    names = {}
+    for s, e, _, _, n in found:
+        assert names.setdefault(one[s:e], n) == n
+    assert [one[s:e] for s, e, *_ in found] == ["Keller"] * 3 + ["王伟"] * 2 and "Killer stays" in new and not any(x in new for x in names)
+
+
 def test_fixity_finds_every_damage(spark):
     pages = spark.createDataFrame([(k, f"u{k}" if k % 7 else None, "x" * (k * 37 % 900)) for k in range(400)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
     h = fixity.record_hashes(fixity.manifest(pages, records_a_file=50)).cache()

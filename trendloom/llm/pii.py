@@ -219,6 +219,13 @@ def detect(text: str) -> list[Entity]:
                     gender, script = _GENDER.get(name.capitalize(), ("", ""))
                     kind = f"given:{gender}:{script}" if gender and (not title or TITLES[title] in ("", gender)) else "family"
                     found.append(Entity(at + word.start(), at + word.end(), kind, name.capitalize() if kind != "family" else name.lower()))
+        # Every later or earlier whole-word mention of a name of this text is that name too.
+        names = {text[e.start : e.end]: e for e in found if e.kind == "family" or e.kind.startswith("given:")}
+        if names:
+            for m in re.finditer(r"[\w'’-]+", text):
+                e = names.get(m[0]) or names.get(re.sub(r"['’]s$", "", m[0]))
+                if e is not None:
+                    found.append(Entity(m.start(), m.start() + e.end - e.start, e.kind, e.canonical))
     found.sort(key=lambda e: (e.start, -e.end))
     out: list[Entity] = []
     for e in found:
