@@ -53,8 +53,9 @@ def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages, as WARC, against a replica with stated damage.
 
-    The replica has the bytes of every 97th record changed, every 211th record
-    missing and, after every 503rd, one record more.
+    The replica is an edited copy of the table of hashes and offsets, so only one
+    replica's bytes are hashed: the hash of every 97th record is changed, every
+    211th record is missing and, after every 503rd, there is one record more.
     """
     hashes = fixity.page_hashes(table(spark, sf_dir, "pages"))
     changed = F.when(F.col("record") % 97 == 0, F.sha2(F.concat("hash", F.lit("changed")), 256)).otherwise(F.col("hash"))
