@@ -42,6 +42,12 @@ def test_years_urls_and_cells(spark):
     assert [one(spark, X.is_junk(F.lit(k))) for k in ("semeval 2023 task", "2025 task 11", "based x", "machine", "graph")] == [True, True, True, True, False]
 
 
+def test_ngrams_are_exact(spark):
+    assert one(spark, X.ngrams(F.lit("a b c d"), 1, 2)) == ["a", "b", "c", "d", "a b", "b c", "c d"]
+    assert one(spark, X.ngrams(F.lit("a b"), 2, 5)) == ["a b"] and one(spark, X.ngrams(F.lit("a"), 2, 3)) == []
+    assert one(spark, X.ngrams(F.lit("a b c d e"), 5, 5)) == ["a b c d e"]
+
+
 def test_signature_from_zero_gaps_and_inclusive_band(spark):
     th = spark.range(1).select(*[F.lit(v).alias(k) for k, v in {"scale_low": 0.1, "scale_high": 0.5, "visible": 0.1, "recency_min": 0.1, "accel": 2.5, "min_venues": 2, "explosion": 1.5}.items()])
     # 'new' is half of all mentions, and exactly at the upper bound; 'old' is never recent.

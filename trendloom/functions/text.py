@@ -36,10 +36,16 @@ def normalise_phrase(c: Column) -> Column:
 
 
 def ngrams(text: Column, least: int = 1, most: int = 5) -> Column:
-    """All runs of least..most words of a blank-separated text."""
-    words = F.split(text, " ")
-    sized = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
-    return F.flatten(F.array(*sized))
+    """All runs of least..most words of a blank-separated text, shorter runs first, each in order of place."""
+
+    def of(words: Column, n: int) -> Column:
+        # A lambda of one parameter: with two, transform would pass the element's index.
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    # The words are a lambda's variable, so that text is worked out once and not for each run.
+    made = F.transform(F.array(F.split(text, " ")), lambda words: F.flatten(F.array(*[of(words, n) for n in range(least, most + 1)])))
+    return F.coalesce(F.get(made, F.lit(0)), F.array().cast("array<string>"))
 
 
 def year_of(c: Column) -> Column:
