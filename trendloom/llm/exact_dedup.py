@@ -1,11 +1,11 @@
 """Exact duplicates by progressive refinement: length, then a prefix hash, then the full hash.
 
-All of it is built-in functions.  The first pass over the texts makes only a
-byte length and the hash of the first characters, and counts those pairs after
-map-side combination.  What survives (a length and prefix that occur twice)
-becomes a bitmap of bounded size, so the second pass can tell without a shuffle
-which rows may have an equal; only these are hashed in full and dealt out by
-that hash.  All other rows never move.
+All of it is built-in functions.  The first pass counts byte lengths, after
+map-side combination; lengths that occur twice become a bitmap of bounded size.
+The second pass hashes the first characters of the rows whose length may occur
+twice, and of no others, and counts (length, prefix hash) in the same way.  The
+third hashes in full, and deals out by that hash, only rows whose length and
+prefix may occur twice.  All other rows never move.
 """
 
 from __future__ import annotations
@@ -38,14 +38,15 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         text.alias("__text"),
-        F.xxhash64(F.octet_length(text), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS)))).alias("__key"),
         F.octet_length(text).alias("__length"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []),
     )
-    groups = rows.groupBy("__length", "__key").agg(F.count("*").alias("n"))
-    lengths = groups.groupBy("__length").agg(F.sum("n").alias("all")).where("all > 1").select("__length")
-    alike = stored(groups.where("n > 1").join(lengths, "__length", "left_semi").select(F.col("__key").alias("k")), "alike")
-    tested = maybe_in(rows, F.col("__key"), alike, "__again", alike.count())
+    twice = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    lengths = stored(twice(rows, "__length"), "lengths")
+    rows = maybe_in(rows, F.col("__length"), lengths, "__same_length", lengths.count())
+    rows = rows.withColumn("__key", F.when(F.col("__same_length"), F.xxhash64("__length", F.xxhash64(ascii_lower(F.substring("__text", 1, PREFIX_CHARS))))))
+    alike = stored(twice(rows.where("__same_length"), "__length", "__key").select("__key"), "alike")
+    tested = maybe_in(rows, F.col("__key"), alike, "__same_prefix", alike.count()).withColumn("__again", F.col("__same_length") & F.col("__same_prefix"))
     digest = F.sha2(ascii_lower(F.col("__text")), 256)
     last = ["row"] if keep_row else []
     alone = tested.where("NOT __again").select(
