@@ -2,16 +2,18 @@
 
 Every historical version of every path is addressed by the SHA-256 of its text.
 A blob is scanned once for each rule version that the ledger does not list for
-it; findings are joined back to all paths and versions that hold the blob.
-Copies, a third of all rows even, meet before the shuffle (map-side) and cost
-one scan.
+it; findings are joined back to all paths and versions that hold the blob.  Only
+texts that pass a rule's hint are moved, and copies of them, a third of all rows
+even, meet before the shuffle (map-side) and cost one scan; of all others the
+hash alone is made.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.shared import stored
@@ -54,21 +56,27 @@ RULES = BASE + MORE
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def _spans(rule: Rule, rank: int) -> Column:
-    """Spans of one rule in code points: pieces between matches and matches, laid end to end."""
+def _steps(rule: Rule, rank: int) -> Column:
+    """For each match of one rule, in order: lengths of the text before it (from the match before), of itself and of its part, in code points."""
     text, pattern = F.col("text"), F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     part = F.regexp_extract_all(text, pattern, F.lit(rule.part))
-    pieces = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(F.transform(whole, F.length).alias("m"), F.transform(part, F.length).alias("p"), F.slice(F.transform(pieces, F.length), F.lit(1), F.size(whole)).alias("b"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {SPANS})").alias("out"))
+    pieces = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
+    one = lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["p"]).alias("p"))
+    return F.transform(F.arrays_zip(pieces.alias("b"), whole.alias("m"), part.alias("p")), one)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]
-        found = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin + x["m"]).alias("end"))
-        return F.struct((begin + x["m"]).alias("at"), F.when(x["p"] >= rule.least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def _spans(hinted: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans of each blob of hinted (blob, text, todo) that has any; sums run along each blob's matches, linear in their number."""
+    none = F.expr("CAST(array() AS array<struct<rank:int,b:int,m:int,p:int>>)")
+    steps = F.concat(*[F.when(F.array_contains("todo", r.key) & F.expr(r.hint), _steps(r, i)).otherwise(none) for i, r in enumerate(rules)])
+    rows = hinted.select("blob", F.posexplode(steps).alias("at", "s")).select("blob", "at", "s.*")
+    so_far = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("b") + F.col("m")).over(so_far).cast("int"))
+    named = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rank") + 1)
+    kept = rows.where(F.col("p") >= named([r.least for r in rules]))
+    span = F.struct((F.col("end") - F.col("m")).alias("start"), "rank", named([r.kind for r in rules]).alias("kind"), "end")
+    return kept.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 @dataclass(frozen=True)
@@ -91,18 +99,14 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = versions.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
     keys = F.array(*[F.lit(r.key) for r in rules])
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", keys)
+    new = lambda r: F.array_contains("todo", r.key)
+    any_of = lambda tests: functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+    hinted = rows.where(any_of(F.expr(r.hint) for r in rules)).groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", keys)
     if ledger is not None:
         done = ledger.select(F.col("blob").alias("b"), F.col("rules").alias("done"))
-        blobs = blobs.join(done, blobs["blob"] == done["b"], "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.expr("CAST(array() AS array<string>)")))).drop("b", "done").where("size(todo) > 0")
-    new = lambda r: F.array_contains("todo", r.key)
-    hinted = blobs
-    some = F.lit(False)
-    for r in rules:
-        some = some | (new(r) & F.expr(r.hint))
-    hinted = stored(hinted.where(some), "hinted")
-    spans = F.array_sort(F.concat(*[F.when(new(r) & F.expr(r.hint), _spans(r, i)).otherwise(F.expr(f"CAST(array() AS {SPANS})")) for i, r in enumerate(rules)]))
-    found = hinted.select("blob", spans.alias("spans")).where("size(spans) > 0")
+        todo = F.array_except(keys, F.coalesce("done", F.expr("CAST(array() AS array<string>)")))
+        hinted = hinted.join(done, hinted["blob"] == done["b"], "left").withColumn("todo", todo).drop("b", "done").where(any_of(new(r) & F.expr(r.hint) for r in rules))
+    found = _spans(stored(hinted, "hinted"), rules)
     if known is not None:
         current = F.array(*[F.lit(r.kind) for r in rules])
         changed = known if ledger is None else known.join(ledger.select("blob", "rules"), "blob", "left")
