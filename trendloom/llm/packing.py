@@ -2,28 +2,40 @@
 
 Each task tokenizes its own texts and packs their last, shorter pieces best-fit
 as they come by size.  Bins that are nearly full leave at once; the others
-travel, with their pieces, as items of the next round, where fewer tasks pack
-them again, in groups of bounded size.  The tree ends when one task is left or
-merging no longer helps.  What a task holds is bounded by its group.
+travel, with their pieces, as items of the next round, where the bins of
+``FAN_IN`` tasks are packed again by one, and so on up to the root of the tree.
+
+Of the bins that a task has packed, one at most is half full or less, and two
+that are more than half full never go together.  So a merge up the tree takes in
+one of the few bins that are half full or less, and there are ``FAN_IN`` merges
+at each level at most.  It is therefore enough that a task hands on ``KEEP`` bins
+of each fill above half: more can not be used up to the root, whatever the input,
+and the surplus leaves at once.  The sequences are as many as if all travelled,
+and what a task holds is bounded.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.shared import small_batches, stored
 
-PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
-BIN = f"fill long, key long, pieces array<{PIECE}>"
-GROUP_ITEMS = 100_000  # of a merge task
+PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,place:bigint,offset:bigint>"
+BIN = f"task long, travels boolean, fill long, key long, pieces array<{PIECE}>"
+BATCH_ITEMS = 100_000  # pieces that the first round packs at a time
 FAN_IN = 8
+KEEP = FAN_IN * 8  # enough for eight levels, that is 8**8 tasks of the first round
 _END = 2  # the id after each document
 
 # Fixed value: the word pattern of byte-level pre-tokenization.
@@ -42,8 +54,9 @@ class TokenIds:
     """Little-endian 32-bit ids of texts, as the tokenizers file at ``path`` gives them.
 
     A byte-level file whose merges are ranked as their ids is run by tiktoken,
-    which gives the same ids faster; any other file, and texts that hold one of
-    its special strings, by tokenizers.
+    which gives the same ids faster; any other file, texts that hold one of its
+    special strings, and texts that are too much for its pattern (a million blanks
+    in a row), by tokenizers.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,9 +83,12 @@ class TokenIds:
         return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # the pattern's backtracking has a limit
+                pass
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _loaded: dict[str, TokenIds] = {}
@@ -125,86 +141,92 @@ def _packed(items: list[tuple[int, int, list]], size: int) -> Iterator[tuple[int
             yield size - room, members[0][1], pieces
 
 
-def _frames(bins: Iterator[tuple[int, int, list]]) -> Iterator[pd.DataFrame]:
-    rows: list[tuple] = []
-    for b in bins:
-        rows.append(b)
-        if len(rows) >= 5000:
-            yield pd.DataFrame(rows, columns=["fill", "key", "pieces"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["fill", "key", "pieces"])
+def _rows(bins: Iterator[tuple[int, int, list]], task: int, size: int, full: int) -> Iterator[tuple[int, bool, int, int, list]]:
+    """Bins as rows; those travel that a merge further up may use."""
+    kept: Counter = Counter()
+    for fill, key, pieces in bins:
+        travels = fill < full
+        if travels and 2 * fill > size:
+            kept[fill] += 1
+            travels = kept[fill] <= KEEP
+        yield task, travels, fill, key, pieces
 
 
-def _first_round(path: str, size: int):
+def _frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, 5000)):
+        yield pd.DataFrame(some, columns=["task", "travels", "fill", "key", "pieces"])
+
+
+def _first_round(path: str, size: int, full: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of, rest, end = token_ids(path), [], np.array([_END], dtype="<u4").tobytes()
+        task = TaskContext.get().partitionId()
 
-        def whole() -> Iterator[tuple[int, int, list]]:
+        def whole() -> Iterator[tuple[int, bool, int, int, list]]:
             for frame in frames:
-                for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
-                    doc_id = None if doc is None else int(doc)
+                for doc, text, place in zip(frame["doc_id"].tolist(), frame["text"].tolist(), frame["place"].tolist(), strict=True):
+                    doc_id, at_place = (None if x is None else int(x) for x in (doc, place))
                     data = ids_of(text or "") + end
                     total = len(data) // 4
                     cut = total % size if total > size else total
                     starts = ([0] if cut else []) + list(range(cut, total, size))
                     for k, at in enumerate(starts):
                         to = cut if at < cut else at + size
-                        piece = {"doc_id": doc_id, "piece": k, "start": at, "length": to - at, "ids_crc32": zlib.crc32(data[4 * at : 4 * to]), "offset": 0}
+                        piece = {"doc_id": doc_id, "piece": k, "start": at, "length": to - at, "ids_crc32": zlib.crc32(data[4 * at : 4 * to]), "place": at_place, "offset": 0}
                         key = zlib.crc32(f"{doc_id}:{k}".encode())
                         if to - at == size:
-                            yield size, key, [piece]
+                            yield task, False, size, key, [piece]
                         else:
                             rest.append((to - at, key, [piece]))
-                if len(rest) >= GROUP_ITEMS:
-                    yield from _packed(rest, size)
-                    rest.clear()
+                if len(rest) >= BATCH_ITEMS:
+                    # What may still be merged stays with the task and is packed with its next texts.
+                    made = list(_rows(_packed(rest, size), task, size, full))
+                    rest[:] = [r[2:] for r in made if r[1]]
+                    yield from (r for r in made if not r[1])
+            yield from _rows(_packed(rest, size), task, size, full)
 
         yield from _frames(whole())
-        yield from _frames(_packed(rest, size))
 
     return run
 
 
-def _next_round(size: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = [(int(f), int(k), list(p)) for frame in frames for f, k, p in zip(frame["fill"], frame["key"], frame["pieces"], strict=True)]
-        yield from _frames(_packed(items, size))
+def _next_round(size: int, full: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        items = [(int(f), int(k), list(p)) for f, k, p in zip(frame["fill"], frame["key"], frame["pieces"], strict=True)]
+        return pd.concat(_frames(_rows(_packed(items, size), int(key[0]), size, full)))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, nearly: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, nearly: float = 0.995, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document lies.
 
     A document is its ids and the closing id 2; only those longer than ``size``
     are cut, from the end, so that the first piece may be shorter.  Null text is
     empty: the closing id alone.  Rows that repeat an id are packed each; null
     ids stay null.  ``tokenizer`` is the path of a tokenizers file that every
-    executor can read.  A bin filled to ``nearly`` does not travel.  An empty
-    table gives an empty one.
+    executor can read.  A bin filled to ``nearly`` does not travel.  With
+    ``order``, a whole number on docs, there is also ``sequence_order``, the least
+    of a sequence's documents: reading sequences by it keeps to the order of docs.
+    An empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    place = F.lit(None) if order is None else order
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), place.cast("long").cast("string").alias("place"))
     full = int(size * nearly)
-    now = stored(texts.mapInPandas(_first_round(tokenizer, size), BIN), "bins")
-    done = [now.where(F.col("fill") >= full)]
-    low = now.where(F.col("fill") < full)
-    count = low.count()
-    groups = max(-(-count // GROUP_ITEMS), min(64, -(-count // 10_000)))
-    while count > 1:
-        last = groups == 1
-        now = stored(low.repartition(groups, F.xxhash64("key", F.lit(len(done)))).mapInPandas(_next_round(size), BIN), "bins")
-        done.append(now.where(F.col("fill") >= full))
-        low = now.where(F.col("fill") < full)
-        before, count = count, low.count()
-        if last or (groups <= -(-before // GROUP_ITEMS) and count > 0.98 * before):
-            break  # one task has seen all; or groups have their full size and merging helps no more
-        groups = max(-(-count // GROUP_ITEMS), groups // FAN_IN, 1)
-    out = done[0].select("pieces")
-    for x in [*done[1:], low]:
-        out = out.union(x.select("pieces"))
-    return out.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode("pieces").alias("p")).select(
-        "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset"
-    )
+    now = stored(texts.mapInPandas(_first_round(tokenizer, size, full), BIN), "bins")
+    done = []
+    while (now.agg(F.max("task")).first()[0] or 0) > 0:
+        done.append(now.where("NOT travels"))
+        # A group is a node of the tree: the bins that FAN_IN tasks hand on, a bounded number.
+        up = now.where("travels").withColumn("task", F.expr(f"task div {FAN_IN}"))
+        now = stored(up.groupBy("task").applyInPandas(_next_round(size, full), BIN), "bins")
+    out = functools.reduce(DataFrame.union, [t.select("pieces") for t in [*done, now]])
+    out = out.withColumn("sequence_id", F.monotonically_increasing_id())
+    columns = ["p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset"]
+    if order is not None:
+        out = out.withColumn("sequence_order", F.array_min(F.transform("pieces", lambda p: p["place"])))
+        columns.append("sequence_order")
+    return out.withColumn("p", F.explode("pieces")).select(*columns)
