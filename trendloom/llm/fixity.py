@@ -17,6 +17,7 @@ from trendloom.llm.shared import stored
 
 LEAF_BYTES = 1 << 16
 FAN_OUT = 16
+NO_ID_FILES = 1 << 16  # of rows without an id; numbered downwards from -1
 
 
 def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -26,8 +27,10 @@ def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str,
     content = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n")
     )
-    rows = pages.select(record.alias("record"), content.alias("content")).withColumn("file", F.floor(F.col("record") / records_a_file).cast("long"))
+    rows = pages.select(F.col(id_col).isNull().alias("none"), record.alias("record"), content.alias("content"))
     rows = rows.withColumn("length", F.octet_length("content").cast("long")).withColumn("hash", F.sha2("content", 256))
+    # Rows without an id are spread over files of their own by hash, so that no file holds them all.
+    rows = rows.withColumn("file", F.when(F.col("none"), -1 - F.pmod(F.xxhash64("hash"), F.lit(NO_ID_FILES))).otherwise(F.floor(F.col("record") / records_a_file)).cast("long"))
     before = Window.partitionBy("file").orderBy("record", "hash").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("file", "record", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "content", "hash")
 
@@ -35,9 +38,10 @@ def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str,
 def manifest(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """file, record, offset, length, content of every row of pages, laid out as WARC response records.
 
-    File = record div records_a_file; a null id has file and record -1, rows that
-    repeat an id follow each other by the hash of their content.  The content is a
-    WARC header with the target URI and the page's bytes; nulls are empty.  Offsets
+    File = record div records_a_file; rows with a null id have record -1 and one of
+    ``NO_ID_FILES`` files from -1 downwards, by hash; rows that repeat an id follow
+    each other by the hash of their content.  The content is a WARC header with
+    the target URI and the page's bytes; nulls are empty.  Offsets
     need all records of a file only, a bounded group for ids that do not repeat.
     """
     return _laid_out(pages, records_a_file, id_col, url_col, html_col).drop("hash")
@@ -55,7 +59,7 @@ def record_hashes(records: DataFrame) -> DataFrame:
 
 def heights(replicas: list[DataFrame], leaf_bytes: int = LEAF_BYTES, fan_out: int = FAN_OUT) -> tuple[int, int]:
     """Levels above the leaves within files, and above files, that hold the largest of all replicas."""
-    most = [r.agg(F.max(F.floor(F.col("offset") / leaf_bytes)), F.max("file")).first() for r in replicas]
+    most = [r.agg(F.max(F.floor(F.col("offset") / leaf_bytes)), F.max(F.abs("file"))).first() for r in replicas]
     out = []
     for k in (0, 1):
         n, high = 0, max((int(m[k]) for m in most if m[k] is not None), default=0)
