@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from trendloom.llm.shared import stored
 
 OTHER = "(other)"
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 256
 CHUNK = 256  # blocks whose slots make one row of the plan
 
 
@@ -91,10 +91,10 @@ def one_period(share: Mapping[str, int]) -> dict[str, list[int]]:
     return {n: list(s) for n, s in schedule(share, share).items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, period: int | None = None, size: str = "octet_length(coalesce(text, ''))", id_col: str = "doc_id", source_col: str = "source", keep_row: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, period: int | None = None, size: str = "octet_length(coalesce(text, ''))", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """doc_id, source, block, slot, place of every row; sorting by (slot, place) gives the mixture.
 
-    A source's rows are taken in an order scattered by id and cut into blocks of
+    A source's rows are taken in an order scattered by id and text and cut into blocks of
     about ``block`` units of ``size``, an SQL expression on docs: a row belongs to
     the block in which it begins.  Rows of a source that ``weights`` does not
     list, null too, are mixed as "(other)", whose weight is ``weights["(other)"]``
@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, per
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce("__listed", F.lit(OTHER)).alias("source"),
         F.greatest(F.expr(size).cast("long"), F.lit(1)).alias("__size"),
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("__order"),
+        # With the text, so that rows without an id, or with the same, are scattered too.
+        F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"), *(F.col(c).cast("string") for c in (text_col,) if c in docs.columns)).alias("__order"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []),
     )
     # Rows before a row, without a window over a whole source: sums of hash ranges first, then within each.
@@ -121,8 +122,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, per
     bits = max(0, (int(most) // BUCKET_ROWS).bit_length())
     rows = rows.withColumn("__part", F.shiftrightunsigned("__order", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
     sums = stored(rows.groupBy("source", "__part").agg(F.sum("__size").alias("n")), "sums")
-    # A row for each source and hash range, one sum for a few thousand rows.
-    before = sums.select("source", "__part", (F.sum("n").over(Window.partitionBy("source").orderBy("__part")) - F.col("n")).alias("__before"))
+    # Sums before a hash range in two steps, over ranges of ranges and within each: no window holds more than the root of a source's ranges.
+    sums = sums.withColumn("__wide", F.shiftright("__part", (bits + 1) // 2))
+    wide = sums.groupBy("source", "__wide").agg(F.sum("n").alias("w"))
+    running = lambda n, keys, by: F.sum(n).over(Window.partitionBy(*keys).orderBy(by)) - F.col(n)
+    wide = wide.select("source", "__wide", running("w", ["source"], "__wide").alias("__start"))
+    before = sums.join(wide, ["source", "__wide"]).select("source", "__part", (F.col("__start") + running("n", ["source", "__wide"], "__part")).alias("__before"))
     inner = Window.partitionBy("source", "__part").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(before, ["source", "__part"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__size").over(inner), F.lit(0)))
     rows = rows.withColumn("block", F.expr(f"__at div {int(block)}"))
