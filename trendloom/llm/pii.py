@@ -3,10 +3,12 @@
 Every kind of entity has a finite set of values of one format (so many letters
 and digits in these places; the given names of one gender and script), and the
 surrogate is the next value on one secret cycle through that set: a keyed
-permutation, one step on, and the permutation undone.  So two entities never
-share a surrogate, none is its own, and an entity has the same surrogate in
-every document, without a table of entities and whatever its spelling in case
-or separators.  ``collisions`` checks that on the entities of a whole corpus.
+permutation, one step on, and the permutation undone.  So two entities of one
+format never share a surrogate, none is its own, and an entity has the same
+surrogate in every document, without a table of entities and whatever its
+spelling in case or separators.  ``collisions`` checks that on the entities of a
+whole corpus; of entities that still share one, all but the first go further
+round the cycle until none does.
 """
 
 from __future__ import annotations
@@ -15,17 +17,18 @@ import functools
 import hashlib
 import hmac
 import ipaddress
+import math
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import small_batches
+from trendloom.llm.shared import released, small_batches, stored
 
 # Common given names by gender and script.
 GIVEN = {
@@ -48,8 +51,8 @@ class Cycle:
 
     ROUNDS = 8
 
-    def __init__(self, key: bytes, kind: str) -> None:
-        self.key, self.kind = key, kind.encode()
+    def __init__(self, key: bytes, kind: str, steps: int = 1) -> None:
+        self.key, self.kind, self.steps = key, kind.encode(), steps
 
     def _shift(self, r: int, left: tuple[int, ...], radices: tuple[int, ...]) -> list[int]:
         message = b"%s|%d|%r|%r" % (self.kind, r, left, radices)
@@ -63,6 +66,16 @@ class Cycle:
         return out
 
     def _permute(self, digits: list[int], radices: list[int], sign: int) -> list[int]:
+        if len(digits) == 1:
+            # One digit is walked through as two of a slightly larger range, else nothing would be keyed.
+            n = radices[0]
+            low = math.isqrt(max(0, n - 1)) + 1
+            x = digits[0]
+            while True:
+                high_low = self._permute(list(divmod(x, low)), [-(-n // low), low], sign)
+                x = high_low[0] * low + high_low[1]
+                if x < n:
+                    return [x]
         half = len(digits) // 2
         d = list(digits)
         for r in range(self.ROUNDS) if sign > 0 else reversed(range(self.ROUNDS)):
@@ -73,10 +86,11 @@ class Cycle:
 
     def next(self, digits: list[int], radices: list[int]) -> list[int]:
         d = self._permute(digits, radices, 1)
-        for k in reversed(range(len(d))):
-            d[k] = (d[k] + 1) % radices[k]
-            if d[k]:
-                break
+        for _ in range(self.steps):
+            for k in reversed(range(len(d))):
+                d[k] = (d[k] + 1) % radices[k]
+                if d[k]:
+                    break
         return self._permute(d, radices, -1)
 
     def within(self, digits: list[int], radices: list[int], member: Callable[[list[int]], bool]) -> list[int]:
@@ -234,14 +248,14 @@ def detect(text: str) -> list[Entity]:
     return out
 
 
-def surrogate(key: bytes, entity: Entity, spelt: str) -> str:
-    """What replaces ``spelt``, a spelling of the entity."""
+def surrogate(key: bytes, entity: Entity, spelt: str, steps: int = 1) -> str:
+    """What replaces ``spelt``, a spelling of the entity: so many steps on its cycle."""
     kind = entity.kind
-    cycle = Cycle(key, kind)
+    cycle = Cycle(key, kind, steps)
     if kind == "email":
         local, _, domain = spelt.partition("@")
         name, _, top = domain.rpartition(".")
-        return f"{_format_next(Cycle(key, 'email'), local + '@' + name)}.{top}"
+        return f"{_format_next(cycle, local + '@' + name)}.{top}"
     if kind == "ip4":
         digits = [int(x) for x in entity.canonical.split(".")]
         group = _ip_group(digits)
@@ -261,9 +275,9 @@ def surrogate(key: bytes, entity: Entity, spelt: str) -> str:
         keep = 1 if kind == "phone" and entity.canonical[0] == "+" else 0  # the country's zone
         if kind == "card":
             valid = _luhn(digits)
-            new = Cycle(key, "card").within(digits, [10] * len(digits), lambda d: _luhn(d) == valid)
+            new = cycle.within(digits, [10] * len(digits), lambda d: _luhn(d) == valid)
         else:
-            new = digits[:keep] + Cycle(key, f"{kind}:{keep and digits[0]}").next(digits[keep:], [10] * (len(digits) - keep))
+            new = digits[:keep] + Cycle(key, f"{kind}:{keep and digits[0]}", steps).next(digits[keep:], [10] * (len(digits) - keep))
         return _refill(spelt, "".join(map(str, new)))
     if kind.startswith("given:"):
         pool = GIVEN[tuple(kind.split(":")[1:])]
@@ -283,11 +297,20 @@ def _refill(template: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in template)
 
 
-def replace(key: bytes, text: str) -> tuple[str, list[tuple[int, int, str, str, str]]]:
-    """The text with surrogates, and (start, end, kind, canonical, surrogate) of each entity in the old text."""
+def entity_id(key: bytes, kind: str, canonical: str) -> str:
+    """A keyed hash that stands for an entity wherever it occurs."""
+    return hmac.new(key, f"{kind}|{canonical}".encode(), hashlib.sha256).hexdigest()[:32]
+
+
+def replace(key: bytes, text: str, further: Mapping[str, int] | None = None) -> tuple[str, list[tuple[int, int, str, str, str]]]:
+    """The text with surrogates, and (start, end, kind, canonical, surrogate) of each entity in the old text.
+
+    ``further`` has the steps, beyond the first, of those entities that go on round their cycle, by ``entity_id``.
+    """
     out, at, found = [], 0, []
     for e in detect(text):
-        new = surrogate(key, e, text[e.start : e.end])
+        steps = 1 + (further.get(entity_id(key, e.kind, e.canonical), 0) if further else 0)
+        new = surrogate(key, e, text[e.start : e.end], steps)
         out += [text[at : e.start], new]
         at = e.end
         found.append((e.start, e.end, e.kind, e.canonical, new))
@@ -295,6 +318,7 @@ def replace(key: bytes, text: str) -> tuple[str, list[tuple[int, int, str, str,
 
 
 _FOUND = "array<struct<start:int,end:int,kind:string,entity:string,surrogate:string>>"
+MOST_CLASHES = 10_000  # entities that go further round their cycle; the list is sent to all tasks
 
 
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
@@ -304,23 +328,48 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     the entity (the same wherever it occurs) and its surrogate.  Null text stays
     null and has none; empty texts, repeated rows and null ids are rows like
     others; other columns are not read.  An empty table gives an empty one.
-    With check, all entities are first held against each other: ValueError if two
-    share a surrogate.
+    With check, the result is stored and all its entities are held against each
+    other; of those that share a surrogate all but the one with the least hash
+    take a further step on their cycles, in all texts, until none share one.
     """
     small_batches(docs.sparkSession)
     secret = key.encode()
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
-    @F.arrow_udf(f"struct<text:string,entities:{_FOUND}>")
-    def run(text: pa.Array) -> pa.Array:
-        made = [(None, []) if t is None else replace(secret, t) for t in text.to_pylist()]
-        marks = [[{"start": s, "end": e, "kind": k, "entity": hmac.new(secret, f"{k}|{c}".encode(), hashlib.sha256).hexdigest()[:32], "surrogate": n} for s, e, k, c, n in found] for _, found in made]
-        return pa.StructArray.from_arrays([pa.array([t for t, _ in made], pa.string()), pa.array(marks, kind)], ["text", "entities"])
+    def made(further: dict[str, int]) -> DataFrame:
+        @F.arrow_udf(f"struct<text:string,entities:{_FOUND}>")
+        def run(text: pa.Array) -> pa.Array:
+            new = [(None, []) if t is None else replace(secret, t, further) for t in text.to_pylist()]
+            marks = [[{"start": s, "end": e, "kind": k, "entity": entity_id(secret, k, c), "surrogate": n} for s, e, k, c, n in found] for _, found in new]
+            return pa.StructArray.from_arrays([pa.array([t for t, _ in new], pa.string()), pa.array(marks, kind)], ["text", "entities"])
+
+        return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("r")).select("doc_id", "r.text", "r.entities")
+
+    if not check:
+        return made({})
+    further: dict[str, int] = {}
+    while True:
+        out = stored(made(dict(further)), "surrogates")
+        clashing = [r["entity"] for r in clashes(out.select(F.inline("entities"))).limit(MOST_CLASHES + 1).collect()]
+        if not clashing:
+            return out
+        for e in clashing:
+            further[e] = further.get(e, 0) + 1
+        if len(further) > MOST_CLASHES or max(further.values()) > 100:
+            raise ValueError(f"{len(further)} entities share surrogates with others")
+        released(out)
+
+
+def _plain_pairs(entities: DataFrame) -> DataFrame:
+    """Distinct (kind, entity, surrogate), the surrogate without case and separators."""
+    plain = F.when(F.col("kind").isin("phone", "card", "ssn", "iban"), F.regexp_replace("surrogate", r"[^+\w]", "")).otherwise(F.lower("surrogate"))
+    return entities.select("kind", "entity", plain.alias("surrogate")).distinct()
+
 
-    made = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("r")).select("doc_id", "r.text", "r.entities")
-    if check and (clash := collisions(made.select(F.inline("entities"))).first()) is not None:
-        raise ValueError(f"{clash['n_entities']} entities of kind {clash['kind']} share a surrogate")
-    return made
+def clashes(entities: DataFrame) -> DataFrame:
+    """entity: all but the least of those that share a (kind, surrogate)."""
+    least = _plain_pairs(entities).groupBy("kind", "surrogate").agg(F.min("entity").alias("least"), F.max("entity").alias("most")).where("least <> most")
+    return _plain_pairs(entities).join(least, ["kind", "surrogate"]).where("entity <> least").select("entity").distinct()
 
 
 def collisions(entities: DataFrame) -> DataFrame:
@@ -329,6 +378,4 @@ def collisions(entities: DataFrame) -> DataFrame:
     Spellings differ, so surrogates are compared without case and separators.
     Counts are combined before the shuffle, an entity in a third of all rows too.
     """
-    plain = F.when(F.col("kind").isin("phone", "card", "ssn", "iban"), F.regexp_replace("surrogate", r"[^+\w]", "")).otherwise(F.lower("surrogate"))
-    pairs = entities.select("kind", "entity", plain.alias("surrogate")).distinct()
-    return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
+    return _plain_pairs(entities).groupBy("kind", "surrogate").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
