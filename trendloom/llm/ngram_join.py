@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm import kernels as K
-from trendloom.llm.shared import components, maybe_in, small_batches, stored
+from trendloom.llm.shared import components, maybe_in, released, small_batches, stored
 
 CELL_BITS = 19
 SALT_COUNT = 200_000  # cell counts above this deal a token's list out over more salts
+PART_NODES = 512  # of a list that is compared beyond its pivot; longer ones are dealt out in parts
 U = np.uint64
 _LIMIT = (1 << 24) - 1
 
@@ -220,32 +221,36 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     )
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more_of)
     nodes = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(order).alias("head") for _ in more_of])
-    links = stored(_verified(texts, stored(first, "pairs"), nodes, rule, shared), "links")
+    links = _verified(texts, first, nodes, rule, shared)
 
     # Two hops of least labels join all leaves of a pivot; unequal labels only cost comparisons.
     sym = links.union(links.select("b", "a"))
     hop = sym.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n1"), F.least("a", "m").alias("l1"))
     label = sym.join(hop, sym["b"] == hop["n1"]).groupBy("a").agg(F.min("l1").alias("l2")).select(F.col("a").alias("node"), "l2")
     far = label.withColumnRenamed("node", "pivot").withColumnRenamed("l2", "pivot_l2")
-    # Lists of two nodes are done; the others hold a node that is neither the least nor the greatest.
-    wide = lists.join(lists.where("third").select("token").distinct(), "token", "left_semi")
-    labelled = stored(
-        wide.join(label, "node", "left").join(far, "pivot", "left").select("token", "node", "size", "pos", "least_size", F.coalesce("l2", "node").alias("label"), F.coalesce("pivot_l2", "pivot").alias("main")),
+    # Lists of two nodes are done; the others hold a node that is neither the least nor the greatest.  Seen by a bitmap, so no list is dealt by its token.
+    longer = stored(lists.where("third").select("token").distinct(), "longer")
+    wide = maybe_in(lists, F.col("token"), longer, "__longer", longer.count()).where("__longer")
+    marked = stored(
+        wide.join(label, "node", "left").join(far, "pivot", "left").select("token", "part", "n_parts", "node", "size", "pos", "least_size", F.coalesce("l2", "node").alias("label"), F.coalesce("pivot_l2", "pivot").alias("main")),
         "labelled",
     )
     least_partner = f"greatest(least_size, CAST(ceil({rule.percent} * size / 100.0) AS LONG))"
     is_odd = (F.col("label") != F.col("main")) & (F.expr("size - pos") >= need("size", least_partner))
-    labelled = labelled.withColumn("odd", is_odd)
-    odd = labelled.where("odd").select(F.col("token").alias("t"), F.col("node").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
+    labelled = marked.withColumn("odd", is_odd)
+    # A long list is dealt out in parts; each of its odd members meets all of them.
+    every_part = F.explode(F.expr("sequence(0L, n_parts - 1)")).alias("at")
+    odd = labelled.where("odd").select(F.col("token").alias("t"), every_part, F.col("node").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
     # Of two odd members, only the one of the smaller number makes the pair.
     once = ~F.col("odd") | (F.col("x") < F.col("node"))
     second = (
-        odd.join(labelled, (F.col("t") == F.col("token")) & once & (F.col("xl") != F.col("label")) & close("xs", "size") & (F.expr("least(xs - xp, size - pos)") >= need("xs", "size")))
+        odd.join(labelled, (F.col("t") == F.col("token")) & (F.col("at") == F.col("part")) & once & (F.col("xl") != F.col("label")) & close("xs", "size") & (F.expr("least(xs - xp, size - pos)") >= need("xs", "size")))
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = _verified(texts, stored(second, "pairs"), nodes, rule, shared)
+    more = _verified(texts, second, nodes, rule, shared)
+    released(lists, longer, marked)
     roots = components(links.union(more))
 
     of = roots.join(nodes, "node")
@@ -274,6 +279,7 @@ def _lists(texts: DataFrame, rule: Rule, shared) -> DataFrame:
     size, pos = F.expr("shiftright(place, 31)"), F.expr("place & 2147483647")
     part = dealt.groupBy("token", "salt").agg(
         F.max(F.expr("extra & 2147483647")).alias("n_salts"),
+        F.count("*").alias("n"),
         F.min("node").alias("lo"),
         F.max("node").alias("hi"),
         F.min(size).alias("least_size"),
@@ -282,19 +288,21 @@ def _lists(texts: DataFrame, rule: Rule, shared) -> DataFrame:
     whole = (
         part.where("n_salts > 1 OR lo <> hi")
         .groupBy("token")
-        .agg(F.max("n_salts").alias("n_salts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_size").alias("least_size"), F.max("best").alias("best"))
+        .agg(F.max("n_salts").alias("n_salts"), F.expr(f"1 + sum(n) div {PART_NODES}").alias("n_parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least_size").alias("least_size"), F.max("best").alias("best"))
         .where("lo <> hi")
-        .select("token", F.explode(F.expr("sequence(0L, n_salts - 1)")).alias("salt"), "lo", "hi", "least_size", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"), F.col("best.pos").alias("pivot_pos"))
+        .select("token", F.explode(F.expr("sequence(0L, n_salts - 1)")).alias("salt"), "n_parts", "lo", "hi", "least_size", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"), F.col("best.pos").alias("pivot_pos"))
     )
     # All columns stay up to here, so that both uses of the dealt postings share one shuffle.
     lists = dealt.join(whole.hint("shuffle_hash"), ["token", "salt"]).dropDuplicates(["token", "salt", "node"])
     third = F.expr("node <> lo AND node <> hi").alias("third")
-    return lists.select("token", "node", size.alias("size"), pos.alias("pos"), "least_size", "pivot", "pivot_size", "pivot_pos", third, "extra")
+    part = F.expr("pmod(xxhash64(node), n_parts)").alias("part")
+    return lists.select("token", part, "n_parts", "node", size.alias("size"), pos.alias("pos"), "least_size", "pivot", "pivot_size", "pivot_pos", third, "extra")
 
 
-def _fetched(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, make, kind: str) -> DataFrame:
-    """What ``make`` says of each node of the pairs, one row a node; only texts that may be wanted go to Python."""
+def _fetched(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, make, kind: str, tables: list[DataFrame]) -> DataFrame:
+    """What ``make`` says of each node of the pairs, one row a node; only texts that may be wanted go to Python.  The table that it reads joins ``tables``."""
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("rep", "node"), "wanted")
+    tables.append(wanted)
     few = maybe_in(texts, F.col("doc_id"), wanted.select("rep"), "__wanted", wanted.count()).where("__wanted OR doc_id IS NULL").select("doc_id", "text")
     return few.mapInArrow(make, kind).where("node IS NOT NULL").join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -306,15 +314,22 @@ def _joined(pairs: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, rule: Rule, shared) -> DataFrame:
-    """The pairs (a, b) that pass the filters of all orders and whose sets are similar enough."""
+    """The pairs (a, b) that pass the filters of all orders and whose sets are similar enough, stored."""
     t = rule.percent
-    prefixes = _fetched(texts, pairs, nodes, _prefixes(rule, shared), "node long, size long, first array<int>, second array<int>, third array<int>")
+    left = stored(pairs, "pairs")
+    tables = [left]
+    prefixes = _fetched(texts, left, nodes, _prefixes(rule, shared), "node long, size long, first array<int>, second array<int>, third array<int>", tables)
     prefixes = stored(prefixes, "prefixes")
-    left = pairs
+    tables.append(prefixes)
     for k in ("first", "second", "third"):
         # The tokens beyond one of the prefixes are all that can be shared besides those in both.
-        enough = f"size(array_intersect({k}_a, {k}_b)) >= greatest(1, ceil({t} * (size_a + size_b) / {100 + t}.0) - greatest(size_a - size({k}_a), size_b - size({k}_b)))"
+        # Two tokens of a prefix may have the same low bits: as many are added as one prefix has lost by that.
+        enough = f"size(array_intersect({k}_a, {k}_b)) + size({k}_a) - size(array_distinct({k}_a)) >= greatest(1, ceil({t} * (size_a + size_b) / {100 + t}.0) - greatest(size_a - size({k}_a), size_b - size({k}_b)))"
         left = stored(_joined(left, prefixes.select("node", "size", k)).where(F.expr(enough)).select("a", "b"), "candidates")
-    sets = _fetched(texts, left, nodes, _sets(rule), "node long, tokens array<long>")
+        tables.append(left)
+    sets = _fetched(texts, left, nodes, _sets(rule), "node long, tokens array<long>", tables)
     meet = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return _joined(left, sets).withColumn("meet", meet).where(F.expr(f"100 * meet >= {t} * (size(tokens_a) + size(tokens_b) - meet)")).select("a", "b")
+    links = _joined(left, sets).withColumn("meet", meet).where(F.expr(f"100 * meet >= {t} * (size(tokens_a) + size(tokens_b) - meet)")).select("a", "b")
+    links = stored(links, "links")
+    released(*tables)
+    return links

@@ -14,10 +14,12 @@ _BUCKET_BITS = 32768  # fixed value: bits in one bitmap of bitmap_construct_agg
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all run on one machine."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="trendloom-")
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
     return f"file://{folder}"
@@ -36,13 +38,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here.
 
     Unlike a local checkpoint, the rows survive the loss of any executor.  The
-    table is removed when the Python process ends.
+    table is removed by ``released``, or else when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/trendloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes stored tables that no plan still to be run reads."""
+    for t in tables:
+        _remove(t.sparkSession, t._stored_at)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -81,7 +91,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each written to the shared
     folder, until no edge changes; O(log^2 n) rounds.  No node, edge or component
-    list is brought to the driver, only a count and a checksum a round.
+    list is brought to the driver, only a count and a checksum a round.  Least
+    neighbours are combined before the shuffle, and the joins are of two shuffled
+    sides, so that adaptive execution splits the edges of a root that holds many.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -102,7 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = sign(now)
     while before[0]:
-        now = stored(small(large(now)), "edges")
+        last, now = now, stored(small(large(now)), "edges")
+        released(last)
         after = sign(now)
         if after == before:
             break
