@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import exact_dedup, mixing, ngram_join, packing, quality
@@ -60,9 +61,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.orderBy("slot", "place").select("row.*")
 
 
+def _row_order(docs: DataFrame) -> Column | None:
+    """Place of a row in a table of Parquet files that a sort has written: the file's number, then the row's; None for any other table."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    number = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(number, 40) + F.col("_metadata.row_index")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    """Every document's pieces in sequences of 1024 tokens; by ``sequence_order`` these follow the mixture, the order in which docs is written."""
+    return packing.pack(docs, tokenizer_path(), order=_row_order(docs))
 
 
 STAGES = [
@@ -73,7 +84,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The classifier cannot be said in SQL; tests hold the stages against brute force.
+#: The classifier and the packing cannot be said in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
