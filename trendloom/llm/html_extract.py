@@ -2,14 +2,20 @@
 
 Each paragraph gives points for its length and commas to its parent, half of
 them to the grandparent and a third, a quarter, ... further up; a container's
-sum is discounted by its link density.  The best container wins, with those
-siblings that look like content.  Elements that never are content (menus,
-forms, scripts, adverts, comments by their tag, role, class or id) give no points
-and no text.
+sum is discounted by its link density, and raised if its tag or name says that
+it is the article.  The best container wins, with those siblings that look like
+content, and as far up as all of a parent is such.
+
+Elements that by definition are not running text (scripts, menus, buttons, ...)
+give no points and no text.  Forms, and containers whose class or id has a word
+that adverts, menus, notices or reader comments go by, are doubted: their points
+count a tenth against what lies outside of them.  A wrapper of the whole article
+stays for that reason, whatever its name; a sidebar or a thread of comments goes.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import re
 from collections.abc import Iterator
@@ -30,13 +36,17 @@ BLOCK = set(
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = BLOCK - {"html", "body"}
-NEVER = RAW | set("head nav aside footer form button select option datalist svg math canvas audio video object menu dialog input label fieldset search".split())
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NEVER = RAW | set("head nav aside footer button select option datalist svg math canvas audio video object menu dialog input label legend search".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+# Words in class or id, of what is beside an article and of the article itself.
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar sidebars footer masthead topbar toolbar pagination pager comment comments commentlist disqus respond reply replies discussion notice notices cookie cookies consent gdpr "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets form search toc skip tags".split()
 )
+ARTICLE = set("article articlebody body content entry main maincontent post story text".split())
+DOUBT = 0.1  # what a point within a doubted container counts against one outside
+RAISED = 4.0  # of article and main
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -47,7 +57,10 @@ class Node:
     tag: str
     parent: Node | None
     never: bool = False
-    points: float = 0.0
+    doubt: bool = False
+    raised: float = 1.0
+    total: float = 0.0  # points of all its text
+    points: float = 0.0  # those that it got as an ancestor
     chars: int = 0
     link_chars: int = 0
     children: list = field(default_factory=list)  # Nodes, and Blocks of text in page order
@@ -59,23 +72,30 @@ class Block:
     links: int
 
 
-def _never(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in NEVER:
-        return True
-    if tag == "header":
-        return not _within(parent, ("article", "main"))
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _judge(node: Node, attributes: str) -> None:
+    """Says of a new element whether it never is content, is doubted, or raised."""
+    tag, parent = node.tag, node.parent
+    node.never = parent.never or tag in NEVER or (tag == "header" and not _within(parent, ("article", "main")))
+    node.doubt = tag == "form"
+    node.raised = RAISED if tag in ("article", "main") else 1.0
+    if node.never or not attributes:
+        return
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value.strip() in ROLES or name == "aria-hidden" and value.strip() == "true":
-            return True
-        if name in ("class", "id"):
+        if name == "role":
+            node.never |= value.strip() in ROLES
+            node.raised = RAISED if value.strip() in ("main", "article") else node.raised
+        elif name == "aria-hidden":
+            node.never |= value.strip() == "true"
+        elif name == "style":
+            node.never |= "display:none" in value.replace(" ", "")
+        elif name in ("class", "id") and tag not in ("article", "main"):
             # A name counts as one of the words that it is made of: side-bar-ad has "ad".
-            words = _WORD.findall(value)
-            if any(w in NAMES for w in words) or "header" in words and not _within(parent, ("article", "main")):
-                return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in attributes.replace(" ", "").lower()
+            words = set(_WORD.findall(value))
+            beside = words & NAMES or ("header" in words and not _within(parent, ("article", "main")))
+            # Of a name with words of both kinds ("post-widget content"), neither counts.
+            node.doubt |= bool(beside) and not words & ARTICLE
+    node.never |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(lambda m: f" {m[1]}= ", attributes)))
 
 
 def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
@@ -141,7 +161,7 @@ def parse(page: str) -> Node:
                     here = _close_item(here, tag)
                 node = Node(tag, here, here.never)
                 if tag not in ("html", "body"):
-                    node.never = here.never or _never(tag, attributes, here)
+                    _judge(node, attributes)
                     here.children.append(node)
                     if not attributes.rstrip().endswith("/") or tag in BLOCK:
                         here = node
@@ -187,35 +207,70 @@ def _close_item(here: Node, tag: str) -> Node:
     return found
 
 
-def _score(root: Node) -> None:
+def _postorder(root: Node) -> Iterator[Node]:
+    """Containers after all that they hold; what never is content is left out."""
     stack = [(root, False)]
     while stack:
         node, back = stack.pop()
-        if node.never:
-            continue
         if back:
-            for c in node.children:
-                if isinstance(c, Block):
-                    node.chars += len(c.text)
-                    node.link_chars += c.links
-                    if node.tag in HEADINGS:
-                        continue
-                    points = (1 + c.text.count(",") + min(len(c.text) / 100, 3)) * (1 - c.links / len(c.text))
-                    # A paragraph's points go up from its container; text without one counts for its own element.
-                    up, k = (node.parent if node.tag in ("p", "pre", "td", "li", "dd", "blockquote") and node.parent else node), 1
-                    while up is not None:
-                        up.points += points / k
-                        up, k = up.parent, k + 1
-                else:
-                    node.chars += c.chars
-                    node.link_chars += c.link_chars
-            continue
-        stack.append((node, True))
-        stack += [(c, False) for c in node.children if isinstance(c, Node)]
+            yield node
+        elif not node.never:
+            stack.append((node, True))
+            stack += [(c, False) for c in node.children if isinstance(c, Node)]
+
+
+def _block_points(block: Block, node: Node) -> float:
+    if node.tag in HEADINGS:
+        return 0.0
+    return (1 + block.text.count(",") + min(len(block.text) / 100, 3)) * (1 - block.links / len(block.text))
+
+
+def _settle(root: Node) -> None:
+    """Doubted containers go, but for those that hold far more than all that lies outside of doubted ones."""
+    for node in _postorder(root):
+        node.total = sum(_block_points(c, node) if isinstance(c, Block) else c.total for c in node.children if isinstance(c, Block) or not c.never)
+
+    def outermost(node: Node) -> Iterator[Node]:
+        stack = [c for c in node.children if isinstance(c, Node)]
+        while stack:
+            n = stack.pop()
+            if n.doubt and not n.never:
+                yield n
+            elif not n.never:
+                stack += [c for c in n.children if isinstance(c, Node)]
+
+    doubted = [(-n.total, k, n) for k, n in enumerate(outermost(root))]
+    heapq.heapify(doubted)
+    rest, k = root.total + sum(t for t, _, _ in doubted), len(doubted)
+    while doubted and DOUBT * -doubted[0][0] > rest:
+        node = heapq.heappop(doubted)[2]
+        rest += node.total
+        for n in outermost(node):
+            rest, k = rest - n.total, k + 1
+            heapq.heappush(doubted, (-n.total, k, n))
+    for _, _, n in doubted:
+        n.never = True
+
+
+def _score(root: Node) -> None:
+    for node in _postorder(root):
+        for c in node.children:
+            if isinstance(c, Block):
+                node.chars += len(c.text)
+                node.link_chars += c.links
+                points = _block_points(c, node)
+                # A paragraph's points go up from its container; text without one counts for its own element.
+                up, k = (node.parent if node.tag in ("p", "pre", "td", "li", "dd", "blockquote") and node.parent else node), 1
+                while points and up is not None:
+                    up.points += points / k
+                    up, k = up.parent, k + 1
+            elif not c.never:
+                node.chars += c.chars
+                node.link_chars += c.link_chars
 
 
 def _worth(node: Node) -> float:
-    return node.points * (1 - node.link_chars / node.chars) if node.chars else 0.0
+    return node.raised * node.points * (1 - node.link_chars / node.chars) if node.chars else 0.0
 
 
 def _nodes(root: Node) -> Iterator[Node]:
@@ -238,38 +293,40 @@ def _blocks(node: Node) -> Iterator[str]:
             stack += reversed(x.children)
 
 
+def _alike(best: Node, c: Node | Block, least: float) -> bool:
+    """Whether a child of best's parent belongs to best's text."""
+    if isinstance(c, Block):
+        return best.tag not in ("article", "main") and len(c.text) > 80 and c.links < 0.25 * len(c.text)
+    density = c.link_chars / c.chars if c.chars else 1.0
+    if c.tag in HEADINGS:
+        return density < 0.5 and (best.tag != "main" and (best.tag != "article" or _within(c.parent, ("article", "main"))))
+    if best.tag in ("article", "main"):
+        return c.tag == best.tag and _worth(c) >= least
+    return (_worth(c) >= least and density < 0.33) or (c.tag == "p" and c.chars > 80 and density < 0.25)
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by an empty line; empty if the page has none."""
     root = parse(page or "")
+    _settle(root)
     _score(root)
     best = max(_nodes(root), key=_worth, default=root)
     if _worth(best) <= 0:
         # Only headings and links: no container stands out, so all that may be content is.
         return "\n\n".join(_blocks(root))
-    # An article's own element, if the best container lies in one, holds headings and further parts.
-    outer, node = None, best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            outer = node
-        node = node.parent
-    if outer is not None:
-        best = outer
     while best.tag in ("p", "li", "td", "th", "tr", "tbody", "dd", "pre", "blockquote", "ul", "ol", "table") and best.parent is not None:
         best = best.parent
-    if best.parent is None:
-        return "\n\n".join(_blocks(best))
-    least = max(2.0, 0.2 * _worth(best))
-    kept = []
-    for c in best.parent.children:
-        if c is best:
-            kept.append(c)
-        elif isinstance(c, Node) and not c.never and outer is None:
-            density = c.link_chars / c.chars if c.chars else 1.0
-            if c.tag in HEADINGS and density < 0.5 or _worth(c) >= least and density < 0.33 or c.tag == "p" and c.chars > 80 and density < 0.25:
-                kept.append(c)
-        elif isinstance(c, Node) and c.tag == best.tag and not c.never and _worth(c) >= least:
-            kept.append(c)
-    return "\n\n".join(t for c in kept for t in _blocks(c))
+    kept = [best]
+    while best.parent is not None:
+        least = max(2.0, 0.2 * _worth(best))
+        texts = [c for c in best.parent.children if isinstance(c, Block) or (not c.never and c.chars)]
+        kept = [c for c in texts if c is best or _alike(best, c, least)]
+        if len(kept) < len(texts):
+            break
+        # All of the parent is the article's: what lies beside the parent may be, too.
+        best = best.parent
+        kept = [best]
+    return "\n\n".join(t for c in kept for t in ([c.text] if isinstance(c, Block) else _blocks(c)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
