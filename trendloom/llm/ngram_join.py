@@ -51,6 +51,14 @@ class Rule:
     words: int = 5
     percent: int = 80
 
+    def sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Row number and sorted distinct 64-bit tokens of each text."""
+        return K.shingle_sets(column, self.words)
+
+    def partitions(self, size: int) -> list[tuple[int, int]]:
+        """Where a set of this size is listed, and the least size of a partner that it has to meet there."""
+        return [(0, -(-self.percent * size // 100))]
+
 
 def _node(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
@@ -85,7 +93,7 @@ def _profile(rule: Rule):
         counts, more_of = np.zeros(1 << CELL_BITS, np.int64), []
         for batch in batches:
             n, nodes, waiting, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], 0
-            for row, own in K.shingle_sets(batch.column(1), rule.words):
+            for row, own in rule.sets(batch.column(1)):
                 n[row] = len(own)
                 if len(own):
                     nodes[row] = _node(own)
@@ -122,23 +130,23 @@ def _postings(rule: Rule, shared):
 
         for batch in batches:
             rows = 0
-            for _, own in K.shingle_sets(batch.column(1), rule.words):
+            for _, own in rule.sets(batch.column(1)):
                 size = len(own)
                 if not size or (node := _node(own)) in seen:
                     continue
                 seen.add(node)  # once a task: of copies only the first is worked on
                 count = counts[_cells(own)]
                 at = _prefix(own, _order(own, count, 0), rule.percent)
-                pos = np.arange(len(at))
-                least = -(-rule.percent * size // 100)
-                # A partner of the least possible size must still be in reach from this position.
-                ok = size - pos >= -(-rule.percent * (size + least) // (100 + rule.percent))
-                at, pos = at[ok], pos[ok]
-                same = np.full(len(at), 1, np.int64)
-                # Two numbers in one: size and position; the mean count on a scale of logarithms, and the token's salts.
                 mid = int(16 * np.log2(1 + count.mean()))
-                out.append((own[at].view(np.int64), same * node, (same * size << 31) | pos, (same * mid << 31) | (1 + count[at] // SALT_COUNT)))
-                rows += len(at)
+                for part, least in rule.partitions(size):
+                    pos = np.arange(len(at))
+                    # A partner of the least possible size must still be in reach from this position.
+                    pos = pos[size - pos >= -(-rule.percent * (size + least) // (100 + rule.percent))]
+                    token = own[at[pos]] if part == 0 else K.mix(own[at[pos]], part)
+                    same = np.full(len(pos), 1, np.int64)
+                    # Two numbers in one: size and position; the mean count on a scale of logarithms, and the token's salts.
+                    out.append((token.view(np.int64), same * node, (same * size << 31) | pos, (same * mid << 31) | (1 + count[at[pos]] // SALT_COUNT)))
+                    rows += len(pos)
                 if rows > 50_000:
                     yield flush()
                     rows = 0
@@ -156,7 +164,7 @@ def _prefixes(rule: Rule, shared):
         counts, seen = shared.value, set()
         for batch in batches:
             rows: list[tuple] = []
-            for _, own in K.shingle_sets(batch.column(1), rule.words):
+            for _, own in rule.sets(batch.column(1)):
                 if len(own) and (node := _node(own)) not in seen:
                     seen.add(node)
                     count = counts[_cells(own)]
@@ -175,7 +183,7 @@ def _sets(rule: Rule):
         seen = set()
         for batch in batches:
             rows: list[tuple] = []
-            for _, own in K.shingle_sets(batch.column(1), rule.words):
+            for _, own in rule.sets(batch.column(1)):
                 if len(own) and (node := _node(own)) not in seen:
                     seen.add(node)
                     rows.append((node, own.view(np.int64)))

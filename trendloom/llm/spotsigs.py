@@ -4,25 +4,38 @@ Anchors are very common words of running text; a signature is an anchor with the
 next ``CHAIN`` words that are not common.  Menus and adverts have few anchors, so
 the set stands for the prose.  The fingerprint is the sorted set of 32-bit
 signature hashes, eight hexadecimal digits each.
+
+Near documents are found through the sets: these are partitioned by length, so
+that a set meets those of its own partition and of the next only; in a partition
+it is listed under its rarest signatures, as far as a likeness of ``percent``
+asks for; and a pair is dropped as soon as lengths, places in the order of rarity
+or the rests of the prefixes rule it out, before the sets are compared in full.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm import kernels as K
+from trendloom.llm import ngram_join
 from trendloom.llm.shared import maybe_in, small_batches, stored
 
 U = np.uint64
 CHAIN = 2
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 32  # at least, of a bucket of neighbouring documents
+MOST_BUCKETS = 10_000
+_STRIDE = 1 << 20  # of bucket numbers: room for the parts of an id that very many rows have
 # The anchors, and further common words that are no content words, in four languages.
 ANCHORS = "the of and to in is that for der die und das den ist von zu le la les de et des est que el los las y en un una por"
 COMMON = "a an as at be by from it on or was with this are not dem ein eine im mit auf nicht sich als auch du au pour par dans sur qui il une ne pas del al se con su lo como para no es"
@@ -95,23 +108,44 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return meet / (len(a) + len(b) - meet)
 
 
-_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+@dataclass(frozen=True)
+class SignatureRule(ngram_join.Rule):
+    """Sets of signatures, partitioned by length."""
+
+    def sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        for row, own in enumerate(signature_sets(column)):
+            yield row, np.sort(K.mix(own.astype(U), 9))
+
+    def partitions(self, size: int) -> list[tuple[int, int]]:
+        # Borders so far apart that a partner lies in the same partition or a neighbour's.
+        start, part = 1, 1
+        while (border := 100 * start // self.percent + 1) <= size:
+            start, part = border, part + 1
+        return [(part, -(-self.percent * size // 100)), (part + 1, border)]
+
+
+_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_id long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (bucket, place): each is held against the next of its bucket; guests only are looked at."""
+    """Rows in order of (bucket, place): each is held against the next of its bucket.
+
+    Of the kinds of rows, 0 tells the class of the documents after it, 1 is a
+    document, and 2 the first one of the next bucket, only looked at.
+    """
     names = [x.strip().split(" ")[0] for x in _EDITED.split(",")]
-    held: pa.RecordBatch | None = None
+    held: pa.Table | None = None
+    near = 0
 
     def done(rows: pa.Table) -> pa.RecordBatch | None:
-        text = pc.fill_null(rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"], "")
-        guest, bucket = rows["guest"].to_pylist(), rows["bucket"].to_pylist()
+        guest, bucket = [k == 2 for k in rows["kind"].to_pylist()], rows["bucket"].to_pylist()
         n = len(guest) - 1
         mine = [i for i in range(n) if not guest[i]]
         if any(bucket[i] != bucket[i + 1] for i in mine):
             raise ValueError("a bucket ends without the first document of the next")
         if not mine:
             return None
+        text = pa.array(pc.fill_null(rows["text"], "").to_pylist(), pa.large_string())
         texts = text.to_pylist()
         sizes = [len(t) for t in texts]
         edited = [texts[i][: sizes[i] - sizes[i] // 2] + texts[i + 1][: sizes[i] // 2] for i in mine]
@@ -125,82 +159,98 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([fingerprint(e) for e in cut]),
                 pa.array([likeness(own[i], e) for i, e in zip(mine, cut, strict=True)]),
                 pa.array([likeness(own[i], own[i + 1]) for i in mine]),
+                rows["near"].combine_chunks().take(pa.array(mine)),
             ],
             names,
         )
 
     for batch in batches:
-        if not batch.num_rows:
+        classes, told = [], batch.column(batch.schema.get_field_index("near")).to_pylist()
+        for k, value in zip(batch.column(batch.schema.get_field_index("kind")).to_pylist(), told, strict=True):
+            near = value if k == 0 else near
+            classes.append(near)
+        made = pa.Table.from_batches([batch]).set_column(batch.schema.get_field_index("near"), "near", pa.array(classes, pa.int64()))
+        made = made.filter(pc.not_equal(made["kind"], 0))
+        if not made.num_rows:
             continue
-        rows = pa.Table.from_batches([*([held] if held is not None else []), batch.cast(held.schema) if held is not None else batch])
-        made = done(rows)
-        held = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0]
-        if made is not None:
-            yield made
+        rows = made if held is None else pa.concat_tables([held, made])
+        out = done(rows)
+        held = rows.slice(rows.num_rows - 1).combine_chunks()
+        if out is not None:
+            yield out
+
 
+def _bucketed(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``bucket`` to a table with doc_id and tie; it grows in the order of (doc_id downwards, nulls last, tie).
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    Borders are quantiles of the ids of rows, so neither wide ranges nor outlying
+    ids matter; an id that many rows have, or null, is parted by the tie.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    n = max(1, min(MOST_BUCKETS, 16 * parts, count // BUCKET_ROWS))
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    many = Counter(cuts or [])
+    borders = sorted({float(c) for c in many})
+
+    def part(m: int) -> Column:
+        return F.least(F.lit(m - 1), F.floor(m * (F.col("tie").cast("double") / 2.0**64 + 0.5))).cast("long")
+
+    def add(df: DataFrame) -> DataFrame:
+        number = F.lit(0).cast("long")
+        if borders:
+            # Binary search among the borders, on the JVM; doubles keep the order of longs.
+            df = df.withColumn("__x", F.col("doc_id").cast("double"))
+            df = Bucketizer(splits=[-math.inf, *borders, math.inf], inputCol="__x", outputCol="__b", handleInvalid="keep").transform(df)
+            number = (F.lit(len(borders)) - F.col("__b").cast("long")) * _STRIDE
+        for value, m in many.items():
+            if m > 1 and abs(value) < 1 << 53:
+                # The least id of its bucket: its parts come after all the bucket's others.
+                number = F.when(F.col("doc_id") == value, number + 1 + part(m)).otherwise(number)
+        none = F.lit((len(borders) + 1) * _STRIDE) + part(max(1, -(-nulls * n // max(1, count))))
+        return df.withColumn("bucket", F.when(F.col("doc_id").isNull(), none).otherwise(number)).drop("__x", "__b")
+
+    return add
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_id of every row.
 
     The edited text of a document has its last floor(n_chars / 2) code points
     replaced by the first as many, or all, of the next document by descending id;
     after the last comes the first.  Rows with equal ids follow each other by the
     hash of their texts, null ids come last; a single row is its own next.  Null
-    text is empty.  An empty table gives an empty one.
+    text is empty.  near_id is the least doc_id that can be reached by steps
+    between documents of a likeness of ``percent`` or more, null only if all ids
+    reached are; texts without signatures are a class each.  An empty table gives
+    an empty one.
 
     Texts are dealt once, by range of ids, sorted and read as a stream; the first
-    row of each range is also sent, as a guest, to the range before it.
+    row of each range is also sent, as a guest, to the range before it, and a row
+    with the class goes ahead of each document.  Rows equal in id and text are in
+    one range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, int((high - low + 1) / max(1, count / BUCKET_ROWS))) if low is not None else 1
-    # Buckets count downwards in the order of the documents; null ids have the last.
-    last = (high - low) // width + 1 if low is not None else 1
-    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.expr(f"({high or 0}L - doc_id) div {width}L")).alias("bucket"), F.xxhash64("text").alias("tie"))
-    head = stored(rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), (-F.col("tie").cast("decimal(20,0)")).alias("t"))).alias("top")).select("bucket", "top.doc_id", (-F.col("top.t")).cast("long").alias("tie")), "heads")
-    # One row for a bucket of thousands of documents: the window over all of them is small.
-    every = Window.orderBy("bucket")
-    whole = Window.partitionBy()
-    before = head.select("doc_id", "tie", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(whole)).alias("to"))
-    before = stored(before, "before")
-    guests = maybe_in(rows, F.xxhash64("doc_id", "tie"), before.select(F.xxhash64("doc_id", "tie")), "__first", max(1, before.count())).where("__first").drop("__first", "bucket")
-    b = before.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "to")
-    guests = guests.join(F.broadcast(b) if before.count() < 1_000_000 else b, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).dropDuplicates(["d", "t"])
-    dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests.select("doc_id", "text", F.col("to").alias("bucket"), "tie", F.lit(True).alias("guest")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    classes = ngram_join.near_classes(texts, SignatureRule(percent=percent), first_of=True)
+    classes = stored(classes.select("doc_id", F.col("text_hash").alias("tie"), F.col("component_id").alias("near")).dropDuplicates(["doc_id", "tie"]), "classes")
+    rows = texts.withColumn("tie", F.xxhash64("text"))
+    bucketed = _bucketed(classes)
+    rows = bucketed(rows)
+    head = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), (-F.col("tie").cast("decimal(20,0)")).alias("t"))).alias("top"))
+    head = stored(head.select("bucket", "top.doc_id", (-F.col("top.t")).cast("long").alias("tie")), "heads")
+    # A row a bucket, of which there are a bounded number: the window over all of them is small, and so is the table that is broadcast.
+    every, whole = Window.orderBy("bucket"), Window.partitionBy()
+    before = stored(head.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(whole)).alias("to")), "before")
+    guests = maybe_in(rows, F.xxhash64("doc_id", "tie"), before.select(F.xxhash64("d", "t")), "__first", max(1, before.count())).where("__first").drop("__first", "bucket")
+    guests = guests.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).dropDuplicates(["d", "t"])
+    # Also when the whole table has one bucket only, its first row follows its last.
+    columns = ["doc_id", "text", "bucket", "tie", "kind", "near"]
+    none = F.lit(None)
+    dealt = rows.withColumn("kind", F.lit(1)).withColumn("near", none.cast("long")).select(*columns)
+    dealt = dealt.unionByName(guests.select("doc_id", "text", F.col("to").alias("bucket"), "tie", F.lit(2).alias("kind"), none.cast("long").alias("near")))
+    dealt = dealt.unionByName(bucketed(classes).withColumn("text", none.cast("string")).withColumn("kind", F.lit(0)).select(*columns))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie")
-    return dealt.select("doc_id", "text", "bucket", "guest").mapInArrow(_compare, _EDITED)
-
-
-def near_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, likeness): near pairs of representatives, the least id of each distinct signature set.
-
-    Sets are partitioned by length so that only neighbouring partitions can be
-    near; candidates of a partition share one of the rarest signatures by hash
-    order, up to the prefix that a likeness of ``least`` must meet; a < b.  Texts without signatures are left out.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = signature_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "sigs"])
-
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, sigs array<long>")
-    sets = stored(made.where("size(sigs) > 0").groupBy("sigs").agg(F.min("doc_id").alias("doc_id")), "sets")
-    n = F.size("sigs")
-    step = float(np.log(1 / least))
-    sets = sets.select("doc_id", "sigs", n.alias("n"), F.floor(F.log(n.cast("double")) / step).alias("part"))
-    prefix = F.expr(f"slice(array_sort(transform(sigs, s -> xxhash64(s))), 1, CAST(n - ceil({least} * n) + 1 AS INT))")
-    # A set meets those of its own length partition and of the next: each pair is made once.
-    probe = sets.select("doc_id", "n", "part", F.explode(prefix).alias("token"))
-    index = probe.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("part").alias("own"), "token")
-    pairs = probe.join(index, ["part", "token"]).where((F.col("own") > F.col("part")) | (F.col("doc_id") < F.col("b")))
-    pairs = pairs.where(F.expr(f"least(n, m) >= {least} * greatest(n, m)") & (F.col("doc_id") != F.col("b"))).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("sigs").alias(f"sigs_{k}")) for k in ("a", "b"))
-    meet = F.size(F.array_intersect("sigs_a", "sigs_b"))
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", (meet / (F.size("sigs_a") + F.size("sigs_b") - meet)).alias("likeness")).where(F.col("likeness") >= least)
-    return near
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("kind") == 2, F.col("doc_id").desc_nulls_last(), "tie", "kind")
+    return dealt.select("doc_id", "text", "bucket", "kind", "near").mapInArrow(_compare, _EDITED)
