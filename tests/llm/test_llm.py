@@ -82,6 +82,13 @@ def test_exact_classes(spark):
         assert (r.group_size, r.keep_id) == (len(own), max(x for x in own if x is not None)) and r.row.kept == "clash"
 
 
+def test_exact_classes_of_equal_lengths_and_prefixes(spark):
+    start = "p" * exact_dedup.PREFIX_CHARS
+    docs = [(1, "abc"), (2, "abd"), (3, start + "x"), (4, start + "y"), (5, start + "X"), (6, "alone"), (None, "abc"), (None, None), (7, "é" * 3), (8, "É" * 3)]
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_classes(table(spark, docs)).collect()}
+    assert got == {(1, 1, 2), (2, 2, 1), (3, 5, 2), (4, 4, 1), (5, 5, 2), (6, 6, 1), (None, 1, 2), (None, None, 1), (7, 7, 1), (8, 8, 1)}
+
+
 SECRETS = ["token = abcdef12", "API_KEY:'short'", "secret: token: abcdefgh", "password=token=abcdefgh", "é AKIA" + "A1" * 10, "AKIASHORT", "0123456789abcdef" * 2, "ghp_" + "a1B2" * 10, None, "", "no secret"]
 
 
@@ -127,6 +134,25 @@ def test_packing_round_trip(spark):
     assert len(bins) <= -(-sum(r.length for r in got) // 128) * 1.05 + 1
 
 
+def test_packing_goes_up_to_the_root(spark):
+    # Twenty tasks with two thirds of a bin each in the same sizes, and a few small items: all of these find room.
+    docs = spark.range(20 * 30, numPartitions=20).selectExpr("id AS doc_id", "CASE WHEN id % 30 < 29 THEN repeat('word ', 90) ELSE 'a b c' END AS text")
+    got = packing.pack(docs, queries.tokenizer_path(), size=128, order=F.col("doc_id") * 10)
+    rows = got.collect()
+    assert collections.Counter(r.doc_id for r in rows) == collections.Counter(range(600))
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append(r)
+    assert len(held) == 20 * 29 and all(sum(r.length for r in v) <= 128 for v in held.values())
+    assert all(r.sequence_order == 10 * min(x.doc_id for x in held[r.sequence_id]) for r in rows)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_500_000 + "b", "x" * 1_500_000])
+def test_ids_of_very_long_runs(text):
+    ids_of = packing.token_ids(queries.tokenizer_path())
+    assert list(np.frombuffer(ids_of(text), "<u4")) == ids_of.slow.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["", " ", "a  b\n\nc ", "it's <|endoftext|> 12", "\x1c!\x85 é漢🙂"])
 def test_ids_are_those_of_the_tokenizer(text):
     ids_of = packing.token_ids(queries.tokenizer_path())
@@ -175,6 +201,13 @@ def test_mixing_keeps_to_the_given_weights_over_the_whole_run(spark):
         assert worst < 1 + 1e-6
 
 
+def test_mixing_scatters_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None if k % 2 else 7, f"text {k}", "s") for k in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, {"s": 1.0}, block=100).select("place", "block", "slot").toPandas()
+    assert len(got) == 3000 and got.place.is_unique and (got.block == got.place // 100).all()
+    assert got.place.min() == 0 and got.place.max() < sum(len(f"text {k}") for k in range(3000))
+
+
 def test_fingerprints(spark):
     docs = [(i, t) for i, t in texts() if i != 3] + [(None, "the last one is here")]
     got = {r.doc_id: r for r in spotsigs.fingerprints(table(spark, docs)).collect()}
@@ -187,21 +220,67 @@ def test_fingerprints(spark):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.near_edited, r.near_next) == (spotsigs.likeness(a, b), spotsigs.likeness(a, c))
         assert r.fingerprint == spotsigs.fingerprint(a)
-    base = [(i, t) for i, t in docs if t and i is not None]
-    sets = {}
-    for i, t in sorted(base):
-        sets.setdefault(spotsigs.signature_sets(pa.array([t]))[0].tobytes(), i)
-    reps = [(i, np.frombuffer(s, np.uint32)) for s, i in sets.items() if s]
-    want = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(reps, 2) if spotsigs.likeness(x, y) >= 0.5}
-    assert {(r.a, r.b) for r in spotsigs.near_pairs(table(spark, base), 0.5).collect()} == want
-
-
+    # Classes by brute force on the sets of signatures.
+    docs_near = spotsigs.fingerprints(table(spark, docs), percent=50).collect()
+    sets = {i: spotsigs.signature_sets(pa.array([t or ""]))[0] for i, t in docs}
+    group = {i: i for i in sets}
+    for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
+        if len(a) and len(b) and spotsigs.likeness(a, b) >= 0.5:
+            group = {k: group[i] if g == group[j] else g for k, g in group.items()}
+    least = {g: min((k for k in group if group[k] == g and k is not None), default=None) for g in group.values()}
+    assert {r.doc_id: r.near_id for r in docs_near} == {i: least[group[i]] for i in sets}
+    assert len(set(least.values())) < len(sets) - 5
+
+
+def anchored(text, anchors=frozenset(spotsigs.ANCHORS.split()), common=frozenset(f"{spotsigs.ANCHORS} {spotsigs.COMMON}".split())):
+    """Signatures of a text of plain words, by the words themselves."""
+    words = text.lower().split()
+    out = set()
+    for k, w in enumerate(words):
+        chain = [x for x in words[k + 1 :] if x not in common][: spotsigs.CHAIN]
+        if w in anchors and len(chain) == spotsigs.CHAIN:
+            out.add((w, *chain))
+    return out
+
+
+def test_signatures_are_anchored_chains():
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(40)] + f"{spotsigs.ANCHORS} {spotsigs.COMMON}".split()
+    made = [" ".join(r.choices(words, k=r.randrange(0, 120))) for _ in range(80)]
+    found = spotsigs.signature_sets(pa.array(made))
+    for a, b in itertools.combinations(range(80), 2):
+        x, y = anchored(made[a]), anchored(made[b])
+        if x and y:
+            assert len(found[a]) == len(x) and spotsigs.likeness(found[a], found[b]) == len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("ids", [[-(2**63) + 5, 2**63 - 5, 0, 1], [None] * 300, [7] * 200 + [None] * 100 + list(range(100)) + [2**62, -(2**62)], list(range(0, 4000, 4))])
+def test_fingerprints_whatever_the_ids(spark, ids):
+    docs = [(i, f"the text {k} of number {k * k}") for k, i in enumerate(ids)]
+    got = spotsigs.fingerprints(table(spark, docs)).collect()
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in docs], "text string").withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), hashes[d[1]]))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((i, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+
+
+LONG = "Running text, long enough, with commas, and with words that are to be kept here."
 PAGES = [
     ("<html><body><header>Top</header><nav><a href=/>Home</a></nav><div id='content'><h2>Title</h2><p>First, long enough paragraph, with commas, and words.</p><p>Second&nbsp;one\n here &amp; there, with more, words.</p></div>"
      "<div class='sidebar'><p>Side, bar, text, with, many, commas.</p></div><div id=comments><p>A reader, says, a lot, here.</p></div><form><p>Mail</p></form><footer>End</footer></body></html>",
      "Title\n\nFirst, long enough paragraph, with commas, and words.\n\nSecond one here & there, with more, words."),
     ("<article><h1>T</h1><p><b>One<br><p>Two.<script>var x='</p>'</script></p><ul><li>item</ul></article><aside>no</aside>", "T\n\nOne\n\nTwo.\n\nitem"),
     ("", ""), (None, ""), ("<<p>>&am", None), ("just text", "just text"),
+    # No article element: names of both kinds, a page in one form, a listed name around everything, a long thread of comments.
+    (f"<div class='post-widget content'><p>{LONG}</p></div>", LONG), (f"<div id='login-required article-body'><p>{LONG}</p></div>", LONG),
+    (f"<form id=f><div class=menu><a href=x>Home</a></div><div><h1>T</h1><p>{LONG}</p><input value=no><button>Go</button></div></form>", f"T\n\n{LONG}"),
+    (f"<div class=widget><p>{LONG}</p></div>", LONG),
+    (f"<div class=page><div class=top><a href=/>Home</a> <a href=/x>X</a></div><div class=col><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=comments>{f'<p>{LONG}</p>' * 8}</div></div>", f"T\n\n{LONG}\n\n{LONG}"),
+    (f"<div title='a hidden truth'><p>{LONG}</p></div><div hidden><p>{LONG}, {LONG}</p></div><form><p>Your mail, your name, and more, please.</p></form>", LONG),
+    (f"<div id=a><h2>T</h2><div><div><p>{LONG}</p><p>{LONG}</p></div></div><div class=x><p>{LONG}</p></div></div><ul><li><a href=1>One link</a><li><a href=2>Two</a></ul>", f"T\n\n{LONG}\n\n{LONG}\n\n{LONG}"),
+    (f"<main><h1>T</h1><article><p>{LONG}</p></article><section><a href=1>More of this</a></section></main>", f"T\n\n{LONG}"),
 ]
 
 
@@ -211,6 +290,7 @@ def test_main_text(spark):
     for k, (_, want) in enumerate(PAGES):
         assert want is None or got[k].text == want
         assert got[k].n_chars == len(got[k].text)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
 def test_surrogates_keep_type_and_tell_apart(spark):
@@ -256,6 +336,31 @@ def test_later_mentions_of_a_name_have_its_surrogate():
     assert [one[s:e] for s, e, *_ in found] == ["Keller"] * 3 + ["王伟"] * 2 and "Killer stays" in new and not any(x in new for x in names)
 
 
+def test_given_names_depend_on_the_key(spark):
+    made = {k: [pii.replace(k, f"{n} Keller")[0].split()[0] for n in pii.GIVEN["f", "latin"]] for k in (b"a", b"b", b"zzz")}
+    assert all(sorted(v) == sorted(pii.GIVEN["f", "latin"]) and all(x != y for x, y in zip(v, pii.GIVEN["f", "latin"], strict=True)) for v in made.values())
+    assert len({tuple(v) for v in made.values()}) == 3
+    for n in (1, 2, 3, 40, 1000):
+        cycle = pii.Cycle(b"k", "t")
+        assert sorted(cycle.next([x], [n])[0] for x in range(n)) == list(range(n))
+    # Of entities with one surrogate all but the first go further round.
+    shared = spark.createDataFrame([("card", "a", "1 2"), ("card", "b", "12"), ("card", "c", "1-2"), ("ssn", "d", "12")], "kind string, entity string, surrogate string")
+    assert {r.entity for r in pii.clashes(shared).collect()} == {"b", "c"}
+    one = "Mr Keller, Mr Kellor"
+    who = pii.entity_id(b"k", "family", "kellor")
+    first, further = pii.replace(b"k", one)[1], pii.replace(b"k", one, {who: 1})[1]
+    assert first[0] == further[0] and first[1][:4] == further[1][:4] and first[1][4] != further[1][4]
+
+
+def test_fixity_of_rows_without_ids(spark):
+    pages = spark.createDataFrame([(None, "u", f"page {k}", "x", "y") for k in range(200)] + [(-3, "u", "minus", "x", "y"), (4, None, None, "x", "y")], "page_id long, url string, html string, file string, hash string")
+    h = fixity.page_hashes(pages)
+    assert h.count() == 202 and h.groupBy("file").count().agg(F.max("count")).first()[0] < 20
+    gone = h.where("record = -3").first().hash
+    assert [(r.record, r.damage) for r in fixity.audit(h, h.where(F.col("hash") != gone)).collect()] == [(-3, "missing")]
+    assert fixity.audit(h, fixity.page_hashes(pages)).count() == 0
+
+
 def test_fixity_finds_every_damage(spark):
     pages = spark.createDataFrame([(k, f"u{k}" if k % 7 else None, "x" * (k * 37 % 900)) for k in range(400)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
     h = fixity.record_hashes(fixity.manifest(pages, records_a_file=50)).cache()
