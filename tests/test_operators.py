@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from trendloom.functions import notes as N
 from trendloom.functions import text as X
-from trendloom.operators import abstracts, keywords, labels, merge, series, signature
+from trendloom.operators import keywords, labels, merge, series, signature
 from trendloom.operators import cube as C
 
 
@@ -38,7 +39,7 @@ def test_years_urls_and_cells(spark):
     assert one(spark, X.sanitise(F.lit("a\x01b"))) == "a b" and one(spark, X.sanitise(F.lit("a\x01b" * 4), 3)) == "aba"
     assert one(spark, X.split_abbreviation(F.lit("Long Phrase (LCD)"))) == ["Long Phrase", "LCD"]
     assert one(spark, X.normalise_title(F.lit("Vision-Language_Models: GNN"))) == "vision language models gnn"
-    assert one(spark, X.note_value(F.lit('{"a": {"value": "x"}, "b": "y"}'), "a")) == "x" and one(spark, X.note_value(F.lit('{"b": "y"}'), "b")) == "y"
+    assert one(spark, N.note_value(F.lit('{"a": {"value": "x"}, "b": "y"}'), "a")) == "x" and one(spark, N.note_value(F.lit('{"b": "y"}'), "b")) == "y"
     assert [one(spark, X.is_junk(F.lit(k))) for k in ("semeval 2023 task", "2025 task 11", "based x", "machine", "graph")] == [True, True, True, True, False]
 
 
@@ -92,8 +93,44 @@ def test_vocabulary_phrases_and_documents(spark):
     assert series.figure_document(series.top_by_year(found, 3)).first()[0] == '{"x":[1,1,0,0,0,0,0,0,0]}'
 
 
-def test_abstract_rules():
-    page = "<div class='card-body acl-abstract'><h5>Abstract</h5><span>" + "word " * 10 + "</span></div>"
-    assert abstracts.abstract_of("https://aclanthology.org/x", page) == ("word " * 10).strip()
-    assert abstracts.abstract_of("https://x.neurips.cc", "<h4>Abstract</h4><p>" + "term " * 9 + "</p>") == ("term " * 9).strip()
-    assert abstracts.abstract_of("https://elsewhere", page) is None
+def test_text_functions(spark):
+    assert one(spark, X.pdf_of(F.lit("https://h/p/x-Abstract-Conference.html"))) == "https://h/p/x.pdf" and one(spark, X.pdf_of(F.lit("https://h/html/x_paper.html"))) == "https://h/papers/x_paper.pdf"
+    assert [one(spark, X.paper_id_of(F.lit(u))) for u in ("h/a-Abstract.html", "h/b_paper.pdf", "h/c.html", "h/d")] == ["a", "b", "c", "d"]
+    assert one(spark, X.authors_after(F.lit("A title, Ann, Bob, [pdf] [supp]"), F.lit("A title"))) == "Ann, Bob" and one(spark, X.authors_after(F.lit("x"), F.lit("A title"))) == ""
+    assert one(spark, X.last_first(F.lit(None), F.lit("First"))) == "First" and one(spark, X.file_safe(F.lit("a b/é-1"))) == "a_b_é-1"
+    assert one(spark, X.document(F.lit(""), F.lit("x" * 9000))) == "x" * 8000 and one(spark, X.document(F.lit(None), F.lit(None))) == ""
+    assert one(spark, X.title_case(F.lit("o'neil's 3d-view"))) == "O'Neil'S 3D-View" and one(spark, X.axis_label(F.lit("graph nets"), 7, cased=True)) == "Graph N"
+    assert [one(spark, X.paper_type_of(F.lit(v))) for v in ("V/Workshop/X", "V", None)] == ["workshop", "main", "main"]
+    assert one(spark, X.update_where(F.lit(True), F.lit(""), F.lit("old"))) == "" and one(spark, X.update_where(F.lit(True), F.lit(""), F.lit("old"), empty_too=False)) == "old"
+    assert one(spark, X.plain(F.lit(" NaN "))) == "" and one(spark, X.percent(F.lit(0.1234))) == "12.3%"
+
+
+def test_robustness_lists_and_ranges(spark):
+    kind = "topic string, predicted_positive boolean, exploded boolean"
+    main = spark.createDataFrame([("a", True, True), ("b", True, False), ("c", False, True), ("gone", True, True)], kind)
+    other = spark.createDataFrame([("a", True, 1.0, 2.0), ("b", True, 1.0, 1.0), ("c", False, 0.0, 5.0), ("new", True, 1.0, 9.0)], "topic string, predicted_positive boolean, base double, peak double").withColumn("explosion", F.lit(1.5))
+    r = signature.robustness(main, other).first()
+    assert (r.N, r.TP, r.FP, r.FN, r.TN, r.flags, r.tps, r.main_flags, r.precision, r.recall) == (3, 1, 1, 0, 1, "a; b", "a", 3, 0.5, 1.0)
+    lines = [x.line for x in signature.robustness_lines(signature.robustness(main, other)).collect()]
+    assert len(lines) == 6 and lines[4] == "flags still flagged: 2 of 3: a; b"
+    none = signature.robustness(main.limit(0), other).first()
+    assert (none.N, none.precision, none.base, none.flags) == (0, 0.0, None, "")
+
+
+def test_explosion_estimate_is_the_interpolated_quantile(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(f"t{k}", y, "v", int(n)) for k in range(60) for y, n in zip(range(2017, 2022), r.integers(1, 40, 5), strict=True)]
+    s = shares(spark, rows)
+    got = signature.explosion_estimate(s).first()
+    cell = {(x.topic, x.year): (x["count"], x.share) for x in s.collect()}
+    gc, gs = [], []
+    for split in (2017, 2018):
+        for k in range(60):
+            c, v = cell[f"t{k}", split]
+            if c >= 3:
+                gc.append(max(cell[f"t{k}", y][0] for y in range(split + 1, split + 4)) / c)
+                gs.append(max(cell[f"t{k}", y][1] for y in range(split + 1, split + 4)) / v)
+    assert got.n == len(gs) and abs(got.estimate - np.quantile(gs, 1 - np.mean(np.array(gc) >= 3))) < 1e-9
+    assert signature.explosion_estimate(s.limit(0)).first().estimate is None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.functions import notes as N
 from trendloom.functions import text as X
 from trendloom.operators import cube as C
 from trendloom.operators import keywords as K
@@ -14,6 +15,8 @@ from trendloom.operators import popularity as P
 from trendloom.operators import series as V
 from trendloom.operators import signature as S
 from trendloom.plans import reports as R
+from trendloom.registry import ORACLES, QUERIES, query
+from trendloom.sources import files
 from trendloom.sources import fixtures as T
 
 # --- SQL building blocks: common table expressions ---------------------------
@@ -68,22 +71,6 @@ RATES = """"TP" / nullif("TP" + "FP", 0) AS precision, "TP" / nullif("TP" + "FN"
 BASE = f"WITH {CUBE}, {SHARES.format('cube')}, {THRESHOLDS}, {_wide(range(2017, 2026))}, {_evaluated()}, {BACKTEST.format(1.5)}"
 TEXT = f"WITH {PAPERS}, {MENTIONS}"
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- shares, thresholds, signature -------------------------------------------
 
 
@@ -123,6 +110,26 @@ def freeze_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return R.thresholds(spark, d)
 
 
+@query(f"""WITH {CUBE}, {SHARES.format('cube')}, {THRESHOLDS}, {_wide(range(2017, 2022))},
+  g AS (SELECT greatest(c2018, c2019, c2020) / c2017 AS gc, greatest(v2018, v2019, v2020) / v2017 AS gs FROM wide WHERE c2017 >= 3
+    UNION ALL SELECT greatest(c2019, c2020, c2021) / c2018, greatest(v2019, v2020, v2021) / v2018 FROM wide WHERE c2018 >= 3),
+  b AS (SELECT count(*) AS n, avg(CASE WHEN gc >= 3 THEN 1.0 ELSE 0.0 END) AS base_rate FROM g), h AS (SELECT n, (n - 1) * (1 - base_rate) AS h FROM b),
+  o AS (SELECT gs, row_number() OVER (ORDER BY gs) - 1 AS i FROM g),
+  e AS (SELECT n, max(CASE WHEN i = floor(h) THEN gs END) + (max(CASE WHEN i = least(floor(h) + 1, n - 1) THEN gs END) - max(CASE WHEN i = floor(h) THEN gs END)) * (h - floor(h)) AS x FROM o, h GROUP BY n, h)
+  SELECT scale_low AS "SCALE_LOW_SHARE", scale_high AS "SCALE_HIGH_SHARE", visible AS "MIN_VISIBLE_SHARE", recency_min AS "RECENCY_MIN_SHARE", CAST(2.5 AS DOUBLE) AS "ACCEL_RATIO", CAST(2 AS INT) AS "SPREAD_MIN_VENUES",
+    CAST(1.5 AS DOUBLE) AS "EXPLOSION_RELATIVE_SHARE", round(x, 8) AS "_explosion_raw_quantile_estimate", n AS "_explosion_calib_n" FROM thresholds, e""")
+def threshold_document(spark: SparkSession, d: str) -> DataFrame:
+    rows = files.threshold_document(S.threshold_row(R.shares(spark, d), R.RULES))
+    return rows.withColumn("_explosion_raw_quantile_estimate", F.round("_explosion_raw_quantile_estimate", 8))
+
+
+@query(f"""WITH {CUBE}, {SHARES.format('cube')} SELECT count(DISTINCT topic) AS topics, count(*) AS rows, avg(CASE WHEN count < 3 THEN 1.0 ELSE 0.0 END) AS q_low, avg(CASE WHEN count < 8 THEN 1.0 ELSE 0.0 END) AS q_high,
+  avg(CASE WHEN count < 3 THEN 1.0 ELSE 0.0 END) AS q_visible, avg(CASE WHEN count < 3 THEN 1.0 ELSE 0.0 END) AS q_recency FROM shares WHERE year <= 2021""")
+def calibration_window(spark: SparkSession, d: str) -> DataFrame:
+    s = R.shares(spark, d)
+    return S.calibration_topics(s).crossJoin(F.broadcast(S.count_quantiles(s, R.RULES)))
+
+
 @query(f"{BASE} SELECT topic, recency, acceleration, spread, scale, predicted_positive FROM evaluated")
 def signature_criteria(spark: SparkSession, d: str) -> DataFrame:
     return S.evaluated(R.shares(spark, d), R.thresholds(spark, d)).select("topic", "recency", "acceleration", "spread", "scale", "predicted_positive")
@@ -152,14 +159,29 @@ def wilson_recall(spark: SparkSession, d: str) -> DataFrame:
     return c.select("hits", "n", F.round(low, 10).alias("low"), F.round(high, 10).alias("high"))
 
 
-@query(f"""{BASE}, s AS (SELECT 'multiplier' AS kind, CAST(m AS DOUBLE) AS value, CAST(m AS DOUBLE) AS m, 1.0 AS f FROM unnest([1.2, 1.3, 1.4, 1.5, 1.6, 1.75, 2.0, 2.5, 3.0]) t(m)
+_SWEEP = f"""{BASE}, s AS (SELECT 'multiplier' AS kind, CAST(m AS DOUBLE) AS value, CAST(m AS DOUBLE) AS m, 1.0 AS f FROM unnest([1.2, 1.3, 1.4, 1.5, 1.6, 1.75, 2.0, 2.5, 3.0]) t(m)
     UNION ALL SELECT 'floor', CAST(f AS DOUBLE), CAST(1.5 AS DOUBLE), f FROM unnest([0.5, 0.75, 1.0, 1.5, 2.0]) t(f)),
   r AS (SELECT kind, value, predicted_positive, base > 0 AND peak >= m * base AS exploded FROM evaluated, s WHERE base >= visible * CAST(f AS DOUBLE))
-  SELECT *, {RATES} FROM (SELECT kind, value, {CONFUSION} FROM r GROUP BY kind, value)""")
+  SELECT *, {RATES} FROM (SELECT kind, value, {CONFUSION} FROM r GROUP BY kind, value)"""
+
+
+@query(_SWEEP)
 def sensitivity_sweep(spark: SparkSession, d: str) -> DataFrame:
     return S.sensitivity(R.shares(spark, d), R.thresholds(spark, d), R.MULTIPLIERS, R.FLOORS)
 
 
+@query(f"SELECT kind, min(recall) AS least_recall, max(recall) AS most_recall, min(lift) AS least_lift, max(lift) AS most_lift FROM ({_SWEEP}) GROUP BY kind")
+def sweep_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return S.sweep_ranges(sensitivity_sweep(spark, d))
+
+
+@query(f"""SELECT (CASE WHEN value = 1.5 THEN '1.50*' ELSE printf('%.2f', value) END) || ' & ' || coalesce(printf('%.1f', base * 100), '--') || ' & ' || "TP" || ' & ' || "FP" || ' & ' || "FN" || ' ' || chr(92) || chr(92) AS line FROM ({_SWEEP}) WHERE kind = 'multiplier'""")
+def sweep_latex(spark: SparkSession, d: str) -> DataFrame:
+    rows = sensitivity_sweep(spark, d).where("kind = 'multiplier'")
+    shown = rows.select(F.when(F.col("value") == 1.5, "1.50*").otherwise(F.format_string("%.2f", "value")).alias("value"), F.format_string("%.1f", F.col("base") * 100).alias("base"), "TP", "FP", "FN")
+    return files.latex_rows(shown, ["value", "base", "TP", "FP", "FN"])
+
+
 @query(f"""WITH {CUBE}, {SHARES.format('cube')}, {THRESHOLDS}, {_wide(range(2017, 2026))}
   SELECT topic, share, recency, acceleration, spread, scale FROM (SELECT topic, v2025 AS share, visible, {_criteria(2025)} FROM wide, thresholds) WHERE share >= visible AND recency AND acceleration AND spread AND scale""")
 def candidates_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +198,7 @@ def legacy_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CUBE} SELECT topic, year, venue, count FROM cube")
 def cube_counts(spark: SparkSession, d: str) -> DataFrame:
-    return T.cube(spark, d)
+    return C.from_rows(T.cube_rows(spark, d))
 
 
 # --- labels --------------------------------------------------------------------
@@ -225,7 +247,7 @@ _PRESENT = "(keywords IS NULL OR trim(keywords) = '' OR starts_with(lower(trim(k
 
 @query(f"WITH {PAPERS} SELECT paper, {_PRESENT} AS regenerate, length(coalesce(keywords, '')) < 10 AS enrich FROM papers")
 def keyword_predicates(spark: SparkSession, d: str) -> DataFrame:
-    return T.papers(spark, d).select("paper", X.must_regenerate(F.col("keywords")).alias("regenerate"), (F.length(F.coalesce("keywords", F.lit(""))) < 10).alias("enrich"))
+    return T.papers(spark, d).select("paper", X.must_regenerate(F.col("keywords")).alias("regenerate"), X.is_short(F.col("keywords")).alias("enrich"))
 
 
 # --- popularity ------------------------------------------------------------------
@@ -300,15 +322,23 @@ def title_ngram_cube(spark: SparkSession, d: str) -> DataFrame:
     return R.title_cube(spark, d)
 
 
-@query()
+_ROBUST = """{0}shares AS (SELECT topic, year, count, n_venues, total, count / total AS share FROM (
+    SELECT topic, year, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT CASE WHEN count > 0 THEN venue END) AS n_venues FROM {1} GROUP BY topic, year)
+  JOIN (SELECT year, CAST(sum(count) AS BIGINT) AS total FROM {1} GROUP BY year) USING (year)),
+{0}thresholds AS (SELECT coalesce(min(share) FILTER (count >= 3), max(share)) AS scale_low, max(share) AS scale_high, coalesce(min(share) FILTER (count >= 3), max(share)) AS visible, coalesce(min(share) FILTER (count >= 3), max(share)) AS recency_min
+  FROM {0}shares WHERE year = 2021),
+{0}""" + _wide(range(2017, 2026)).replace("FROM shares", "FROM {0}shares") + """,
+{0}evaluated AS (SELECT *, recency AND acceleration AND spread AND scale AS predicted_positive, base > 0 AND peak >= 1.1 * base AS exploded FROM (
+  SELECT topic, """ + _criteria(2022) + """, v2022 AS base, greatest(v2023, v2024, v2025) AS peak, visible FROM {0}wide, {0}thresholds))"""
+
+
+@query(f"""{_TITLES}, {_ROBUST.format("l", "labcube")}, {_ROBUST.format("t", "tcube")},
+m AS (SELECT topic, predicted_positive AS p0, exploded AS e0 FROM levaluated WHERE base >= visible), b AS (SELECT * FROM m JOIN tevaluated USING (topic)),
+c AS (SELECT {CONFUSION}, coalesce(string_agg(topic, '; ' ORDER BY topic) FILTER (p0 AND predicted_positive), '') AS flags, coalesce(string_agg(topic, '; ' ORDER BY topic) FILTER (p0 AND e0 AND predicted_positive AND exploded), '') AS tps FROM b)
+SELECT *, "TP" / greatest("TP" + "FP", 1) AS precision, "TP" / greatest("TP" + "FN", 1) AS recall, ("TP" + "FN") / nullif("N", 0) AS base, (SELECT count(*) FROM m WHERE p0) AS main_flags FROM c""")
 def robustness_confusion(spark: SparkSession, d: str) -> DataFrame:
     """The label cube's backtest against the title cube's, each with thresholds of its own."""
-    rules = S.Rules(low=3, high=100_000, visible=3, recency=3, explosion=1.1)
-    made = []
-    for c in (R.label_cube(spark, d), R.title_cube(spark, d)):
-        s = C.topic_year_shares(c)
-        made.append(S.backtest(s, S.freeze_thresholds(s, rules)))
-    return S.robustness(*made)
+    return R.robustness(spark, d)
 
 
 _LISTED = ", ".join("'" + p.replace("'", "''") + "'" for p in K.VOCABULARY)
@@ -321,9 +351,19 @@ def vocab_match(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "customer").select("c_custkey", F.array_join(K.vocabulary_match(title), "; ").alias("keywords"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in sorted({*K.GENERIC, *K.COMMON_FREQUENT}))
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS w FROM documents WHERE length(trim(text)) >= 10),
+g AS (SELECT doc_id, CASE WHEN n = 1 THEN 1 ELSE 0 END AS kind, n, i, w[i:i + n - 1] AS g FROM w, unnest(range(1, len(w) + 1)) a(i), unnest([1, 2, 3]) b(n) WHERE i + n - 1 <= len(w)),
+p AS (SELECT doc_id, kind, array_to_string(g, ' ') AS phrase, count(*) AS c, min((3 - n) * 100000000 + i) AS pos FROM g WHERE NOT list_has_any(g, [{_STOP}]) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY c DESC, pos) AS place FROM p),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, place) AS i FROM r WHERE place <= 15),
+t AS (SELECT *, len(string_split(phrase, ' ')) AS size FROM l WHERE i <= 15),
+k AS (SELECT * FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE a.doc_id = b.doc_id AND a.phrase <> b.phrase AND contains(b.phrase, a.phrase) AND (b.size > a.size OR (b.size = a.size AND b.i < a.i))))
+SELECT d.doc_id, coalesce(string_agg(phrase, '; ' ORDER BY size DESC, i), '') AS keywords FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""")
 def frequency_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return K.frequency_keywords(T.table(spark, d, "documents"), "doc_id", "text")
+    return K.frequent_phrases(T.table(spark, d, "documents"), "doc_id", "text")
 
 
 # --- series ------------------------------------------------------------------------
@@ -421,12 +461,45 @@ def word_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return V.word_frequencies(R.mentions(spark, d), 100)
 
 
-@query()
+_VECTOR = "'[' || concat_ws(',', " + ", ".join(f"count(*) FILTER (year = {y})" for y in _Y) + ") || ']'"
+_TOP15 = f"SELECT k, {_VECTOR} AS v FROM mentions WHERE k IN (SELECT k FROM mentions GROUP BY k ORDER BY count(*) DESC, k LIMIT 15) GROUP BY k"
+_OBJECT = """'{{' || string_agg('"' || {0} || '":' || {1}, ',' ORDER BY {2}) || '}}'"""
+
+
+@query(f"{TEXT} SELECT {_OBJECT.format('k', 'v', 'k')} AS document FROM ({_TOP15})")
 def figure_document(spark: SparkSession, d: str) -> DataFrame:
-    """JSON of the label series; its text is tested on a small fixture."""
     return V.figure_document(V.top_by_year(R.mentions(spark, d), 15))
 
 
+_VENUES = ("AFRICA", "ASIA", "EUROPE", "NOWHERE")
+_OWN = {"mentions_gear": "contains(k, 'gear')", "mentions_gear_asia": "contains(k, 'gear') AND conference = 'ASIA'", "mentions_ring": "contains(k, 'ring')"}
+_WANTED = ["blue anvil", "small gear", "no such label"]
+
+
+@query(f"""{TEXT}, v AS (SELECT unnest([{', '.join(f"'{x}'" for x in _VENUES)}]) AS venue, generate_subscripts([{', '.join(f"'{x}'" for x in _VENUES)}], 1) AS i),
+l AS (SELECT unnest([{', '.join(f"'{x}'" for x in _WANTED)}]) AS label, generate_subscripts([{', '.join(f"'{x}'" for x in _WANTED)}], 1) AS i),
+byvenue AS (SELECT venue, i, '[' || concat_ws(',', {', '.join(f'count(paper) FILTER (year = {y})' for y in _Y)}) || ']' AS v FROM v LEFT JOIN main ON conference = venue GROUP BY venue, i),
+bylabel AS (SELECT label, i, '[' || concat_ws(',', {', '.join(f'count(k) FILTER (year = {y})' for y in _Y)}) || ']' AS v, count(k) FILTER (conference = 'ASIA') AS n FROM l LEFT JOIN mentions ON k = label GROUP BY label, i),
+tops AS (SELECT conference, {_OBJECT.format('k', 'c', 'c DESC, k')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY conference ORDER BY c DESC, k) AS place FROM (SELECT conference, k, count(*) AS c FROM mentions WHERE conference IN {_VENUES} GROUP BY ALL)) WHERE place <= 3 GROUP BY conference)
+SELECT '{{"years":[{','.join(map(str, _Y))}],"papers_per_year":' || (SELECT {_VECTOR} FROM main) || ',"papers_per_year_by_venue":' || (SELECT {_OBJECT.format('venue', 'v', 'i')} FROM byvenue)
+  {' '.join(f"""|| ',"{n}":' || (SELECT {_VECTOR} FROM mentions WHERE {w})""" for n, w in _OWN.items())}
+  || ',"labels":' || (SELECT {_OBJECT.format('label', 'v', 'i')} FROM bylabel) || ',"top_labels":' || (SELECT {_OBJECT.format('k', 'v', 'k')} FROM ({_TOP15}))
+  || ',"totals":' || (SELECT {_OBJECT.format('label', 'n', 'i')} FROM bylabel) || ',"top_per_venue":' || (SELECT {_OBJECT.format('conference', 'v', 'conference')} FROM tops) || '}}' AS document""")
+def published_figures(spark: SparkSession, d: str) -> DataFrame:
+    phrases = [("mentions_gear", "gear", None), ("mentions_gear_asia", "gear", "ASIA"), ("mentions_ring", "ring", None)]
+    return V.published_figures(L.main_track(T.papers(spark, d)), R.mentions(spark, d), _VENUES, phrases, _WANTED, ("ASIA", _WANTED), per_venue=3)
+
+
+@query(f"WITH {PAPERS} SELECT count(*) FILTER (conference = 'ASIA') AS papers, count(*) FILTER (conference <> 'ASIA') AS others, count(*) FILTER (conference = 'ASIA') / count(*) AS share FROM main WHERE year = 2025")
+def share_of_one_venue(spark: SparkSession, d: str) -> DataFrame:
+    return V.share_of(L.main_track(T.papers(spark, d)), "ASIA", 2025)
+
+
+@query(f"WITH {PAPERS} SELECT DISTINCT year FROM main WHERE year BETWEEN 2019 AND 2025")
+def years_with_papers(spark: SparkSession, d: str) -> DataFrame:
+    return V.year_list(L.main_track(T.papers(spark, d)), 2019, 2025)
+
+
 @query(f"WITH {PAPERS}, {ALL_MENTIONS} SELECT k, count(*) AS count FROM found WHERE regexp_matches(k, 'gear|^hot') GROUP BY k ORDER BY count DESC, k LIMIT 20")
 def excluded_labels(spark: SparkSession, d: str) -> DataFrame:
     return L.top_labels(R.mentions(spark, d, "t3").where(F.col("k").rlike("gear|^hot")), 20)
@@ -435,10 +508,10 @@ def excluded_labels(spark: SparkSession, d: str) -> DataFrame:
 # --- scalar functions --------------------------------------------------------------
 
 
-@query("SELECT page_id, regexp_replace(replace(url, '://', ':/'), '^(https?):/([^/])', '\\1://\\2') AS url, regexp_extract(url, '^(https?://[^/]+)', 1) || '/x' AS rooted FROM pages")
+@query("SELECT page_id, regexp_replace(replace(url, '://', ':/'), '^(https?):/([^/])', '\\1://\\2') AS url FROM pages")
 def url_repair(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("url")
-    return T.table(spark, d, "pages").select("page_id", X.repair_url(F.replace(url, F.lit("://"), F.lit(":/"))).alias("url"), F.concat(F.regexp_extract(url, "^(https?://[^/]+)", 1), F.lit("/x")).alias("rooted"))
+    return T.table(spark, d, "pages").select("page_id", X.repair_url(F.replace(url, F.lit("://"), F.lit(":/"))).alias("url"))
 
 
 @query("SELECT doc_id, regexp_replace(text || chr(1) || 'x', '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g') AS text FROM documents")
@@ -449,4 +522,8 @@ def sanitise_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, json_extract_string(props, '$.k') AS bare, json_extract_string(props, '$.k') AS wrapped FROM events")
 def json_field(spark: SparkSession, d: str) -> DataFrame:
     wrapped = F.concat(F.lit('{"k": {"value": '), F.get_json_object("props", "$.k"), F.lit("}}"))
-    return T.table(spark, d, "events").select("event_id", X.note_value(F.col("props"), "k").alias("bare"), X.note_value(wrapped, "k").alias("wrapped"))
+    return T.table(spark, d, "events").select("event_id", N.note_value(F.col("props"), "k").alias("bare"), N.note_value(wrapped, "k").alias("wrapped"))
+
+
+# The queries of what is fetched, read and extracted.
+from trendloom import catalog_sources  # noqa: E402, F401

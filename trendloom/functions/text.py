@@ -98,7 +98,109 @@ def date_of_millis(c: Column) -> Column:
     return F.date_format(F.timestamp_millis(c), "yyyy-MM-dd")
 
 
-def note_value(content: Column, key: str) -> Column:
-    """A value of a note's JSON content that may be bare or wrapped as {"value": ...}."""
-    bare = F.get_json_object(content, f"$.{key}")
-    return F.coalesce(F.get_json_object(content, f"$.{key}.value"), bare)
+def is_short(keywords: Column, least: int = 10) -> Column:
+    """Keywords that are absent or of fewer characters: to be enriched."""
+    return F.length(F.coalesce(keywords, F.lit(""))) < least
+
+
+def update_where(test: Column, value: Column, old: Column, empty_too: bool = True) -> Column:
+    """``value`` where the test holds, else ``old``; an empty or null value only counts with empty_too, as the empty text."""
+    return F.when(F.coalesce(test, F.lit(False)), F.coalesce(value, F.lit("")) if empty_too else F.when(value != "", value).otherwise(old)).otherwise(old)
+
+
+# Ends of the addresses of abstract pages; the first that fits counts.
+ABSTRACT_PAGES = ("-Abstract.html", "-Abstract-Conference.html", "-Abstract-Datasets_and_Benchmarks_Track.html")
+
+
+def pdf_of(url: Column) -> Column:
+    """The PDF file that belongs to an abstract page, by the names of the three proceedings' sites."""
+    out = F.when(url.contains(ABSTRACT_PAGES[0]), F.replace(url, F.lit(ABSTRACT_PAGES[0]), F.lit(".pdf")))
+    for end in ABSTRACT_PAGES[1:]:
+        out = out.when(url.contains(end), F.replace(url, F.lit(end), F.lit(".pdf")))
+    out = out.when(url.contains("_paper.html"), F.replace(F.replace(url, F.lit("_paper.html"), F.lit("_paper.pdf")), F.lit("/html/"), F.lit("/papers/")))
+    return out.when(url.endswith(".html"), F.regexp_replace(url, r"\.html$", ".pdf")).otherwise(url)
+
+
+def paper_id_of(url: Column) -> Column:
+    """The last part of an address without what marks it as a paper's page or file."""
+    ends = "|".join(e.replace(".", r"\.") for e in (*ABSTRACT_PAGES, "_paper.html", "_paper.pdf", ".html"))
+    return F.regexp_replace(F.substring_index(url, "/", -1), f"(?:{ends})$", "")
+
+
+def volume_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"/v(\d+)/", 1)
+
+
+def authors_after(text: Column, title: Column) -> Column:
+    """What a listing's line says after the title, without its links in brackets and commas at the ends."""
+    line = F.when(text.contains("["), strip(F.substring_index(text, "[", 1))).otherwise(text)
+    at = F.instr(line, title)
+    rest = F.when(at > 0, F.substring(line, at + F.length(title), F.length(line))).otherwise("")
+    return strip(F.regexp_replace(strip(rest), "^,+|,+$", ""))
+
+
+def last_first(last: Column, first: Column) -> Column:
+    """"Last, First"; either alone without the comma."""
+    return F.btrim(F.concat_ws(", ", F.coalesce(last, F.lit("")), F.coalesce(first, F.lit(""))), F.lit(", "))
+
+
+def file_safe(c: Column) -> Column:
+    """Anything but letters, digits, underscores and hyphens as an underscore."""
+    return F.regexp_replace(c, r"(?U)[^\w\-]", "_")
+
+
+def plain(c: Column) -> Column:
+    """Stripped text; null and "nan" are empty."""
+    return F.when(c.isNull() | (F.lower(strip(c)) == "nan"), "").otherwise(strip(c))
+
+
+def document(title: Column, abstract: Column, least: int = 40, cap: int = 8000) -> Column:
+    """"Title. Abstract" with the abstract's first characters; the title alone if the abstract is short."""
+    t, a = strip(F.coalesce(title, F.lit(""))), plain(abstract)
+    body = F.substring(a, 1, cap)
+    return F.when(F.length(a) < least, t).when(t != "", F.concat(t, F.lit(". "), body)).otherwise(body)
+
+
+def sentences(c: Column) -> Column:
+    return F.split(c, r"(?U)[.!?]\s+", -1)
+
+
+def words(c: Column, pattern: str = "[a-z0-9]+") -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
+
+
+def title_case(c: Column) -> Column:
+    """A capital after anything that is no letter, else lower case: of what, say, hyphens join, each part."""
+    letters = F.split(F.lower(c), "")
+    after = F.concat(F.array(F.lit(" ")), F.slice(letters, F.lit(1), F.greatest(F.size(letters) - 1, F.lit(0))))
+    one = lambda x: F.when(x["b"].rlike(r"\p{L}"), x["a"]).otherwise(F.upper(x["a"]))
+    return F.array_join(F.transform(F.arrays_zip(letters.alias("a"), after.alias("b")), one), "")
+
+
+def axis_label(c: Column, most: int = 28, cased: bool = False) -> Column:
+    return F.substring(title_case(c) if cased else c, 1, most)
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    return F.format_string(f"%.{digits}f%%", c.cast("double") * 100)
+
+
+def grouped(c: Column, digits: int = 0) -> Column:
+    """Thousands set off by commas."""
+    return F.format_number(c, digits)
+
+
+def year_of_acl_id(c: Column) -> Column:
+    """2020.acl-long.1 is of 2020, the older P18-1001 of 2018."""
+    new = F.regexp_extract(c, r"^(\d{4})\.", 1)
+    old = F.regexp_extract(c, r"^P(\d\d).", 1)
+    return F.when(new != "", new.cast("int")).when(~c.contains(".") & (old != ""), F.lit(2000) + old.cast("int"))
+
+
+def volume_of_acl_id(c: Column) -> Column:
+    """acl-long of 2020.acl-long.1; empty for older ids."""
+    return F.lower(F.get(F.split(c, r"\."), F.lit(1)))
+
+
+def paper_type_of(venue_id: Column) -> Column:
+    return F.when(F.coalesce(venue_id, F.lit("")).contains("/Workshop"), "workshop").otherwise("main")

@@ -1,89 +1,180 @@
-"""Abstracts from web pages by rules of (tag, class or id), and filling of what is missing."""
+"""Abstracts from web pages by the layout of each site, and filling of what is missing."""
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Sequence
-from html.parser import HTMLParser
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions import dom
 from trendloom.functions import text as X
 
-# Where the sites' pages hold the abstract, (tag, attribute, part of its value), in order of trial.
-RULES = {
-    "aclanthology": [("div", "class", "acl-abstract")],
-    "thecvf": [("div", "id", "abstract"), ("", "class", "abstract")],
-    "mlr.press": [("", "heading", "abstract"), ("", "class", "abstract")],
-    "neurips": [("p", "class", "paper-abstract"), ("", "heading", "abstract"), ("", "class", "abstract")],
-    "nips.cc": [("p", "class", "paper-abstract"), ("", "heading", "abstract"), ("", "class", "abstract")],
-    "openreview": [("", "class", "note-content-value"), ("", "class", "markdown-content")],
+
+@dataclass(frozen=True)
+class Place:
+    """Where a page may hold its abstract.
+
+    ``kind`` is "css" (tag, all classes in value), "id" (its id is value),
+    "class" or "any id" (value is part of it, in any case), "heading" (what follows
+    the first of the tags whose text is value) or "heading has" (holds value).
+    """
+
+    kind: str
+    tags: tuple[str, ...]
+    value: str
+
+
+@dataclass(frozen=True)
+class Site:
+    """The places of a site, tried in order, with the least length of an abstract and a cap."""
+
+    places: tuple[Place, ...]
+    least: int = 30
+    cap: int | None = None
+
+
+_BY_CLASS = Place("class", ("div",), "abstract")
+# Parts of a URL, and the layout of the pages there; the first part that a URL holds counts.
+SITES = {
+    "aclanthology.org": Site((Place("css", ("div",), "card-body acl-abstract"), Place("class", ("div",), "acl-abstract"))),
+    "thecvf.com": Site((Place("id", ("div",), "abstract"), _BY_CLASS)),
+    "proceedings.mlr.press": Site((Place("heading", ("h4", "h3"), "abstract"), _BY_CLASS)),
+    "nips.cc": Site((Place("css", ("p",), "paper-abstract"), Place("heading has", ("h4", "h3", "h2"), "abstract"), _BY_CLASS)),
+    "neurips.cc": Site((Place("css", ("p",), "paper-abstract"), Place("heading has", ("h4", "h3", "h2"), "abstract"), _BY_CLASS)),
+    "openreview.net": Site((Place("css", ("div",), "note-content-value"), Place("css", ("div",), "markdown-content")), least=60, cap=8000),
+}
+# The older layouts, which take the text as it is.
+OLDER_SITES = {
+    "thecvf.com": Site((Place("any id", ("div", "section"), "abstract"), Place("class", ("div", "section"), "abstract"), Place("heading has", ("h2", "h3", "h4"), "abstract")), least=31),
+    "aclanthology.org": Site((Place("class", ("div",), "abstract"), Place("heading has", ("h2", "h3"), "abstract")), least=31),
+    "proceedings.mlr.press": Site((Place("heading", ("h4", "h3"), "abstract"), _BY_CLASS), least=51),
+    "papers.nips.cc": Site((Place("heading", ("h4", "h3"), "abstract"), _BY_CLASS), least=51),
 }
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
-
-
-class _Finder(HTMLParser):
-    """Text of the first element that a rule names; a heading rule names the element after the heading."""
-
-    def __init__(self, rule: tuple[str, str, str]) -> None:
-        super().__init__(convert_charrefs=True)
-        self.tag, self.kind, self.value = rule
-        self.depth = 0
-        self.heading: list[str] | None = None
-        self.next = self.done = False
-        self.out: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.done or tag in _VOID:
-            return
-        if self.depth:
-            self.depth += 1
-        elif self.next or (self.kind != "heading" and self.tag in ("", tag) and self.value in (dict(attrs).get(self.kind) or "")):
-            self.depth, self.next = 1, False
-        elif self.kind == "heading" and re.fullmatch("h[1-6]", tag):
-            self.heading = []
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.heading is not None and re.fullmatch("h[1-6]", tag):
-            self.next = "".join(self.heading).strip().lower() == self.value
-            self.heading = None
-        elif self.depth and tag not in _VOID:
-            self.depth -= 1
-            self.done = self.depth == 0
-
-    def handle_data(self, data: str) -> None:
-        if self.heading is not None:
-            self.heading.append(data)
-        elif self.depth:
-            self.out.append(data)
-
-
-def abstract_of(url: str | None, html: str | None, rules: dict[str, Sequence[tuple[str, str, str]]] = RULES, least: int = 30, cap: int = 8000) -> str | None:
-    for site, tried in rules.items():
-        if site in (url or ""):
-            for rule in tried:
-                finder = _Finder(rule)
-                finder.feed(html or "")
-                text = re.sub(r"(?i)^abstract[ :.\-]*", "", " ".join("".join(finder.out).split()))
-                if len(text) >= least:
-                    return text[:cap]
+
+
+def _found(root: dom.Element, place: Place) -> Iterator[dom.Element]:
+    value = place.value.lower()
+    for e in root.all(*place.tags):
+        if place.kind == "css" and set(place.value.split()) <= set(e.classes) or place.kind == "id" and e["id"] == place.value:
+            yield e
+        elif place.kind == "class" and any(value in c.lower() for c in e.classes) or place.kind == "any id" and value in e["id"].lower():
+            yield e
+        elif place.kind.startswith("heading"):
+            own = e.text("").lower()
+            if own == value or (place.kind == "heading has" and value in own):
+                following = e.after()
+                if following is not None:
+                    yield following
+                return  # the first such heading decides
+
+
+def clean(text: str) -> str:
+    """One blank for each run of white space; a leading "abstract" and its punctuation go."""
+    text = re.sub(r"\s+", " ", text.strip())
+    return text[len("abstract") :].lstrip(" :.-").strip() if text.lower().startswith("abstract") else text
+
+
+def site_of(url: Column, sites: Mapping[str, Site] = SITES) -> Column:
+    """The first listed part that the repaired URL holds, or null."""
+    low = F.lower(X.repair_url(X.strip(url)))
+    return F.coalesce(*[F.when(low.contains(part), part) for part in sites])
+
+
+def abstract_of(url: str | None, html: str | None, sites: Mapping[str, Site] = SITES) -> str | None:
+    site = next((s for part, s in sites.items() if part in (url or "").lower()), None)
+    if site is None or not html:
+        return None
+    root = dom.parse(html)
+    for place in site.places:
+        for e in _found(root, place):
+            raw = e.text()
+            text = clean(raw)
+            if (len(raw) if site.cap else len(text)) >= site.least:
+                return text[: site.cap]
     return None
 
 
-def abstracts(pages: DataFrame, rules: dict[str, Sequence[tuple[str, str, str]]] = RULES, least: int = 30) -> DataFrame:
-    """pages with the column ``found``: the abstract by the rules of the site in the URL, or null."""
+def page_candidates(url: Column) -> Column:
+    """Addresses at which the page of a paper's URL may be: web pages instead of PDF files, with and without a closing slash."""
+    u = X.repair_url(X.strip(url))
+    acl = F.regexp_replace(u, r"\.pdf$", "")
+    cvf = F.when(F.lower(u).endswith(".pdf"), F.regexp_replace(F.regexp_replace(u, r"(?i)_paper\.pdf$", "_paper.html"), "/papers/", "/html/")).otherwise(u)
+    pmlr = F.when(u.endswith(".html"), u).otherwise(F.concat(F.regexp_replace(u, "/+$", ""), F.lit(".html")))
+    site = site_of(u)
+    return (
+        F.when(site == "aclanthology.org", F.array_distinct(F.array(acl, F.concat(F.regexp_replace(acl, "/+$", ""), F.lit("/")))))
+        .when(site == "thecvf.com", F.array(cvf))
+        .when(site == "proceedings.mlr.press", F.array(pmlr))
+        .when(site.isNotNull(), F.array(u))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def abstracts(pages: DataFrame, sites: Mapping[str, Site] = SITES) -> DataFrame:
+    """pages with the column ``found``: the abstract by the layout of the site in the URL, or null."""
+    sites = dict(sites)
 
     @F.pandas_udf("string")
     def found(url: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series([abstract_of(u, h, rules, least) for u, h in zip(url, html, strict=True)], dtype=object)
+        return pd.Series([abstract_of(u, h, sites) for u, h in zip(url, html, strict=True)], dtype=object)
 
     return pages.withColumn("found", found("url", "html"))
 
 
-def fill_missing(papers: DataFrame, pages: DataFrame, **options) -> DataFrame:
-    """papers whose abstract is missing or short get the one found on the page of their URL."""
-    made = abstracts(pages, **options).where("found IS NOT NULL").groupBy(F.col("url").alias("__url")).agg(F.min("found").alias("__found"))
-    joined = papers.join(made, X.repair_url(F.col("openreview_url")) == F.col("__url"), "left")
-    return joined.withColumn("abstract", F.when(X.has_abstract(F.col("abstract")), F.col("abstract")).otherwise(F.coalesce("__found", "abstract"))).drop("__url", "__found")
+def first_abstract(response: Column, least: int = 30) -> Column:
+    """Of a title search's JSON response, the first hit's abstract that is long enough; or null."""
+    hits = F.from_json(F.get_json_object(response, "$.data"), "array<struct<title:string,abstract:string>>")
+    usable = F.filter(F.transform(hits, lambda h: X.strip(h["abstract"])), lambda a: F.length(a) >= least)
+    return F.get(usable, F.lit(0))
+
+
+def fill_missing(papers: DataFrame, pages: DataFrame, searches: DataFrame | None = None, limit: int | None = None, order: Sequence[str] = ("conference", "year", "title"), sites: Mapping[str, Site] = SITES, least: int = 30) -> DataFrame:
+    """papers with ``abstract`` filled where it is missing or short, and ``abstract_from``: 'own', 'html', 's2', 'empty' or 'not tried'.
+
+    pages (url, html) are the fetched pages, looked up by ``page_candidates`` in
+    their order; searches (title, response) the responses of a title search, asked
+    for titles of 12 characters and more where no page helps.  With ``limit`` only
+    the first so many of the missing by ``order``, then by the whole row, are
+    tried.  Rows stay, repeated ones too.
+    """
+    rows = papers if "abstract" in papers.columns else papers.withColumn("abstract", F.lit(""))
+    columns = rows.columns
+    missing = ~X.has_abstract(F.col("abstract"), least)
+    own, tried = rows.where(~missing), rows.where(missing)
+    parts = [own.withColumn("abstract_from", F.lit("own"))]
+    if limit is not None:
+        every = tried
+        tried = every.orderBy(*order, *(F.col(f"`{c}`") for c in columns)).limit(limit)
+        parts.append(every.exceptAll(tried).withColumn("abstract_from", F.lit("not tried")))
+    url = F.col("openreview_url") if "openreview_url" in columns else F.lit(None).cast("string")
+    made = abstracts(pages, sites).where("found IS NOT NULL").groupBy("url").agg(F.min("found").alias("found"))
+    tried = tried.withColumn("__pages", page_candidates(url))
+    for k in (0, 1):
+        tried = tried.join(made.select(F.col("url").alias(f"__url{k}"), F.col("found").alias(f"__found{k}")), F.get("__pages", F.lit(k)) == F.col(f"__url{k}"), "left")
+    html, s2 = F.coalesce("__found0", "__found1"), F.lit(None).cast("string")
+    if searches is not None:
+        hits = searches.select(X.strip(F.col("title")).alias("__title"), first_abstract(F.col("response"), least).alias("__s2")).where("__s2 IS NOT NULL").groupBy("__title").agg(F.min("__s2").alias("__s2"))
+        title = X.strip(F.col("title"))
+        tried, s2 = tried.join(hits, F.when(html.isNull() & (F.length(title) >= 12), title) == F.col("__title"), "left"), F.col("__s2")
+    source = F.when(html.isNotNull(), "html").when(s2.isNotNull(), "s2").otherwise("empty")
+    parts.append(tried.select(*[F.coalesce(html, s2, F.col("abstract")).alias(c) if c == "abstract" else F.col(f"`{c}`") for c in columns], source.alias("abstract_from")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def fill_statistics(filled: DataFrame, least: int = 30) -> DataFrame:
+    """One row: rows_missing_start, rows_to_process, filled_html, filled_s2, still_missing (of those processed)."""
+    by = F.col("abstract_from")
+    processed = by.isin("html", "s2", "empty")
+    return filled.agg(
+        F.count_if(by != "own").alias("rows_missing_start"),
+        F.count_if(processed).alias("rows_to_process"),
+        F.count_if(by == "html").alias("filled_html"),
+        F.count_if(by == "s2").alias("filled_s2"),
+        F.count_if(processed & ~X.has_abstract(F.col("abstract"), least)).alias("still_missing"),
+    )
+

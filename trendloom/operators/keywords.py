@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
+from trendloom.operators.extractors import Extractor, phrases_by
 
 # A controlled vocabulary of topics and methods.
 VOCABULARY = [
@@ -49,8 +50,119 @@ def filtered_phrases(phrases: Column, single_stop: Sequence[str]) -> Column:
     return F.aggregate(ordered, F.array().cast("array<string>"), step)
 
 
-def frequency_keywords(docs: DataFrame, id_col: str, text_col: str, most: int = 8, least: int = 2) -> DataFrame:
-    """id, phrase, count, rank: a text's most frequent phrases of two or three words, ties by phrase."""
-    words = F.array_join(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{3,}"), F.lit(0)), " ")
-    grams = docs.select(F.col(id_col), F.explode(X.ngrams(words, 2, 3)).alias("phrase")).groupBy(id_col, "phrase").agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    return grams.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("count"), "phrase"))).where(F.col("rank") <= most)
+# Generic single words of the two extractors, and words without content.
+GENERIC = (
+    "language models model learning neural network networks data text image images video videos detection segmentation object objects diffusion generation translation knowledge "
+    "based method methods approach approaches training deep representation representations feature features visual vision natural processing recognition classification prediction "
+    "inference optimization attention transformer transformers embedding embeddings 3d 2d multi single large small new using used different multiple various effective efficient "
+    "better high low real state art task tasks problem problems results performance framework algorithm algorithms system systems information structure"
+).split()
+GENERIC_SHORT = (
+    "language models model learning neural network networks data text image images video videos detection segmentation object objects based method methods approach approaches "
+    "training deep representation feature features visual vision natural processing recognition classification prediction inference optimization attention transformer transformers "
+    "embedding embeddings multi single large small new using used different multiple various effective efficient framework algorithm system task tasks semeval shared workshop "
+    "challenge competition 2017 2018 2019 2020 2021 2022 2023 2024 2025"
+).split()
+COMMON = "the and for are but not you all can had her was one our out has his how new now old see way who did get its let put say she too use with this from have been more than when which that".split()
+COMMON_FREQUENT = [*COMMON, "man", "boy"]
+# What a sentence that speaks of methods holds.
+METHOD_CUES = [
+    "we propose", "we present", "we introduce", "we develop", "we use", "we employ", "we leverage", "we show", "we demonstrate", "propose a", "present a", "introduce a",
+    "framework", "algorithm", "approach", "method", "model", "based on", "leveraging", "using ", "employing", "via ", "through ", "by ", "neural ", "deep ", "learning ",
+    "transformer", "attention", "reinforcement", "optimization", "embedding",
+]
+
+
+def _literals(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def content_runs(words: Column, sizes: Sequence[int], stop: Sequence[str], least_chars: int = 0) -> Column:
+    """Runs of so many words, sizes in the order given, each in order of place, without any stop word."""
+    none = F.array().cast("array<string>")
+
+    def of(w: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.slice(w, i + 1, n))
+        kept = F.filter(runs, lambda r: ~F.arrays_overlap(r, _literals(stop)))
+        return F.when(F.size(w) >= n, F.transform(kept, lambda r: F.array_join(r, " "))).otherwise(none)
+
+    made = F.coalesce(_let(words, lambda w: F.flatten(F.array(*[of(w, n) for n in sizes]))), none)
+    return F.filter(made, lambda p: F.length(p) >= least_chars) if least_chars else made
+
+
+def specific_phrases(phrases: Column, stop: Sequence[str] = GENERIC) -> Column:
+    """Longer phrases first, else in their order; lone generic words, and what lies within a phrase kept before, go."""
+    ordered = F.array_sort(F.transform(phrases, lambda p, i: F.struct((-F.size(X.words(p, r"\S+"))).alias("w"), i.alias("i"), X.strip(p).alias("p"))))
+
+    def step(kept: Column, x: Column) -> Column:
+        low = F.lower(x["p"])
+        bad = (x["p"] == "") | ((x["w"] == -1) & F.array_contains(_literals(stop), low)) | F.exists(kept, lambda k: F.contains(F.lower(k), low) & (F.lower(k) != low))
+        return F.when(bad, kept).otherwise(F.concat(kept, F.array(x["p"])))
+
+    return F.aggregate(ordered, F.array().cast("array<string>"), step)
+
+
+def topic_and_methods(title: Column, abstract: Column, most: int = 15) -> Column:
+    """"Topic: a; b Methods: c; d": runs of the first two sentences and the title, and of sentences with a cue of methods; empty if there are none."""
+    stop, half = [*GENERIC, *COMMON], most // 2
+    title = F.coalesce(title, F.lit(""))
+    text = X.strip(F.concat(title, F.lit(" . "), F.coalesce(abstract, F.lit(""))))
+    runs = lambda c: content_runs(X.words(c), (3, 2, 1), stop, 4)
+    cue = lambda s: F.exists(_literals(METHOD_CUES), lambda c: F.contains(F.lower(s), c))
+
+    def of(parts: Column) -> Column:
+        methods = F.slice(F.array_distinct(F.flatten(F.transform(F.filter(parts, cue), runs))), 1, half)
+        topics = F.slice(F.array_except(runs(F.concat(F.array_join(F.slice(parts, 1, 2), " "), F.lit(" "), title)), methods), 1, half)
+        part = lambda name, found: F.when(F.size(found) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(found, 1, 8), "; ")))
+        return F.concat_ws(" ", part("Topic", topics), part("Methods", methods))
+
+    return F.when(F.length(text) < 20, "").otherwise(_let(X.sentences(text), of))
+
+
+def frequent_phrases(docs: DataFrame, id_col: str, text_col: str, most: int = 15) -> DataFrame:
+    """id, keywords: for each id the most frequent runs of three and two content words, filled up with single words.
+
+    Ties go to what comes first: runs of three before those of two, then by place.
+    Generic words, and phrases within others, are left out; texts of less than ten
+    characters have none.  Ids are taken to be one a document; null ids are left
+    out.  A document's phrases are counted before they move, and no more than
+    ``most`` of each kind meet again.
+    """
+    stop = sorted({*GENERIC, *COMMON_FREQUENT})
+    text = F.col(text_col).cast("string")
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.when(F.length(X.strip(text)) >= 10, text).otherwise("").alias("__text"))
+    words = X.words(F.col("__text"), "[a-z]{3,}")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), content_runs(words, (3, 2), stop).alias("p")), F.struct(F.lit(1).alias("kind"), content_runs(words, (1,), stop).alias("p")))
+    rows = docs.select("__id", F.explode(kinds).alias("k")).select("__id", "k.kind", F.posexplode("k.p").alias("at", "phrase"))
+    counted = rows.groupBy("__id", "kind", "phrase").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("__id", "kind").orderBy(F.desc("n"), "at"))
+    top = counted.withColumn("place", place).where(F.col("place") <= most)
+    listed = top.groupBy("__id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("kind", "place", "phrase"))), lambda x: x["phrase"]), 1, most).alias("p"))
+    out = listed.select("__id", F.slice(specific_phrases(F.col("p")), 1, most).alias("p"))
+    return docs.select("__id").join(out, "__id", "left").select(F.col("__id").alias(id_col), F.coalesce(F.array_join("p", "; "), F.lit("")).alias("keywords"))
+
+
+def keyword_cascade(papers: DataFrame, id_col: str, extractor: Extractor | None = None, most: int = 15) -> DataFrame:
+    """papers with ``made``: topic and methods, else the extractor's phrases, else frequent phrases; empty if the texts are short."""
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in papers.columns else F.lit("")
+    parts = [F.nullif(has(c), F.lit("")) for c in ("title", "abstract", "TLDR")]
+    rows = papers.withColumn("__text", X.strip(F.concat_ws(" ", *parts))).withColumn("__m7", topic_and_methods(has("title"), has("abstract"), most))
+    if extractor is not None:
+        rows = rows.withColumn("__m8", phrases_by(extractor, F.col("__text"), generic=GENERIC, least_chars=20, runs=(2, 4), diversity=0.75, most=most, few=most // 2))
+    rest = rows.where("__m7 = '' AND length(__text) >= 15")
+    frequent = frequent_phrases(rest, id_col, "__text", most).withColumnRenamed(id_col, "__id").withColumnRenamed("keywords", "__m9").dropDuplicates(["__id"])
+    rows = rows.join(frequent, F.when(F.col("__m7") == "", F.col(id_col)) == F.col("__id"), "left")
+    found = F.coalesce(F.nullif("__m7", F.lit("")), *([F.nullif("__m8", F.lit(""))] if extractor is not None else []), F.col("__m9"), F.lit(""))
+    return rows.select(*[F.col(f"`{c}`") for c in papers.columns], F.when(F.length("__text") < 15, "").otherwise(found).alias("made"))
+
+
+def enriched(papers: DataFrame, id_col: str, extractor: Extractor | None = None, least: int = 10, most: int = 15) -> DataFrame:
+    """papers whose absent or short keywords are replaced by what the cascade makes, if anything."""
+    made = keyword_cascade(papers, id_col, extractor, most)
+    keywords = X.update_where(X.is_short(F.col("keywords"), least), F.col("made"), F.coalesce("keywords", F.lit("")), empty_too=False)
+    return made.select(*[keywords.alias(c) if c == "keywords" else F.col(f"`{c}`") for c in papers.columns])

@@ -50,8 +50,8 @@ def tokens(cell: Column, mode: Tokeniser) -> Column:
 def mentions(papers: DataFrame, mode: str, canonical: DataFrame | None = None) -> DataFrame:
     """conference, year, title, k: a row for each label of each paper.
 
-    ``canonical`` (surface, label) is a stated dictionary, small by nature; it is
-    broadcast as such.  In the modes with once, mentions are distinct.
+    ``canonical`` (surface, label) is a dictionary.  In the modes with once,
+    mentions are distinct.
     """
     how = TOKENISERS[mode]
     out = papers.select("conference", "year", "title", F.explode(tokens(F.col("keywords"), how)).alias("k"))
@@ -63,9 +63,12 @@ def mentions(papers: DataFrame, mode: str, canonical: DataFrame | None = None) -
 
 
 def canonicalised(df: DataFrame, canonical: DataFrame, column: str) -> DataFrame:
-    """``column`` mapped by canonical (surface, label); values that it does not list stay."""
+    """``column`` mapped by canonical (surface, label); values that it does not list stay.
+
+    The dictionary's size decides how it is joined: the planner broadcasts a small one.
+    """
     names = canonical.select(F.col("surface").alias("__surface"), F.col("label").alias("__label")).dropDuplicates(["__surface"])
-    return df.join(F.broadcast(names), F.col(column) == F.col("__surface"), "left").withColumn(column, F.coalesce("__label", column)).drop("__surface", "__label")
+    return df.join(names, F.col(column) == F.col("__surface"), "left").withColumn(column, F.coalesce("__label", column)).drop("__surface", "__label")
 
 
 def top_labels(found: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.schema import PAPER_COLUMNS
@@ -13,15 +13,29 @@ def aligned(df: DataFrame, columns: list[str] = PAPER_COLUMNS) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
+def kept_in_order(df: DataFrame, order: list[str] = PAPER_COLUMNS) -> DataFrame:
+    """Of the stated columns those that df has, in the stated order."""
+    return df.select(*[F.col(f"`{c}`") for c in order if c in df.columns])
+
+
+def with_defaults(df: DataFrame, **defaults: str) -> DataFrame:
+    """df with the columns that it lacks at their defaults."""
+    return df.select("*", *[F.lit(v).alias(c) for c, v in defaults.items() if c not in df.columns])
+
+
 def merge_papers(sources: list[DataFrame], keys: tuple[str, ...] = ("conference", "year", "title"), order: str = "title") -> DataFrame:
-    """Rows of all sources, one a key: of the first source that has it, then the least of ``order`` and the whole row."""
+    """Rows of all sources, one a key: of the first source that has it, then by ``order``, then by a hash of the row.
+
+    Rows of a key are combined before the shuffle, so a key that very many rows
+    have is no burden.
+    """
     columns = list(dict.fromkeys(c for s in sources for c in s.columns))
     rows = None
     for k, s in enumerate(sources):
         part = aligned(s, columns).withColumn("__source", F.lit(k))
         rows = part if rows is None else rows.unionByName(part)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__source", order, F.to_json(F.struct(*columns))))
-    return rows.withColumn("__place", place).where("__place = 1").select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return rows.groupBy(*keys).agg(F.min_by(row, F.struct("__source", order, F.xxhash64(*[F.col(f"`{c}`") for c in columns]))).alias("__row")).select("__row.*")
 
 
 def append_missing(base: DataFrame, more: DataFrame, prefix: int = 100) -> DataFrame:
@@ -29,6 +43,6 @@ def append_missing(base: DataFrame, more: DataFrame, prefix: int = 100) -> DataF
     key = lambda d: [F.col("conference"), F.col("year"), F.lower(F.substring("title", 1, prefix)).alias("__key")]
     have = base.select(*key(base)).distinct()
     new = more.withColumn("__key", F.lower(F.substring("title", 1, prefix))).join(have, ["conference", "year", "__key"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("conference", "year", "__key").orderBy("title", F.to_json(F.struct(*more.columns))))
-    new = new.withColumn("__place", place).where("__place = 1").select(*more.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in more.columns])
+    new = new.groupBy("conference", "year", "__key").agg(F.min_by(row, F.struct("title", F.xxhash64(*[F.col(f"`{c}`") for c in more.columns]))).alias("__row")).select("__row.*")
     return base.unionByName(new)

@@ -18,6 +18,17 @@ def venue_shares(papers: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("papers").alias("total")))).select("conference", "papers", F.try_divide("papers", "total").alias("share"))
 
 
+def share_of(papers: DataFrame, venue: str, year: int) -> DataFrame:
+    """One row: a venue's papers in a year, all others', and the share; null without papers."""
+    one = papers.where(F.col("year") == year).agg(F.count_if(F.col("conference") == venue).alias("papers"), F.count_if(F.coalesce(F.col("conference") != venue, F.lit(True))).alias("others"))
+    return one.withColumn("share", F.expr("try_divide(papers, papers + others)"))
+
+
+def year_list(papers: DataFrame, first: int = 2017, last: int = 2025) -> DataFrame:
+    """The years within the range that have papers, in order."""
+    return papers.where(F.col("year").between(first, last)).select("year").distinct().orderBy("year")
+
+
 def label_years(mentions: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A zero-filled row of years for each of the labels (a report's list, bounded by its length)."""
     keys = [*by, "k"]
@@ -81,3 +92,40 @@ def figure_document(series: DataFrame, key: str = "k") -> DataFrame:
     """One JSON document {label: [count of each year]} of a bounded series."""
     years = F.array(*[F.col(f"y{y}") for y in YEARS])
     return series.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), years.alias("v")))))).alias("document"))
+
+
+def published_figures(papers: DataFrame, mentions: DataFrame, venues: Sequence[str], phrases: Sequence[tuple[str, str, str | None]], labels: Sequence[str], totals_of: tuple[str, Sequence[str]], top: int = 15, per_venue: int = 12) -> DataFrame:
+    """One row: the JSON document of all published series, by year from 2017 to 2025.
+
+    phrases are (name, part of a label, venue or None), labels exact labels, and
+    totals_of a venue with labels whose mentions are counted over all years.  Every
+    part is a table of some dozens of rows before it is put into the document.
+    """
+    zero = F.array(*[F.lit(0).cast("long")] * len(YEARS))
+    counts = lambda df, test=F.lit(True): df.agg(F.array(*[F.count_if(test & (F.col("year") == y)) for y in YEARS]).alias("v"))
+
+    def listed(found: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
+        """A map of all that is wanted, zeros for what is not found."""
+        return found.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col("v")))).alias("m")).select(F.map_from_arrays(F.array(*[F.lit(w) for w in wanted]), F.array(*[F.coalesce(F.try_element_at("m", F.lit(w)), zero) for w in wanted])).alias("v"))
+
+    every = F.array(*[F.coalesce(F.sum((F.col("year") == y).cast("long")), F.lit(0)) for y in YEARS]).alias("v")
+    parts = {"papers_per_year": counts(papers)}
+    parts["papers_per_year_by_venue"] = listed(papers.where(F.col("conference").isin(*venues)).groupBy("conference").agg(every), "conference", venues)
+    for name, part, venue in phrases:
+        test = F.col("k").contains(part)
+        parts[name] = counts(mentions, test if venue is None else test & (F.col("conference") == venue))
+    parts["labels"] = listed(mentions.where(F.col("k").isin(*labels)).groupBy("k").agg(every), "k", labels)
+    grid = top_by_year(mentions, top).select("k", F.array(*[F.col(f"y{y}") for y in YEARS]).alias("v"))
+    parts["top_labels"] = grid.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("v"))
+    venue, names = totals_of
+    own = mentions.where(F.col("conference") == venue).agg(*[F.count_if(F.col("k") == n).alias(f"n{i}") for i, n in enumerate(names)])
+    parts["totals"] = own.select(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"n{i}") for i in range(len(names))])).alias("v"))
+    tops = top_labels(mentions.where(F.col("conference").isin(*venues)), per_venue, ["conference"])
+    each = tops.groupBy("conference").agg(F.array_sort(F.collect_list(F.struct("rank", "k", "count"))).alias("v"))
+    entries = lambda c: F.struct(c["conference"], F.map_from_entries(F.transform(c["v"], lambda x: F.struct(x["k"], x["count"]))))
+    parts["top_per_venue"] = each.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("conference", "v"))), entries)).alias("v"))
+    out = None
+    for name, part in parts.items():
+        one = part.select(F.col("v").alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out.select(F.to_json(F.struct(F.array(*[F.lit(y) for y in YEARS]).alias("years"), *parts)).alias("document"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.operators.cube import wide
@@ -60,8 +60,9 @@ def accel_cdf(shares: DataFrame, ratio: float, periods: Periods = Periods()) ->
 def explosion_estimate(shares: DataFrame, periods: Periods = Periods(), least: int = 3, rise: float = 3.0) -> DataFrame:
     """n, base_rate, estimate: the share multiple that is as rare as a count's rise in the calibration splits.
 
-    The quantile is a pair of order statistics, found by counts of each distinct
-    value, so its rank may depend on the data.
+    The quantile is a pair of order statistics whose ranks depend on the data.
+    They are looked for in two steps: in a histogram of a bounded number of cells,
+    then among the values of the two cells that hold them.
     """
     years = list(range(periods.first, periods.calibration_end + 1))
     w = wide(shares.where(F.col("year") <= periods.calibration_end), years)
@@ -72,14 +73,20 @@ def explosion_estimate(shares: DataFrame, periods: Periods = Periods(), least: i
             parts.append(F.when(F.col(f"c{s}") >= least, F.struct((F.greatest(*[F.col(f"c{y}") for y in after]) / F.col(f"c{s}")).alias("gc"), (F.greatest(*[F.col(f"v{y}") for y in after]) / F.col(f"v{s}")).alias("gs"))))
     g = w.select(F.explode(F.array(*parts)).alias("g")).where("g IS NOT NULL").select("g.gc", "g.gs")
     base = g.agg(F.count("*").alias("n"), F.avg((F.col("gc") >= rise).cast("double")).alias("base_rate"))
-    values = g.groupBy("gs").agg(F.count("*").alias("k"))
-    from pyspark.sql import Window
-
-    # Distinct ratios of the calibration topics, not rows: sorted once.
-    upto = values.withColumn("last", F.sum("k").over(Window.orderBy("gs").rowsBetween(Window.unboundedPreceding, 0)))
+    cell = F.coalesce(F.floor(F.log(F.when(F.col("gs") > 0, F.col("gs"))) * 1000), F.lit(-(1 << 20)))
+    values = g.groupBy("gs").agg(F.count("*").alias("k")).withColumn("cell", cell)
+    cells = values.groupBy("cell").agg(F.sum("k").alias("k"))
+    # Thousandths of a logarithm: some ten thousands of cells, whatever the topics.
+    cells = cells.withColumn("last", F.sum("k").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
     h = F.expr("(n - 1) * (1 - base_rate)")
-    placed = upto.crossJoin(F.broadcast(base)).agg(F.max("n").alias("n"), F.max("base_rate").alias("base_rate"), F.min(F.when(F.col("last") > F.floor(h), F.col("gs"))).alias("lo"), F.min(F.when(F.col("last") > F.least(F.floor(h) + 1, F.col("n") - 1), F.col("gs"))).alias("hi"))
-    return placed.select("n", "base_rate", (F.col("lo") + (F.col("hi") - F.col("lo")) * (h - F.floor(h))).alias("estimate"))
+    ranks = base.select("n", "base_rate", F.floor(h).alias("lo"), F.least(F.floor(h) + 1, F.col("n") - 1).alias("hi"))
+    wanted = cells.crossJoin(F.broadcast(ranks)).where("(last > lo AND last - k <= lo) OR (last > hi AND last - k <= hi)").select("cell", (F.col("last") - F.col("k")).alias("start"), "n", "base_rate", "lo", "hi")
+    # At most two cells, each with its values.
+    placed = values.join(F.broadcast(wanted), "cell")
+    placed = placed.withColumn("end", F.col("start") + F.sum("k").over(Window.partitionBy("cell").orderBy("gs").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda r: F.min(F.when(F.col("end") > F.col(r), F.col("gs"))).alias(f"x_{r}")
+    out = base.crossJoin(F.broadcast(placed.agg(at("lo"), at("hi"))))
+    return out.select("n", "base_rate", (F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * (h - F.floor(h))).alias("estimate"))
 
 
 def freeze_thresholds(shares: DataFrame, rules: Rules = Rules(), periods: Periods = Periods()) -> DataFrame:
@@ -90,6 +97,27 @@ def freeze_thresholds(shares: DataFrame, rules: Rules = Rules(), periods: Period
     return one.select("*", F.lit(rules.accel).alias("accel"), F.lit(rules.venues).alias("min_venues"), F.lit(rules.explosion).alias("explosion"))
 
 
+def threshold_row(shares: DataFrame, rules: Rules = Rules(), periods: Periods = Periods()) -> DataFrame:
+    """The thresholds with what they were estimated from: explosion_estimate and explosion_n, accel_quantile and the calibration's topics."""
+    estimate = explosion_estimate(shares, periods).select(F.col("estimate").alias("explosion_estimate"), F.col("n").alias("explosion_n"))
+    ratio = accel_cdf(shares, rules.accel, periods).select(F.col("quantile").alias("accel_quantile"))
+    out = freeze_thresholds(shares, rules, periods)
+    for one in (estimate, ratio, calibration_topics(shares, periods)):
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
+def calibration_topics(shares: DataFrame, periods: Periods = Periods()) -> DataFrame:
+    """One row: the topics and rows of the calibration years."""
+    return shares.where(F.col("year") <= periods.calibration_end).agg(F.count_distinct("topic").alias("topics"), F.count("*").alias("rows"))
+
+
+def count_quantiles(shares: DataFrame, rules: Rules = Rules(), periods: Periods = Periods()) -> DataFrame:
+    """One row: the part of the calibration's yearly counts below each count rule."""
+    below = lambda n, name: F.avg((F.col("count") < n).cast("double")).alias(name)
+    return shares.where(F.col("year") <= periods.calibration_end).agg(below(rules.low, "q_low"), below(rules.high, "q_high"), below(rules.visible, "q_visible"), below(rules.recency, "q_recency"))
+
+
 def count_thresholds(like: DataFrame, rules: Rules) -> DataFrame:
     """The same row for the rules on raw counts."""
     return like.sparkSession.range(1).select(*[F.lit(float(v)).alias(n) for n, v in (("scale_low", rules.low), ("scale_high", rules.high), ("visible", rules.visible), ("recency_min", rules.recency), ("accel", rules.accel))], F.lit(rules.venues).alias("min_venues"), F.lit(rules.explosion).alias("explosion"))
@@ -121,15 +149,16 @@ def evaluated(shares: DataFrame, thresholds: DataFrame, periods: Periods = Perio
     return w.select("topic", *[x.alias(k) for k, x in c.items()], F.col(f"v{periods.freeze}").alias("base"), peak.alias("peak"), "visible", "explosion").withColumn("predicted_positive", F.expr("recency AND acceleration AND spread AND scale"))
 
 
-def signature(shares: DataFrame, thresholds: DataFrame, as_of: int, periods: Periods = Periods()) -> DataFrame:
+def signature(shares: DataFrame, thresholds: DataFrame, as_of: int, periods: Periods = Periods(), window: int = 3) -> DataFrame:
+    """Every topic's share and criteria as of a year; years after it do not count."""
     w = wide(shares, list(range(periods.first, as_of + 1))).crossJoin(F.broadcast(thresholds))
-    out = w.select("topic", F.col(f"v{as_of}").alias("share"), "visible", *[x.alias(k) for k, x in criteria(as_of, periods.first, 3).items()])
+    out = w.select("topic", F.col(f"v{as_of}").alias("share"), "visible", *[x.alias(k) for k, x in criteria(as_of, periods.first, window).items()])
     return out.withColumn("predicted_positive", F.expr("recency AND acceleration AND spread AND scale"))
 
 
-def backtest(shares: DataFrame, thresholds: DataFrame, periods: Periods = Periods(), measure: str = "share") -> DataFrame:
+def backtest(shares: DataFrame, thresholds: DataFrame, periods: Periods = Periods(), measure: str = "share", window: int = 3) -> DataFrame:
     """Visible topics with prediction, outcome and criteria."""
-    e = evaluated(shares, thresholds, periods, measure=measure).where("base >= visible")
+    e = evaluated(shares, thresholds, periods, window, measure).where("base >= visible")
     return e.select("topic", "predicted_positive", F.expr("base > 0 AND peak >= explosion * base").alias("exploded"), "recency", "acceleration", "spread", "scale")
 
 
@@ -155,6 +184,12 @@ def sensitivity(shares: DataFrame, thresholds: DataFrame, multipliers: Sequence[
     return confusion(rows, ["kind", "value"])
 
 
+def sweep_ranges(swept: DataFrame) -> DataFrame:
+    """kind, and the least and greatest recall and lift over its settings."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("recall", "lift") for n, f in (("least", F.min), ("most", F.max))]
+    return swept.groupBy("kind").agg(*ends)
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the score interval of a proportion."""
     n, p = n.cast("double"), F.try_divide(hits.cast("double"), n.cast("double"))
@@ -171,7 +206,33 @@ def lists_of(table: DataFrame) -> DataFrame:
 
 
 def robustness(main: DataFrame, other: DataFrame) -> DataFrame:
-    """Confusion of another label source on the topics that both evaluate, and what survives."""
-    both = main.select("topic", F.col("predicted_positive").alias("p0"), F.col("exploded").alias("e0")).join(other.select("topic", "predicted_positive", "exploded"), "topic")
-    extra = both.agg(F.count_if(F.expr("p0 AND predicted_positive")).alias("flagged_in_both"), F.count_if(F.expr("p0 AND e0 AND predicted_positive AND exploded")).alias("tp_in_both"))
-    return confusion(both).crossJoin(extra)
+    """Confusion of another label source on the topics of the main backtest that it has, and what survives.
+
+    ``other`` is ``evaluated`` of all its topics, visible or not.  flags and tps
+    are the main backtest's positives and true positives that stay such, sorted
+    and joined by "; " as a report's lists; main_flags is how many flags there were.
+    Precision and recall have 1 for a denominator of 0, the base rate is null.
+    """
+    was = main.select("topic", F.col("predicted_positive").alias("p0"), F.col("exploded").alias("e0"))
+    now = other.select("topic", "predicted_positive", F.expr("base > 0 AND peak >= explosion * base").alias("exploded"))
+    both = was.join(now, "topic")
+    named = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("topic")))), "; ")
+    p, e = F.col("predicted_positive"), F.col("exploded")
+    counts = both.agg(F.count("*").alias("N"), F.count_if(p & e).alias("TP"), F.count_if(p & ~e).alias("FP"), F.count_if(~p & e).alias("FN"), F.count_if(~p & ~e).alias("TN"), named(F.col("p0") & p).alias("flags"), named(F.expr("p0 AND e0") & p & e).alias("tps"))
+    guarded = lambda a, b: F.expr(f"CAST({a} AS DOUBLE) / greatest({b}, 1)")
+    out = counts.withColumn("precision", guarded("TP", "TP + FP")).withColumn("recall", guarded("TP", "TP + FN")).withColumn("base", F.expr("try_divide(CAST(TP + FN AS DOUBLE), N)"))
+    return out.crossJoin(F.broadcast(main.agg(F.count_if("predicted_positive").alias("main_flags"))))
+
+
+def robustness_lines(found: DataFrame) -> DataFrame:
+    """The summary of ``robustness`` as lines of text."""
+    kept = F.when(F.col("flags") == "", 0).otherwise(F.size(F.split("flags", "; ")))
+    lines = [
+        F.lit("Robustness of the signature to keyword source"),
+        F.format_string("topics scored: %d", "N"),
+        F.format_string("TP=%d FP=%d FN=%d TN=%d", "TP", "FP", "FN", "TN"),
+        F.format_string("precision=%.1f%%  recall=%.1f%%  base rate=%.1f%%", F.col("precision") * 100, F.col("recall") * 100, F.col("base") * 100),
+        F.concat(F.format_string("flags still flagged: %d of %d: ", kept, "main_flags"), F.col("flags")),
+        F.concat(F.lit("true positives still true positives: "), F.col("tps")),
+    ]
+    return found.select(F.explode(F.array(*lines)).alias("line"))

@@ -11,6 +11,7 @@ from trendloom.sources import fixtures as T
 
 #: Count rules for the small counts of the derived cube.
 RULES = S.Rules(low=3, high=8, visible=3, recency=3)
+# The sweep's settings.
 MULTIPLIERS = (1.2, 1.3, 1.4, 1.5, 1.6, 1.75, 2.0, 2.5, 3.0)
 FLOORS = (0.5, 0.75, 1.0, 1.5, 2.0)
 
@@ -42,3 +43,11 @@ def label_cube(spark: SparkSession, d: str) -> DataFrame:
 
 def title_cube(spark: SparkSession, d: str) -> DataFrame:
     return C.title_cube(L.main_track(T.papers(spark, d)), label_cube(spark, d), T.canonical(spark, d))
+
+
+def robustness(spark: SparkSession, d: str) -> DataFrame:
+    """The label cube's backtest against all topics of the title cube, each with thresholds of its own."""
+    rules = S.Rules(low=3, high=100_000, visible=3, recency=3, explosion=1.1)
+    labels, titles = C.topic_year_shares(label_cube(spark, d)), title_shares(spark, d)
+    main = S.backtest(labels, S.freeze_thresholds(labels, rules), window=rules.window)
+    return S.robustness(main, S.evaluated(titles, S.freeze_thresholds(titles, rules), window=rules.window))

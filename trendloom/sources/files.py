@@ -2,24 +2,75 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.schema import CUBE, EVALUATION, PAPER
+from trendloom.schema import CUBE, EVALUATION, PAPER, PAPER_COLUMNS
+from trendloom.sources import xlsx
 
 
-def read_papers(spark: SparkSession, *paths: str) -> DataFrame:
-    """CSV with a header or, by suffix, Parquet; files that are missing or cannot be read are left out by Spark."""
-    reader = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    parts = [reader.parquet(p) if p.rstrip("/").endswith(".parquet") else reader.schema(PAPER).option("header", True).option("multiLine", True).option("escape", '"').csv(p) for p in paths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+def _at(spark: SparkSession, path: str):
+    """The store of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path, or any path of a pattern, is there."""
+    store, at = _at(spark, path)
+    found = store.globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def resolved(spark: SparkSession, *inputs: str | Sequence[str]) -> list[str]:
+    """Of each input, a path or a list of alternatives, the first that exists; inputs that are missing are left out."""
+    out = []
+    for i in inputs:
+        out += next(([p] for p in ([i] if isinstance(i, str) else i) if exists(spark, p)), [])
     return out
 
 
+def required(spark: SparkSession, *paths: str) -> None:
+    missing = [p for p in paths if not exists(spark, p)]
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
+
+
+def read_papers(spark: SparkSession, *inputs: str | Sequence[str], columns: Sequence[str] = PAPER_COLUMNS) -> DataFrame:
+    """Papers of CSV files with a header or, by suffix, Parquet or spreadsheets, each with the column ``source``, its place in the order of inputs.
+
+    An input may be a list of alternatives.  Missing inputs are left out, as are
+    files that cannot be read; only the stated columns are read.  Absent columns
+    are null, years that are no numbers too.
+    """
+    kinds = {f.name: f.dataType for f in PAPER.fields}
+    parts = []
+    for k, i in enumerate(inputs):
+        for p in resolved(spark, i):
+            suffix = p.rstrip("/").rsplit(".", 1)[-1].lower()
+            if suffix == "xlsx":
+                part = xlsx.read(spark, p, columns, skip_bad=True)
+            else:
+                reader = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+                try:
+                    # By the files' own header, so that the order of columns does not matter; the sample is of names only.
+                    part = reader.parquet(p) if suffix == "parquet" else reader.option("header", True).option("multiLine", True).option("escape", '"').csv(p)
+                except AnalysisException:
+                    continue  # no column can be made out: an empty or broken file
+            own = [F.col(f"`{c}`") if c in part.columns else F.lit(None) for c in columns]
+            cast = lambda v, c: v.cast("string").try_cast("double").try_cast("int") if c == "year" else v.cast(kinds.get(c, "string"))
+            parts.append(part.select(*[cast(v, c).alias(c) for v, c in zip(own, columns, strict=True)], F.lit(k).alias("source")))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` {kinds[c].simpleString() if c in kinds else 'string'}" for c in columns) + ", source int")
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CUBE).option("header", True).csv(path)
 
@@ -28,25 +79,50 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVALUATION).option("header", True).csv(path)
 
 
+# The names in the document of thresholds, and those that the signature takes.
+THRESHOLDS = {"SCALE_LOW_SHARE": "scale_low", "SCALE_HIGH_SHARE": "scale_high", "MIN_VISIBLE_SHARE": "visible", "RECENCY_MIN_SHARE": "recency_min", "ACCEL_RATIO": "accel", "SPREAD_MIN_VENUES": "min_venues", "EXPLOSION_RELATIVE_SHARE": "explosion", "_explosion_raw_quantile_estimate": "explosion_estimate", "_explosion_calib_n": "explosion_n"}
+
+
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     """One row from the flat JSON document of thresholds, under the names that the signature takes."""
-    names = {"SCALE_LOW_SHARE": "scale_low", "SCALE_HIGH_SHARE": "scale_high", "MIN_VISIBLE_SHARE": "visible", "RECENCY_MIN_SHARE": "recency_min", "ACCEL_RATIO": "accel", "SPREAD_MIN_VENUES": "min_venues", "EXPLOSION_RELATIVE_SHARE": "explosion"}
-    rows = spark.read.option("multiLine", True).schema(", ".join(f"{k} double" for k in names)).json(path)
-    return rows.select(*[F.col(k).alias(v) for k, v in names.items()])
+    rows = spark.read.option("multiLine", True).schema(", ".join(f"{k} double" for k in THRESHOLDS)).json(path)
+    return rows.select(*[F.col(k).alias(v) for k, v in THRESHOLDS.items()])
+
 
+def threshold_document(thresholds: DataFrame) -> DataFrame:
+    """The row of thresholds under the document's names."""
+    return thresholds.select(*[F.col(v).alias(k) for k, v in THRESHOLDS.items() if v in thresholds.columns])
 
-def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
-    """An XLSX file by pandas on the driver, where openpyxl is installed; small by its format's limit of a million rows."""
-    import pandas as pd
 
-    frame = pd.read_excel(path, dtype=str)
-    return spark.createDataFrame(frame.where(frame.notna(), None), ", ".join(f"`{c}` string" for c in frame.columns))
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at path; it is built and written first where it is not there or was not written to its end."""
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_in_place(df: DataFrame, path: str) -> None:
+    """Parquet over a table that df itself may read: written beside it, then swapped."""
+    spark, base = df.sparkSession, path.rstrip("/")
+    new, old = f"{base}-new-{uuid.uuid4().hex}", f"{base}-old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    store, at = _at(spark, base)
+    if store.exists(at):
+        store.rename(at, _at(spark, old)[1])
+    store.rename(_at(spark, new)[1], at)
+    store.delete(_at(spark, old)[1], True)
+    spark.catalog.refreshByPath(base)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_text(df: DataFrame, path: str) -> None:
+    """The one column of a report, a line a row in the order of df."""
+    df.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_json_report(df: DataFrame, path: str) -> None:
     """The one row of a report as a flat document; the path is on the driver."""
     row = df.first()
@@ -58,3 +134,19 @@ def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """A column ``line`` with the named columns as a row of a LaTeX table."""
     text = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("--")), "([&%_#$])", r"\\$1") for c in columns]
     return df.select(F.concat(F.concat_ws(" & ", *text), F.lit(" \\\\")).alias("line"))
+
+
+def console_rows(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """A column ``line`` with the named columns set to widths: numbers to the right, texts to the left."""
+    numbers = {f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "double", "float")}
+    cell = lambda c, w: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("--")), w, " ") if c in numbers else F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("--")), w, " ")
+    return df.select(F.concat_ws(" ", *[cell(c, w) for c, w in widths.items()]).alias("line"))
+
+
+def chart(df: DataFrame, mark: str, x: str, y: str, colour: str | None = None) -> str:
+    """A chart of a bounded series as a Vega-Lite document, which browsers and notebooks draw; of at most 5,000 rows."""
+    rows = [r.asDict() for r in df.limit(5001).collect()]
+    if len(rows) > 5000:
+        raise ValueError("a chart takes 5,000 rows at most")
+    axes = {"x": {"field": x, "type": "ordinal"}, "y": {"field": y, "type": "quantitative"}} | ({"color": {"field": colour, "type": "nominal"}} if colour else {})
+    return json.dumps({"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": mark, "data": {"values": rows}, "encoding": axes}, default=str)
