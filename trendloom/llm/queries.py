@@ -86,6 +86,31 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op7_sql() -> str:
+    """Matches, the pieces between them, and running sums of their lengths, rule by rule."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
+    # Only ASCII letters have two cases here, hence no case-insensitive flag.
+    patterns = {"assign": rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""}
+    found = []
+    for rank, r in enumerate(secret_scan.RULES):
+        p = patterns.get(r.kind, r.pattern).replace("'", "''")
+        found.append(f"SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.part}) AS p, regexp_split_to_array(t, '{p}') AS b FROM d")
+    length = lambda x: f"list_sum([length(x) FOR x IN {x}[1:i]])"
+    mark = "kind || ':' || start || ':' || stop"
+    counts = ", ".join(f"count(s.kind) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE)
+    joined = lambda test: f"coalesce(string_agg({mark}, ',' ORDER BY start, rank) FILTER ({test}), '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS ({' UNION ALL '.join(found)}),
+x AS (SELECT doc_id, rank, kind, {length('b')} + {length('m')} AS stop, length(m[i]) AS size FROM r, unnest(range(1, len(m) + 1)) u(i) WHERE length(p[i]) >= least),
+s AS (SELECT doc_id, rank, kind, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM x)
+SELECT d.doc_id, {counts}, sha256({joined(f'rank < {len(secret_scan.BASE)}')}) AS base_sha256, {joined('kind IS NOT NULL')} AS spans FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
+OP7_SQL = _op7_sql()
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -106,6 +131,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), ngram_join.Rule(words=4, percent=85))
 
 
+OP10_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS both_n, count(*) AS meet FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * meet >= 85 * (both_n - meet)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = s.doc_id), s.doc_id)) AS component_id FROM s
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -118,4 +153,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op6_merkle_fixity": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_merkle_fixity": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
