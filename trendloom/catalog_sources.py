@@ -247,14 +247,14 @@ def addresses(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(T.table(spark, d, "pages").select("page_id", X.absolute_url(F.lit("x"), "https://h.org/b").alias("relative"), X.absolute_url(F.lit("/x"), "https://h.org/b").alias("cross"), X.file_safe(url).alias("safe"), X.axis_label(url).alias("label")), "page_id")
 
 
-@query("""SELECT c_custkey, 'Furniture-2Nd Class' AS cased, printf('%.1f%%', c_acctbal / 100) AS pct, format('{:,}', c_custkey * 1001) AS thousands, 'Last, ' || c_name AS person, c_name AS alone, 'T. ' || repeat(c_name || ' ', 3) || 'x' AS doc, 'T' AS bare,
+@query("""SELECT c_custkey, 'Furniture-2Nd Class' AS cased, printf('%.1f%%', c_custkey / 7) AS pct, format('{:,}', c_custkey * 1001) AS thousands, 'Last, ' || c_name AS person, c_name AS alone, 'T. ' || repeat(c_name || ' ', 3) || 'x' AS doc, 'T' AS bare,
   2018 AS old_id, 2020 AS new_id, CAST(NULL AS INT) AS no_id, len(regexp_split_to_array('a. b! ' || c_name || '? c', '[.!?]\\s+')) AS n_sentences, 'we did it' AS abstract, 'Phrase|AB1' AS parts, '1970-01-02' AS day FROM customer""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     n, none = F.col("c_name"), F.lit(None).cast("string")
     return T.table(spark, d, "customer").select(
         "c_custkey",
         X.title_case(F.lit("FURNITURE-2nd class")).alias("cased"),
-        X.percent(F.col("c_acctbal") / 10000).alias("pct"),
+        X.percent(F.col("c_custkey") / 700).alias("pct"),
         X.grouped(F.col("c_custkey") * 1001).alias("thousands"),
         X.last_first(F.lit("Last"), n).alias("person"),
         X.last_first(n, none).alias("alone"),
