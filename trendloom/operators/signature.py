@@ -90,10 +90,15 @@ def explosion_estimate(shares: DataFrame, periods: Periods = Periods(), least: i
 
 
 def freeze_thresholds(shares: DataFrame, rules: Rules = Rules(), periods: Periods = Periods()) -> DataFrame:
-    """One row: scale_low, scale_high, visible, recency (shares), accel, venues, explosion."""
-    at = shares.where(F.col("year") == periods.calibration_end)
-    pick = lambda n, name: F.coalesce(F.min(F.when(F.col("count") >= n, F.col("share"))), F.max("share")).alias(name)
-    one = at.agg(pick(rules.low, "scale_low"), pick(rules.high, "scale_high"), pick(rules.visible, "visible"), pick(rules.recency, "recency_min"))
+    """One row: scale_low, scale_high, visible, recency (shares), accel, venues, explosion.
+
+    The year is asked for row by row, and all columns are counted, so that the
+    shares below are the same plan as the signature's and are worked out once for both.
+    """
+    now = F.col("year") == periods.calibration_end
+    pick = lambda n, name: F.coalesce(F.min(F.when(now & (F.col("count") >= n), F.col("share"))), F.max(F.when(now, F.col("share")))).alias(name)
+    one = shares.agg(pick(rules.low, "scale_low"), pick(rules.high, "scale_high"), pick(rules.visible, "visible"), pick(rules.recency, "recency_min"), *[F.count(c).alias(f"n_{c}") for c in ("topic", "n_venues", "total")])
+    one = one.where("n_topic + n_n_venues + n_total >= 0").drop("n_topic", "n_n_venues", "n_total")
     return one.select("*", F.lit(rules.accel).alias("accel"), F.lit(rules.venues).alias("min_venues"), F.lit(rules.explosion).alias("explosion"))
 
 
