@@ -442,19 +442,114 @@ def test_near_copies_by_row_with_repeated_and_null_ids(spark):
             assert i == min((x for x in ids if x is not None), default=None)
 
 
-def test_pipeline_stages(spark):
+def linked(sets, percent):
+    """Class numbers of sets by brute force; empty ones are alone."""
+    group = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and 100 * (meet := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - meet):
+            group = [group[a] if g == group[b] else g for g in group]
+    return group
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     import oracle
 
-    d, docs = oracle.DATA, queries.table(spark, oracle.DATA, "documents")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, d)
-        if name != "best-fit packing":
-            assert after.columns == docs.columns
-            assert after.count() <= before.count()
-        before = after.cache()
-    assert before.select("doc_id").distinct().count() > 0
+    d = oracle.DATA.replace("sf0.001", "sf0.01")  # the smaller one has no documents that are rejected
+    run = dict(corpus_pipeline.STAGES)
+    docs = queries.table(spark, d, "documents")
+    columns = docs.columns
+
+    def after(name, before):
+        path = str(tmp_path / name.replace(" ", "-"))
+        run[name](spark, before, d).write.parquet(path)
+        out = spark.read.parquet(path)
+        assert name == "best-fit packing" or out.columns == columns
+        return out, [r.asDict() for r in out.collect()]
+
+    rows = [r.asDict() for r in docs.collect()]
+    # 1: the same fits in memory, on all labelled and all unlabelled documents.
+    known = {r.doc_id: r.quality for r in queries.table(spark, d, "labels").where("quality IS NOT NULL").collect()}
+    order = np.array(sorted((r["doc_id"] for r in rows if r["doc_id"] in known)), np.int64)
+    order = order[np.argsort(quality.K.mix(order.view(np.uint64)))]
+    by_id = {r["doc_id"]: r for r in rows}
+
+    def figures(some):
+        return quality.text_figures(pa.array([r["text"] for r in some], pa.string())), quality.meta_figures(pa.array([r["lang"] for r in some], pa.string()), pa.array([r["source"] for r in some], pa.string()), pa.array([r["n_chars"] for r in some], pa.int64()))
+
+    x, meta = figures([by_id[i] for i in order.tolist()])
+    pool, pool_meta = figures([r for r in rows if r["doc_id"] not in known])
+    model = quality.co_train(x, meta, np.array([float(known[i]) for i in order.tolist()]), pool, pool_meta)
+    scores = model.scores(*figures(rows))[2]
+    one, kept = after("quality classifier", docs)
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r, v in zip(rows, scores, strict=True) if v >= 0.5} and 0 < len(kept) < len(rows)
+    # 2: of equal texts the greatest id.
+    last = {}
+    for r in kept:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")
+        last[low] = max(last.get(low, r["doc_id"]), r["doc_id"])
+    two, kept = after("exact dedup", one)
+    assert sorted(r["doc_id"] for r in kept) == sorted(last.values())
+    # 3: of each class of near texts the least id.
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")) for r in kept]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in words]
+    least = {}
+    for g, r in zip(linked(sets, 80), kept, strict=True):
+        least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
+    three, kept = after("n-gram Jaccard join", two)
+    assert sorted(r["doc_id"] for r in kept) == sorted(least.values())
+    # 4: all rows, in the order of an earliest-deadline schedule made step by step.
+    four, mixed = after("mixing sources to target weights", three)
+    assert sorted(map(repr, mixed)) == sorted(map(repr, kept))
+    weights = mixing.tempered_weights(three)
+    blocks = {r.doc_id: (r.source, r.block) for r in mixing.mix(three, weights).collect()}
+    place = corpus_pipeline._row_order(four)
+    ordered = [r.doc_id for r in four.select("doc_id", place.alias("at")).orderBy("at").collect()]
+    met = list(dict.fromkeys(blocks[i] for i in ordered))
+    assert len([k for k, _ in itertools.groupby(ordered, key=lambda i: blocks[i])]) == len(met)  # a block's rows stay together
+    counts = collections.Counter(s for s, _ in met)
+    for s, own in itertools.groupby(sorted(met, key=lambda m: (m[0], met.index(m))), key=lambda m: m[0]):
+        assert [b for _, b in own] == sorted(b for t, b in met if t == s), counts
+    # 5: the documents' own ids, whole, in sequences whose order is that of the mixture.
+    _, pieces = after("best-fit packing", four)
+    ids_of = packing.token_ids(queries.tokenizer_path())
+    text = {r["doc_id"]: r["text"] or "" for r in mixed}
+    total = {i: len(ids_of(t)) // 4 + 1 for i, t in text.items()}
+    assert {i: sum(p["length"] for p in pieces if p["doc_id"] == i) for i in total} == total
+    for p in pieces:
+        ids = np.frombuffer(ids_of(text[p["doc_id"]]) + np.array([2], "<u4").tobytes(), "<u4")
+        assert zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+    first = collections.defaultdict(set)
+    for p in pieces:
+        first[p["sequence_id"]].add(ordered.index(p["doc_id"]))
+    by_order = sorted((p["sequence_order"], min(first[p["sequence_id"]])) for p in pieces)
+    assert [k for _, k in by_order] == sorted(k for _, k in by_order)
+
+
+def test_pipeline_runs_as_registered(spark):
+    import __spark_entry__
+    import oracle
+
+    got = __spark_entry__.queries()["pipeline"](spark, oracle.DATA)
+    assert got.where("length > 0").count() > 0 and "sequence_order" in got.columns
+
+
+def test_quality_of_nulls_repeats_ties_and_clashing_names(spark):
+    r = random.Random(8)
+    good, junk = "the cat sat on a mat and saw more of it .".split(), ["BUY!!", "NOW!!", "|", "$$$"]
+    rows = [(i, " ".join(r.choices(good if i % 2 else junk, k=30)), "en", "s", 100, f"q{i}", "clash") for i in range(60)]
+    rows += [(None, None, None, None, None, "q", "clash"), (5, "", "en", "s", 0, "q", "clash"), (None, "word " * 20_000, None, "s", 100_000, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality_scores string, x string")
+    # A label twice, two labels that disagree (the less counts), labels without an id, a value, or a document.
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (4, 1), (4, 0), (None, 1), (7, None), (8, 5), (9999, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.orderBy(F.desc("x"), F.rand(3)), labels.orderBy(F.rand(4)))
+    assert np.allclose(model.text.weights, again.text.weights, atol=1e-6) and np.allclose(model.weights, again.weights, atol=1e-6)
+    out = quality.scored(docs, model)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    got = out.select("doc_id", "quality_scores.*").collect()
+    assert all(0 <= v.score <= 1 and v.kept == (v.score >= 0.5) for v in got)
+    assert sum((v.doc_id % 2 == 1) == v.kept for v in got if v.doc_id is not None and v.doc_id >= 40) >= 18
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
