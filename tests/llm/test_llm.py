@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.llm import exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, queries, secret_scan, spotsigs
-from trendloom.llm.shared import components
+from trendloom.llm.shared import components, small_batches
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, kept string, node string, row string"
 
@@ -63,6 +63,19 @@ def test_near_classes_equal_brute_force(spark):
         assert sorted(map(tuple, ngram_join.near_classes(table(spark, docs), rule).collect())) == want
 
 
+def test_batches_are_bounded_in_rows_and_bytes(spark):
+    small_batches(spark)
+    long = spark.range(200, numPartitions=1).withColumn("t", F.repeat(F.lit("x"), 1 << 20))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["bytes", "rows"])
+
+    got = long.mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r["rows"] for r in got) == 200 and max(r["bytes"] for r in got) < 40 << 20
+    assert max(r["rows"] for r in spark.range(5000, numPartitions=1).mapInArrow(sizes, "bytes long, rows long").collect()) == 1000
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 20)] + [(50, 40), (40, 60), (60, 50), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -55,9 +55,16 @@ def released(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._stored_at)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds of a table with long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Bounds what a Python worker holds of a table with long texts: rows and bytes of a batch, whichever comes first.
+
+    Spark reads these settings when a plan runs, so they stay with the session;
+    smaller ones that are set already are kept.
+    """
+    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str, rows: int, bits_a_key: int = 32, most_bits: int = 1 << 26) -> DataFrame:
