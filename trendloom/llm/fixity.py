@@ -10,6 +10,8 @@ one comparison at their top.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,12 @@ FAN_OUT = 16
 NO_ID_FILES = 1 << 16  # of rows without an id; numbered downwards from -1
 
 
-def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """The columns of a manifest and each record's hash, made before rows move: without content, no text is shuffled."""
+def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str, html_col: str, replica: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The columns of a manifest and each record's hash, made before rows move: without content, no text is shuffled.
+
+    With replica, which makes another replica's bytes of a record's content and
+    number, also the hash of these as ``replica``.
+    """
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     record = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
     content = F.concat(
@@ -29,10 +35,13 @@ def _laid_out(pages: DataFrame, records_a_file: int, id_col: str, url_col: str,
     )
     rows = pages.select(F.col(id_col).isNull().alias("none"), record.alias("record"), content.alias("content"))
     rows = rows.withColumn("length", F.octet_length("content").cast("long")).withColumn("hash", F.sha2("content", 256))
+    more = ["replica"] if replica else []
+    if replica:
+        rows = rows.withColumn("replica", F.sha2(replica(F.col("content"), F.col("record")), 256))
     # Rows without an id are spread over files of their own by hash, so that no file holds them all.
     rows = rows.withColumn("file", F.when(F.col("none"), -1 - F.pmod(F.xxhash64("hash"), F.lit(NO_ID_FILES))).otherwise(F.floor(F.col("record") / records_a_file)).cast("long"))
     before = Window.partitionBy("file").orderBy("record", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", "record", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "content", "hash")
+    return rows.select("file", "record", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "content", "hash", *more)
 
 
 def manifest(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -47,9 +56,14 @@ def manifest(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_i
     return _laid_out(pages, records_a_file, id_col, url_col, html_col).drop("hash")
 
 
-def page_hashes(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``record_hashes`` of the manifest of pages, stored: the audit's passes read hashes, not pages."""
-    return stored(_laid_out(pages, records_a_file, id_col, url_col, html_col).select("file", "record", "offset", "hash"), "record-hashes")
+def page_hashes(pages: DataFrame, records_a_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", replica: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``record_hashes`` of the manifest of pages, stored: the audit's passes read hashes, not pages.
+
+    replica (content, record) tells the bytes that another replica holds in a
+    record's place; their hash is the column ``replica``.
+    """
+    rows = _laid_out(pages, records_a_file, id_col, url_col, html_col, replica)
+    return stored(rows.select("file", "record", "offset", "hash", *(["replica"] if replica else [])), "record-hashes")
 
 
 def record_hashes(records: DataFrame) -> DataFrame:

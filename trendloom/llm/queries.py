@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, secret_scan, spotsigs
@@ -51,17 +51,19 @@ def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of all pages, as WARC, against a replica with stated damage.
+    """Records of all pages, as WARC, against a replica with stated damage; the bytes of both are hashed.
 
-    The replica is an edited copy of the table of hashes and offsets, so only one
-    replica's bytes are hashed: the hash of every 97th record is changed, every
-    211th record is missing and, after every 503rd, there is one record more.
+    In the replica the first byte of every 97th record is another, every 211th
+    record is missing and, after every 503rd, there is one record more.
     """
-    hashes = fixity.page_hashes(table(spark, sf_dir, "pages"))
-    changed = F.when(F.col("record") % 97 == 0, F.sha2(F.concat("hash", F.lit("changed")), 256)).otherwise(F.col("hash"))
-    replica = hashes.where("record % 211 <> 0").withColumn("hash", changed)
-    extra = hashes.where("record % 503 = 0").select("file", (-F.col("record") - 2).alias("record"), (F.col("offset") + 1).alias("offset"), F.sha2(F.lit("extra"), 256).alias("hash"))
-    return fixity.audit(hashes, replica.unionByName(extra))
+
+    def damaged(content: Column, record: Column) -> Column:
+        return F.when(record % 97 == 0, F.concat(F.lit("?"), F.substring(content, 2, 1 << 30))).otherwise(content)
+
+    both = fixity.page_hashes(table(spark, sf_dir, "pages"), replica=damaged)
+    replica = both.where("record % 211 <> 0").select("file", "record", "offset", F.col("replica").alias("hash"))
+    extra = both.where("record % 503 = 0").select("file", (-F.col("record") - 2).alias("record"), (F.col("offset") + 1).alias("offset"), F.sha2(F.lit("extra"), 256).alias("hash"))
+    return fixity.audit(both.drop("replica"), replica.unionByName(extra))
 
 
 OP6_SQL = """
