@@ -16,7 +16,9 @@ of each; that holds under every order, so a pair must pass all of them.
    to, and only members with different labels are compared further, the members
    that differ from their pivot against all others.  A pair with equal labels is
    known to be connected, so components lose nothing and groups of thousands of
-   copies need no quadratic number of pairs.
+   copies need no quadratic number of pairs.  Sketches tell most unlike pairs of
+   a list before any pair is made: a token that only one of two sets has changes
+   one bit of ``SKETCH`` at most, so unlike bits are a lower bound of unlike tokens.
 4. Before the sets are fetched, the prefixes under the first, a second and a
    third order (other cell granularity, other hash) must meet, and in enough
    tokens: what two prefixes do not share, the rest of one set must make up for.
@@ -40,6 +42,7 @@ from trendloom.llm.shared import components, maybe_in, released, small_batches,
 CELL_BITS = 19
 SALT_COUNT = 200_000  # cell counts above this deal a token's list out over more salts
 PART_NODES = 512  # of a list that is compared beyond its pivot; longer ones are dealt out in parts
+SKETCH = ("s0", "s1", "s2", "s3")  # 64 bits each
 U = np.uint64
 _LIMIT = (1 << 24) - 1
 
@@ -64,6 +67,12 @@ def _node(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of tokens whether their number is odd, as four numbers."""
+    odd = np.bincount((K.mix(own, 6) & U(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _cells(own: np.ndarray) -> np.ndarray:
     return (own >> U(64 - CELL_BITS)).astype(np.int64)
 
@@ -93,10 +102,11 @@ def _profile(rule: Rule):
         counts, more_of = np.zeros(1 << CELL_BITS, np.int64), []
         for batch in batches:
             n, nodes, waiting, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], 0
+            sketches = np.zeros((batch.num_rows, len(SKETCH)), np.int64)
             for row, own in rule.sets(batch.column(1)):
                 n[row] = len(own)
                 if len(own):
-                    nodes[row] = _node(own)
+                    nodes[row], sketches[row] = _node(own), _sketch(own)
                     waiting.append(own)
                     held += len(own)
                     if held > 1 << 20:
@@ -106,12 +116,12 @@ def _profile(rule: Rule):
                 counts += np.bincount(_cells(np.concatenate(waiting)), minlength=len(counts))
             none = pa.nulls(batch.num_rows, pa.int64())
             kept, more_of = [batch.column(k) for k in range(2, batch.num_columns)], batch.schema.names[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(nodes), none, none, *kept], ["doc_id", "n_shingles", "node", "cell", "hits", *more_of])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(nodes), none, none, *(pa.array(np.ascontiguousarray(c)) for c in sketches.T), *kept], ["doc_id", "n_shingles", "node", "cell", "hits", *SKETCH, *more_of])
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 20_000):
             part = at[i : i + 20_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part), pa.array(counts[part]), *[none] * len(more_of)], ["doc_id", "n_shingles", "node", "cell", "hits", *more_of])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part), pa.array(counts[part]), *[none] * (len(SKETCH) + len(more_of))], ["doc_id", "n_shingles", "node", "cell", "hits", *SKETCH, *more_of])
 
     return run
 
@@ -211,8 +221,8 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     more_of = ["text_hash"] if first_of else []
     read = texts.select("*", *[F.xxhash64("text").alias(c) for c in more_of])
-    profile = stored(read.mapInArrow(_profile(rule), "doc_id long, n_shingles long, node long, cell long, hits long" + "".join(f", {c} long" for c in more_of)), "profile")
-    base = profile.where("cell IS NULL").select("doc_id", "n_shingles", "node", *more_of)
+    profile = stored(read.mapInArrow(_profile(rule), "doc_id long, n_shingles long, node long, cell long, hits long" + "".join(f", {c} long" for c in (*SKETCH, *more_of))), "profile")
+    base = profile.where("cell IS NULL").select("doc_id", "n_shingles", "node", *SKETCH, *more_of)
     cells = profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("hits").alias("hits")).toArrow()  # 2**19 rows of 16 bytes at most
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[cells["cell"].to_numpy().astype(np.int64)] = cells["hits"].to_numpy().astype(np.int64)
@@ -228,7 +238,7 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
         .distinct()
     )
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more_of)
-    nodes = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(order).alias("head") for _ in more_of])
+    nodes = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in SKETCH], *[F.min(order).alias("head") for _ in more_of])
     links = _verified(texts, first, nodes, rule, shared)
 
     # Two hops of least labels join all leaves of a pivot; unequal labels only cost comparisons.
@@ -240,7 +250,7 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     longer = stored(lists.where("third").select("token").distinct(), "longer")
     wide = maybe_in(lists, F.col("token"), longer, "__longer", longer.count()).where("__longer")
     marked = stored(
-        wide.join(label, "node", "left").join(far, "pivot", "left").select("token", "part", "n_parts", "node", "size", "pos", "least_size", F.coalesce("l2", "node").alias("label"), F.coalesce("pivot_l2", "pivot").alias("main")),
+        wide.join(label, "node", "left").join(nodes.select("node", *SKETCH), "node").join(far, "pivot", "left").select("token", "part", "n_parts", "node", *SKETCH, "size", "pos", "least_size", F.coalesce("l2", "node").alias("label"), F.coalesce("pivot_l2", "pivot").alias("main")),
         "labelled",
     )
     least_partner = f"greatest(least_size, CAST(ceil({rule.percent} * size / 100.0) AS LONG))"
@@ -248,11 +258,14 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     labelled = marked.withColumn("odd", is_odd)
     # A long list is dealt out in parts; each of its odd members meets all of them.
     every_part = F.explode(F.expr("sequence(0L, n_parts - 1)")).alias("at")
-    odd = labelled.where("odd").select(F.col("token").alias("t"), every_part, F.col("node").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
+    odd = labelled.where("odd").select(F.col("token").alias("t"), every_part, F.col("node").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"), F.col("label").alias("xl"), *[F.col(c).alias(f"x{c}") for c in SKETCH])
+    unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x{c}"))) for c in SKETCH), F.lit(0))
+    # Of both sets' tokens, those that are not unlike make up twice the intersection at most.
+    alike = (F.col("xs") + F.col("size") - unlike) * (100 + rule.percent) >= 2 * rule.percent * (F.col("xs") + F.col("size"))
     # Of two odd members, only the one of the smaller number makes the pair.
     once = ~F.col("odd") | (F.col("x") < F.col("node"))
     second = (
-        odd.join(labelled, (F.col("t") == F.col("token")) & (F.col("at") == F.col("part")) & once & (F.col("xl") != F.col("label")) & close("xs", "size") & (F.expr("least(xs - xp, size - pos)") >= need("xs", "size")))
+        odd.join(labelled, (F.col("t") == F.col("token")) & (F.col("at") == F.col("part")) & once & (F.col("xl") != F.col("label")) & close("xs", "size") & (F.expr("least(xs - xp, size - pos)") >= need("xs", "size")) & alike)
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
