@@ -106,6 +106,16 @@ def test_fetching_with_retries_and_pace(spark):
     assert sorted((r.n, r.html) for r in got) == [(1, "<a>"), (2, "<b>"), (3, None)]
 
 
+def test_summaries_are_written(spark, tmp_path):
+    import oracle
+    from trendloom.plans import reports
+
+    reports.write_summaries(spark, oracle.DATA, str(tmp_path))
+    made = {p.name: spark.read.option("header", True).csv(str(p)) for p in tmp_path.iterdir()}
+    assert set(made) == set(reports.summaries(spark, oracle.DATA)) and made["top_topics_overall"].count() == 10
+    assert made["top_topics_per_venue"].columns == ["conference", "k", "count"]
+
+
 def test_element_tree():
     root = dom.parse("<div id=a class='x y'>one<br>two<p>three <b>four</b><script>no</script></div></i>five &amp; six")
     div = next(root.all("div"))
@@ -128,7 +138,9 @@ def test_abstract_layouts():
     assert len(of("https://openaccess.thecvf.com/x", f"<div id=abstract>{LONG * 300}</div>")) == len(LONG) * 300 - 1
     assert of("https://elsewhere", f"<div class=abstract>{LONG}</div>") is None and of(None, None) is None
     older = abstracts.OLDER_SITES
-    assert of("https://papers.nips.cc/x", f"<h3>Abstract</h3><p>{LONG * 2}</p>", older) == (LONG * 2).strip()
+    assert of("https://papers.nips.cc/x", "<h3>Abstract</h3><p>Abstract: brief</p>", older) == "Abstract: brief"
+    assert of("https://papers.nips.cc/x", f"<h3>Summary</h3><p>{LONG}</p><div class=Abstracts>{LONG}</div>", older) is None
+    assert of("https://openaccess.thecvf.com/x", f"<section id=theAbstract>{LONG}</section>", older) == LONG.strip()
 
 
 def test_filling_with_a_limit(spark):

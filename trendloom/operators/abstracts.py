@@ -22,20 +22,23 @@ class Place:
     ``kind`` is "css" (tag, all classes in value), "id" (its id is value),
     "class" or "any id" (value is part of it, in any case), "heading" (what follows
     the first of the tags whose text is value) or "heading has" (holds value).
+    ``least`` is the least length of an abstract there, else the site's.
     """
 
     kind: str
     tags: tuple[str, ...]
     value: str
+    least: int | None = None
 
 
 @dataclass(frozen=True)
 class Site:
-    """The places of a site, tried in order, with the least length of an abstract and a cap."""
+    """The places of a site, tried in order, with the least length of an abstract and a cap; ``raw`` leaves the text as it is."""
 
     places: tuple[Place, ...]
     least: int = 30
     cap: int | None = None
+    raw: bool = False
 
 
 _BY_CLASS = Place("class", ("div",), "abstract")
@@ -48,12 +51,12 @@ SITES = {
     "neurips.cc": Site((Place("css", ("p",), "paper-abstract"), Place("heading has", ("h4", "h3", "h2"), "abstract"), _BY_CLASS)),
     "openreview.net": Site((Place("css", ("div",), "note-content-value"), Place("css", ("div",), "markdown-content")), least=60, cap=8000),
 }
-# The older layouts, which take the text as it is.
+# The older layouts, which take the text as it is, and after a heading at any length.
 OLDER_SITES = {
-    "thecvf.com": Site((Place("any id", ("div", "section"), "abstract"), Place("class", ("div", "section"), "abstract"), Place("heading has", ("h2", "h3", "h4"), "abstract")), least=31),
-    "aclanthology.org": Site((Place("class", ("div",), "abstract"), Place("heading has", ("h2", "h3"), "abstract")), least=31),
-    "proceedings.mlr.press": Site((Place("heading", ("h4", "h3"), "abstract"), _BY_CLASS), least=51),
-    "papers.nips.cc": Site((Place("heading", ("h4", "h3"), "abstract"), _BY_CLASS), least=51),
+    "thecvf.com": Site((Place("any id", ("div", "section"), "abstract"), Place("class", ("div", "section"), "abstract"), Place("heading has", ("h2", "h3", "h4"), "abstract", 1)), least=31, raw=True),
+    "aclanthology.org": Site((_BY_CLASS, Place("heading has", ("h2", "h3"), "abstract", 1)), least=31, raw=True),
+    "proceedings.mlr.press": Site((Place("heading", ("h4", "h3"), "abstract", 1), _BY_CLASS), least=51, raw=True),
+    "papers.nips.cc": Site((Place("heading", ("h4", "h3"), "abstract", 1), _BY_CLASS), least=51, raw=True),
 }
 
 
@@ -93,8 +96,8 @@ def abstract_of(url: str | None, html: str | None, sites: Mapping[str, Site] = S
     for place in site.places:
         for e in _found(root, place):
             raw = e.text()
-            text = clean(raw)
-            if (len(raw) if site.cap else len(text)) >= site.least:
+            text = raw if site.raw else clean(raw)
+            if (len(raw) if site.cap else len(text)) >= (site.least if place.least is None else place.least):
                 return text[: site.cap]
     return None
 

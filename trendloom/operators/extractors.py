@@ -91,8 +91,11 @@ def phrases_by(found_by: Extractor | str | None, text: Column, generic: Sequence
                 return ""
             out = kept(find(t, runs, 2 * most, diversity))
             if len(out) < few:
-                have = {p.lower() for p in out}
-                out += [w for w in find(t, (1, 1), 2 * most, diversity) if w not in stop and len(w) > 2 and w.lower() not in have]
+                have = {p.lower(): p for p in out}
+                for w in find(t, (1, 1), 2 * most, diversity):
+                    if w.lower() not in stop and len(w) > 2:
+                        have.setdefault(w.lower(), w)
+                out = list(have.values())
             return "; ".join(out[:most])
 
         return texts.map(one)

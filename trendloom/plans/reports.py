@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trendloom.operators import cube as C
 from trendloom.operators import labels as L
 from trendloom.operators import signature as S
+from trendloom.sources import files
 from trendloom.sources import fixtures as T
 
 #: Count rules for the small counts of the derived cube.
@@ -51,3 +52,18 @@ def robustness(spark: SparkSession, d: str) -> DataFrame:
     labels, titles = C.topic_year_shares(label_cube(spark, d)), title_shares(spark, d)
     main = S.backtest(labels, S.freeze_thresholds(labels, rules), window=rules.window)
     return S.robustness(main, S.evaluated(titles, S.freeze_thresholds(titles, rules), window=rules.window))
+
+
+def summaries(spark: SparkSession, d: str, top: int = 10) -> dict[str, DataFrame]:
+    """The summary tables of a report: papers by year and venue, the most frequent labels overall and by venue."""
+    papers, found = L.main_track(T.papers(spark, d)), mentions(spark, d, "t1")
+    return {
+        "papers_per_year_per_venue": C.papers_by(papers, "year", "conference"),
+        "top_topics_overall": L.top_labels(found, top),
+        "top_topics_per_venue": L.top_labels(found, top, ["conference"]).select("conference", "k", "count"),
+    }
+
+
+def write_summaries(spark: SparkSession, d: str, folder: str, top: int = 10) -> None:
+    for name, table in summaries(spark, d, top).items():
+        files.write_csv(table, f"{folder.rstrip('/')}/{name}")
