@@ -109,18 +109,20 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, per
     named.setdefault(OTHER, sum(named.values()) / max(1, len(named)) or 1.0)
     listed = docs.sparkSession.createDataFrame([(n,) for n in named if n != OTHER], "__listed string")
     source = F.col(source_col).cast("string")
+    # With the text, so that rows without an id, or with the same, are scattered too.
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col) if c in docs.columns]
+    order = F.conv(F.substring(F.sha2(F.concat_ws("\n", *said), 256), 1, 15), 16, 10).cast("long")
     rows = docs.join(F.broadcast(listed), source == F.col("__listed"), "left").select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce("__listed", F.lit(OTHER)).alias("source"),
         F.greatest(F.expr(size).cast("long"), F.lit(1)).alias("__size"),
-        # With the text, so that rows without an id, or with the same, are scattered too.
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"), *(F.col(c).cast("string") for c in (text_col,) if c in docs.columns)).alias("__order"),
+        order.alias("__order"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []),
     )
     # Rows before a row, without a window over a whole source: sums of hash ranges first, then within each.
     most = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, (int(most) // BUCKET_ROWS).bit_length())
-    rows = rows.withColumn("__part", F.shiftrightunsigned("__order", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("__part", F.shiftright("__order", 60 - bits))
     sums = stored(rows.groupBy("source", "__part").agg(F.sum("__size").alias("n")), "sums")
     # Sums before a hash range in two steps, over ranges of ranges and within each: no window holds more than the root of a source's ranges.
     sums = sums.withColumn("__wide", F.shiftright("__part", (bits + 1) // 2))

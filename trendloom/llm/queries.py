@@ -46,6 +46,20 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.tempered_weights(docs))
 
 
+# Times of the fluid mixture are sums over all sources; the schedule goes slot by slot, its blocks numbered by deadline.
+OP4_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(other)') AS source, strlen(coalesce(text, '')) AS bytes, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, ''))[:15] AS o FROM documents),
+p AS (SELECT *, CAST(sum(greatest(bytes, 1)) OVER (PARTITION BY source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - greatest(bytes, 1) AS BIGINT) AS place FROM d),
+w AS (SELECT source, sqrt(greatest(sum(bytes), 1)) AS w, CAST(ceil(sum(greatest(bytes, 1)) / 100000.0) AS BIGINT) AS b FROM d GROUP BY source),
+t AS (SELECT x.source, j, sum(least(m.b, m.w * j / x.w)) AS t0, sum(least(m.b, m.w * (j + 1) / x.w)) AS t1 FROM w x, unnest(range(0, x.b)) u(j), w m GROUP BY x.source, j),
+jobs AS (SELECT source, j, floor(round(t0, 6)) AS release, row_number() OVER (ORDER BY ceil(round(t1, 6)), source, j) AS id FROM t),
+s AS (SELECT CAST(-1 AS BIGINT) AS slot, CAST([] AS BIGINT[]) AS done
+  UNION ALL SELECT slot + 1, list_append(done, (SELECT min(id) FROM jobs WHERE release <= slot + 1 AND NOT list_contains(done, id))) FROM s WHERE slot + 1 < (SELECT count(*) FROM jobs)),
+placed AS (SELECT unnest(done) AS id, generate_subscripts(done, 1) - 1 AS slot FROM s WHERE slot = (SELECT max(slot) FROM s))
+SELECT p.doc_id, p.source, jobs.j AS block, placed.slot, p.place FROM p JOIN jobs ON jobs.source = p.source AND jobs.j = p.place // 100000 JOIN placed ON placed.id = jobs.id
+"""
+
+
 def op5_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -155,4 +169,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op6_merkle_fixity": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_pfair_mixing": OP4_SQL, "op6_merkle_fixity": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
