@@ -99,21 +99,26 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each written to the shared
     folder, until no edge changes; O(log^2 n) rounds.  No node, edge or component
     list is brought to the driver, only a count and a checksum a round.  Least
-    neighbours are combined before the shuffle, and the joins are of two shuffled
-    sides, so that adaptive execution splits the edges of a root that holds many.
+    neighbours are combined before the shuffle.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def large(e: DataFrame) -> DataFrame:
-        s = both(e)
-        least = s.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return s.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    def least_of(s: DataFrame, own: bool) -> DataFrame:
+        """Each node's least neighbour, or itself if that is less; a table, so that the join with it may split a node of very many edges."""
+        found = s.groupBy("a").agg(F.min("b").alias("m"))
+        return stored(found.select("a", F.least("a", "m").alias("m")) if own else found, "least")
 
-    def small(e: DataFrame) -> DataFrame:
-        s = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = s.groupBy("a").agg(F.min("b").alias("m"))
-        moved = s.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    def starred(e: DataFrame) -> DataFrame:
+        """A large-star and a small-star step."""
+        s = both(e)
+        first = least_of(s, True)
+        moved = s.where("b > a").join(first, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        wide = stored(moved.distinct(), "edges")
+        second = least_of(wide, False)
+        moved = wide.join(second, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        out = stored(moved.union(second.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        released(first, wide, second)
+        return out
 
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % (1 << 30)).cast("long"))).first())
@@ -121,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = sign(now)
     while before[0]:
-        last, now = now, stored(small(large(now)), "edges")
+        last, now = now, starred(now)
         released(last)
         after = sign(now)
         if after == before:
