@@ -363,7 +363,7 @@ t AS (SELECT *, len(string_split(phrase, ' ')) AS size FROM l WHERE i <= 15),
 k AS (SELECT * FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE a.doc_id = b.doc_id AND a.phrase <> b.phrase AND contains(b.phrase, a.phrase) AND (b.size > a.size OR (b.size = a.size AND b.i < a.i))))
 SELECT d.doc_id, coalesce(string_agg(phrase, '; ' ORDER BY size DESC, i), '') AS keywords FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""")
 def frequency_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return K.frequent_phrases(T.table(spark, d, "documents"), "doc_id", "text")
+    return T.table(spark, d, "documents").select("doc_id", K.frequent_phrases(F.col("text")).alias("keywords"))
 
 
 # --- series ------------------------------------------------------------------------

@@ -219,7 +219,7 @@ def enriched_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Short keywords by the cascade, from a short abstract that even papers have."""
     short = F.when(F.col("paper") % 2 == 0, F.concat(F.lit("the new "), F.col("paper").cast("string"), F.lit(" gearboxes"))).otherwise("")
     rows = T.papers(spark, d).select("paper", F.lit("").alias("title"), short.alias("abstract"), "keywords")
-    return keywords.enriched(rows, "paper").select("paper", "keywords")
+    return keywords.enriched(rows).select("paper", "keywords")
 
 
 # --- files and text functions ------------------------------------------------------

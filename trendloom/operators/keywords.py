@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
@@ -124,45 +124,46 @@ def topic_and_methods(title: Column, abstract: Column, most: int = 15) -> Column
     return F.when(F.length(text) < 20, "").otherwise(_let(X.sentences(text), of))
 
 
-def frequent_phrases(docs: DataFrame, id_col: str, text_col: str, most: int = 15) -> DataFrame:
-    """id, keywords: for each id the most frequent runs of three and two content words, filled up with single words.
+def most_frequent(values: Column, most: int) -> Column:
+    """The most frequent strings of an array, ties by first place: sorted once and cut into runs of equals, all within the row."""
+
+    def of(ordered: Column) -> Column:
+        differs = lambda j: (j == 0) | (F.get(ordered, j)["v"] != F.get(ordered, j - 1)["v"])
+
+        def counted(starts: Column) -> Column:
+            one = lambda j, k: F.struct((j - F.coalesce(F.get(starts, k + 1), F.size(ordered))).alias("w"), F.get(ordered, j)["i"].alias("i"), F.get(ordered, j)["v"].alias("v"))
+            return F.transform(F.slice(F.sort_array(F.transform(starts, one)), 1, most), lambda x: x["v"])
+
+        return _let(F.filter(F.transform(ordered, lambda x, j: j), differs), counted)
+
+    return _let(F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), of)
+
+
+def frequent_phrases(text: Column, most: int = 15) -> Column:
+    """The most frequent runs of three and two content words of a text, filled up with single words, joined by "; ".
 
     Ties go to what comes first: runs of three before those of two, then by place.
-    Generic words, and phrases within others, are left out; texts of less than ten
-    characters have none.  Ids are taken to be one a document; null ids are left
-    out.  A document's phrases are counted before they move, and no more than
-    ``most`` of each kind meet again.
+    Generic words, and phrases within others, are left out; a null text and one of
+    less than ten characters have none.  No row moves.
     """
     stop = sorted({*GENERIC, *COMMON_FREQUENT})
-    text = F.col(text_col).cast("string")
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.when(F.length(X.strip(text)) >= 10, text).otherwise("").alias("__text"))
-    words = X.words(F.col("__text"), "[a-z]{3,}")
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), content_runs(words, (3, 2), stop).alias("p")), F.struct(F.lit(1).alias("kind"), content_runs(words, (1,), stop).alias("p")))
-    rows = docs.select("__id", F.explode(kinds).alias("k")).select("__id", "k.kind", F.posexplode("k.p").alias("at", "phrase"))
-    counted = rows.groupBy("__id", "kind", "phrase").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    place = F.row_number().over(Window.partitionBy("__id", "kind").orderBy(F.desc("n"), "at"))
-    top = counted.withColumn("place", place).where(F.col("place") <= most)
-    listed = top.groupBy("__id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("kind", "place", "phrase"))), lambda x: x["phrase"]), 1, most).alias("p"))
-    out = listed.select("__id", F.slice(specific_phrases(F.col("p")), 1, most).alias("p"))
-    return docs.select("__id").join(out, "__id", "left").select(F.col("__id").alias(id_col), F.coalesce(F.array_join("p", "; "), F.lit("")).alias("keywords"))
-
-
-def keyword_cascade(papers: DataFrame, id_col: str, extractor: Extractor | None = None, most: int = 15) -> DataFrame:
-    """papers with ``made``: topic and methods, else the extractor's phrases, else frequent phrases; empty if the texts are short."""
+    top = lambda w, sizes: most_frequent(content_runs(w, sizes, stop), most)
+    found = _let(X.words(F.coalesce(text, F.lit("")), "[a-z]{3,}"), lambda w: F.slice(F.concat(top(w, (3, 2)), top(w, (1,))), 1, most))
+    return F.when(F.length(X.strip(text)) >= 10, F.array_join(F.slice(specific_phrases(found), 1, most), "; ")).otherwise("")
+
+
+def keyword_cascade(papers: DataFrame, extractor: Extractor | str | None = None, most: int = 15) -> DataFrame:
+    """papers with ``made``: topic and methods, else the extractor's phrases if one is given, else frequent phrases; empty if the texts are short."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in papers.columns else F.lit("")
-    parts = [F.nullif(has(c), F.lit("")) for c in ("title", "abstract", "TLDR")]
-    rows = papers.withColumn("__text", X.strip(F.concat_ws(" ", *parts))).withColumn("__m7", topic_and_methods(has("title"), has("abstract"), most))
+    text = X.strip(F.concat_ws(" ", *[F.nullif(has(c), F.lit("")) for c in ("title", "abstract", "TLDR")]))
+    tried = [topic_and_methods(has("title"), has("abstract"), most)]
     if extractor is not None:
-        rows = rows.withColumn("__m8", phrases_by(extractor, F.col("__text"), generic=GENERIC, least_chars=20, runs=(2, 4), diversity=0.75, most=most, few=most // 2))
-    rest = rows.where("__m7 = '' AND length(__text) >= 15")
-    frequent = frequent_phrases(rest, id_col, "__text", most).withColumnRenamed(id_col, "__id").withColumnRenamed("keywords", "__m9").dropDuplicates(["__id"])
-    rows = rows.join(frequent, F.when(F.col("__m7") == "", F.col(id_col)) == F.col("__id"), "left")
-    found = F.coalesce(F.nullif("__m7", F.lit("")), *([F.nullif("__m8", F.lit(""))] if extractor is not None else []), F.col("__m9"), F.lit(""))
-    return rows.select(*[F.col(f"`{c}`") for c in papers.columns], F.when(F.length("__text") < 15, "").otherwise(found).alias("made"))
+        tried.append(phrases_by(extractor, text, generic=GENERIC, least_chars=20, runs=(2, 4), diversity=0.75, most=most, few=most // 2))
+    found = F.coalesce(*[F.nullif(t, F.lit("")) for t in tried], frequent_phrases(text, most))
+    return papers.withColumn("made", F.when(F.length(text) < 15, "").otherwise(found))
 
 
-def enriched(papers: DataFrame, id_col: str, extractor: Extractor | None = None, least: int = 10, most: int = 15) -> DataFrame:
+def enriched(papers: DataFrame, extractor: Extractor | str | None = None, least: int = 10, most: int = 15) -> DataFrame:
     """papers whose absent or short keywords are replaced by what the cascade makes, if anything."""
-    made = keyword_cascade(papers, id_col, extractor, most)
     keywords = X.update_where(X.is_short(F.col("keywords"), least), F.col("made"), F.coalesce("keywords", F.lit("")), empty_too=False)
-    return made.select(*[keywords.alias(c) if c == "keywords" else F.col(f"`{c}`") for c in papers.columns])
+    return keyword_cascade(papers, extractor, most).select(*[keywords.alias(c) if c == "keywords" else F.col(f"`{c}`") for c in papers.columns])
