@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +37,25 @@ def normalise_phrase(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\-]+", " "))
 
 
-def ngrams(text: Column, least: int = 1, most: int = 5) -> Column:
-    """All runs of least..most words of a blank-separated text, shorter runs first, each in order of place."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs(words: Column, n: int) -> Column:
+    """Runs of n words in order of place; those with a null word, and those that would go beyond the end, are left out."""
 
-    def of(words: Column, n: int) -> Column:
-        # A lambda of one parameter: with two, transform would pass the element's index.
-        runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    def of(word: Column, i: Column) -> Column:
+        # Joined by concat, which is null as soon as one part is.
+        return F.concat(word, *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))])
 
-    # The words are a lambda's variable, so that text is worked out once and not for each run.
-    made = F.transform(F.array(F.split(text, " ")), lambda words: F.flatten(F.array(*[of(words, n) for n in range(least, most + 1)])))
-    return F.coalesce(F.get(made, F.lit(0)), F.array().cast("array<string>"))
+    return F.array_compact(F.transform(words, of))
+
+
+def ngrams(text: Column, least: int = 1, most: int = 5) -> Column:
+    """All runs of least..most words of a blank-separated text, shorter runs first, each in order of place."""
+    made = let(F.split(text, " "), lambda words: F.flatten(F.array(*[runs(words, n) for n in range(least, most + 1)])))
+    return F.coalesce(made, F.array().cast("array<string>"))
 
 
 def year_of(c: Column) -> Column:

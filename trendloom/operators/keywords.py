@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,25 +73,11 @@ METHOD_CUES = [
 ]
 
 
-def _literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def content_runs(words: Column, sizes: Sequence[int], stop: Sequence[str], least_chars: int = 0) -> Column:
     """Runs of so many words, sizes in the order given, each in order of place, without any stop word."""
-    none = F.array().cast("array<string>")
-
-    def of(w: Column, n: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.slice(w, i + 1, n))
-        kept = F.filter(runs, lambda r: ~F.arrays_overlap(r, _literals(stop)))
-        return F.when(F.size(w) >= n, F.transform(kept, lambda r: F.array_join(r, " "))).otherwise(none)
-
-    made = F.coalesce(_let(words, lambda w: F.flatten(F.array(*[of(w, n) for n in sizes]))), none)
+    kept = F.transform(words, lambda w: F.when(~w.isin(*stop), w))
+    made = X.let(kept, lambda own: F.flatten(F.array(*[X.runs(own, n) for n in sizes])))
+    made = F.coalesce(made, F.array().cast("array<string>"))
     return F.filter(made, lambda p: F.length(p) >= least_chars) if least_chars else made
 
 
@@ -101,7 +87,7 @@ def specific_phrases(phrases: Column, stop: Sequence[str] = GENERIC) -> Column:
 
     def step(kept: Column, x: Column) -> Column:
         low = F.lower(x["p"])
-        bad = (x["p"] == "") | ((x["w"] == -1) & F.array_contains(_literals(stop), low)) | F.exists(kept, lambda k: F.contains(F.lower(k), low) & (F.lower(k) != low))
+        bad = (x["p"] == "") | ((x["w"] == -1) & low.isin(*stop)) | F.exists(kept, lambda k: F.contains(F.lower(k), low) & (F.lower(k) != low))
         return F.when(bad, kept).otherwise(F.concat(kept, F.array(x["p"])))
 
     return F.aggregate(ordered, F.array().cast("array<string>"), step)
@@ -113,7 +99,7 @@ def topic_and_methods(title: Column, abstract: Column, most: int = 15) -> Column
     title = F.coalesce(title, F.lit(""))
     text = X.strip(F.concat(title, F.lit(" . "), F.coalesce(abstract, F.lit(""))))
     runs = lambda c: content_runs(X.words(c), (3, 2, 1), stop, 4)
-    cue = lambda s: F.exists(_literals(METHOD_CUES), lambda c: F.contains(F.lower(s), c))
+    cue = lambda s: F.lower(s).rlike("|".join(METHOD_CUES))
 
     def of(parts: Column) -> Column:
         methods = F.slice(F.array_distinct(F.flatten(F.transform(F.filter(parts, cue), runs))), 1, half)
@@ -121,7 +107,7 @@ def topic_and_methods(title: Column, abstract: Column, most: int = 15) -> Column
         part = lambda name, found: F.when(F.size(found) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(found, 1, 8), "; ")))
         return F.concat_ws(" ", part("Topic", topics), part("Methods", methods))
 
-    return F.when(F.length(text) < 20, "").otherwise(_let(X.sentences(text), of))
+    return F.when(F.length(text) < 20, "").otherwise(X.let(X.sentences(text), of))
 
 
 def most_frequent(values: Column, most: int) -> Column:
@@ -134,9 +120,9 @@ def most_frequent(values: Column, most: int) -> Column:
             one = lambda j, k: F.struct((j - F.coalesce(F.get(starts, k + 1), F.size(ordered))).alias("w"), F.get(ordered, j)["i"].alias("i"), F.get(ordered, j)["v"].alias("v"))
             return F.transform(F.slice(F.sort_array(F.transform(starts, one)), 1, most), lambda x: x["v"])
 
-        return _let(F.filter(F.transform(ordered, lambda x, j: j), differs), counted)
+        return X.let(F.filter(F.transform(ordered, lambda x, j: j), differs), counted)
 
-    return _let(F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), of)
+    return X.let(F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), of)
 
 
 def frequent_phrases(text: Column, most: int = 15) -> Column:
@@ -148,7 +134,7 @@ def frequent_phrases(text: Column, most: int = 15) -> Column:
     """
     stop = sorted({*GENERIC, *COMMON_FREQUENT})
     top = lambda w, sizes: most_frequent(content_runs(w, sizes, stop), most)
-    found = _let(X.words(F.coalesce(text, F.lit("")), "[a-z]{3,}"), lambda w: F.slice(F.concat(top(w, (3, 2)), top(w, (1,))), 1, most))
+    found = X.let(X.words(F.coalesce(text, F.lit("")), "[a-z]{3,}"), lambda w: F.slice(F.concat(top(w, (3, 2)), top(w, (1,))), 1, most))
     return F.when(F.length(X.strip(text)) >= 10, F.array_join(F.slice(specific_phrases(found), 1, most), "; ")).otherwise("")
 
 
