@@ -278,6 +278,7 @@ def near_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     least = of.groupBy("root").agg(F.min("rep").alias("least"), *[F.min("head").alias("least_head") for _ in more_of])
     joined = of.join(least, "root").select("node", "least", *[F.col("least_head") for _ in more_of])
     known = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"), *[F.coalesce("least_head", "head").alias("head") for _ in more_of])
+    known = stored(known, "known")  # a table, so that the join below may split a node of very many equal texts
     out = base.join(known, (base["node"] == known["node"]) & (base["n_shingles"] > 0), "left")
     is_first = F.col("head").isNull() | (F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & F.col("head.text_hash").eqNullSafe(F.col("text_hash"))) if first_of else None
     return out.select(
