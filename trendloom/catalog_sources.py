@@ -284,4 +284,4 @@ def console_table(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type AS topic, date_trunc('day', ts) AS start, count(*) AS count FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The streaming cube's counts over a table that has ended."""
-    return windowed_counts(T.table(spark, d, "events"))
+    return windowed_counts(T.table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
