@@ -28,6 +28,7 @@ from trendloom.llm.shared import stored
 
 OTHER = "(other)"
 BUCKET_ROWS = 256
+BROADCAST_BLOCKS = 1 << 20
 CHUNK = 256  # blocks whose slots make one row of the plan
 
 
@@ -100,8 +101,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, per
     list, null too, are mixed as "(other)", whose weight is ``weights["(other)"]``
     or else the mean weight.  Weights hold exactly; only with ``period`` are they
     first rounded to whole shares of so many slots.  The driver holds a number
-    for each source and each block, and the blocks' numbers are broadcast.  Null ids, repeated
-    rows, empty texts and ties are rows like others.  With keep_row the struct
+    for each source and each block: ``block`` is to be chosen so that there are
+    some millions of blocks at most.  Their numbers are broadcast if they are few.
+    Null ids, repeated rows, empty texts and ties are rows like others.  With keep_row the struct
     ``row`` holds the columns of docs, whatever their names.  An empty table
     gives an empty one.
     """
@@ -142,7 +144,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = 100_000, per
     kind = pa.schema([("__s", pa.string()), ("__chunk", pa.int64()), ("__slots", pa.list_(pa.int64()))])
     steps = stored(docs.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*chunks, strict=True)) or [[]] * 3, kind, strict=True)], kind)), "slots")
     chunk = F.floor(F.col("block") / CHUNK).cast("long")
-    timed = rows.join(F.broadcast(steps), (F.col("source") == F.col("__s")) & (chunk == F.col("__chunk")))
+    # Eight bytes a block: broadcast up to 8 MB, beyond that the planner deals both sides out.
+    timed = rows.join(F.broadcast(steps) if sum(map(len, plan.values())) <= BROADCAST_BLOCKS else steps, (F.col("source") == F.col("__s")) & (chunk == F.col("__chunk")))
     slot = F.get("__slots", (F.col("block") % CHUNK).cast("int"))
     return timed.select("doc_id", "source", "block", slot.alias("slot"), F.col("__at").alias("place"), *(["row"] if keep_row else []))
 
