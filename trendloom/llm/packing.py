@@ -82,12 +82,14 @@ class TokenIds:
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in special}
         return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, text: str) -> bytes:
-        if self.fast is not None and not any(s in text for s in self.special):
+    def __call__(self, text: str, special: bool = True) -> bytes:
+        """With ``special``, special strings in the text become their own ids; without, ordinary text."""
+        if self.fast is not None and not (special and any(s in text for s in self.special)):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
             except ValueError:  # the pattern's backtracking has a limit
                 pass
+        self.slow.encode_special_tokens = not special
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, secret_scan, spotsigs
+from trendloom.llm import alignment, concurrency, exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, secret_scan, spotsigs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +157,29 @@ reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reac
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = s.doc_id), s.doc_id)) AS component_id FROM s
 """
 
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open sales of every nation, and of all together (-2), at each moment they change."""
+    sales = concurrency.sale_intervals(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clients"))
+    return concurrency.concurrency(sales)
+
+
+OP12_SQL = """
+WITH l AS (SELECT sale_id, max(shipped_at) AS shipped FROM sale_lines GROUP BY sale_id),
+i AS (SELECT coalesce(c.nation_id, -1) AS nation_id, epoch_us(s.sold_at) // 60000000 * 60 AS a, epoch_us(l.shipped) // 60000000 * 60 + 604800 AS b, coalesce(CAST(floor(100 * s.total + 0.5) AS BIGINT), 0) AS cents
+  FROM sales s LEFT JOIN l ON s.sale_id = l.sale_id LEFT JOIN clients c ON s.client_id = c.client_id WHERE s.sold_at IS NOT NULL),
+k AS (SELECT * FROM i WHERE b IS NULL OR b > a), g AS (SELECT * FROM k UNION ALL SELECT -2, a, b, cents FROM k),
+e AS (SELECT nation_id, a AS t, 1 AS n, cents FROM g UNION ALL SELECT nation_id, b, -1, -cents FROM g WHERE b IS NOT NULL),
+s AS (SELECT nation_id, t, sum(n) AS n, sum(cents) AS cents FROM e GROUP BY ALL HAVING sum(n) <> 0 OR sum(cents) <> 0),
+o AS (SELECT CAST(nation_id AS INTEGER) AS nation_id, CAST(t AS BIGINT) AS from_s, CAST(lead(t) OVER w AS BIGINT) AS to_s, CAST(sum(n) OVER w AS BIGINT) AS n_open, CAST(sum(cents) OVER w AS BIGINT) AS open_cents
+  FROM s WINDOW w AS (PARTITION BY nation_id ORDER BY t))
+SELECT *, max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s) AS high_open, n_open = max(n_open) OVER (PARTITION BY nation_id) AS is_peak FROM o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -168,5 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_peak_concurrency": op12_peak_concurrency,
 }
-ORACLES: dict[str, str] = {"op4_pfair_mixing": OP4_SQL, "op6_merkle_fixity": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_pfair_mixing": OP4_SQL, "op6_merkle_fixity": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op12_peak_concurrency": OP12_SQL}
