@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import alignment, concurrency, exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, secret_scan, spotsigs
+from trendloom.llm import alignment, concurrency, exact_dedup, fixity, html_extract, mixing, ngram_join, packing, pii, quality, secret_scan, spotsigs, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,6 +180,13 @@ o AS (SELECT CAST(nation_id AS INTEGER) AS nation_id, CAST(t AS BIGINT) AS from_
 SELECT *, max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s) AS high_open, n_open = max(n_open) OVER (PARTITION BY nation_id) AS is_peak FROM o
 """
 
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -193,5 +200,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_peak_concurrency": op12_peak_concurrency,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES: dict[str, str] = {"op4_pfair_mixing": OP4_SQL, "op6_merkle_fixity": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op12_peak_concurrency": OP12_SQL}
