@@ -1,8 +1,8 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
 A window is a word with the blanks around it, every character written as two
-bytes of a fixed code, so that a match of the compressor is a few letters long
-rather than a whole word.  Both compressors know the same common dictionary of
+bytes of a fixed code, so that a match of the compressor need only be two letters
+long.  Both compressors know the same common dictionary of
 ordinary text, and behind it one a dictionary of toxic text, the other one more
 of ordinary text, as long.  A window's distance is the number of bytes by which the
 toxic side makes it shorter.  All dictionaries are trained by zstandard; the toxic
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from trendloom.llm.shared import small_batches, stored
 
 LEVEL = 12
-DICTIONARY = 8192
+DICTIONARY, OWN = 8192, 16384  # bytes of the common dictionary, and of each side's own
 WIDTH = 2  # bytes of a character's code
 LONGEST = 48  # characters of a window; a longer run of letters is several
 LABELLED = 10_000  # most labelled texts of either kind that are learned from
-CHARACTERISTIC, ORDINARY = 20_000, 60_000  # most windows that dictionaries are trained on
+CHARACTERISTIC, ORDINARY = 400, 60_000  # most windows that dictionaries are trained on
 SIGNIFICANT = 8.0  # standard deviations between the shares of toxic and of ordinary texts
 DRAWN = 40_000  # windows drawn for a dictionary, by their numbers of texts
 HARD = 4  # bytes from which an ordinary window is one for the second round
@@ -178,13 +178,13 @@ def trained(characteristic: pd.DataFrame, ordinary: pd.DataFrame) -> tuple[bytes
     """The dictionaries of the toxic and of the ordinary side, after the second round."""
     common = _dictionary(_drawn(ordinary, "n0", 1))
     tail = lambda d: d[300:] if d[:4] == b"\x37\xa4\x30\xec" else d  # noqa: E731  content without the tables that a trained one begins with
-    toxic = tail(_dictionary(_drawn(characteristic, "n1", 2)))
+    toxic = tail(_dictionary(_drawn(characteristic, "n1", 2), OWN))
     other = _drawn(ordinary, "n0", 3)
-    first = Distances(common + toxic + _LEAD, common + tail(_dictionary(other)) + _LEAD)
+    first = Distances(common + toxic + _LEAD, common + tail(_dictionary(other, OWN)) + _LEAD)
     hard = ordinary[first(list(ordinary["win"])) >= HARD] if len(ordinary) else ordinary
     if len(hard):
         other = _drawn(hard, "n0", 4)[: DRAWN // 2] + other[: DRAWN // 2]
-    return common + toxic + _LEAD, common + tail(_dictionary(other)) + _LEAD
+    return common + toxic + _LEAD, common + tail(_dictionary(other, OWN)) + _LEAD
 
 
 def calibrated(features: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[tuple, tuple, tuple]:
