@@ -36,7 +36,7 @@ WIDTH = 2  # bytes of a character's code
 LONGEST = 48  # characters of a window; a longer run of letters is several
 LABELLED = 10_000  # most labelled texts of either kind that are learned from
 CHARACTERISTIC, ORDINARY = 400, 60_000  # most windows that dictionaries are trained on
-SIGNIFICANT = 8.0  # standard deviations between the shares of toxic and of ordinary texts
+SIGNIFICANT = 5.0  # standard deviations between the shares of toxic and of ordinary texts
 DRAWN = 40_000  # windows drawn for a dictionary, by their numbers of texts
 HARD = 4  # bytes from which an ordinary window is one for the second round
 STEPS = (4, 6, 8, 10)  # distances from which windows are counted
@@ -175,16 +175,19 @@ def _drawn(found: pd.DataFrame, numbers: str, seed: int) -> list[bytes]:
 
 
 def trained(characteristic: pd.DataFrame, ordinary: pd.DataFrame) -> tuple[bytes, bytes]:
-    """The dictionaries of the toxic and of the ordinary side, after the second round."""
+    """The dictionaries of the toxic and of the ordinary side, after the second round.
+
+    Each begins with the common one, whose tables hold for both; zstandard takes
+    all behind them as content, the few bytes of the other's tables too.
+    """
     common = _dictionary(_drawn(ordinary, "n0", 1))
-    tail = lambda d: d[300:] if d[:4] == b"\x37\xa4\x30\xec" else d  # noqa: E731  content without the tables that a trained one begins with
-    toxic = tail(_dictionary(_drawn(characteristic, "n1", 2), OWN))
+    toxic = _dictionary(_drawn(characteristic, "n1", 2), OWN)
     other = _drawn(ordinary, "n0", 3)
-    first = Distances(common + toxic + _LEAD, common + tail(_dictionary(other, OWN)) + _LEAD)
+    first = Distances(common + toxic + _LEAD, common + _dictionary(other, OWN) + _LEAD)
     hard = ordinary[first(list(ordinary["win"])) >= HARD] if len(ordinary) else ordinary
     if len(hard):
         other = _drawn(hard, "n0", 4)[: DRAWN // 2] + other[: DRAWN // 2]
-    return common + toxic + _LEAD, common + tail(_dictionary(other, OWN)) + _LEAD
+    return common + toxic + _LEAD, common + _dictionary(other, OWN) + _LEAD
 
 
 def calibrated(features: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[tuple, tuple, tuple]:
