@@ -1,23 +1,27 @@
 """Main-text extraction by scoring the tree of containers.
 
 Each paragraph gives points for its length and commas to its parent, half of
-them to the grandparent and a third, a quarter, ... further up; a container's
-sum is discounted by its link density, and raised if its tag or name says that
-it is the article.  The best container wins, with those siblings that look like
-content, and as far up as all of a parent is such.
+them to the grandparent, a quarter and so on further up, in one pass from the
+leaves; a container's sum is discounted by its link density, and raised if its
+tag or name says that it is the article.  The best container wins, with those
+siblings that look like content, and as far up as all of a parent is such.
 
 Elements that by definition are not running text (scripts, menus, buttons, ...)
 give no points and no text.  Forms, and containers whose class or id has a word
-that adverts, menus, notices or reader comments go by, are doubted: their points
-count a tenth against what lies outside of them.  A wrapper of the whole article
-stays for that reason, whatever its name; a sidebar or a thread of comments goes.
+that adverts, menus, notices or reader comments go by, are left out whatever
+their size; two kinds are not: one that holds the page's main heading or its
+main element (a wrapper with an unlucky name), and, on a page that has no other
+text at all, the one with the most points.
+
+Every open element is found by its tag at once, and scores are carried up once,
+so that a page costs time in proportion to its length, however deep it is.
 """
 
 from __future__ import annotations
 
-import heapq
 import html as _html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,15 +41,15 @@ BLOCK = set(
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = BLOCK - {"html", "body"}
 NEVER = RAW | set("head nav aside footer button select option datalist svg math canvas audio video object menu dialog input label legend search".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+ROLES = set("comment navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 # Words in class or id, of what is beside an article and of the article itself.
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar sidebars footer masthead topbar toolbar pagination pager comment comments commentlist disqus respond reply replies discussion notice notices cookie cookies consent gdpr "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets form search toc skip tags".split()
 )
+COMMENTS = set("comment comments commentlist disqus respond reply replies discussion".split())
 ARTICLE = set("article articlebody body content entry main maincontent post story text".split())
-DOUBT = 0.1  # what a point within a doubted container counts against one outside
 RAISED = 4.0  # of article and main
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -58,6 +62,9 @@ class Node:
     parent: Node | None
     never: bool = False
     doubt: bool = False
+    thread: bool = False  # doubted as reader comments
+    inside: bool = False  # within an article or main element
+    wraps: bool = False  # holds the main heading or the main element
     raised: float = 1.0
     total: float = 0.0  # points of all its text
     points: float = 0.0  # those that it got as an ancestor
@@ -72,10 +79,31 @@ class Block:
     links: int
 
 
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether a class or id goes by what is beside an article, and by reader comments.
+
+    A name counts as one of the words that it is made of: side-bar-ad has "ad".  Of
+    a name with words of both kinds ("post-widget") neither counts, unless it
+    speaks of comments ("comment-body"); one name of the article's alone clears all.
+    """
+    beside = thread = False
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        if words & COMMENTS:
+            beside = thread = True
+        elif words & ARTICLE:
+            if not words & NAMES:
+                return False, False
+        else:
+            beside |= bool(words & NAMES)
+    return beside, thread
+
+
 def _judge(node: Node, attributes: str) -> None:
     """Says of a new element whether it never is content, is doubted, or raised."""
     tag, parent = node.tag, node.parent
-    node.never = parent.never or tag in NEVER or (tag == "header" and not _within(parent, ("article", "main")))
+    node.inside = parent.inside or parent.tag in ("article", "main")
+    node.never = parent.never or tag in NEVER or (tag == "header" and not node.inside)
     node.doubt = tag == "form"
     node.raised = RAISED if tag in ("article", "main") else 1.0
     if node.never or not attributes:
@@ -89,39 +117,80 @@ def _judge(node: Node, attributes: str) -> None:
             node.never |= value.strip() == "true"
         elif name == "style":
             node.never |= "display:none" in value.replace(" ", "")
-        elif name in ("class", "id") and tag not in ("article", "main"):
-            # A name counts as one of the words that it is made of: side-bar-ad has "ad".
-            words = set(_WORD.findall(value))
-            beside = words & NAMES or ("header" in words and not _within(parent, ("article", "main")))
-            # Of a name with words of both kinds ("post-widget content"), neither counts.
-            node.doubt |= bool(beside) and not words & ARTICLE
+        elif name in ("class", "id") and tag != "main":
+            beside, thread = _named(value)
+            if tag == "article" and not node.inside:
+                # The page's own article may be named by its parts; a comment's is not.
+                beside &= thread
+            elif "header" in _WORD.findall(value) and not node.inside:
+                beside |= not set(_WORD.findall(value)) & ARTICLE
+            node.doubt |= beside
+            node.thread |= thread
     node.never |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _ATTRIBUTE.sub(lambda m: f" {m[1]}= ", attributes)))
 
 
-def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+class Open:
+    """The open elements, from the root down, each to be found by its tag at once."""
+
+    def __init__(self, root: Node) -> None:
+        self.path, self.by_tag, self.borders = [root], {}, []
+
+    @property
+    def here(self) -> Node:
+        return self.path[-1]
+
+    def enter(self, node: Node) -> None:
+        self.by_tag.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in _BORDERS:
+            self.borders.append(len(self.path))
+        self.path.append(node)
+
+    def find(self, tag: str) -> int:
+        """Depth of the innermost open element of the tag, 0 if there is none; a paragraph is not seen through a border."""
+        at = (self.by_tag.get(tag) or [0])[-1]
+        return 0 if tag == "p" and self.borders and self.borders[-1] > at else at
+
+    def leave(self, depth: int) -> None:
+        """Closes the element at that depth and all within it."""
+        while len(self.path) > depth > 0:
+            tag = self.path.pop().tag
+            self.by_tag[tag].pop()
+            if tag in _BORDERS:
+                self.borders.pop()
+
+    def next_item(self, tag: str) -> None:
+        """An open item of the same list or row ends where the next begins."""
+        stop = max(((self.by_tag.get(t) or [0])[-1] for t in _LISTS), default=0)
+        outer = []
+        for t in _ITEMS[tag]:
+            depths = self.by_tag.get(t) or []
+            k = bisect_right(depths, stop)
+            outer += depths[k : k + 1]
+        if outer:
+            self.leave(min(outer))
+
+
+# What a paragraph's end tag does not reach through, and which items end where another begins.
+_BORDERS = {"table", "td", "th", "ul", "ol", "dl", "article", "section", "main", "div", "blockquote", "body", "html", "nav", "aside", "footer", "form"}
+_LISTS = ("ul", "ol", "menu", "dl", "table", "select")
+_ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; text that lies between block borders is one Block of its container."""
     root = Node("html", None)
-    here, pieces, links, in_link, skip = root, [], 0, 0, None
-    at = 0
+    path, pieces, links, in_link, at = Open(root), [], 0, 0, 0
 
     def flush() -> None:
         nonlocal pieces, links
         text = " ".join("".join(pieces).split())
         if text:
-            here.children.append(Block(text, min(links, len(text))))
+            path.here.children.append(Block(text, min(links, len(text))))
         pieces, links = [], 0
 
     def say(text: str) -> None:
         nonlocal links
-        if here.never or not text:
+        if path.here.never or not text:
             return
         text = _html.unescape(text)
         pieces.append(text)
@@ -156,57 +225,22 @@ def parse(page: str) -> Node:
             flush()
             if not closing:
                 if tag in CLOSES_P:
-                    here = _close(here, "p") or here
-                if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                    here = _close_item(here, tag)
-                node = Node(tag, here, here.never)
+                    path.leave(path.find("p"))
+                if tag in _ITEMS:
+                    path.next_item(tag)
                 if tag not in ("html", "body"):
+                    node = Node(tag, path.here)
                     _judge(node, attributes)
-                    here.children.append(node)
+                    path.here.children.append(node)
                     if not attributes.rstrip().endswith("/") or tag in BLOCK:
-                        here = node
-            elif tag not in ("html", "body"):
-                if tag == "p" and _find(here, "p") is None:
-                    continue
-                closed = _find(here, tag)
-                if closed is not None:
-                    here = closed.parent or root
-                    in_link = 0
+                        path.enter(node)
+            elif tag not in ("html", "body") and path.find(tag):
+                path.leave(path.find(tag))
+                in_link = 0
     flush()
     return root
 
 
-_BORDERS = {"table", "td", "th", "ul", "ol", "dl", "article", "section", "main", "div", "blockquote", "body", "html", "nav", "aside", "footer", "form"}
-
-
-def _find(node: Node, tag: str) -> Node | None:
-    while node is not None and node.parent is not None:
-        if node.tag == tag:
-            return node
-        if tag == "p" and node.tag in _BORDERS:
-            return None
-        node = node.parent
-    return None
-
-
-def _close(node: Node, tag: str) -> Node | None:
-    found = _find(node, tag)
-    return found.parent if found is not None else None
-
-
-def _close_item(here: Node, tag: str) -> Node:
-    """An open item of the same list or row ends where the next begins."""
-    ends = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}[tag]
-    stops = {"ul", "ol", "menu", "dl", "table", "select"}
-    node = here
-    found = here
-    while node is not None and node.parent is not None and node.tag not in stops:
-        if node.tag in ends:
-            found = node.parent
-        node = node.parent
-    return found
-
-
 def _postorder(root: Node) -> Iterator[Node]:
     """Containers after all that they hold; what never is content is left out."""
     stack = [(root, False)]
@@ -226,9 +260,12 @@ def _block_points(block: Block, node: Node) -> float:
 
 
 def _settle(root: Node) -> None:
-    """Doubted containers go, but for those that hold far more than all that lies outside of doubted ones."""
+    """Doubted containers go, but for wrappers of the whole; if then no text is left, the one with the most points comes back, threads of comments last."""
     for node in _postorder(root):
-        node.total = sum(_block_points(c, node) if isinstance(c, Block) else c.total for c in node.children if isinstance(c, Block) or not c.never)
+        own = [c for c in node.children if isinstance(c, Node) and not c.never]
+        node.wraps = node.tag in ("h1", "main") or any(c.wraps for c in own if not c.thread)
+        node.doubt &= not (node.wraps and not node.thread)
+        node.total = sum(_block_points(c, node) for c in node.children if isinstance(c, Block)) + sum(c.total for c in own)
 
     def outermost(node: Node) -> Iterator[Node]:
         stack = [c for c in node.children if isinstance(c, Node)]
@@ -239,34 +276,38 @@ def _settle(root: Node) -> None:
             elif not n.never:
                 stack += [c for c in n.children if isinstance(c, Node)]
 
-    doubted = [(-n.total, k, n) for k, n in enumerate(outermost(root))]
-    heapq.heapify(doubted)
-    rest, k = root.total + sum(t for t, _, _ in doubted), len(doubted)
-    while doubted and DOUBT * -doubted[0][0] > rest:
-        node = heapq.heappop(doubted)[2]
-        rest += node.total
-        for n in outermost(node):
-            rest, k = rest - n.total, k + 1
-            heapq.heappush(doubted, (-n.total, k, n))
-    for _, _, n in doubted:
+    doubted = list(outermost(root))
+    rest = root.total - sum(n.total for n in doubted)
+    while doubted and rest <= 1e-9:
+        best = max(doubted, key=lambda n: (n.total > 0, not n.thread, n.total))
+        if best.total <= 0:
+            break
+        within = list(outermost(best))
+        doubted = [n for n in doubted if n is not best] + within
+        rest += best.total - sum(n.total for n in within)
+    for n in doubted:
         n.never = True
 
 
 def _score(root: Node) -> None:
+    """Points of every container: its own text's, and of each child half of what that has."""
+    own = {"p", "pre", "td", "li", "dd", "blockquote"}  # their text counts for what they stand in
     for node in _postorder(root):
+        lifted = 0.0
         for c in node.children:
             if isinstance(c, Block):
                 node.chars += len(c.text)
                 node.link_chars += c.links
-                points = _block_points(c, node)
-                # A paragraph's points go up from its container; text without one counts for its own element.
-                up, k = (node.parent if node.tag in ("p", "pre", "td", "li", "dd", "blockquote") and node.parent else node), 1
-                while points and up is not None:
-                    up.points += points / k
-                    up, k = up.parent, k + 1
+                if node.tag in own and node.parent is not None:
+                    lifted += _block_points(c, node)
+                else:
+                    node.points += _block_points(c, node)
             elif not c.never:
                 node.chars += c.chars
                 node.link_chars += c.link_chars
+        if node.parent is not None:
+            # What the node got as the container of its children's text goes up by half, its own paragraph whole.
+            node.parent.points += lifted + node.points / 2
 
 
 def _worth(node: Node) -> float:
@@ -299,7 +340,7 @@ def _alike(best: Node, c: Node | Block, least: float) -> bool:
         return best.tag not in ("article", "main") and len(c.text) > 80 and c.links < 0.25 * len(c.text)
     density = c.link_chars / c.chars if c.chars else 1.0
     if c.tag in HEADINGS:
-        return density < 0.5 and (best.tag != "main" and (best.tag != "article" or _within(c.parent, ("article", "main"))))
+        return density < 0.5 and (best.tag != "main" and (best.tag != "article" or c.inside))
     if best.tag in ("article", "main"):
         return c.tag == best.tag and _worth(c) >= least
     return (_worth(c) >= least and density < 0.33) or (c.tag == "p" and c.chars > 80 and density < 0.25)

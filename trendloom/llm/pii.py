@@ -176,7 +176,7 @@ class Entity:
     canonical: str
 
 
-_EMAIL = re.compile(r"[\w.+%'-]*\w[\w.+%-]*@(?:[\w-]+\.)+[^\W\d_]{2,}")
+_HOST = re.compile(r"@(?:[\w-]+\.)+[^\W\d_]{2,}")
 _IP4 = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _IP6 = re.compile(r"(?<![\w:])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{6,39}(?![\w:])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
@@ -190,6 +190,21 @@ _GIVEN = re.compile(rf"\b(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=Tr
 _HINTS = tuple(TITLES) + tuple(_GENDER)
 
 
+def _addresses(text: str) -> Iterator[Entity]:
+    """Mail addresses: a host after an "@", and what stands before it; each character is read once, however long a run of letters."""
+    last = 0
+    for m in _HOST.finditer(text):
+        start = at = m.start()
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in "_.+%'-"):
+            start -= 1
+        own = text[start:at]
+        if any(c.isalnum() or c == "_" for c in own[own.rfind("'") + 1 :]):
+            yield Entity(start, m.end(), "email", text[start : m.end()].lower())
+            last = m.end()
+        else:
+            last = at
+
+
 def _numbers(text: str) -> Iterator[Entity]:
     if "." in text:
         for m in _IP4.finditer(text):
@@ -220,7 +235,7 @@ def detect(text: str) -> list[Entity]:
     """Entities of a text, left to right; of those that overlap the one that begins first, then the longer, stays."""
     found: list[Entity] = []
     if "@" in text:
-        found += [Entity(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        found += _addresses(text)
     if _NUMERAL.search(text):
         found += _numbers(text)
     if any(h in text for h in _HINTS):

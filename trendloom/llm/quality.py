@@ -316,7 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_col
 
     made = figures("text", "lang", "source", "n_chars").alias("x")
     # Bounded by most_labelled, so it may be broadcast.
-    labelled = rows.join(F.broadcast(sample), "__id").select("__id", "__y", made).dropDuplicates(["__id"]).toArrow().sort_by("__id")
+    found = rows.join(F.broadcast(sample), "__id").select("__id", "__y", F.xxhash64("text", "lang", "source", "n_chars").alias("__hash"), made)
+    # Of rows that repeat a labelled id, the one with the least hash: the order of rows decides nothing.
+    labelled = found.groupBy("__id", "__y").agg(F.min_by("x", "__hash").alias("x")).toArrow().sort_by("__id")
     y = labelled["__y"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None
