@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.catalog import PAPERS
 from trendloom.functions import text as X
 from trendloom.operators import abstracts as A
-from trendloom.operators import extractors, keywords, listings, merge, notes, titles
+from trendloom.operators import extractors, keywords, listings, merge, notes, phrases, titles
 from trendloom.registry import query
 from trendloom.sources import files, xlsx
 from trendloom.sources import fixtures as T
@@ -175,13 +175,15 @@ def abstracts_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PAPERS}, w AS (SELECT paper, string_split(title, ' ') AS w FROM papers),
-g AS (SELECT paper, array_to_string(w[i:least(i + 3, len(w))], ' ') AS p FROM w, unnest(range(2, len(w) + 1)) a(i) WHERE len(w) > i),
-k AS (SELECT DISTINCT paper, p FROM g a WHERE length(p) > 4 AND NOT EXISTS (SELECT 1 FROM g b WHERE a.paper = b.paper AND a.p <> b.p AND contains(b.p, a.p)))
-SELECT p.paper, coalesce(string_agg(p, '; ' ORDER BY length(p), p), '') AS keywords FROM papers p LEFT JOIN k ON p.paper = k.paper GROUP BY p.paper HAVING count(p) < 14""")
+g AS (SELECT DISTINCT paper, array_to_string(w[i:least(i + 3, len(w))], ' ') AS p FROM w, unnest(range(2, len(w) + 1)) a(i) WHERE len(w) > i),
+n AS (SELECT paper, p, row_number() OVER (PARTITION BY paper ORDER BY length(p), p) AS i FROM g WHERE length(p) > 4),
+c AS (SELECT a.paper, a.p, a.i, min(b.i) AS gone FROM n a LEFT JOIN n b ON a.paper = b.paper AND b.i > a.i AND contains(b.p, a.p) GROUP BY ALL),
+r AS (SELECT paper, i, i - sum(coalesce(m, 0)) OVER (PARTITION BY paper ORDER BY i) AS kept FROM c LEFT JOIN (SELECT paper, gone AS i, count(*) AS m FROM c GROUP BY ALL) USING (paper, i)),
+e AS (SELECT paper, coalesce(min(i) FILTER (kept >= 14), 1000000) AS last FROM r GROUP BY paper)
+SELECT p.paper, coalesce(string_agg(c.p, '; ' ORDER BY c.i) FILTER (c.i <= e.last AND coalesce(c.gone, 1000001) > e.last), '') AS keywords FROM papers p LEFT JOIN c ON p.paper = c.paper LEFT JOIN e ON p.paper = e.paper GROUP BY p.paper""")
 def title_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Of titles that have fewer labels than are kept; what the others keep is tested on examples."""
-    rows = T.papers(spark, d).select("paper", titles.from_titles(F.col("title")).alias("keywords"))
-    return rows.where(F.size(F.split("keywords", "; ")) < 14)
+    """Labels of every title; the SQL says from which phrase on fourteen are kept, and which of these lie within others by then."""
+    return T.papers(spark, d).select("paper", titles.from_titles(F.col("title")).alias("keywords"))
 
 
 _GENERIC = ", ".join(f"'{w}'" for w in [*keywords.GENERIC, *keywords.COMMON])
@@ -204,11 +206,32 @@ def topic_and_methods(spark: SparkSession, d: str) -> DataFrame:
     return T.papers(spark, d).select("paper", keywords.topic_and_methods(F.col("title"), abstract).alias("keywords"))
 
 
+@query(f"""SELECT CAST('0x' || md5(w)[:8] AS BIGINT) % {extractors.CELLS} AS cell, count(*) AS n
+  FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS w FROM documents) GROUP BY cell""")
+def word_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch of how many documents have each word."""
+    return extractors.cell_counts(T.table(spark, d, "documents"))
+
+
 @query()
 def extracted_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """Key phrases of documents by the built-in extractor."""
-    found = keywords.phrases_by(None, X.document(F.lit(None).cast("string"), F.col("text")), keywords.GENERIC_SHORT, excluded=keywords.EXCLUDED, by_text=True)
-    return T.table(spark, d, "documents").select("doc_id", found.alias("keywords"))
+    """Key phrases of whole documents by the built-in extractor, its words weighed by all documents."""
+    docs = T.table(spark, d, "documents")
+    weights = extractors.word_weights(docs)
+    return docs.select("doc_id", keywords.phrases_by(None, F.col("text"), keywords.GENERIC_SHORT, excluded=keywords.EXCLUDED, by_text=True, weights=weights).alias("keywords"))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n], ' ') AS phrase FROM w, unnest([0, 1, 2]) b(n), unnest(range(1, len(w) + 1)) a(i) WHERE i + n <= len(w)),
+p AS (SELECT DISTINCT array_to_string(w[:2], ' ') AS phrase FROM w UNION SELECT DISTINCT array_to_string(w[i:i + 1], ' ') FROM w, unnest(range(1, len(w))) a(i) UNION SELECT DISTINCT p_name FROM part)
+SELECT phrase, count(*) AS documents FROM g JOIN p USING (phrase) WHERE phrase <> '' GROUP BY phrase""")
+def phrases_in_documents(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each name of a part and each pair of words that any document has, between blanks."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    docs = T.table(spark, d, "documents").select("doc_id", words.alias("w"))
+    pairs = docs.select(F.explode(F.concat(F.array(F.array_join(F.slice("w", 1, 2), " ")), X.runs(F.col("w"), 2))).alias("phrase"))
+    listed = pairs.union(T.table(spark, d, "part").select("p_name")).distinct()
+    return phrases.matches(docs, F.array_join("w", " "), listed, ["doc_id"], whole_words=True).groupBy("phrase").agg(F.count("*").alias("documents"))
 
 
 _SHORT = "'Topic: ' || paper || ' gearboxes; ' || CASE WHEN paper >= 1000 THEN paper || '; ' ELSE '' END || 'gearboxes'"

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
+from trendloom.operators import phrases as H
 from trendloom.operators.labels import canonicalised
+from trendloom.scratch import written
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
@@ -37,17 +39,19 @@ def wide(shares: DataFrame, years: list[int], measure: str = "share") -> DataFra
 
 
 def title_cube(papers: DataFrame, cube: DataFrame, canonical: DataFrame, least_total: int = 10, most_words: int = 5) -> DataFrame:
-    """topic, year, venue, count from titles: n-grams that are phrases of frequent topics, once a paper each.
+    """topic, year, venue, count from titles: runs of words that are phrases of frequent topics, once a paper each.
 
-    Phrases are canonical names and their surface forms.  They come from the cube
-    and may be many, so the join is left to the planner and its size estimates.
+    Phrases are canonical names and their surface forms.  Titles meet them by an
+    automaton, so that only runs that are phrases leave a task; what then meets
+    the topics is a row for each of these.
     """
     rows = canonicalised(cube.withColumn("topic", X.strip(F.lower("topic"))), canonical, "topic")
     kept = rows.groupBy("topic").agg(F.sum("count").alias("n")).where(F.col("n") >= least_total).select("topic")
     surface = canonical.select(F.col("surface").alias("phrase"), F.col("label").alias("topic")).join(kept, "topic", "left_semi")
     phrases = kept.select(F.col("topic").alias("phrase"), "topic").unionByName(surface).select(X.normalise_title(F.col("phrase")).alias("phrase"), "topic").where((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) <= most_words)).distinct()
-    grams = papers.select("conference", "year", "title", "paper", F.explode(F.array_distinct(X.ngrams(X.normalise_title(F.col("title")), 1, most_words))).alias("phrase"))
-    return grams.join(phrases, "phrase").select("paper", "year", F.col("conference").alias("venue"), "topic").distinct().groupBy("topic", "year", "venue").agg(F.count("*").alias("count"))
+    phrases = written(phrases, "topic-phrases")  # read twice, once to build the automaton
+    found = H.matches(papers, X.normalise_title(F.col("title")), phrases.select("phrase"), ["conference", "year", "paper"], whole_words=True)
+    return found.join(phrases, "phrase").select("paper", "year", F.col("conference").alias("venue"), "topic").distinct().groupBy("topic", "year", "venue").agg(F.count("*").alias("count"))
 
 
 def papers_by(papers: DataFrame, *keys: str) -> DataFrame:

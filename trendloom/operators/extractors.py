@@ -1,21 +1,31 @@
-"""Key phrases by an extractor that may be plugged in, and a built-in one without a model.
+"""Key phrases by an extractor that may be plugged in, and a built-in one that weighs words by the corpus.
 
 An extractor takes a text, the least and greatest number of words, how many
 phrases, and the diversity, and returns phrases, best first.  ``register`` names
 one; where none is named the built-in one is used.  Embedding models are not part
 of the library, so phrases are not those of any particular model.
+
+The built-in one weighs a word by its number in the text and by how few texts of
+the corpus have it.  Numbers of texts are kept in a sketch of CELLS counters, one
+for all words of a hash, which Spark adds up; its size is fixed whatever the
+corpus, so that it may go to the driver and to all tasks.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Extractor = Callable[[str, tuple[int, int], int, float], Sequence[str]]
@@ -27,6 +37,8 @@ STOP = frozenset(
     "than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours".split()
 )
 _WORD = re.compile(r"\w\w+")
+#: Counters of the sketch: 2 MB.
+CELLS = 1 << 18
 
 
 def register(name: str, make: Callable[[], Extractor]) -> None:
@@ -43,32 +55,96 @@ def extractor(name: str | None = None) -> Extractor:
         return by_counts
 
 
-def by_counts(text: str, runs: tuple[int, int], most: int, diversity: float) -> list[str]:
-    """Runs of words by likeness to the text in word counts, each next the best less its likeness to those taken (maximal marginal relevance)."""
-    words = [w for w in _WORD.findall(text.lower()) if w not in STOP]
-    weight = Counter(words)
-    norm = math.sqrt(sum(n * n for n in weight.values()))
-    candidates = dict.fromkeys(" ".join(words[i : i + n]) for n in range(runs[0], runs[1] + 1) for i in range(len(words) - n + 1))
-    bags = {p: Counter(p.split()) for p in candidates}
-    size = {p: math.sqrt(sum(n * n for n in b.values())) for p, b in bags.items()}
-    near = {p: sum(n * weight[w] for w, n in b.items()) / (norm * size[p]) for p, b in bags.items()}
-    like = dict.fromkeys(bags, 0.0)
-    out: list[str] = []
-    while bags and len(out) < most:
-        best = max(bags, key=lambda p: ((1 - diversity) * near[p] - (diversity * like[p] if out else 0.0), -len(p), p))
-        own = bags.pop(best)
-        out.append(best)
-        for p, b in bags.items():
-            like[p] = max(like[p], sum(n * own[w] for w, n in b.items()) / (size[p] * size[best]))
-    return out
-
-
-def phrases_by(found_by: Extractor | str | None, text: Column, generic: Sequence[str], least_chars: int = 5, runs: tuple[int, int] = (1, 3), diversity: float = 0.7, most: int = 12, few: int = 3, excluded: str | None = None, by_text: bool = False) -> Column:
+def word_cells(text: Column) -> Column:
+    """The sketch's counters of a text's distinct words."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % CELLS)
+
+
+def cell_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """cell, n: how many words of how many texts fall to each counter; added up within each task before they move."""
+    return texts.select(F.explode(word_cells(F.col(text_col))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Numbers of texts by counter, and the number of all texts."""
+
+    counts: np.ndarray
+    texts: int
+
+    def of(self, word: str) -> float:
+        cell = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % CELLS
+        return math.log((1 + self.texts) / (1 + int(self.counts[cell]))) + 1 if self.texts > int(self.counts[cell]) else 1.0
+
+
+def word_weights(texts: DataFrame, text_col: str = "text") -> Broadcast:
+    """Weights of a corpus, for all tasks: at most CELLS rows reach the driver."""
+    rows = texts.select(F.explode(F.concat(word_cells(F.col(text_col)), F.array(F.lit(-1).cast("long")))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
+    cells, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells[cells >= 0]] = n[cells >= 0]
+    return texts.sparkSession.sparkContext.broadcast(Weights(counts, int(n[cells < 0].sum())))
+
+
+def by_weights(weights: Weights | None = None) -> Extractor:
+    """Runs of words by likeness to the text, each next the best less its likeness to those taken (maximal marginal relevance).
+
+    Both are cosines of word numbers times weights.  A phrase's likeness to those
+    taken only grows, so its last known worth bounds the present one: phrases wait
+    in a heap by that bound, and only what comes out on top is worked out anew.
+    Ties go to the shorter phrase, then to the lesser text.
+    """
+
+    def run(text: str, runs: tuple[int, int], most: int, diversity: float) -> list[str]:
+        words = [w for w in _WORD.findall(text.lower()) if w not in STOP]
+        have = Counter(words)
+        weight = {w: weights.of(w) if weights else 1.0 for w in have}
+        norm = math.sqrt(sum((n * weight[w]) ** 2 for w, n in have.items()))
+        own = {w: n * weight[w] ** 2 for w, n in have.items()}  # what a word of a phrase adds to its product with the text
+        waiting, known = [], set()
+        for n in range(runs[0], runs[1] + 1):
+            for i in range(len(words) - n + 1):
+                part = words[i : i + n]
+                phrase = " ".join(part)
+                if phrase not in known:
+                    known.add(phrase)
+                    near = sum(own[w] for w in part) / (norm * _size(part, weight))
+                    waiting.append((-(1 - diversity) * near, len(phrase), phrase, near, 0.0, 0))
+        heapq.heapify(waiting)
+        out: list[str] = []
+        while waiting and len(out) < most:
+            _, length, phrase, near, like, seen = heapq.heappop(waiting)
+            if seen == len(out):
+                out.append(phrase)
+                continue
+            like = max(like, *(_likeness(phrase.split(), p.split(), weight) for p in out[seen:]))
+            heapq.heappush(waiting, (diversity * like - (1 - diversity) * near, length, phrase, near, like, len(out)))
+        return out
+
+    return run
+
+
+def _size(words: Sequence[str], weight: dict[str, float]) -> float:
+    return math.sqrt(sum((n * weight[w]) ** 2 for w, n in Counter(words).items()))
+
+
+def _likeness(a: Sequence[str], b: Sequence[str], weight: dict[str, float]) -> float:
+    """Cosine of two phrases; the sums are those of equal words."""
+    common = sum(weight[w] ** 2 for w in a for x in b if w == x)
+    return common / (_size(a, weight) * _size(b, weight)) if common else 0.0
+
+
+by_counts = by_weights()
+
+
+def phrases_by(found_by: Extractor | str | None, text: Column, generic: Sequence[str], least_chars: int = 5, runs: tuple[int, int] = (1, 3), diversity: float = 0.7, most: int = 12, few: int = 3, excluded: str | None = None, by_text: bool = False, weights: Broadcast | None = None) -> Column:
     """Key phrases joined by "; ": twice as many as wanted, filtered, and filled up with single words where only a few are left.
 
     The filter puts phrases of more words first (then by the text, or else in the
     extractor's order) and drops what ``excluded`` matches, lone generic words,
-    and phrases within others that are kept.
+    and phrases within others that are kept.  ``weights`` are the built-in
+    extractor's; without them all words weigh the same.
     """
     stop, bar = frozenset(generic), excluded
 
@@ -85,6 +161,8 @@ def phrases_by(found_by: Extractor | str | None, text: Column, generic: Sequence
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         find = found_by if callable(found_by) else extractor(found_by)
+        if find is by_counts and weights is not None:
+            find = by_weights(weights.value)
 
         def one(t: str | None) -> str:
             if t is None or len(t.strip()) < least_chars:

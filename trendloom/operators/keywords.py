@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,18 +139,18 @@ def frequent_phrases(text: Column, most: int = 15) -> Column:
     return F.when(F.length(X.strip(text)) >= 10, F.array_join(F.slice(specific_phrases(found), 1, most), "; ")).otherwise("")
 
 
-def keyword_cascade(papers: DataFrame, extractor: Extractor | str | None = None, most: int = 15) -> DataFrame:
-    """papers with ``made``: topic and methods, else the extractor's phrases if one is given, else frequent phrases; empty if the texts are short."""
+def keyword_cascade(papers: DataFrame, extractor: Extractor | str | None = None, most: int = 15, weights: Broadcast | None = None) -> DataFrame:
+    """papers with ``made``: topic and methods, else the extractor's phrases if one is given (or the built-in one's, if weights are), else frequent phrases; empty if the texts are short."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in papers.columns else F.lit("")
     text = X.strip(F.concat_ws(" ", *[F.nullif(has(c), F.lit("")) for c in ("title", "abstract", "TLDR")]))
     tried = [topic_and_methods(has("title"), has("abstract"), most)]
-    if extractor is not None:
-        tried.append(phrases_by(extractor, text, generic=GENERIC, least_chars=20, runs=(2, 4), diversity=0.75, most=most, few=most // 2))
+    if extractor is not None or weights is not None:
+        tried.append(phrases_by(extractor, text, generic=GENERIC, least_chars=20, runs=(2, 4), diversity=0.75, most=most, few=most // 2, weights=weights))
     found = F.coalesce(*[F.nullif(t, F.lit("")) for t in tried], frequent_phrases(text, most))
     return papers.withColumn("made", F.when(F.length(text) < 15, "").otherwise(found))
 
 
-def enriched(papers: DataFrame, extractor: Extractor | str | None = None, least: int = 10, most: int = 15) -> DataFrame:
+def enriched(papers: DataFrame, extractor: Extractor | str | None = None, least: int = 10, most: int = 15, weights: Broadcast | None = None) -> DataFrame:
     """papers whose absent or short keywords are replaced by what the cascade makes, if anything."""
     keywords = X.update_where(X.is_short(F.col("keywords"), least), F.col("made"), F.coalesce("keywords", F.lit("")), empty_too=False)
-    return keyword_cascade(papers, extractor, most).select(*[keywords.alias(c) if c == "keywords" else F.col(f"`{c}`") for c in papers.columns])
+    return keyword_cascade(papers, extractor, most, weights).select(*[keywords.alias(c) if c == "keywords" else F.col(f"`{c}`") for c in papers.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trendloom.operators import cube as C
 from trendloom.operators import labels as L
 from trendloom.operators import signature as S
+from trendloom.scratch import written
 from trendloom.sources import files
 from trendloom.sources import fixtures as T
 
@@ -26,7 +27,7 @@ def thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def backtest(spark: SparkSession, d: str) -> DataFrame:
-    return S.backtest(shares(spark, d), thresholds(spark, d))
+    return S.backtest(shares(spark, d), thresholds(spark, d), window=RULES.window)
 
 
 def mentions(spark: SparkSession, d: str, mode: str = "t4") -> DataFrame:
@@ -42,14 +43,16 @@ def label_cube(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("k", "topic").withColumnRenamed("conference", "venue").groupBy("topic", "year", "venue").agg(C.F.count("*").alias("count"))
 
 
-def title_cube(spark: SparkSession, d: str) -> DataFrame:
-    return C.title_cube(L.main_track(T.papers(spark, d)), label_cube(spark, d), T.canonical(spark, d))
+def title_cube(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
+    return C.title_cube(L.main_track(T.papers(spark, d)), label_cube(spark, d) if labels is None else labels, T.canonical(spark, d))
 
 
 def robustness(spark: SparkSession, d: str) -> DataFrame:
     """The label cube's backtest against all topics of the title cube, each with thresholds of its own."""
     rules = S.Rules(low=3, high=100_000, visible=3, recency=3, explosion=1.1)
-    labels, titles = C.topic_year_shares(label_cube(spark, d)), title_shares(spark, d)
+    # Both cubes are read several times over; each is worked out once.
+    cube = written(label_cube(spark, d), "label-cube")
+    labels, titles = written(C.topic_year_shares(cube), "label-shares"), written(C.topic_year_shares(title_cube(spark, d, cube)), "title-shares")
     main = S.backtest(labels, S.freeze_thresholds(labels, rules), window=rules.window)
     return S.robustness(main, S.evaluated(titles, S.freeze_thresholds(titles, rules), window=rules.window))
 
