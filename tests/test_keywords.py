@@ -1,12 +1,14 @@
 """Labels from titles, texts and an extractor, on worked examples and against brute force."""
 
 import collections
+import hashlib
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from trendloom.operators import extractors, keywords, titles
+from trendloom.operators import extractors, keywords, phrases, titles
 from trendloom.streaming.cube import windowed_counts
 
 
@@ -91,6 +93,62 @@ def test_specific_and_filtered_phrases(spark):
     assert of("b", "a", " ", "model") == ["b", "a"]
 
 
+def ranked_by_hand(text, sizes, most, diversity, weight):
+    """Every phrase's worth worked out anew for each pick."""
+    words = [w for w in re.findall(r"\w\w+", text.lower()) if w not in extractors.STOP]
+    bag = lambda p: {w: n * weight(w) for w, n in collections.Counter(p.split()).items()}
+    cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    whole, left, out = bag(" ".join(words)), list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(sizes[0], sizes[1] + 1) for i in range(len(words) - n + 1))), []
+    while left and len(out) < most:
+        worth = {p: (1 - diversity) * cosine(bag(p), whole) - diversity * max((cosine(bag(p), bag(o)) for o in out), default=0) for p in left}
+        top = max(worth.values())
+        out.append(min((p for p in left if worth[p] > top - 1e-12), key=len))
+        left.remove(out[-1])
+    return out
+
+
+def test_ranking_with_corpus_weights_equals_brute_force(spark):
+    r = random.Random(2)
+    words = [f"word{c}" for c in "abcdefghijklmnop"] + ["the", "of", "Über", "x_1"]
+    docs = [(k, " ".join(r.choices(words[: 4 + k % 16], k=r.randrange(0, 60)))) for k in range(60)] + [(None, None), (60, ""), (60, "wordz " * 3)]
+    weights = extractors.word_weights(spark.createDataFrame(docs, "id long, text string")).value
+    assert weights.texts == len(docs) and weights.of("never") > weights.of("worda")
+    df = collections.Counter(w for _, t in docs for w in {w for w in re.findall(r"\w\w+", (t or "").lower())})
+    cells = collections.Counter()
+    for w, n in df.items():
+        cells[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % extractors.CELLS] += n
+    assert {k: int(weights.counts[k]) for k in cells} == dict(cells) and weights.counts.sum() == sum(cells.values())
+    for _, t in docs[:25]:
+        for sizes, diversity in (((1, 3), 0.7), ((2, 4), 0.2), ((1, 1), 0.0)):
+            got = extractors.by_weights(weights)(t or "", sizes, 8, diversity)
+            want = ranked_by_hand(t or "", sizes, 8, diversity, weights.of)
+            # What is worth the same but for rounding (one phrase in another order of words) may be taken in either order.
+            assert len(got) == len(want) and [sorted(p.split()) for p in got] == [sorted(p.split()) for p in want]
+    long = " ".join(f"word{r.randrange(400)}" for _ in range(40_000)) + " rare gear"
+    assert len(extractors.by_weights(weights)(long, (1, 3), 24, 0.7)) == 24
+
+
+def test_whole_texts_are_read(spark):
+    text = "plain filler words " * 3000 + "zirconium flange " * 2000
+    rows = spark.createDataFrame([(text,)], "t string")
+    found = keywords.phrases_by(None, F.col("t"), keywords.GENERIC_SHORT, weights=extractors.word_weights(rows, "t"))
+    assert "zirconium" in rows.select(found.alias("k")).first()[0]
+
+
+def test_phrases_against_brute_force(spark):
+    r = random.Random(9)
+    texts = [(k, " ".join(r.choices(["a", "ab", "b", "ba", "é", "x"], k=r.randrange(0, 30)))) for k in range(40)] + [(99, None), (None, "ab ba"), (7, "ab ba")]
+    listed = list({" ".join(r.choices(["a", "ab", "b", "é x"], k=r.randrange(1, 4))) for _ in range(60)}) + ["", None, "nowhere"]
+    df, have = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(p,) for p in [*listed, *listed]], "p string")
+    for whole in (False, True):
+        pad = (lambda x: f" {x} ") if whole else (lambda x: x)
+        want = collections.Counter((i, p) for i, t in texts if t is not None for p in listed if p and pad(p) in pad(t))
+        for most in (40, phrases.MOST_CHARS):  # in several parts, and in one
+            got = phrases.matches(df, F.col("t"), have, ["id"], whole_words=whole, most_chars=most)
+            assert collections.Counter(tuple(x) for x in got.collect()) == want
+    assert phrases.matches(df, F.col("t"), have.where("p = 'none'"), ["id"]).collect() == []
+
+
 def test_extractors(spark):
     assert extractors.by_counts("red gear and red gear", (1, 2), 1, 0.0) == ["red gear"] and extractors.by_counts("", (1, 3), 5, 0.5) == []
     calls = []

@@ -1,5 +1,9 @@
 """Edge rows of the library's own operators."""
 
+import collections
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import notes as N
@@ -71,9 +75,34 @@ def test_confusion_rates_and_interval(spark):
     assert none.precision is None and none.recall == 0.0
 
 
+def ranked(spark, values):
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").repartition(5)
+    return rows, C.rank_average(rows, "x", "r", C.cuts(rows, ["x"])["x"])
+
+
 def test_ranks_average_ties_and_single_rows(spark):
-    ranks = lambda xs: [r.r for r in spark.createDataFrame([(x,) for x in xs], "x double").withColumn("r", C.rank_average("x")).orderBy("x").collect()]
-    assert ranks([1.0, 1.0, 2.0, 3.0]) == [1 / 6, 1 / 6, 2 / 3, 1.0] and ranks([5.0]) == [0.0]
+    of = lambda xs: [r.r for r in ranked(spark, xs)[1].orderBy("x").collect()]
+    assert of([1.0, 1.0, 2.0, 3.0]) == [1 / 6, 1 / 6, 2 / 3, 1.0] and of([5.0]) == [0.0] and of([]) == [] and of([None, 1.0]) == [0.0, 1.0]
+
+
+def test_ranks_of_many_tied_values(spark):
+    r = random.Random(5)
+    values = [float(r.choice([0, 0, 0, r.randrange(40_000) / 7])) for _ in range(100_000)]
+    got = {x.k: x.r for x in ranked(spark, values)[1].collect()}
+    below, same = {}, collections.Counter(values)
+    n = 0
+    for v in sorted(same):
+        below[v] = n
+        n += same[v]
+    assert all(got[k] == pytest.approx((below[v] + (same[v] - 1) / 2) / (len(values) - 1)) for k, v in enumerate(values))
+
+
+def test_numbers_by_ranges(spark):
+    r = random.Random(6)
+    rows = [(k, r.choice([0.5, 1.0, r.random() * 2])) for k in range(3000)] + [(5000, None)]
+    got = C.numbered(spark.createDataFrame(rows, "k int, p double").repartition(7), "p", [k / 32 for k in range(1, 64)], [F.col("k")], "place")
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert [x.k for x in got.orderBy("place").collect()] == [k for k, _ in want] and sorted(x.place for x in got.collect()) == list(range(1, 3002))
 
 
 def test_merge_keeps_first_source_and_is_idempotent(spark):
@@ -83,6 +112,8 @@ def test_merge_keeps_first_source_and_is_idempotent(spark):
     assert sorted(r.keywords for r in got.collect()) == ["first", "x"]
     assert merge.merge_papers([got, got]).count() == 2
     assert merge.append_missing(a, b).count() == 2
+    nulls = spark.createDataFrame([(None, 1, "t", "x"), ("c", None, None, "x")], kind)
+    assert merge.append_missing(nulls, nulls).count() == 2 and merge.append_missing(a, nulls).count() == 3
 
 
 def test_vocabulary_phrases_and_documents(spark):

@@ -10,7 +10,7 @@ from trendloom.functions import dom
 from trendloom.functions import notes as N
 from trendloom.operators import abstracts, listings, notes
 from trendloom.schema import PAPER_COLUMNS
-from trendloom.sources import adapters, files, xlsx
+from trendloom.sources import adapters, files, tables, xlsx
 
 
 def one(spark, column):
@@ -57,16 +57,63 @@ def test_inputs_that_are_missing_broken_or_alternatives(spark, tmp_path):
         files.required(spark, p("a.csv"), p("no.csv"))
 
 
-def test_cached_tables_and_writing_in_place(spark, tmp_path):
-    calls = []
-    build = lambda: calls.append(1) or spark.range(3).toDF("n")
-    path = str(tmp_path / "t")
-    assert files.cached(spark, path, build).count() == 3 and files.cached(spark, path, build).count() == 3 and calls == [1]
-    table = spark.read.parquet(path)
-    files.write_in_place(table.where("n > 0").withColumn("m", F.col("n") * 2), path)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 2), (2, 4)] and len(list(tmp_path.iterdir())) == 1
-    files.write_in_place(spark.range(1), str(tmp_path / "new"))
-    assert spark.read.parquet(str(tmp_path / "new")).count() == 1
+def test_cached_tables_know_their_inputs(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "t")
+    spark.range(3).toDF("n").write.parquet(source)
+    build = lambda: spark.read.parquet(source).where("n >= 0")
+    version = lambda: tables.present(spark, path)["version"]
+    assert tables.cached(spark, path, build).count() == 3
+    first = version()
+    assert tables.cached(spark, path, build).count() == 3 and version() == first
+    assert tables.cached(spark, path, lambda: build().where("n > 0")).count() == 2 and version() != first  # another plan
+    first = version()
+    spark.range(5).toDF("n").write.mode("append").parquet(source)  # a changed input
+    assert tables.cached(spark, path, lambda: build().where("n > 0")).count() == 6 and version() != first
+
+
+def test_a_table_is_never_absent(spark, tmp_path):
+    import threading
+
+    path, seen, stop = str(tmp_path / "t"), [], threading.Event()
+    tables.publish(spark.range(4).toDF("n"), path)
+
+    def reader():
+        while not stop.is_set():
+            try:
+                seen.append(tables.read(spark, path).agg(F.sum("n")).first()[0])
+            except Exception as e:  # noqa: BLE001
+                seen.append(repr(e)[:300])
+
+    thread = threading.Thread(target=reader)
+    thread.start()
+    for k in range(5):  # each reads the table that it replaces
+        tables.publish(tables.read(spark, path).withColumn("n", F.col("n") + 1), path, keep=3)
+    stop.set()
+    thread.join()
+    assert set(seen) <= {6 + 4 * k for k in range(6)} and len(seen) > 1, seen
+    # A write that dies leaves the table, and what it wrote goes with the next one.
+    with pytest.raises(Exception, match="died"):
+        tables.publish(tables.read(spark, path).withColumn("n", F.raise_error(F.lit("died"))), path)
+    assert tables.read(spark, path).agg(F.sum("n")).first()[0] == 26
+    tables.publish(spark.range(1), path)
+    assert tables.read(spark, path).count() == 1 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) == 2
+    with pytest.raises(FileNotFoundError):
+        tables.read(spark, str(tmp_path / "none"))
+
+
+def test_ledger_of_what_was_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,year\n"one, two",2020\nthree,2021,too many\nfour\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "broken.xlsx").write_bytes(b"no workbook")
+    xlsx.write(spark.createDataFrame([("x",), ("y",)], "title string"), str(tmp_path / "b.xlsx"))
+    spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
+    p = lambda n: str(tmp_path / n)
+    got = files.read_ledger(spark, p("a.csv"), p("*.xlsx"), p("none.csv"), p("empty.csv"), p("p.parquet")).collect()
+    by = {(r.path.rsplit("/", 1)[1], r.source): (r.rows, r.bad, r.error) for r in got if r.source < 4}
+    assert by["a.csv", 0] == (3, 2, None) and by["b.xlsx", 1] == (2, 0, None)
+    assert by["broken.xlsx", 1][:2] == (0, 0) and "not a zip" in by["broken.xlsx", 1][2]
+    assert by["none.csv", 2] == (0, 0, "missing") and by["empty.csv", 3] == (0, 0, "empty")
+    assert sum(r.rows for r in got if r.source == 4) == 3 and files.read_ledger(spark).count() == 0
 
 
 def test_cube_evaluation_threshold_and_report_files(spark, tmp_path):
@@ -106,6 +153,34 @@ def test_fetching_with_retries_and_pace(spark):
     assert sorted((r.n, r.html) for r in got) == [(1, "<a>"), (2, "<b>"), (3, None)]
 
 
+def test_fetching_with_deadlines_and_hosts(spark):
+    import time
+
+    began = time.monotonic()
+    slow = lambda a: time.sleep(60) if "hang" in a else 1 / 0 if "bad" in a else f"<{a}>"
+    got = adapters.by_place(slow, ["a", "hang1", None, "bad", "b", "hang2", "hang3", "c"], in_flight=2, limit=0.3)
+    assert got == ["<a>", None, None, None, "<b>", None, None, "<c>"] and time.monotonic() - began < 10
+    now, slept = [0.0], []
+    bucket = adapters.Bucket(2.0, burst=2, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(4):
+        bucket.take()
+    now[0] = 10.0
+    bucket.take()
+    assert slept == [0.5, 1.0]
+    rows = spark.createDataFrame([(f"https://{h}.org/{k}", k) for k in range(6) for h in ("one", "two", "hang")] + [(None, 9)], "url string, n int")
+
+    def make():
+        def fetch(address):
+            if "hang" in address:
+                time.sleep(60)
+            return address
+
+        return fetch
+
+    out = adapters.fetched(rows, make, workers=3, in_flight=6, limit=1.0, rate=50.0).collect()
+    assert len(out) == 19 and all((r.html is None) == (r.url is None or "hang" in r.url) for r in out)
+
+
 def test_summaries_are_written(spark, tmp_path):
     import oracle
     from trendloom.plans import reports

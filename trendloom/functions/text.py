@@ -105,7 +105,8 @@ def split_abbreviation(c: Column) -> Column:
 
 
 def date_of_millis(c: Column) -> Column:
-    return F.date_format(F.timestamp_millis(c), "yyyy-MM-dd")
+    """The day in UTC, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(c / 86_400_000).cast("int")).cast("string")
 
 
 def is_short(keywords: Column, least: int = 10) -> Column:

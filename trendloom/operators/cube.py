@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +65,44 @@ def year_grid(counts: DataFrame, keys: list[str], years: list[int], value: str =
     return counts.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("year") == y, F.col(value))), F.lit(0)).alias(f"y{y}") for y in years])
 
 
-def rank_average(c: str) -> Column:
-    """Ranks with ties averaged, scaled to 0..1; 0 for a single row.  The frame is a stated list of topics."""
-    over = Window.orderBy(c)
-    same = Window.partitionBy(c)
-    every = Window.partitionBy()
-    place = F.rank().over(over) + (F.count("*").over(same) - 1) / F.lit(2.0) - 1
-    return F.coalesce(F.try_divide(place, (F.count("*").over(every) - 1).cast("double")), F.lit(0.0))
+def _buckets(value: Column, bounds: Sequence[float]) -> Column:
+    """The number of bounds that a value is above; nulls come first."""
+    return sum(((value > b).cast("int") for b in bounds), F.lit(1)) if bounds else F.lit(1)
+
+
+def numbered(df: DataFrame, order: str, bounds: Sequence[float], ties: Sequence[Column], name: str) -> DataFrame:
+    """df with the place of each row, from 1 on, by ``order`` from the greatest down, then ``ties``.
+
+    Rows are dealt out by ranges of the value, as ``bounds`` cut it, and numbered
+    within; what comes before a range is a sum over a row a range.
+    """
+    rows = df.withColumn("__range", -F.when(F.col(order).isNull(), 0).otherwise(_buckets(F.col(order), bounds)))
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    # At most len(bounds) + 2 rows.
+    before = counts.select(F.col("__range").alias("__r"), (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(order), *ties))
+    return rows.withColumn("__own", own).join(F.broadcast(before), F.col("__range") == F.col("__r")).withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__range", "__r", "__before", "__own")
+
+
+def cuts(df: DataFrame, columns: Sequence[str], ranges: int = 64) -> dict[str, list[float]]:
+    """Values that part each column into about equal ranges, within a hundredth; a fixed number of them, and none that occurs twice."""
+    found = df.approxQuantile(list(columns), [k / ranges for k in range(1, ranges)], 0.01)
+    return {c: sorted(set(q)) for c, q in zip(columns, found, strict=True)}
+
+
+def rank_average(df: DataFrame, column: str, name: str, bounds: Sequence[float]) -> DataFrame:
+    """df with ranks of the column, ties averaged, scaled to 0..1; 0 for a single row.
+
+    Equal values are added up before they move, and only distinct values are
+    ordered: within ranges of ``bounds``, each in a task of its own, while a row a
+    range says how many values lie before it.  Then each row looks up its value.
+    """
+    counted = df.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__same")).withColumn("__range", F.when(F.col("__value").isNull(), 0).otherwise(_buckets(F.col("__value"), bounds)))
+    ranges = counted.groupBy("__range").agg(F.sum("__same").alias("__n"))
+    # At most len(bounds) + 2 rows.
+    before = ranges.select(F.col("__range").alias("__r"), (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
+    within = F.sum("__same").over(Window.partitionBy("__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = counted.withColumn("__within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    place = F.col("__before") + F.col("__within") + (F.col("__same") - 1) / F.lit(2.0)
+    ranked = ranked.select("__value", F.coalesce(F.try_divide(place, (F.col("__all") - 1).cast("double")), F.lit(0.0)).alias(name))
+    return df.join(ranked, F.col(column).eqNullSafe(F.col("__value"))).drop("__value")

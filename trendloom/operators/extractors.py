@@ -93,7 +93,7 @@ def by_weights(weights: Weights | None = None) -> Extractor:
     Both are cosines of word numbers times weights.  A phrase's likeness to those
     taken only grows, so its last known worth bounds the present one: phrases wait
     in a heap by that bound, and only what comes out on top is worked out anew.
-    Ties go to the shorter phrase, then to the lesser text.
+    Ties go to the shorter phrase, then to the one that comes first.
     """
 
     def run(text: str, runs: tuple[int, int], most: int, diversity: float) -> list[str]:
@@ -110,16 +110,16 @@ def by_weights(weights: Weights | None = None) -> Extractor:
                 if phrase not in known:
                     known.add(phrase)
                     near = sum(own[w] for w in part) / (norm * _size(part, weight))
-                    waiting.append((-(1 - diversity) * near, len(phrase), phrase, near, 0.0, 0))
+                    waiting.append((-(1 - diversity) * near, len(phrase), len(waiting), phrase, near, 0.0, 0))
         heapq.heapify(waiting)
         out: list[str] = []
         while waiting and len(out) < most:
-            _, length, phrase, near, like, seen = heapq.heappop(waiting)
+            _, length, place, phrase, near, like, seen = heapq.heappop(waiting)
             if seen == len(out):
                 out.append(phrase)
                 continue
             like = max(like, *(_likeness(phrase.split(), p.split(), weight) for p in out[seen:]))
-            heapq.heappush(waiting, (diversity * like - (1 - diversity) * near, length, phrase, near, like, len(out)))
+            heapq.heappush(waiting, (diversity * like - (1 - diversity) * near, length, place, phrase, near, like, len(out)))
         return out
 
     return run

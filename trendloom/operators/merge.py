@@ -39,10 +39,11 @@ def merge_papers(sources: list[DataFrame], keys: tuple[str, ...] = ("conference"
 
 
 def append_missing(base: DataFrame, more: DataFrame, prefix: int = 100) -> DataFrame:
-    """base, and the rows of more whose (conference, year, start of the title) base lacks, one a key."""
-    key = lambda d: [F.col("conference"), F.col("year"), F.lower(F.substring("title", 1, prefix)).alias("__key")]
-    have = base.select(*key(base)).distinct()
-    new = more.withColumn("__key", F.lower(F.substring("title", 1, prefix))).join(have, ["conference", "year", "__key"], "left_anti")
+    """base, and the rows of more whose (conference, year, start of the title) base lacks, one a key; nulls are equal to nulls."""
+    key = {"__c": F.col("conference"), "__y": F.col("year"), "__k": F.lower(F.substring("title", 1, prefix))}
+    have = base.select(*[v.alias(k) for k, v in key.items()]).distinct()
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    new = more.withColumn("__key", key["__k"]).join(have, same("conference", "__c") & same("year", "__y") & same("__key", "__k"), "left_anti")
     row = F.struct(*[F.col(f"`{c}`") for c in more.columns])
     new = new.groupBy("conference", "year", "__key").agg(F.min_by(row, F.struct("title", F.xxhash64(*[F.col(f"`{c}`") for c in more.columns]))).alias("__row")).select("__row.*")
     return base.unionByName(new)

@@ -49,12 +49,18 @@ def of_venue(notes: DataFrame, venue_id: str) -> DataFrame:
     return notes.where(N.text_of(F.col("content"), "venueid") == venue_id)
 
 
+def _once(notes: DataFrame) -> DataFrame:
+    """Of notes that repeat an id, the one with the least hash, whatever the order of rows."""
+    row = F.struct(*[F.col(f"`{c}`") for c in notes.columns])
+    return notes.groupBy("id").agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("__row")).select("__row.*")
+
+
 def accepted_by_replies(submissions: DataFrame, use_original: bool = True) -> DataFrame:
     """Submissions with a direct reply that is a decision and says Accept; the original in place of a blind copy.
 
-    Of submissions that repeat an id one is taken.
+    Of submissions that repeat an id the one with the least hash is taken.
     """
-    once = submissions.dropDuplicates(["id"])
+    once = _once(submissions)
     replies = F.coalesce(F.col("details.directReplies"), F.array().cast(f"array<struct<invitation:string,content:{N.CONTENT}>>"))
     hits = once.where(F.exists(replies, lambda r: N.is_decision(r) & N.is_accept(r["content"])))
     own = F.struct(*[F.col(c) for c in ("id", "forum", "number", "tcdate", "invitation", "content")])
@@ -65,7 +71,7 @@ def accepted_by_decisions(submissions: DataFrame, decisions: DataFrame) -> DataF
     """Submissions whose forum has a decision note that says Accept."""
     c = F.col("content")
     yes = decisions.where(F.contains(N.first_text(c, "decision", "Decision"), F.lit("Accept"))).select(F.col("forum").alias("id")).distinct()
-    return submissions.dropDuplicates(["id"]).join(yes, "id", "left_semi").select("id", "forum", "number", "tcdate", "invitation", "content")
+    return _once(submissions).join(yes, "id", "left_semi").select("id", "forum", "number", "tcdate", "invitation", "content")
 
 
 def _unless_any(first: DataFrame, then: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def anthology_papers(dump: DataFrame, workshops: bool = False, first: int = 2017
     and workshops.  Ids of the older form have a year but no volume and are left out.
     """
     year, volume = X.year_of_acl_id(F.col("id")), X.volume_of_acl_id(F.col("id"))
-    rows = dump.dropDuplicates(["id"]).where(year.between(first, last) & (F.substring_index(volume, "-", 1) == "acl"))
+    rows = _once(dump).where(year.between(first, last) & (F.substring_index(volume, "-", 1) == "acl"))
     label = F.concat(F.lit("ACL Anthology ("), year.cast("string"), F.lit(")"))
     pdf = F.coalesce(F.nullif(F.col("pdf"), F.lit("")), F.lit("") if workshops else F.col("url"), F.lit(""))
     if workshops:

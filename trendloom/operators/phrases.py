@@ -73,7 +73,7 @@ def matches(texts: DataFrame, text: Column, phrases: DataFrame, keep: Sequence[s
             for frame in frames:
                 hits = [found_in(t, listed.value, whole_words) for t in frame["__text"]]
                 made = frame.drop(columns="__text").loc[frame.index.repeat([len(h) for h in hits])]
-                yield made.assign(phrase=[listed.value[k] for h in hits for k in h])
+                yield made.assign(phrase=pd.Series([listed.value[k] for h in hits for k in h], index=made.index, dtype=object))
 
         part = rows.mapInPandas(run, f"{kind}, phrase string")
         out = part if out is None else out.unionByName(part)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.operators.cube import rank_average
+from trendloom.operators.cube import cuts, numbered, rank_average
+from trendloom.scratch import written
 
 EARLY, RECENT, YEARS = (2017, 2018, 2019, 2020), (2022, 2023, 2024, 2025), tuple(range(2017, 2026))
 
@@ -20,7 +21,8 @@ def popularity(papers: DataFrame, mentions: DataFrame, topics: DataFrame) -> Dat
     """Shares of papers a year, trend between two windows, averaged-rank scores and their rank.
 
     A topic absent from the early window gets one paper's share of the first year
-    for it.  Topics without any mention stay.
+    for it.  Topics without any mention stay.  Scores are ranked in ranges of
+    their values, so that no task holds all topics.
     """
     hits = mentions.groupBy("k").agg(*[F.count_if(F.col("year") == y).alias(f"h{y}") for y in YEARS])
     rows = topics.join(hits, topics["topic"] == hits["k"], "left").drop("k").crossJoin(F.broadcast(_totals(papers)))
@@ -36,11 +38,12 @@ def popularity(papers: DataFrame, mentions: DataFrame, topics: DataFrame) -> Dat
         F.coalesce(share[2025], F.lit(0.0)).alias("share_2025"),
         (early <= 0).alias("early_zero"),
     )
-    out = out.withColumn("S_NP", rank_average("avg_share")).withColumn("S_NTr", rank_average("trend"))
-    out = out.withColumn("P_k", F.col("S_NP") + F.col("S_NTr"))
-    from pyspark.sql import Window
-
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("P_k"), "topic")))
+    out = written(out, "popularity")
+    bounds = cuts(out, ["avg_share", "trend"])
+    for column, name in (("avg_share", "S_NP"), ("trend", "S_NTr")):
+        out = rank_average(out, column, name, bounds[column])
+    # The score lies between 0 and 2.
+    return numbered(out.withColumn("P_k", F.col("S_NP") + F.col("S_NTr")), "P_k", [k / 32 for k in range(1, 64)], [F.col("topic")], "rank")
 
 
 def popularity_legacy(mentions: DataFrame, topics: Sequence[str]) -> DataFrame:

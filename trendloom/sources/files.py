@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +12,7 @@ from pyspark.sql import functions as F
 
 from trendloom.schema import CUBE, EVALUATION, PAPER, PAPER_COLUMNS
 from trendloom.sources import xlsx
-
-
-def _at(spark: SparkSession, path: str):
-    """The store of a path, and the path for it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+from trendloom.sources.tables import _at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -71,6 +65,72 @@ def read_papers(spark: SparkSession, *inputs: str | Sequence[str], columns: Sequ
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+LEDGER = "path string, source int, rows long, bad long, error string"
+
+
+def read_ledger(spark: SparkSession, *inputs: str | Sequence[str]) -> DataFrame:
+    """path, source, rows, bad, error of every file that ``read_papers`` would read: what was read of it, and what could not be.
+
+    bad counts the rows of a CSV file whose fields are more or fewer than its
+    header's; error says why a file gave no rows at all, and is null otherwise.
+    Inputs that are missing have a row with the error "missing".
+    """
+    parts = []
+    own = lambda c: F.regexp_replace(c, "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")  # noqa: E731  stores spell the same place in several ways
+    for k, i in enumerate(inputs):
+        paths = resolved(spark, i)
+        for p in paths:
+            suffix = p.rstrip("/").rsplit(".", 1)[-1].lower()
+            there = spark.createDataFrame(_listed(spark, p), "path string, length long")
+            if suffix == "xlsx":
+                read = xlsx.row_counts(spark, p)
+            else:
+                read = _row_counts(spark, p, suffix)
+            none = F.when(F.col("length") == 0, "empty").otherwise("no row could be read")
+            found = there.join(read.withColumnRenamed("path", "__path"), own("path") == own("__path"), "left")
+            rows = F.coalesce("rows", F.lit(0).cast("long"))
+            parts.append(found.select("path", F.lit(k).alias("source"), rows.alias("rows"), F.coalesce("bad", F.lit(0).cast("long")).alias("bad"), F.coalesce("error", F.when(rows == 0, none)).alias("error")))
+        if not paths:
+            parts.append(spark.createDataFrame([(i if isinstance(i, str) else ", ".join(i), k, 0, 0, "missing")], LEDGER))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LEDGER)
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and length of the files at a path, a folder or a pattern; empty files, which Spark's readers pass over, too."""
+    store, at = _at(spark, path)
+    out = []
+    for s in store.globStatus(at):
+        if s.isDirectory():
+            found = store.listFiles(s.getPath(), True)
+            while found.hasNext():
+                f = found.next()
+                if not f.getPath().getName().startswith(("_", ".")):
+                    out.append((f.getPath().toString(), f.getLen()))
+        else:
+            out.append((s.getPath().toString(), s.getLen()))
+    return out
+
+
+def _row_counts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """path, rows, bad, error of the files at path that give rows."""
+    reader, file = spark.read.option("ignoreCorruptFiles", True), F.col("_metadata.file_path").alias("path")
+    none = F.lit(None).cast("string").alias("error")
+    try:
+        if suffix == "parquet":
+            return reader.parquet(path).select(file).groupBy("path").agg(F.count("*").alias("rows")).select("path", "rows", F.lit(0).cast("long").alias("bad"), none)
+        csv = lambda r: r.option("header", True).option("multiLine", True).option("escape", '"')
+        names = csv(reader).csv(path).columns
+        if not names:
+            return spark.createDataFrame([], "path string, rows long, bad long, error string")
+        kind = ", ".join(f"`{c}` string" for c in names)
+        # The column of broken records is filled only where the others are read, too.
+        rows = csv(reader).option("columnNameOfCorruptRecord", "__broken").schema(f"{kind}, __broken string").csv(path)
+        read = rows.select(file, (F.col("__broken").isNotNull() & (F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in names])) >= 0)).alias("broken"))
+        return read.groupBy("path").agg(F.count("*").alias("rows"), F.count_if("broken").alias("bad")).select("path", "rows", "bad", none)
+    except AnalysisException as e:
+        return spark.createDataFrame([], "path string, rows long, bad long, error string") if "infer" in str(e).lower() else spark.createDataFrame([(path, 0, 0, str(e)[:200])], "path string, rows long, bad long, error string")
+
+
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CUBE).option("header", True).csv(path)
 
@@ -94,26 +154,6 @@ def threshold_document(thresholds: DataFrame) -> DataFrame:
     return thresholds.select(*[F.col(v).alias(k) for k, v in THRESHOLDS.items() if v in thresholds.columns])
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at path; it is built and written first where it is not there or was not written to its end."""
-    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def write_in_place(df: DataFrame, path: str) -> None:
-    """Parquet over a table that df itself may read: written beside it, then swapped."""
-    spark, base = df.sparkSession, path.rstrip("/")
-    new, old = f"{base}-new-{uuid.uuid4().hex}", f"{base}-old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    store, at = _at(spark, base)
-    if store.exists(at):
-        store.rename(at, _at(spark, old)[1])
-    store.rename(_at(spark, new)[1], at)
-    store.delete(_at(spark, old)[1], True)
-    spark.catalog.refreshByPath(base)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -110,6 +110,24 @@ def parsed(files: DataFrame, columns: Sequence[str], skip_bad: bool = False) ->
     return files.select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in wanted))
 
 
+def row_counts(spark: SparkSession, path: str) -> DataFrame:
+    """path, rows, bad, error of each workbook at path; the rows are counted on the executors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows = sheet_rows(content)
+                    next(rows, [])
+                    out.append((name, sum(1 for _ in rows), 0, None))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    out.append((name, 0, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "rows", "bad", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rows long, bad long, error string")
+
+
 def workbook(names: Sequence[str], rows: Iterator[Sequence[str | None]]) -> bytes:
     """A workbook of one sheet of texts."""
 
