@@ -9,6 +9,8 @@ import re
 from pyspark.sql import functions as F
 
 from trendloom.operators import extractors, keywords, phrases, titles
+from trendloom.operators.cube import from_rows
+from trendloom.streaming import cube
 from trendloom.streaming.cube import windowed_counts
 
 
@@ -184,3 +186,42 @@ def test_windows_of_a_stream(spark, tmp_path):
     run.stop()
     want = sorted(map(tuple, windowed_counts(events).collect()))
     assert sorted(map(tuple, spark.table("windows").collect())) == want and sum(r[2] for r in want) == 10
+
+
+def test_a_stream_keeps_the_cube(spark, tmp_path):
+    r = random.Random(3)
+    made = lambda n: [(r.choice(["a", "b", None]), r.choice([2020, 2021]), r.choice(["v", "w"])) for _ in range(n)]
+    kind, path, rows = "topic string, year int, venue string", str(tmp_path / "cube"), []
+    same = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    batch = lambda: same(from_rows(spark.createDataFrame(rows, kind)))
+
+    def arrive(k):
+        new = made(30)  # years come in any order: late rows count like others
+        rows.extend(new)
+        spark.createDataFrame(new, kind).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        cube.keep_cube(stream, path, str(tmp_path / "checkpoint"), every=2, availableNow=True).awaitTermination()
+
+    assert same(cube.read_kept(spark, path)) == []
+    for k in range(3):
+        arrive(k)
+    run()
+    assert same(cube.read_kept(spark, path)) == batch()
+    for k in range(3, 5):
+        arrive(k)
+    run()  # restarted
+    assert same(cube.read_kept(spark, path)) == batch()
+    # The same batch again, before and after it is merged into the table, changes nothing.
+    again = spark.createDataFrame(rows[:30], kind)
+    for number in (0, cube._merged(spark, path)):
+        cube.upsert(again, number, path, every=2)
+        assert same(cube.read_kept(spark, path)) == batch()
+    last, more = 50, made(20)
+    rows += more
+    for _ in range(3):
+        cube.upsert(spark.createDataFrame(more, kind), last, path, every=100)
+        assert same(cube.read_kept(spark, path)) == batch()
+    cube.upsert(spark.createDataFrame([], kind), last + 1, path, every=2)
+    assert same(cube.read_kept(spark, path)) == batch() and cube._merged(spark, path) == last + 1

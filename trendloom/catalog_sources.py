@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from trendloom.catalog import PAPERS
 from trendloom.functions import text as X
 from trendloom.operators import abstracts as A
 from trendloom.operators import extractors, keywords, listings, merge, notes, phrases, titles
+from trendloom.operators.cube import topic_year_shares
 from trendloom.registry import query
+from trendloom.scratch import shared_folder
 from trendloom.sources import files, xlsx
 from trendloom.sources import fixtures as T
+from trendloom.streaming import cube
 from trendloom.streaming.cube import windowed_counts
 
 _BLANK = "'' AS abstract, '' AS \"TLDR\", '' AS keywords"
@@ -308,3 +313,16 @@ def console_table(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The streaming cube's counts over a table that has ended."""
     return windowed_counts(T.table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH c AS (SELECT event_type AS topic, CAST(month(ts) AS INT) AS year, 'u' || user_id % 7 AS venue, count(*) AS count FROM events GROUP BY ALL),
+a AS (SELECT topic, year, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT venue) AS n_venues FROM c WHERE topic IS NOT NULL AND year IS NOT NULL GROUP BY topic, year)
+SELECT topic, year, count, n_venues, CAST(sum(count) OVER (PARTITION BY year) AS BIGINT) AS total, count / sum(count) OVER (PARTITION BY year) AS share FROM a""")
+def kept_cube_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares by event type and month of the cube that a stream over the events keeps, run until it has read them all."""
+    path = f"{shared_folder(spark)}/trendloom/{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+    rows = lambda e: e.select(F.col("event_type").alias("topic"), F.month("ts").alias("year"), F.concat(F.lit("u"), F.col("user_id") % 7).alias("venue"))
+    source = f"{d}/events.parque[t]"  # a pattern matches a file as well as a folder
+    stream = spark.readStream.schema(T.table(spark, d, "events").schema).option("maxFilesPerTrigger", 4).parquet(source)
+    cube.keep_cube(rows(stream), f"{path}/cube", f"{path}/checkpoint", every=2, availableNow=True).awaitTermination()
+    return topic_year_shares(cube.read_kept(spark, f"{path}/cube"))
