@@ -31,6 +31,25 @@ def test_spreadsheets_round_trip_and_bad_files(spark, tmp_path):
     assert [xlsx.column_number(c) for c in ("A1", "Z9", "AA7", "AMJ1")] == [0, 25, 26, 1023] and [xlsx.column_name(n) for n in (0, 25, 26, 1023)] == ["A", "Z", "AA", "AMJ"]
 
 
+def test_a_large_sheet_in_ranges(spark, tmp_path, monkeypatch):
+    rows = spark.range(30_000).selectExpr("cast(id AS string) a", "if(id % 7 = 0, null, 'x' || id) b", "'never read' c")
+    path = str(tmp_path / "large.xlsx")
+    xlsx.write(rows.coalesce(1), path)
+    got = xlsx.read(spark, path, ["b", "a", "absent"], ranges=8)
+    assert got.rdd.getNumPartitions() >= 8
+    rows.write.parquet(str(tmp_path / "same"))
+    want = spark.read.parquet(str(tmp_path / "same")).selectExpr("b", "a", "cast(null AS string) absent")
+    assert got.count() == 30_000 and got.exceptAll(want).count() == 0
+    sizes = [n for (n,) in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * xlsx.BLOCK
+    # Every row is one range's, whatever the number of ranges and wherever blocks and chunks end.
+    content = (tmp_path / "large.xlsx").read_bytes()
+    for ranges, block in ((1, 2000), (3, 1), (5, 29_999), (2, 30_001)):
+        monkeypatch.setattr(xlsx, "BLOCK", block)
+        parts = [list(xlsx.sheet_rows(content, ["a"], k, ranges))[1:] for k in range(ranges)]
+        assert sorted(int(r[0]) for p in parts for r in p) == list(range(30_000))
+
+
 def test_shared_strings_numbers_booleans_and_gaps(tmp_path):
     main, rel = xlsx.MAIN[1:-1], xlsx.REL[1 : xlsx.REL.index("}")]
     with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
@@ -101,6 +120,14 @@ def test_a_table_is_never_absent(spark, tmp_path):
         tables.read(spark, str(tmp_path / "none"))
 
 
+def test_statistics_as_the_table_is_written(spark, tmp_path):
+    rows = [("own", "a" * 40), ("html", "b" * 40), ("html", "c"), ("s2", "d" * 30), ("empty", ""), ("empty", None), ("not tried", "")]
+    filled = spark.createDataFrame(rows, "abstract_from string, abstract string").repartition(3)
+    table, seen = abstracts.write_filled(filled, str(tmp_path / "t"))
+    assert seen == abstracts.fill_statistics(filled).first().asDict() == {"rows_missing_start": 6, "rows_to_process": 5, "filled_html": 2, "filled_s2": 1, "still_missing": 3}
+    assert table.count() == 7
+
+
 def test_ledger_of_what_was_read(spark, tmp_path):
     (tmp_path / "a.csv").write_text('title,year\n"one, two",2020\nthree,2021,too many\nfour\n')
     (tmp_path / "empty.csv").write_text("")

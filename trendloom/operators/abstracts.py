@@ -8,11 +8,12 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trendloom.functions import dom
 from trendloom.functions import text as X
+from trendloom.sources import tables
 
 
 @dataclass(frozen=True)
@@ -169,15 +170,25 @@ def fill_missing(papers: DataFrame, pages: DataFrame, searches: DataFrame | None
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def fill_statistics(filled: DataFrame, least: int = 30) -> DataFrame:
-    """One row: rows_missing_start, rows_to_process, filled_html, filled_s2, still_missing (of those processed)."""
+def _statistics(least: int) -> list[Column]:
     by = F.col("abstract_from")
     processed = by.isin("html", "s2", "empty")
-    return filled.agg(
+    return [
         F.count_if(by != "own").alias("rows_missing_start"),
         F.count_if(processed).alias("rows_to_process"),
         F.count_if(by == "html").alias("filled_html"),
         F.count_if(by == "s2").alias("filled_s2"),
         F.count_if(processed & ~X.has_abstract(F.col("abstract"), least)).alias("still_missing"),
-    )
+    ]
+
+
+def fill_statistics(filled: DataFrame, least: int = 30) -> DataFrame:
+    """One row: rows_missing_start, rows_to_process, filled_html, filled_s2, still_missing (of those processed)."""
+    return filled.agg(*_statistics(least))
+
 
+def write_filled(filled: DataFrame, path: str, least: int = 30) -> tuple[DataFrame, dict[str, int]]:
+    """Replaces the table at path by filled, and returns it with the statistics, which are counted as its rows are written."""
+    seen = Observation()
+    table = tables.publish(filled.observe(seen, *_statistics(least)), path)
+    return table, seen.get

@@ -1,16 +1,22 @@
-"""Spreadsheet files by the standard library: read on the executors, written as files of a sheet each.
+"""Spreadsheet files by the standard library: read on the executors, in ranges of rows, written as files of a sheet each.
 
 A workbook is a ZIP of XML parts.  Read are the first sheet's cells of shared and
 inline strings, numbers and booleans; all values are texts, as the papers' tables
 want them, and empty cells null.  Dates are the numbers that the file holds.
+
+A large sheet may be read by several tasks: each cuts the sheet's XML at the ends
+of rows, which is quick, and parses only the blocks of rows that are its own.
 """
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Sequence, Set
+from typing import IO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -52,40 +58,112 @@ def _first_sheet(book: zipfile.ZipFile) -> str:
     raise ValueError("a workbook without a sheet")
 
 
-def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
-    """Rows of the first sheet; those that the file leaves out are left out."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter(f"{MAIN}t")))
-        with book.open(_first_sheet(book)) as part:
-            for _, row in ElementTree.iterparse(part):
-                if row.tag != f"{MAIN}row":
-                    continue
-                out: list[str | None] = []
-                for k, cell in enumerate(row.findall(f"{MAIN}c")):
-                    at = column_number(cell.get("r")) if cell.get("r") else k
-                    out += [None] * (at + 1 - len(out))
-                    kind, value = cell.get("t"), cell.find(f"{MAIN}v")
-                    if kind == "inlineStr":
-                        out[at] = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
-                    elif value is not None and value.text is not None:
-                        out[at] = shared[int(value.text)] if kind == "s" else {"1": "true", "0": "false"}[value.text] if kind == "b" else value.text
-                row.clear()
-                yield out
+class _Shared:
+    """The strings that cells share; read when the first cell asks for one."""
+
+    def __init__(self, book: zipfile.ZipFile) -> None:
+        self.book, self.known = book, None
+
+    def __getitem__(self, k: int) -> str:
+        if self.known is None:
+            items = ElementTree.fromstring(self.book.read("xl/sharedStrings.xml"))
+            self.known = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in items]
+        return self.known[k]
+
+
+def _cells(row: ElementTree.Element, shared: _Shared, wanted: Set[int] | None) -> list[str | None]:
+    """A row's texts, of the wanted columns only; the others are null."""
+    out: list[str | None] = []
+    for k, cell in enumerate(row.findall(f"{MAIN}c")):
+        at = column_number(cell.get("r")) if cell.get("r") else k
+        if wanted is not None and at not in wanted:
+            continue
+        out += [None] * (at + 1 - len(out))
+        kind, value = cell.get("t"), cell.find(f"{MAIN}v")
+        if kind == "inlineStr":
+            out[at] = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+        elif value is not None and value.text is not None:
+            out[at] = shared[int(value.text)] if kind == "s" else {"1": "true", "0": "false"}[value.text] if kind == "b" else value.text
+    return out
+
 
+BLOCK = 2000  # ends of rows that lie between two cuts
+
+
+def _blocks(part: IO[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Number and XML of each block of a sheet's rows, whole rows each, with the sheet's own tag around them."""
+    held, size, head, number = b"", 1 << 20, b"", 0
+    while chunk := part.read(size):
+        held += chunk
+        if not head:
+            m = re.search(rb"<(?:worksheet)\b[^>]*>", held)
+            start = re.search(rb"<sheetData\b[^>]*>", held)
+            if not m or not start:
+                if len(held) > 64 * size:
+                    raise ElementTree.ParseError("no rows of the usual form")
+                continue
+            head, held = m[0], held[start.end() :]
+        ends = [m.end() for m in re.finditer(b"</row>", held)]
+        at = 0
+        for k in range(BLOCK - 1, len(ends), BLOCK):
+            yield number, head + held[at : ends[k]] + b"</worksheet>"
+            at, number = ends[k], number + 1
+        held = held[at:]
+    last = re.search(rb"</sheetData>|<sheetData\b[^>]*/>", held)
+    rest = held[: last.start()] if last else held
+    if head and rest.strip():
+        yield number, head + rest + b"</worksheet>"
+
+
+def _parsed_rows(book: zipfile.ZipFile, k: int, ranges: int) -> Iterator[tuple[bool, ElementTree.Element]]:
+    """Rows of the first block and of this range's own blocks, and whether they are the range's own; by a full parse where tags have prefixes."""
+    name = _first_sheet(book)
+    with book.open(name) as part:
+        plain = b"<worksheet" in part.read(1 << 16)
+    with book.open(name) as part:
+        if plain:
+            for number, block in _blocks(part):
+                own = number % ranges == k
+                if own or number == 0:
+                    for row in ElementTree.fromstring(block).iter(f"{MAIN}row"):
+                        yield own, row
+        else:
+            for n, (_, row) in enumerate(x for x in ElementTree.iterparse(part) if x[1].tag == f"{MAIN}row"):
+                yield n // BLOCK % ranges == k, row
+                row.clear()
 
-def read(spark: SparkSession, path: str, columns: Sequence[str], skip_bad: bool = False) -> DataFrame:
-    """``parsed`` of the workbooks at path: a file, a folder or a pattern."""
-    return parsed(spark.read.format("binaryFile").load(path), columns, skip_bad)
 
+def sheet_rows(content: bytes, columns: Sequence[str] | None = None, k: int = 0, ranges: int = 1) -> Iterator[list[str | None]]:
+    """The names, then the rows of the first sheet that the range k of so many has; rows that the file leaves out are left out.
 
-def parsed(files: DataFrame, columns: Sequence[str], skip_bad: bool = False) -> DataFrame:
+    With ``columns`` only cells under these names are read, and rows have them in
+    that order, null where a name is absent.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared, names, places = _Shared(book), None, None
+        for own, row in _parsed_rows(book, k, ranges):
+            if names is None:
+                names = _cells(row, shared, None)
+                if columns is not None:
+                    texts = [str(x) for x in names]
+                    places = [texts.index(c) if c in texts else None for c in columns]
+                yield names
+            elif own:
+                out = _cells(row, shared, None if places is None else {p for p in places if p is not None})
+                yield out if places is None else [out[p] if p is not None and p < len(out) else None for p in places]
+
+
+def read(spark: SparkSession, path: str, columns: Sequence[str], skip_bad: bool = False, ranges: int = 1) -> DataFrame:
+    """``parsed`` of the workbooks at path, a file, a folder or a pattern; with ``ranges`` each is read by so many tasks."""
+    parts = [parsed(spark.read.format("binaryFile").load(path), columns, skip_bad, k, ranges) for k in range(ranges)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def parsed(files: DataFrame, columns: Sequence[str], skip_bad: bool = False, k: int = 0, ranges: int = 1) -> DataFrame:
     """The stated columns, as texts, of workbooks in the column ``content``; absent ones are null.
 
-    The first row holds the names.  Only the stated columns leave the reader.  A
-    file that is no workbook ends the job, or with skip_bad gives no rows.
+    The first row holds the names.  Cells of other columns are not read.  A file
+    that is no workbook ends the job, or with skip_bad gives no rows.
     """
     wanted = list(columns)
 
@@ -93,16 +171,10 @@ def parsed(files: DataFrame, columns: Sequence[str], skip_bad: bool = False) ->
         for frame in frames:
             for content in frame["content"]:
                 try:
-                    rows = sheet_rows(content)
-                    names = [str(x) for x in next(rows, [])]
-                    places = [names.index(c) if c in names else None for c in wanted]
-                    some: list[list[str | None]] = []
-                    for row in rows:
-                        some.append([row[p] if p is not None and p < len(row) else None for p in places])
-                        if len(some) == 5000:
-                            yield pd.DataFrame(some, columns=wanted, dtype=object)
-                            some = []
-                    yield pd.DataFrame(some, columns=wanted, dtype=object)
+                    rows = sheet_rows(content, wanted, k, ranges)
+                    next(rows, [])
+                    while some := list(itertools.islice(rows, 5000)):
+                        yield pd.DataFrame(some, columns=wanted, dtype=object)
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                     if not skip_bad:
                         raise
