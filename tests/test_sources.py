@@ -269,10 +269,11 @@ def test_listing_links(spark):
 
 
 def test_note_values(spark):
-    content = lambda **v: F.create_map(*[x for k, t in v.items() for x in (F.lit(k), F.lit(t))])
-    c = content(a='{"value":"x"}', b='["p","q"]', c="[Re] plain", d='{"value":["r","s"]}', e='{"value":null}', f="", g='{"url":"u"}')
+    content = lambda **v: F.parse_json(F.lit(json.dumps(v)))
+    c = content(a={"value": "x"}, b=["p", "q"], c="[Re] plain", d={"value": ["r", "s"]}, e={"value": None}, f="", g={"url": "u"}, h="{not JSON", i=None)
+    assert [one(spark, N.text_of(c, k)) for k in "hi"] == ["{not JSON", ""] and one(spark, N.list_of(c, "i")) == []
     assert [one(spark, N.text_of(c, k)) for k in "abcdefgz"] == ["x", "p; q", "[Re] plain", "r; s", "", "", "", ""]
     assert [one(spark, N.list_of(c, k)) for k in "abcdefz"] == [["x"], ["p", "q"], ["[Re] plain"], ["r", "s"], [], [], []]
     assert [one(spark, N.file_of(c, k)) for k in "agcz"] == ["x", "u", "[Re] plain", ""]
-    assert one(spark, N.is_accept(content(my_Recommendation='{"value":"Accept"}'))) and not one(spark, N.is_accept(content(title="Accept", decision="Reject")))
+    assert one(spark, N.is_accept(content(my_Recommendation={"value": "Accept"}))) and not one(spark, N.is_accept(content(title="Accept", decision="Reject")))
     assert notes.paper_rows(notes.parsed(spark.createDataFrame([('{"id":"1"}',), ("no json",)], "note string")), F.lit(2020), F.lit("V/Workshop"), F.lit("V")).select("paper_type", "title", "keywords", "paper_number").distinct().collect()[0] == ("workshop", "", "", "")

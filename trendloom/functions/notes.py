@@ -1,4 +1,8 @@
-"""Values of review-site notes, whose content is a map of JSON values in several shapes; as column expressions."""
+"""Values of review-site notes, whose content has values in several shapes; as column expressions.
+
+Content is a VARIANT: its JSON is parsed once, as the note is read, and each
+value is then looked up in the binary form.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,8 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.text import strip
 
-#: A note as the site's interface gives it; content's values are kept as JSON text, strings as themselves.
-CONTENT = "map<string,string>"
+#: A note as the site's interface gives it.
+CONTENT = "variant"
 CORE = f"id:string,forum:string,number:string,tcdate:bigint,invitation:string,content:{CONTENT}"
 NOTE = f"{CORE},details:struct<directReplies:array<struct<invitation:string,content:{CONTENT}>>,original:struct<{CORE}>>"
 
@@ -19,33 +23,43 @@ def note_value(content: Column, key: str) -> Column:
     return F.coalesce(F.get_json_object(content, f"$.{key}.value"), bare)
 
 
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def _raw(content: Column, key: str) -> Column:
     """The value under the key, out of its wrapper if it has one."""
-    v = F.try_element_at(content, F.lit(key))
-    return unwrapped(v)
+    return unwrapped(_at(content, f"$['{key}']"))
 
 
 def unwrapped(v: Column) -> Column:
-    """The value in {"value": ...}, null if that is null; a text or list as it is; null for other objects."""
-    is_object = v.startswith("{") & F.get_json_object(v, "$").isNotNull()
-    return F.when(is_object, F.get_json_object(v, "$.value")).otherwise(v)
+    """The value in {"value": ...}; a text or list as it is; null for other objects."""
+    return F.when(_is_object(v), _at(v, "$.value")).otherwise(v)
 
 
 def _items(v: Column) -> Column:
-    """The strings of a JSON list; null for anything else."""
-    return F.when(v.startswith("["), F.from_json(v, "array<string>"))
+    """The strings of a list; null for anything else."""
+    return _at(v, "$", "array<string>")
+
+
+def _text(v: Column) -> Column:
+    return _at(v, "$", "string")
 
 
 def text_of(content: Column, key: str) -> Column:
     """A text, a list joined by "; ", or empty."""
     v = _raw(content, key)
-    return F.coalesce(F.array_join(_items(v), "; "), v, F.lit(""))
+    return F.coalesce(F.array_join(_items(v), "; "), _text(v), F.lit(""))
 
 
 def list_of(content: Column, key: str) -> Column:
     """The strings of a list; a text that is not blank as a list of one."""
     v = _raw(content, key)
-    return F.coalesce(_items(v), F.when(strip(v) != "", F.array(v)), F.array().cast("array<string>"))
+    return F.coalesce(_items(v), F.when(strip(_text(v)) != "", F.array(_text(v))), F.array().cast("array<string>"))
 
 
 def first_text(content: Column, *keys: str) -> Column:
@@ -63,19 +77,23 @@ def first_list(content: Column, *keys: str) -> Column:
 
 def file_of(content: Column, key: str = "pdf") -> Column:
     """The address of a file: in "value" or "url" of an object, or the value itself."""
-    v = F.try_element_at(content, F.lit(key))
-    inside = F.coalesce(F.nullif(F.get_json_object(v, "$.value"), F.lit("")), F.get_json_object(v, "$.url"))
-    return F.coalesce(F.when(v.startswith("{") & F.get_json_object(v, "$").isNotNull(), inside).otherwise(v), F.lit(""))
+    v = _at(content, f"$['{key}']")
+    inside = F.coalesce(F.nullif(_at(v, "$.value", "string"), F.lit("")), _at(v, "$.url", "string"))
+    return F.coalesce(F.when(_is_object(v), inside).otherwise(_text(v)), F.lit(""))
+
+
+def _fields(content: Column) -> Column:
+    return _at(content, "$", "map<string,variant>")
 
 
 def is_accept(content: Column) -> Column:
     """Whether any field whose name speaks of a decision or recommendation says Accept."""
-    says = lambda e: F.lower(e["key"]).rlike("decision|recommend") & F.coalesce(F.contains(unwrapped(e["value"]), F.lit("Accept")), F.lit(False))
-    return F.coalesce(F.exists(F.map_entries(content), says), F.lit(False))
+    says = lambda e: F.lower(e["key"]).rlike("decision|recommend") & F.coalesce(F.contains(_text(unwrapped(e["value"])), F.lit("Accept")), F.lit(False))
+    return F.coalesce(F.exists(F.map_entries(_fields(content)), says), F.lit(False))
 
 
 def is_decision(reply: Column) -> Column:
     """Whether a reply is a decision by its invitation: a Decision, or a Meta_Review with a recommendation."""
     by = F.coalesce(reply["invitation"], F.lit(""))
-    keys = F.map_keys(F.coalesce(reply["content"], F.create_map().cast(CONTENT)))
-    return by.contains("Decision") | by.contains("decision") | (by.contains("Meta_Review") & F.arrays_overlap(keys, F.array(F.lit("recommendation"), F.lit("Recommendation"))))
+    recommends = F.coalesce(F.arrays_overlap(F.map_keys(_fields(reply["content"])), F.array(F.lit("recommendation"), F.lit("Recommendation"))), F.lit(False))
+    return by.contains("Decision") | by.contains("decision") | (by.contains("Meta_Review") & recommends)

@@ -61,8 +61,7 @@ def accepted_by_replies(submissions: DataFrame, use_original: bool = True) -> Da
     Of submissions that repeat an id the one with the least hash is taken.
     """
     once = _once(submissions)
-    replies = F.coalesce(F.col("details.directReplies"), F.array().cast(f"array<struct<invitation:string,content:{N.CONTENT}>>"))
-    hits = once.where(F.exists(replies, lambda r: N.is_decision(r) & N.is_accept(r["content"])))
+    hits = once.where(F.exists("details.directReplies", lambda r: N.is_decision(r) & N.is_accept(r["content"])))
     own = F.struct(*[F.col(c) for c in ("id", "forum", "number", "tcdate", "invitation", "content")])
     return hits.select((F.coalesce(F.col("details.original"), own) if use_original else own).alias("n")).select("n.*")
 
