@@ -382,6 +382,26 @@ def test_repeated_pages(spark):
     assert len(got) == 4 and [r.text for r in got[:3]] == [PAGES[0][1]] * 3 and got[3].n_chars == 3000 * (len(LONG) + 2) - 2
 
 
+def test_any_number_of_clashes(spark, monkeypatch):
+    # Surrogates that clash by force: the first step of every card number is one and the same.
+    real, cards = pii.surrogate, [f"4111 1111 1111 {k:04d}" for k in range(2000)]
+    cards = [c for c in cards if any(e.kind == "card" for e in pii.detect(f"card {c} it"))][:60]
+    rows = [(k, f"card {c} it") for k, c in enumerate(cards)] + [(None, None), (5, ""), (6, f"again {cards[0]} it and {cards[1]} it")]
+    docs = table(spark, rows)
+
+    def clashing(key, e, text, steps=1):
+        return "4111 1111 1111 1111" if e.kind == "card" and steps == 1 and e.canonical[-1] in "02468" else real(key, e, text, steps)
+
+    results = []
+    for most in (10_000, 3, 0):
+        monkeypatch.setattr(pii, "MOST_CLASHES", most)
+        results.append(sorted(((r.doc_id, r.text, len(r.entities)) for r in pii.pseudonymised(docs, "k", make=clashing).collect()), key=repr))
+    assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
+    said = [t.split("card ")[1] for _, t, _ in results[0] if t and t.startswith("card ")]
+    assert len(set(said)) == len(cards)
+    assert [r.entity for r in pii.clashes(pii.pseudonymised(docs, "k", make=clashing, check=False).select(F.inline("entities"))).collect()]
+
+
 def test_addresses_in_very_long_texts():
     import time
 

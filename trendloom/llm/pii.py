@@ -317,7 +317,7 @@ def entity_id(key: bytes, kind: str, canonical: str) -> str:
     return hmac.new(key, f"{kind}|{canonical}".encode(), hashlib.sha256).hexdigest()[:32]
 
 
-def replace(key: bytes, text: str, further: Mapping[str, int] | None = None) -> tuple[str, list[tuple[int, int, str, str, str]]]:
+def replace(key: bytes, text: str, further: Mapping[str, int] | None = None, make: Callable[[bytes, Entity, str, int], str] = surrogate) -> tuple[str, list[tuple[int, int, str, str, str]]]:
     """The text with surrogates, and (start, end, kind, canonical, surrogate) of each entity in the old text.
 
     ``further`` has the steps, beyond the first, of those entities that go on round their cycle, by ``entity_id``.
@@ -325,7 +325,7 @@ def replace(key: bytes, text: str, further: Mapping[str, int] | None = None) ->
     out, at, found = [], 0, []
     for e in detect(text):
         steps = 1 + (further.get(entity_id(key, e.kind, e.canonical), 0) if further else 0)
-        new = surrogate(key, e, text[e.start : e.end], steps)
+        new = make(key, e, text[e.start : e.end], steps)
         out += [text[at : e.start], new]
         at = e.end
         found.append((e.start, e.end, e.kind, e.canonical, new))
@@ -333,10 +333,11 @@ def replace(key: bytes, text: str, further: Mapping[str, int] | None = None) ->
 
 
 _FOUND = "array<struct<start:int,end:int,kind:string,entity:string,surrogate:string>>"
-MOST_CLASHES = 10_000  # entities that go further round their cycle; the list is sent to all tasks
+MOST_CLASHES = 10_000  # entities whose further steps are sent to all tasks; beyond them rows meet these in a join
+MOST_STEPS = 100  # rounds after which a format has no surrogate left
 
 
-def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True, make: Callable[[bytes, Entity, str, int], str] = surrogate) -> DataFrame:
     """doc_id, text with surrogates, and ``entities`` of every row.
 
     entities has start, end (code points of the old text), kind, a keyed hash of
@@ -345,36 +346,76 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     others; other columns are not read.  An empty table gives an empty one.
     With check, the result is stored and all its entities are held against each
     other; of those that share a surrogate all but the one with the least hash
-    take a further step on their cycles, in all texts, until none share one.
+    take a further step on their cycles, in all texts, until none share one;
+    only where a format has fewer surrogates than there are entities is that an error.
+    ``make`` gives an entity's surrogate after so many steps.
     """
     small_batches(docs.sparkSession)
     secret = key.encode()
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
-    def made(further: dict[str, int]) -> DataFrame:
-        @F.arrow_udf(f"struct<text:string,entities:{_FOUND}>")
-        def run(text: pa.Array) -> pa.Array:
-            new = [(None, []) if t is None else replace(secret, t, further) for t in text.to_pylist()]
+    def made(rows: DataFrame, further: dict[str, int] | None) -> DataFrame:
+        """With the steps given, or else those in the rows' own column ``steps``."""
+
+        def replaced(texts: pa.Array, steps: list[dict[str, int]]) -> pa.Array:
+            new = [(None, []) if t is None else replace(secret, t, s, make) for t, s in zip(texts.to_pylist(), steps, strict=True)]
             marks = [[{"start": s, "end": e, "kind": k, "entity": entity_id(secret, k, c), "surrogate": n} for s, e, k, c, n in found] for _, found in new]
             return pa.StructArray.from_arrays([pa.array([t for t, _ in new], pa.string()), pa.array(marks, kind)], ["text", "entities"])
 
-        return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col).cast("string")).alias("r")).select("doc_id", "r.text", "r.entities")
+        @F.arrow_udf(f"struct<text:string,entities:{_FOUND}>")
+        def run(text: pa.Array) -> pa.Array:
+            return replaced(text, [further] * len(text))
+
+        @F.arrow_udf(f"struct<text:string,entities:{_FOUND}>")
+        def run_joined(text: pa.Array, steps: pa.Array) -> pa.Array:
+            return replaced(text, [{x["entity"]: x["n"] for x in own or []} for own in steps.to_pylist()])
+
+        text = F.col(text_col).cast("string")
+        return rows.select(F.col(id_col).alias("doc_id"), (run(text) if further is not None else run_joined(text, F.col("__steps"))).alias("r")).select("doc_id", "r.text", "r.entities")
 
     if not check:
-        return made({})
+        return made(docs, {})
     further: dict[str, int] = {}
     while True:
-        out = stored(made(dict(further)), "surrogates")
+        out = stored(made(docs, dict(further)), "surrogates")
         clashing = [r["entity"] for r in clashes(out.select(F.inline("entities"))).limit(MOST_CLASHES + 1).collect()]
         if not clashing:
             return out
+        if len(further.keys() | set(clashing)) > MOST_CLASHES:
+            return _by_join(docs.select(id_col, text_col), out, further, secret, made, text_col)
         for e in clashing:
             further[e] = further.get(e, 0) + 1
-        if len(further) > MOST_CLASHES or max(further.values()) > 100:
-            raise ValueError(f"{len(further)} entities share surrogates with others")
+        _bounded(max(further.values()))
         released(out)
 
 
+def _bounded(steps: int) -> None:
+    if steps > MOST_STEPS:
+        raise ValueError("a format has fewer surrogates than entities")
+
+
+def _by_join(docs: DataFrame, out: DataFrame, further: dict[str, int], secret: bytes, made: Callable[[DataFrame, None], DataFrame], text_col: str) -> DataFrame:
+    """The same rounds for any number of clashes: further steps are a table, and each row gets those of its own entities by a join."""
+
+    @F.arrow_udf("array<string>")
+    def entities(text: pa.Array) -> pa.Array:
+        return pa.array([sorted({entity_id(secret, e.kind, e.canonical) for e in detect(t)}) if t else [] for t in text.to_pylist()], pa.list_(pa.string()))
+
+    # Stored, so that a row's number stays its own.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__has", entities(F.col(text_col).cast("string"))), "rows")
+    has = rows.select("__row", F.explode("__has").alias("entity"))
+    steps = docs.sparkSession.createDataFrame(list(further.items()), "entity string, n int")
+    for k in range(MOST_STEPS + 1):
+        _bounded(k)
+        more = clashes(out.select(F.inline("entities"))).withColumn("n", F.lit(1))
+        steps = stored(steps.unionByName(more).groupBy("entity").agg(F.sum("n").cast("int").alias("n")), "steps")
+        own = has.join(steps, "entity").groupBy("__row").agg(F.collect_list(F.struct("entity", "n")).alias("__steps"))
+        last, out = out, stored(made(rows.join(own, "__row", "left"), None), "surrogates")
+        released(last)
+        if not clashes(out.select(F.inline("entities"))).limit(1).count():
+            return out
+
+
 def _plain_pairs(entities: DataFrame) -> DataFrame:
     """Distinct (kind, entity, surrogate), the surrogate without case and separators."""
     plain = F.when(F.col("kind").isin("phone", "card", "ssn", "iban"), F.regexp_replace("surrogate", r"[^+\w]", "")).otherwise(F.lower("surrogate"))
