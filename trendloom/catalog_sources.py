@@ -110,6 +110,11 @@ def cvf_listing(spark: SparkSession, d: str) -> DataFrame:
     return listings.cvf(T.listing(spark, d, "day"))
 
 
+@query(_listed("CVPR", "'CVPR ' || year", "'Ann ' || paper || ', Bob'", "'https:/openaccess.thecvf.com/content_cvpr_' || year || '/html/P' || paper || '_paper.html'", "'https:/openaccess.thecvf.com/content_cvpr_' || year || '/papers/P' || paper || '_paper.pdf'", "'P' || paper").format(5))
+def cvf_listing_old(spark: SparkSession, d: str) -> DataFrame:
+    return listings.cvf(T.listing(spark, d, "old"), "old")
+
+
 @query(_listed("CVPR", "'CVPR ' || year", "'Ann ' || paper", "'https://openaccess.thecvf.com/content/CVPR' || year || '/html/P' || paper || '_paper.html'", "'https://openaccess.thecvf.com/content/CVPR' || year || '/papers/P' || paper || '_paper.pdf'", "'P' || paper").format(5))
 def cvf_listing_new(spark: SparkSession, d: str) -> DataFrame:
     return listings.cvf(T.listing(spark, d, "new"), "new")

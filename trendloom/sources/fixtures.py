@@ -90,6 +90,7 @@ LAYOUTS = {
     "pmlr": '<div class="paper"><p class="title">{t}</p><p class="details">Ann {n}, Bob; Proceedings of it, PMLR 7</p><p>[<a href="/v7/p{n}.html">abs</a>][<a href="/v7/assets/p{n}.pdf">Download PDF</a>]</p></div>',
     "pmlr paragraph": '<p>{t}<br><i>Ann {n}, Bob; and more</i><br><a href="/v7/p{n}.html">page</a> <a href="/v7/p{n}/p{n}.pdf">Download PDF</a></p>',
     "day": '<p><a href="content_CVPR_{y}/html/P{n}_paper.html">{t}</a>, Ann {n}, Bob, [<a href="content_CVPR_{y}/papers/P{n}_paper.pdf">pdf</a>]</p>',
+    "old": '<p><a href="content_cvpr_{y}/html/P{n}_paper.html">{t}</a>, Ann {n}, Bob, [<a href="content_cvpr_{y}/papers/P{n}_paper.pdf">pdf</a>]</p>',
     "new": '<div><a href="/content/CVPR{y}/html/P{n}_paper.html">{t}</a> Ann {n} [<a href="/content/CVPR{y}/papers/P{n}_paper.pdf">pdf</a>]</div>',
     "workshop": '<div><a href="content/w{y}/papers/P{n}_paper.pdf">{t}</a>, Ann {n}</div>',
     "neurips": '<li><a href="/paper/{y}/hash/{n}-Abstract.html">{t}</a> <i>Ann {n}</i></li>',
@@ -99,14 +100,14 @@ LAYOUTS = {
 
 
 def listing(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
-    """Papers as listing pages (year, page, html), a page for each conference and year, in order of the papers' numbers."""
+    """Papers as listing pages (year, page, html) of a conference and year each, one for every thousand of the papers' numbers, in their order."""
     item = F.lit(LAYOUTS[layout])
     for mark, value in (("{n}", F.col("paper").cast("string")), ("{t}", F.col("title")), ("{y}", F.col("year").cast("string"))):
         item = F.replace(item, F.lit(mark), value)
-    rows = papers(spark, sf_dir).groupBy("year", "conference").agg(F.array_sort(F.collect_list(F.struct("paper", item.alias("item")))).alias("items"))
+    rows = papers(spark, sf_dir).groupBy("year", "conference", F.expr("paper div 1000").alias("part")).agg(F.array_sort(F.collect_list(F.struct("paper", item.alias("item")))).alias("items"))
     page = F.concat(F.lit('<html><body><nav><a href="/v7/index.html">Home</a></nav><div class="list">'), F.array_join(F.transform("items", lambda x: x["item"]), ""), F.lit("</div></body></html>"))
     place = F.array_position(F.array(*[F.lit(v) for v in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]), F.col("conference")).cast("int")
-    return rows.select("year", place.alias("page"), page.alias("html"))
+    return rows.select("year", (place * 1_000_000 + F.col("part")).cast("int").alias("page"), page.alias("html"))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
