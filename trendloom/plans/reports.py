@@ -38,21 +38,28 @@ def title_shares(spark: SparkSession, d: str) -> DataFrame:
     return C.topic_year_shares(title_cube(spark, d))
 
 
-def label_cube(spark: SparkSession, d: str) -> DataFrame:
-    found = L.mentions(L.main_track(T.papers(spark, d)), "t4", T.canonical(spark, d))
+def main_papers(spark: SparkSession, d: str) -> DataFrame:
+    """The main track, as a table for plans that read it more than once."""
+    return written(L.main_track(T.papers(spark, d)).select("paper", "conference", "year", "title", "keywords"), "main-papers")
+
+
+def label_cube(spark: SparkSession, d: str, papers: DataFrame | None = None) -> DataFrame:
+    found = L.mentions(L.main_track(T.papers(spark, d)) if papers is None else papers, "t4", T.canonical(spark, d))
     return found.withColumnRenamed("k", "topic").withColumnRenamed("conference", "venue").groupBy("topic", "year", "venue").agg(C.F.count("*").alias("count"))
 
 
-def title_cube(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
-    return C.title_cube(L.main_track(T.papers(spark, d)), label_cube(spark, d) if labels is None else labels, T.canonical(spark, d))
+def title_cube(spark: SparkSession, d: str, labels: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
+    papers = main_papers(spark, d) if papers is None else papers
+    return C.title_cube(papers, label_cube(spark, d, papers) if labels is None else labels, T.canonical(spark, d))
 
 
 def robustness(spark: SparkSession, d: str) -> DataFrame:
     """The label cube's backtest against all topics of the title cube, each with thresholds of its own."""
     rules = S.Rules(low=3, high=100_000, visible=3, recency=3, explosion=1.1)
     # Both cubes are read several times over; each is worked out once.
-    cube = written(label_cube(spark, d), "label-cube")
-    labels, titles = written(C.topic_year_shares(cube), "label-shares"), written(C.topic_year_shares(title_cube(spark, d, cube)), "title-shares")
+    papers = main_papers(spark, d)
+    cube = written(label_cube(spark, d, papers), "label-cube")
+    labels, titles = written(C.topic_year_shares(cube), "label-shares"), written(C.topic_year_shares(title_cube(spark, d, cube, papers)), "title-shares")
     main = S.backtest(labels, S.freeze_thresholds(labels, rules), window=rules.window)
     return S.robustness(main, S.evaluated(titles, S.freeze_thresholds(titles, rules), window=rules.window))
 
