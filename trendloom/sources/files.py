@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trendloom.schema import CUBE, EVALUATION, PAPER, PAPER_COLUMNS
 from trendloom.sources import xlsx
-from trendloom.sources.tables import _at
+from trendloom.sources.tables import _at, replaced
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -164,10 +164,14 @@ def write_text(df: DataFrame, path: str) -> None:
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    """The one row of a report as a flat document; the path is on the driver."""
+    """The one row of a report as a flat document, a file of any store that replaces a former one in one step."""
     row = df.first()
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(row.asDict(recursive=True) if row else {}, f, indent=2)
+    replaced(df.sparkSession, path, [json.dumps(row.asDict(recursive=True) if row else {}, indent=2).encode()])
+
+
+def write_chart(document: str, path: str) -> None:
+    """A chart's document as a file of any store."""
+    replaced(SparkSession.active(), path, [document.encode()])
 
 
 def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:

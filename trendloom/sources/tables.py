@@ -15,8 +15,9 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 POINTER = "_present.json"
@@ -28,18 +29,37 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _replaced(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside path, and renames it over path in one step."""
-    beside = f"{path}.{uuid.uuid4().hex}"
-    store, at = _at(spark, beside)
+def replaced(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """Writes the chunks, one after another, to a file beside path, and renames it over path in one step.
+
+    Local files are renamed below the layer that keeps checksums in files of
+    their own, whose renames take several steps.
+    """
+    folder, _, name = path.rpartition("/")
+    beside = f"{folder}{'/' if folder or path.startswith('/') else ''}_{name}.{uuid.uuid4().hex}"
+    (store, at), to = _at(spark, beside), _at(spark, path)[1]
+    local = is_instance_of(spark.sparkContext._gateway, store, "org.apache.hadoop.fs.ChecksumFileSystem")
+    if local:
+        store.delete(store.getChecksumFile(to), False)
+        store = store.getRawFileSystem()
     stream = store.create(at, False)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    jvm, fs = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    try:
+        for chunk in chunks:
+            stream.write(bytearray(chunk))
+        stream.close()
+    except BaseException:
+        stream.close()
+        store.delete(at, False)
+        raise
+    if local:
+        if not store.rename(at, to):
+            raise OSError(f"{beside} could not be renamed")
+        return
+    fs = spark._jvm.org.apache.hadoop.fs
     over = getattr(fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(over, 1)
     how[0] = over.OVERWRITE
-    fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(path), how)
+    fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, to, how)
 
 
 def present(spark: SparkSession, path: str) -> dict | None:
@@ -71,7 +91,7 @@ def publish(df: DataFrame, path: str, made_from: str = "", keep: int = 1) -> Dat
     spark, base = df.sparkSession, path.rstrip("/")
     version = f"v{time.time_ns():020d}-{uuid.uuid4().hex}"
     df.write.parquet(f"{base}/{version}")
-    _replaced(spark, f"{base}/{POINTER}", json.dumps({"version": version, "made_from": made_from}))
+    replaced(spark, f"{base}/{POINTER}", [json.dumps({"version": version, "made_from": made_from}).encode()])
     store, at = _at(spark, base)
     former = sorted(n for s in store.listStatus(at) if re.match(r"v\d{20}-", n := s.getPath().getName()) and n < version)
     for name in former[: max(0, len(former) - keep)]:

@@ -1,4 +1,4 @@
-"""Spreadsheet files by the standard library: read on the executors, in ranges of rows, written as files of a sheet each.
+"""Spreadsheet files by the standard library: read and written on the executors, in ranges of rows, as files of a sheet each.
 
 A workbook is a ZIP of XML parts.  Read are the first sheet's cells of shared and
 inline strings, numbers and booleans; all values are texts, as the papers' tables
@@ -14,17 +14,22 @@ import functools
 import io
 import itertools
 import re
+import struct
 import zipfile
-from collections.abc import Iterator, Sequence, Set
-from typing import IO
+import zlib
+from collections.abc import Iterable, Iterator, Sequence, Set
+from typing import IO, NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
+from trendloom.scratch import written
+from trendloom.sources import tables
 
 # The names that the format uses, a sheet's rows and a cell's characters at most.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -40,15 +45,6 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
-def column_name(n: int) -> str:
-    out = ""
-    n += 1
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
 def _first_sheet(book: zipfile.ZipFile) -> str:
     first = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}sheets/{MAIN}sheet").get(REL)
     for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
@@ -200,41 +196,143 @@ def row_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rows long, bad long, error string")
 
 
-def workbook(names: Sequence[str], rows: Iterator[Sequence[str | None]]) -> bytes:
-    """A workbook of one sheet of texts."""
+class Piece(NamedTuple):
+    """Compressed bytes that may be joined with others, and what a checksum of the whole needs to know of them."""
 
-    def line(k: int, values: Sequence[str | None]) -> str:
-        cells = (f'<c r="{column_name(i)}{k}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for i, v in enumerate(values) if v is not None)
-        return f'<row r="{k}">{"".join(cells)}</row>'
+    content: bytes
+    crc: int
+    length: int
+    rows: int
 
+
+def _piece(text: str, rows: int = 0, last: bool = False) -> Piece:
+    raw = text.encode()
+    press = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    # Ended at a whole byte with nothing to look back to, pieces follow one another as one stream.
+    return Piece(press.compress(raw) + press.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH), zlib.crc32(raw), len(raw), rows)
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of the checksum; the highest bit is the constant term."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a, b = a << 1 & 0xFFFFFFFF, b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, length: int) -> int:
+    """The CRC-32 of two texts one after another, the second of so many bytes, from the CRC-32 of each."""
+    shift, byte = 0x80000000, 0x00800000
+    while length:
+        if length & 1:
+            shift = _times(shift, byte)
+        byte, length = _times(byte, byte), length >> 1
+    return _times(shift, first) ^ second
+
+
+def _archive(entries: Iterable[tuple[str, Iterable[Piece]]]) -> Iterator[bytes]:
+    """A ZIP file of the entries, whose pieces are taken one by one; nothing but sums is kept of them."""
+    at, count, directory = 0, 0, b""
+    for name, pieces in entries:
+        # Sizes and checksum follow the data; a fixed date keeps equal tables equal files.
+        fixed, label = (20, 0x808, 8, 0, 0x21), name.encode()
+        head = struct.pack("<4s5H3L2H", b"PK\3\4", *fixed, 0, 0, 0, len(label), 0) + label
+        yield head
+        crc = length = size = 0
+        for p in pieces:
+            crc, length, size = joined_crc(crc, p.crc, p.length), length + p.length, size + len(p.content)
+            if max(length, size, at) >= 1 << 32:
+                raise ValueError("a sheet of 4 GB or more")
+            yield p.content
+        yield struct.pack("<4s3L", b"PK\7\x08", crc, size, length)
+        directory += struct.pack("<4s6H3L5H2L", b"PK\1\2", 20, *fixed, crc, size, length, len(label), 0, 0, 0, 0, 0, at) + label
+        at, count = at + len(head) + size + 16, count + 1
+    yield directory + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, count, count, len(directory), at, 0)
+
+
+def _line(values: Sequence[str | None]) -> str:
+    """A row; its cells are told by their order, so that no row needs its number."""
+    cells = ("<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for v in values)
+    return f"<row>{''.join(cells)}</row>"
+
+
+def _book(names: Sequence[str], rows: Iterable[Piece]) -> Iterator[bytes]:
+    """A workbook of one sheet with the names and the rows of the pieces."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     package, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
     office = REL[1 : REL.index("}")]
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
-        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
-            sheet.write(f'{head}<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{line(1, names)}'.encode())
-            for k, row in enumerate(rows, 2):
-                if k > MOST_ROWS:
-                    raise ValueError(f"a sheet holds {MOST_ROWS} rows at most")
-                sheet.write(line(k, row).encode())
-            sheet.write(b"</sheetData></worksheet>")
-    return out.getvalue()
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    }
+    sheet = itertools.chain([_piece(f'{head}<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{_line(names)}')], rows, [_piece("</sheetData></worksheet>", last=True)])
+    return _archive([*((name, [_piece(head + text, last=True)]) for name, text in parts.items()), ("xl/worksheets/sheet1.xml", sheet)])
+
+
+ROWS = 5000  # that are compressed together
+
+
+def _pieces(rows: Iterable[Sequence[str | None]]) -> Iterator[Piece]:
+    for some in itertools.batched(rows, ROWS):
+        yield _piece("".join(map(_line, some)), len(some))
+
+
+def workbook(names: Sequence[str], rows: Iterable[Sequence[str | None]]) -> bytes:
+    """A workbook of one sheet of texts."""
+    return b"".join(_book(names, _pieces(rows)))
+
+
+def _cells_of(df: DataFrame) -> DataFrame:
+    """All columns as texts that a cell may hold: without control characters, cut at what a cell holds."""
+    return df.select(*[X.sanitise(F.col(f"`{c}`").cast("string"), MOST_CHARS).alias(c) for c in df.columns])
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, ...]]:
+    for b in batches:
+        yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+
+def workbooks(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """part, number, rows, content: df as workbooks of at most so many rows, each made whole by the task that has its rows.
+
+    No rows, no workbook.  ``parsed`` reads the column ``content``.
+    """
+    if not 0 < most_rows < MOST_ROWS:
+        raise ValueError(f"a sheet holds {MOST_ROWS} rows at most, its names among them")
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _rows_of(batches)
+        for number in itertools.count():
+            pieces = list(_pieces(itertools.islice(rows, most_rows)))
+            if not pieces:
+                return
+            yield pa.RecordBatch.from_pydict({"number": [number], "rows": [sum(p.rows for p in pieces)], "content": [b"".join(_book(names, pieces))]})
+
+    return _cells_of(df).mapInArrow(run, "number long, rows long, content binary").select(F.spark_partition_id().alias("part"), "number", "rows", "content")
 
 
 def write(df: DataFrame, path: str) -> None:
-    """One workbook at path, a file of any store; the rows pass through the driver one after another and must fit a sheet.
+    """One workbook at path, a file of any store, in the order of df; its rows must fit a sheet.
 
-    Control characters are removed and texts cut at what a cell holds.
+    The tasks make and compress the XML of their rows; the pieces, a table in the
+    shared folder, are then joined one after another as they stand, without being
+    unpacked, and the file replaces a former one in one step.  Control characters
+    are removed and texts cut at what a cell holds.
     """
-    columns = [X.sanitise(F.col(f"`{c}`").cast("string"), MOST_CHARS).alias(c) for c in df.columns]
-    content = workbook(df.columns, (tuple(r) for r in df.select(*columns).toLocalIterator()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, p in enumerate(_pieces(_rows_of(batches))):
+            yield pa.RecordBatch.from_pydict({"number": [number], **{k: [v] for k, v in p._asdict().items()}})
+
     spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    stream.write(bytearray(content))
-    stream.close()
+    made = _cells_of(df).mapInArrow(run, "number long, content binary, crc long, length long, rows long")
+    made = written(made.select(F.spark_partition_id().alias("part"), "number", "content", "crc", "length", "rows"), "sheet")
+    if (made.agg(F.sum("rows")).first()[0] or 0) >= MOST_ROWS:
+        raise ValueError(f"a sheet holds {MOST_ROWS} rows at most, its names among them")
+    ordered = made.orderBy("part", "number").select("content", "crc", "length", "rows").toLocalIterator()
+    tables.replaced(spark, path, _book(df.columns, (Piece(bytes(r.content), r.crc, r.length, r.rows) for r in ordered)))
