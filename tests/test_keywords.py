@@ -225,3 +225,11 @@ def test_a_stream_keeps_the_cube(spark, tmp_path):
         assert same(cube.read_kept(spark, path)) == batch()
     cube.upsert(spark.createDataFrame([], kind), last + 1, path, every=2)
     assert same(cube.read_kept(spark, path)) == batch() and cube._merged(spark, path) == last + 1
+
+
+def test_known_phrases_by_built_in_functions(spark):
+    """The same phrases in the same order as the function of one title."""
+    texts = [None, "", "slam", "SLAM for Few-Shot  Learning", "on deep reinforcement-learning, GNN denoising and nlp", *(f"{a} of {b}" for a, b in zip(titles.KNOWN, titles.KNOWN[7:], strict=False))]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.f for r in rows.select("k", keywords.vocabulary_match(F.col("t"), titles.KNOWN, len(titles.KNOWN), 5).alias("f")).collect()}
+    assert [got[k] for k in range(len(texts))] == [titles.known_phrases(t or "") for t in texts]

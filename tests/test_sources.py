@@ -121,6 +121,19 @@ def test_cached_tables_know_their_inputs(spark, tmp_path):
     assert tables.cached(spark, path, lambda: build().where("n > 0")).count() == 6 and version() != first
 
 
+def test_fingerprints_of_plans_made_anew(spark):
+    rows = spark.range(3).selectExpr("array(id, id + 1) AS a")
+    plans = lambda: [rows.select(F.transform("a", lambda x, i: x + i).alias("b")), rows.select(F.transform("a", lambda x, i: i + x).alias("b")), rows.select(F.transform("a", lambda x, i: x - i).alias("b"))]
+    first, second = [[tables.fingerprint(df) for df in plans()] for _ in range(2)]
+    assert first == second and len(set(first)) == 3
+
+
+def test_a_csv_table_with_quotes_and_lines(spark, tmp_path):
+    rows = spark.createDataFrame([('a "b", c', 2020, "x\ny", 1), ("\\", 2021, '"', 2)], "topic string, year int, venue string, count long")
+    files.write_csv(rows, str(tmp_path / "c"))
+    assert sorted(map(tuple, files.read_cube(spark, str(tmp_path / "c")).collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_a_table_is_never_absent(spark, tmp_path):
     import threading
 

@@ -525,5 +525,5 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").select("event_id", N.note_value(F.col("props"), "k").alias("bare"), N.note_value(wrapped, "k").alias("wrapped"))
 
 
-# The queries of what is fetched, read and extracted.
-from trendloom import catalog_sources  # noqa: E402, F401
+# The queries of what is fetched, read, written and extracted.
+from trendloom import catalog_files, catalog_sources  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from trendloom.operators import abstracts as A
 from trendloom.operators import extractors, keywords, listings, merge, notes, phrases, titles
 from trendloom.operators.cube import topic_year_shares
 from trendloom.registry import query
-from trendloom.scratch import shared_folder
+from trendloom.scratch import shared_folder, written
 from trendloom.sources import files, xlsx
 from trendloom.sources import fixtures as T
 from trendloom.streaming import cube
@@ -258,16 +259,13 @@ def enriched_keywords(spark: SparkSession, d: str) -> DataFrame:
 # --- files and text functions ------------------------------------------------------
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ' <&> ' || chr(228) AS n_name, CAST(NULL AS VARCHAR) AS absent FROM nation")
+@query(f"WITH {PAPERS} SELECT title || ' <&> ' || chr(228) AS title, CAST(paper AS VARCHAR) AS paper, CAST(NULL AS VARCHAR) AS absent, keywords FROM papers")
 def spreadsheet_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Workbooks made in memory, one a region, and the columns wanted read back."""
-    import pandas as pd
-
-    def book(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"content": [xlsx.workbook(list(frame.columns), iter(frame.to_numpy().tolist()))]})
-
-    rows = T.table(spark, d, "nation").select(*[F.col(c).cast("string").alias(c) for c in ("n_regionkey", "n_nationkey")], F.concat("n_name", F.lit(" <&> ä")).alias("n_name"))
-    return xlsx.parsed(rows.groupBy("n_regionkey").applyInPandas(book, "content binary"), ["n_nationkey", "n_name", "absent"])
+    """All papers as workbooks that the tasks make of their rows, and the columns wanted read back by ranges of rows."""
+    rows = T.papers(spark, d).select("paper", "year", F.concat("title", F.lit(" <&> ä")).alias("title"), "conference", "keywords")
+    books = written(xlsx.workbooks(rows), "workbooks")
+    parts = [xlsx.parsed(books, ["title", "paper", "absent", "keywords"], k=k, ranges=4) for k in range(4)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("""SELECT page_id, url || '/v12/P7-Abstract.html' AS page, url || '/v12/P7.pdf' AS file, 'P7' AS id, '12' AS volume, regexp_extract(url, '^(https?://[^/]+)', 1) || '/x' AS rooted, 'https://h.org/b/x' AS relative, 'https://h.org/x' AS cross,

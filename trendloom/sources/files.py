@@ -132,11 +132,11 @@ def _row_counts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CUBE).option("header", True).csv(path)
+    return spark.read.schema(CUBE).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVALUATION).option("header", True).csv(path)
+    return spark.read.schema(EVALUATION).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 # The names in the document of thresholds, and those that the signature takes.
@@ -155,7 +155,8 @@ def threshold_document(thresholds: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files with a header each; quotes within a value are doubled, as the readers here and elsewhere take them."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_text(df: DataFrame, path: str) -> None:
