@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.catalog import PAPERS
@@ -24,7 +24,7 @@ _BLANK = "'' AS abstract, '' AS \"TLDR\", '' AS keywords"
 
 # --- notes -------------------------------------------------------------------------
 
-_NOTE = """conference, year, conference AS venue, 'main' AS paper_type, {0} AS title, '' AS abstract,
+_NOTE = """conference, year, conference || CASE WHEN year % 3 = 0 THEN '/Workshop/Gears' ELSE '' END AS venue, CASE WHEN year % 3 = 0 THEN 'workshop' ELSE 'main' END AS paper_type, {0} AS title, '' AS abstract,
   CASE paper % 3 WHEN 1 THEN 'short ' || paper WHEN 2 THEN 'brief ' || paper ELSE '' END AS "TLDR", coalesce(keywords, '') AS keywords,
   CASE WHEN paper % 3 = 0 THEN 'A B; C ' || paper ELSE '' END AS authors, CASE paper % 3 WHEN 1 THEN 'theory' WHEN 2 THEN 'vision' ELSE '' END AS track_or_subject_areas,
   CASE WHEN paper = 0 THEN '' ELSE strftime(make_timestamp(paper * 86400000000), '%Y-%m-%d') END AS submission_date,
@@ -34,7 +34,8 @@ _NOTE = """conference, year, conference AS venue, 'main' AS paper_type, {0} AS t
 @query(f"WITH {PAPERS} SELECT {_NOTE.format('title')} FROM papers")
 def notes_to_papers(spark: SparkSession, d: str) -> DataFrame:
     rows = T.notes(spark, d).select("conference", "year", F.from_json("note", f"struct<{notes.N.NOTE}>").alias("n")).select("conference", "year", "n.*")
-    return notes.paper_rows(rows, F.col("year"), F.col("conference"), F.col("conference"))
+    venue = F.concat("conference", F.when(F.col("year") % 3 == 0, "/Workshop/Gears").otherwise(""))
+    return notes.paper_rows(rows, F.col("year"), venue, F.col("conference"))
 
 
 @query(f"WITH {PAPERS} SELECT 'n' || paper AS id FROM papers WHERE conference = 'ASIA' AND paper % 3 < 2")
@@ -278,26 +279,28 @@ def addresses(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(T.table(spark, d, "pages").select("page_id", X.absolute_url(F.lit("x"), "https://h.org/b").alias("relative"), X.absolute_url(F.lit("/x"), "https://h.org/b").alias("cross"), X.file_safe(url).alias("safe"), X.axis_label(url).alias("label")), "page_id")
 
 
-@query("""SELECT c_custkey, 'Furniture-2Nd Class' AS cased, printf('%.1f%%', c_custkey / 7) AS pct, format('{:,}', c_custkey * 1001) AS thousands, 'Last, ' || c_name AS person, c_name AS alone, 'T. ' || repeat(c_name || ' ', 3) || 'x' AS doc, 'T' AS bare,
-  2018 AS old_id, 2020 AS new_id, CAST(NULL AS INT) AS no_id, len(regexp_split_to_array('a. b! ' || c_name || '? c', '[.!?]\\s+')) AS n_sentences, 'we did it' AS abstract, 'Phrase|AB1' AS parts, '1970-01-02' AS day FROM customer""")
+@query("""SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '-2Nd ' || CASE WHEN c_custkey % 2 = 0 THEN 'Class' ELSE 'Row' END AS cased, printf('%.1f%%', c_custkey / 7) AS pct, format('{:,}', c_custkey * 1001) AS thousands,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment || ', ' || c_name END AS person, CASE WHEN c_custkey % 4 = 1 THEN c_mktsegment ELSE c_mktsegment || '. ' || repeat(c_name || ' ', 3) || 'x' END AS doc,
+  CASE c_custkey % 4 WHEN 0 THEN 2000 + c_custkey % 100 WHEN 1 THEN 1990 + c_custkey % 40 END AS id_year, len(regexp_split_to_array('a. b! ' || c_name || '? c', '[.!?]\\s+')) AS n_sentences,
+  CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'about ' END || c_name || ' did it' AS abstract, c_name || CASE WHEN c_custkey % 2 = 0 THEN '|AB' || c_custkey % 10 ELSE '' END AS parts,
+  CAST(CAST('1970-01-01' AS DATE) + CAST(c_custkey % 20000 AS INT) AS VARCHAR) AS day FROM customer""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
-    n, none = F.col("c_name"), F.lit(None).cast("string")
+    """Functions of texts and numbers on columns of customers, in each of the forms that they tell apart."""
+    n, segment, k, none = F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey"), F.lit(None).cast("string")
+    even, text = k % 2 == 0, lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    acl = F.when(k % 4 == 0, text("P", F.lpad((k % 100).cast("string"), 2, "0"), "-1001")).when(k % 4 == 1, text((1990 + k % 40).cast("string"), ".acl-long.", k.cast("string"))).otherwise(text("W19-", k.cast("string")))
     return T.table(spark, d, "customer").select(
         "c_custkey",
-        X.title_case(F.lit("FURNITURE-2nd class")).alias("cased"),
-        X.percent(F.col("c_custkey") / 700).alias("pct"),
-        X.grouped(F.col("c_custkey") * 1001).alias("thousands"),
-        X.last_first(F.lit("Last"), n).alias("person"),
-        X.last_first(n, none).alias("alone"),
-        X.document(F.lit(" T "), F.concat(F.repeat(F.concat(n, F.lit(" ")), F.lit(3)), F.lit("x"))).alias("doc"),
-        X.document(F.lit("T"), F.lit("NaN")).alias("bare"),
-        X.year_of_acl_id(F.lit("P18-1001")).alias("old_id"),
-        X.year_of_acl_id(F.lit("2020.acl-long.1")).alias("new_id"),
-        X.year_of_acl_id(F.lit("W19-1001")).alias("no_id"),
-        F.size(X.sentences(F.concat(F.lit("a. b! "), n, F.lit("? c")))).cast("long").alias("n_sentences"),
-        X.clean_abstract(F.lit(" Abstract: -  we\n did   it ")).alias("abstract"),
-        F.array_join(X.split_abbreviation(F.lit("Phrase (AB1)")), "|").alias("parts"),
-        X.date_of_millis(F.lit(86_400_000)).alias("day"),
+        X.title_case(text(segment, "-2nd ", F.when(even, "CLASS").otherwise("row"))).alias("cased"),
+        X.percent(k / 700).alias("pct"),
+        X.grouped(k * 1001).alias("thousands"),
+        F.when(k % 3 == 0, X.last_first(n, none)).otherwise(X.last_first(segment, n)).alias("person"),
+        X.document(text(" ", segment, " "), F.when(k % 4 == 1, "NaN").otherwise(text(F.repeat(text(n, " "), F.lit(3)), "x"))).alias("doc"),
+        X.year_of_acl_id(acl).alias("id_year"),
+        F.size(X.sentences(text("a. b! ", n, "? c"))).cast("long").alias("n_sentences"),
+        X.clean_abstract(text(F.when(even, " Abstract: -  ").otherwise(" about\n"), n, "\n did   it ")).alias("abstract"),
+        F.array_join(X.split_abbreviation(text(n, F.when(even, text(" (AB", (k % 10).cast("string"), ")")).otherwise(""))), "|").alias("parts"),
+        X.date_of_millis(k % 20_000 * 86_400_000 + 86_399_999).alias("day"),
     )
 
 
