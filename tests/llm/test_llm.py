@@ -214,6 +214,17 @@ def test_mixing_keeps_to_the_given_weights_over_the_whole_run(spark):
         assert worst < 1 + 1e-6
 
 
+def test_mixing_of_null_unlisted_and_so_named_sources(spark):
+    """Null, a source that no weight names and one that is named like the rest are the rest: one source, its blocks in one sequence."""
+    docs = spark.createDataFrame([(k, (None, mixing.OTHER, "strange", "a")[k % 4], "x" * 10) for k in range(80)], "doc_id long, source string, text string")
+    got = mixing.mix(docs, {"a": 1.0, mixing.OTHER: 3.0}, block=10).collect()
+    of = collections.Counter(r.source for r in got)
+    assert of == {"a": 20, mixing.OTHER: 60} and sorted(r.slot for r in got) == list(range(80))
+    assert sorted(r.block for r in got if r.source == mixing.OTHER) == list(range(60))
+    given = np.cumsum([r.source == "a" for r in sorted(got, key=lambda r: r.slot)])
+    assert (abs(given - 0.25 * np.arange(1, 81)) < 1).all()
+
+
 def test_mixing_scatters_rows_without_ids(spark):
     docs = spark.createDataFrame([(None if k % 2 else 7, f"text {k}", "s") for k in range(3000)], "doc_id long, text string, source string")
     got = mixing.mix(docs, {"s": 1.0}, block=100).select("place", "block", "slot").toPandas()
@@ -484,6 +495,18 @@ def test_fixity_of_rows_without_ids(spark):
     assert fixity.audit(h, fixity.page_hashes(pages)).count() == 0
 
 
+def test_fixity_of_empty_and_very_long_pages(spark):
+    kind = "page_id long, url string, html string"
+    none = fixity.page_hashes(spark.createDataFrame([], kind))
+    assert none.count() == 0 and fixity.audit(none, none).count() == 0
+    pages = spark.createDataFrame([(1, "a", "x" * 3_000_000), (2, "b", ""), (3, None, None)], kind)
+    h = fixity.page_hashes(pages)
+    want = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: a\r\nContent-Length: 3000000\r\n\r\n" + b"x" * 3_000_000 + b"\r\n\r\n"
+    assert {r.record: r.hash for r in h.collect()}[1] == hashlib.sha256(want).hexdigest() and h.count() == 3
+    longer = fixity.page_hashes(pages.withColumn("html", F.when(F.col("page_id") == 1, F.concat("html", F.lit("x"))).otherwise(F.col("html"))))
+    assert ("changed" in {r.damage for r in fixity.audit(h, longer).where("record = 1").collect()}) and fixity.audit(h, none).count() == 3 and fixity.audit(none, h).count() == 3
+
+
 def test_fixity_finds_every_damage(spark):
     pages = spark.createDataFrame([(k, f"u{k}" if k % 7 else None, "x" * (k * 37 % 900)) for k in range(400)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
     h = fixity.record_hashes(fixity.manifest(pages, records_a_file=50)).cache()
