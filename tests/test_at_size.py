@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trendloom.functions import text as X
 from trendloom.operators import phrases
 
 
@@ -19,3 +20,8 @@ def test_many_whole_phrases_take_one_pass(spark):
     assert sorted(map(tuple, few.collect())) == [(1, "h i j y"), (1, "x"), (1, "x a"), (2, " y"), (2, " y"), (2, "x"), (2, "x")]
     more = phrases.matches(texts, F.col("t"), listed.union(spark.createDataFrame([(long,)], "p string")), ["id"], whole_words=True, most_chars=2)
     assert sorted(r.phrase for r in more.where("id = 1").collect()) == [long, "h i j y", "x", "x a"]
+
+
+def test_days_beyond_the_year_9999(spark):
+    rows = spark.createDataFrame([(0,), (-1,), (253402300800000,), (8999999 * 86_400_000 + 86_399_999,), (2**62,)], "c long")
+    assert [r.d for r in rows.select(X.date_of_millis(F.col("c")).alias("d")).collect()] == ["1970-01-01", "1969-12-31", "10000-01-01", "26611-03-01", None]

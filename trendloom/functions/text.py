@@ -105,8 +105,9 @@ def split_abbreviation(c: Column) -> Column:
 
 
 def date_of_millis(c: Column) -> Column:
-    """The day in UTC, whatever the session's zone."""
-    return F.date_from_unix_date(F.floor(c / 86_400_000).cast("int")).cast("string")
+    """The day in UTC, whatever the session's zone; years beyond 9999 without the sign that Spark puts before them. Null where no calendar reaches."""
+    days = ((c - F.pmod(c, F.lit(86_400_000))) / 86_400_000).cast("long").try_cast("int")
+    return F.regexp_replace(F.date_from_unix_date(days).cast("string"), r"^\+", "")
 
 
 def is_short(keywords: Column, least: int = 10) -> Column:
