@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
-from trendloom.operators import phrases
+from trendloom.operators import listings, phrases
 
 
 def plan(df) -> str:
@@ -25,3 +25,18 @@ def test_many_whole_phrases_take_one_pass(spark):
 def test_days_beyond_the_year_9999(spark):
     rows = spark.createDataFrame([(0,), (-1,), (253402300800000,), (8999999 * 86_400_000 + 86_399_999,), (2**62,)], "c long")
     assert [r.d for r in rows.select(X.date_of_millis(F.col("c")).alias("d")).collect()] == ["1970-01-01", "1969-12-31", "10000-01-01", "26611-03-01", None]
+
+
+def test_links_carry_what_their_rule_reads(spark):
+    """What a task hands on of a page grows with the page, not with its links times its text."""
+    item = '<li><a href="/paper/2019/hash/{0}-Abstract.html">A title of {0}</a> <i>Ann {0}</i></li>'
+    page = "<div>" + "".join(item.format(k) for k in range(1500)) + "</div>"
+    known = sum(len(x) for link in listings._anchors(page, ("next", "parent")) for x in link if isinstance(x, str))
+    assert known < 2 * len(page)
+    pages = spark.createDataFrame([(2019, 0, page, None), (2019, 1, None, "b"), (2019, 2, "<a href=x>t</a>", "c")], "year int, page int, html string, more string")
+    got = listings.anchors(pages, "next")
+    assert got.columns == ["year", "page", "more", "at", "href", "text", "next"]
+    by = {r.page: r for r in got.groupBy("page").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.first("more").alias("more")).collect()}
+    assert (by[0].n, by[0].last, by[0].more) == (1500, 1499, None) and (by[2].n, by[2].more) == (1, "c") and 1 not in by
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert listings.neurips(pages).count() == 1500

@@ -1,69 +1,98 @@
 """Papers from the listing pages of proceedings: anchors with what stands around them, then each site's rules.
 
 Pages are supplied as rows (year, page, html): page is the place of a page among
-those of its listing.  One Python pass makes an array of anchors of each page;
+those of its listing.  One Python pass makes rows of the anchors of each page;
 all rules are column expressions on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from trendloom.functions import dom
 from trendloom.functions import text as X
 from trendloom.schema import PAPER_COLUMNS
+from trendloom.session import small_batches
 
-ANCHOR = "struct<at:int,href:string,text:string,lines:array<string>,paragraph:string,parent:string,next:string,block:array<string>,shelf:int>"
+#: What is known of a link, by name; a site's rules ask for the last six as they need them.
+FIELDS = {"at": "int", "href": "string", "text": "string", "lines": "array<string>", "paragraph": "string", "parent": "string", "next": "string", "block": "array<string>", "shelf": "int"}
+#: Links, and characters of all that is known of them, that a task gathers before it hands them on.
+MOST_LINKS, MOST_CHARS = 1000, 4_000_000
 # Words of lines that are no titles.
 NO_TITLE = ("Proceedings of", "PMLR", "Filter")
 
 
-def _paper_block(link: dom.Element, most: int = 8) -> list[str]:
+def _paper_block(link: dom.Element, seen: dict[int, list[str]], most: int = 8) -> list[str]:
     """Lines of the nearest of the ancestors that looks like a paper: a title first, and later a line that names the proceedings."""
     for _, block in zip(range(most), link.ancestors(), strict=False):
-        lines = block.lines()
-        if len(lines) < 2 or len(lines[0]) < 10 or any(w in lines[0] for w in (*NO_TITLE, "Download PDF")) or lines[0].startswith("["):
-            continue
-        if any("PMLR" in x or "Proceedings of" in x for x in lines[1:]):
-            return lines
+        if (own := seen.get(id(block))) is None:
+            lines = block.lines()
+            unlike = len(lines) < 2 or len(lines[0]) < 10 or any(w in lines[0] for w in (*NO_TITLE, "Download PDF")) or lines[0].startswith("[")
+            # Many links share their outer blocks, which are read once a page.
+            own = seen[id(block)] = lines if not unlike and any("PMLR" in x or "Proceedings of" in x for x in lines[1:]) else []
+        if own:
+            return own
     return []
 
 
-def _anchors(page: str | None) -> Iterator[dict]:
+def _anchors(page: str | None, fields: Sequence[str]) -> Iterator[list]:
+    """Of each link its place, address and text, and the fields."""
     root = dom.parse(page)
-    shelves = {id(e): k for k, e in enumerate(e for e in root.all("span") if "d-block" in e.classes)}
+    shelves = {id(e): k for k, e in enumerate(e for e in root.all("span") if "d-block" in e.classes)} if "shelf" in fields else {}
+    blocks: dict[int, list[str]] = {}
+    made = {
+        "lines": lambda a, text: near.lines() if (near := a.within("p", "div")) else [],
+        "paragraph": lambda a, text: near.text() if (near := a.within("p", "div")) else "",
+        "parent": lambda a, text: a.parent.text() if a.parent else "",
+        "next": lambda a, text: following.text("") if (following := a.after()) else "",
+        # An abstract's link looks for its paper's block; for others that is never asked.
+        "block": lambda a, text: _paper_block(a, blocks) if text == "abs" else [],
+        "shelf": lambda a, text: next((shelves[id(e)] for e in a.ancestors() if id(e) in shelves), None),
+    }
+    asked = [made[f] for f in fields]
     for at, a in enumerate(e for e in root.all("a") if "href" in e.attributes):
-        near, following = a.within("p", "div"), a.after()
         text = "".join(x for x in a.walk() if isinstance(x, str)).strip()
-        # An abstract's link looks for its paper's block; for others that is never asked.
-        block = _paper_block(a) if text == "abs" else []
-        shelf = next((shelves[id(e)] for e in a.ancestors() if id(e) in shelves), None)
-        yield {
-            "at": at,
-            "href": a["href"].strip(),
-            "text": text,
-            "lines": near.lines() if near else [],
-            "paragraph": near.text() if near else "",
-            "parent": a.parent.text() if a.parent else "",
-            "next": following.text("") if following else "",
-            "block": block,
-            "shelf": shelf,
-        }
+        yield [at, a["href"].strip(), text, *(f(a, text) for f in asked)]
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """A row for each link of each page, with the page's columns but html."""
+def anchors(pages: DataFrame, *fields: str) -> DataFrame:
+    """A row for each link of each page: the page's columns but html, the link's place, address and text, and the fields.
 
-    @F.pandas_udf(f"array<{ANCHOR}>")
-    def found(html: pd.Series) -> pd.Series:
-        return html.map(lambda page: list(_anchors(page)))
-
-    kept = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
-    return pages.select(*kept, F.explode(found("html")).alias("__a")).select(*kept, "__a.*")
+    Links leave a task in small batches, so that what it holds depends neither on the number of pages nor on that of their links.
+    """
+    small_batches(pages.sparkSession)
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    names = ["at", "href", "text", *fields]
+    schema = StructType(kept + [StructField(n, DataType.fromDDL(FIELDS[n])) for n in names])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.string()) if FIELDS[n].startswith("array") else pa.int32() if FIELDS[n] == "int" else pa.string() for n in names]
+
+        def handed(own: pa.RecordBatch, rows: list[int], links: list[list]) -> pa.RecordBatch:
+            arrays = [c.take(pa.array(rows, pa.int64())) for c in own.columns]
+            arrays += [pa.array(column, kind) for column, kind in zip(zip(*links, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*own.schema.names, *names])
+
+        for batch in batches:
+            own, html = batch.drop_columns(["html"]), batch.column("html")
+            rows, links, chars = [], [], 0
+            for k in range(len(html)):
+                for link in _anchors(html[k].as_py(), fields):
+                    rows.append(k)
+                    links.append(link)
+                    chars += sum(len(x) if isinstance(x, str) else sum(map(len, x)) for x in link if x and not isinstance(x, int))
+                    if len(rows) >= MOST_LINKS or chars >= MOST_CHARS:
+                        yield handed(own, rows, links)
+                        rows, links, chars = [], [], 0
+            if rows:
+                yield handed(own, rows, links)
+
+    return pages.mapInArrow(found, schema)
 
 
 def first_of_title(rows: DataFrame, prefix: int) -> DataFrame:
@@ -92,7 +121,7 @@ def pmlr(pages: DataFrame, walk: bool = True) -> DataFrame:
     ancestors; else any link to a page of the volume, within its paragraph.
     """
     href, volume = F.col("href"), F.col("volume").cast("string")
-    rows = anchors(pages).where(F.contains(href, F.concat(F.lit("/v"), volume, F.lit("/"))) & href.endswith(".html") & ~href.contains("/assets/") & ~href.contains("index"))
+    rows = anchors(pages, "block" if walk else "lines").where(F.contains(href, F.concat(F.lit("/v"), volume, F.lit("/"))) & href.endswith(".html") & ~href.contains("/assets/") & ~href.contains("index"))
     rows = rows.where("text = 'abs' AND size(block) > 0") if walk else rows.where(~F.contains("text", F.lit("Download PDF")))
     lines = F.col("block" if walk else "lines")
     rows = rows.withColumn("title", F.get(lines, F.lit(0)))
@@ -127,7 +156,7 @@ def cvf(pages: DataFrame, layout: str = "day", base: Column | None = None) -> Da
     """
     href = F.col("href")
     prefix = {"day": _year("content_CVPR_"), "old": _year("content_cvpr_"), "new": _year("/content/CVPR"), "workshop": F.lit("")}[layout]
-    rows = anchors(pages).withColumn("title", F.col("text"))
+    rows = anchors(pages, "paragraph").withColumn("title", F.col("text"))
     rows = rows.where(F.contains(href, prefix) & href.rlike(r"_paper\.(html|pdf)") & is_title(F.col("title")))
     rooted = F.concat(F.lit(CVF), F.when(href.startswith("/"), href).otherwise(F.concat(F.lit("/"), href)))
     if layout in ("day", "old"):
@@ -163,7 +192,7 @@ def workshop_links(pages: DataFrame, most: int = 80) -> DataFrame:
 def neurips(pages: DataFrame, older: bool = True) -> DataFrame:
     """Papers of the yearly lists (year, page, html): the older lists, whose lines hold the authors, or all, where they follow the link."""
     href, year, site = F.col("href"), F.col("year").cast("string"), "https://papers.nips.cc"
-    rows = anchors(pages).withColumn("title", F.col("text"))
+    rows = anchors(pages, "next", *(["parent"] if older else [])).withColumn("title", F.col("text"))
     rows = rows.where(href.contains("Abstract" if older else "-Abstract-") & F.contains(href, year) & ~(href.contains("Datasets_and_Benchmarks") & ~href.contains("Conference")) & (F.length("title") >= 5))
     beside = F.regexp_replace(F.col("next"), "^_+|_+$", "")
     url = F.when(href.startswith("http"), href).when(href.startswith("/"), F.concat(F.lit(site), href))
@@ -185,7 +214,7 @@ def neurips(pages: DataFrame, older: bool = True) -> DataFrame:
 def acl_events(pages: DataFrame) -> DataFrame:
     """Papers of event pages (year, page, html): of each shelf the first link that leads to a paper, if it has a title."""
     first = Window.partitionBy("year", "page", "shelf").orderBy("at")
-    rows = anchors(pages).where(F.col("shelf").isNotNull() & F.col("href").rlike("^/[A-Z0-9]"))
+    rows = anchors(pages, "shelf").where(F.col("shelf").isNotNull() & F.col("href").rlike("^/[A-Z0-9]"))
     rows = rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").withColumn("id", F.regexp_replace("href", "^/+|/+$", "")).withColumn("title", F.col("text"))
     rows = rows.where((F.col("id") != "") & ~F.col("id").contains("/") & (F.length("title") >= 5))
     return _papers(rows, "ACL", _year("ACL Anthology (", ")"), openreview_url=F.concat(F.lit("https://aclanthology.org/"), F.col("id")), openreview_id=F.col("id"))
