@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
-from trendloom.operators import listings, phrases
+from trendloom.operators import listings, phrases, titles
 
 
 def plan(df) -> str:
@@ -40,3 +40,13 @@ def test_links_carry_what_their_rule_reads(spark):
     assert (by[0].n, by[0].last, by[0].more) == (1500, 1499, None) and (by[2].n, by[2].more) == (1, "c") and 1 not in by
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert listings.neurips(pages).count() == 1500
+
+
+def test_known_phrases_are_spelt_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(titles, "_normal", lambda text, own=titles._normal: calls.append(text) or own(text))
+    known = ["Graph Neural-Network", "Network", "graph neural network"]
+    for _ in range(20):
+        assert titles.known_phrases("A graph  neural network", known) == ["graph neural network", "Network"]
+    assert len(calls) == 20 + 3
+    assert list(titles.phrases_by_look("Alpha-Net: fast, and Wide: of Things")) == ["Alpha-Net", "Wide", "Things"]
