@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
-from trendloom.operators import listings, phrases, titles
+from trendloom.operators import keywords, listings, phrases, titles
 
 
 def plan(df) -> str:
@@ -50,3 +50,12 @@ def test_known_phrases_are_spelt_once(monkeypatch):
         assert titles.known_phrases("A graph  neural network", known) == ["graph neural network", "Network"]
     assert len(calls) == 20 + 3
     assert list(titles.phrases_by_look("Alpha-Net: fast, and Wide: of Things")) == ["Alpha-Net", "Wide", "Things"]
+
+
+def test_a_title_is_normalised_once(spark):
+    titles_ = spark.createDataFrame([("Graph  Neural-Network learning",), (None,), ("SLA",)], "t string")
+    got = titles_.select(keywords.vocabulary_match(F.col("t"), ["SLAM", "Network", "graph neural network"]).alias("v"))
+    assert [r.v for r in got.collect()] == [["graph neural network", "Network"], [], []]
+    optimised = got._jdf.queryExecution().optimizedPlan().toString()
+    # Not within the lambda that is run for each phrase.
+    assert optimised.count("regexp_replace") == 1 and "Contains(trim(" not in optimised and "Contains(lambda" in optimised.replace("contains", "Contains")

@@ -34,7 +34,9 @@ def vocabulary_match(title: Column, vocabulary: Sequence[str] = VOCABULARY, most
         pairs.setdefault(" ".join(phrase.lower().replace("-", " ").split()), phrase)
     ordered = sorted(pairs.items(), key=lambda p: -len(p[0]))
     listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in ordered])
-    found = F.transform(F.filter(listed, lambda v: F.contains(X.normalise_phrase(title), v["n"])), lambda v: v["p"])
+    # The title is normalised once, not once a phrase.
+    hits = X.let(X.normalise_phrase(title), lambda own: F.filter(listed, lambda v: F.contains(own, v["n"])))
+    found = F.transform(hits, lambda v: v["p"])
     return F.when(F.length(F.coalesce(title, F.lit(""))) >= least_chars, F.slice(found, 1, most)).otherwise(F.array().cast("array<string>"))
 
 
