@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
-from trendloom.operators import keywords, listings, phrases, titles
+from trendloom.operators import abstracts, keywords, listings, phrases, titles
 
 
 def plan(df) -> str:
@@ -59,3 +59,24 @@ def test_a_title_is_normalised_once(spark):
     optimised = got._jdf.queryExecution().optimizedPlan().toString()
     # Not within the lambda that is run for each phrase.
     assert optimised.count("regexp_replace") == 1 and "Contains(trim(" not in optimised and "Contains(lambda" in optimised.replace("contains", "Contains")
+
+
+def test_papers_without_an_address_are_dealt_out(spark):
+    """No join of the filling has the keys that rows lack as its own: all of them would go to one task."""
+    kind = "conference string, year int, title string, openreview_url string, abstract string"
+    long = "an abstract that is as long as it must be"
+    papers = [("c", k, f"a title that is long {k}", None, "") for k in range(400)] + [("c", 1, "slashes", "https:/aclanthology.org/x.pdf", None), ("c", 1, "slashes", "https://aclanthology.org/y///", ""), ("c", 2, "own", "\0", long)]
+    pages = [("https://aclanthology.org/x/", f"<div class=acl-abstract>{long} x</div>"), ("https://aclanthology.org/y/", f"<div class=acl-abstract>{long} y</div>"), (None, "n")]
+    papers, pages = spark.createDataFrame(papers, kind), spark.createDataFrame(pages, "url string, html string")
+    searches = spark.createDataFrame([("a title that is long 3", '{"data":[{"abstract":"' + long + ' 3"}]}')], "title string, response string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = abstracts.fill_missing(papers, pages, searches)
+        most = got.where("abstract_from = 'empty'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert most < 200
+    by = {r.abstract: r.abstract_from for r in got.where("abstract_from <> 'empty'").collect()}
+    assert by == {f"{long} x": "html", f"{long} y": "html", f"{long} 3": "s2", long: "own"} and got.count() == 403

@@ -156,7 +156,7 @@ def site_abstracts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _to_fill(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages = T.site_pages(spark, d)
+    pages = written(T.site_pages(spark, d), "site-pages")  # read three times: as papers, pages and searches
     p, n = F.col("paper"), F.col("paper").cast("string")
     own = F.when(p % 2 == 0, F.concat(F.lit("an abstract of its own that is long enough "), n)).when(p % 3 == 0, "nan").otherwise("")
     # Addresses as tables have them: of files, without a slash, with one slash too few.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -10,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from trendloom.functions import dom
 from trendloom.functions import text as X
@@ -85,8 +85,7 @@ def clean(text: str) -> str:
 
 def site_of(url: Column, sites: Mapping[str, Site] = SITES) -> Column:
     """The first listed part that the repaired URL holds, or null."""
-    low = F.lower(X.repair_url(X.strip(url)))
-    return F.coalesce(*[F.when(low.contains(part), part) for part in sites])
+    return X.let(F.lower(X.repair_url(X.strip(url))), lambda low: F.coalesce(*[F.when(low.contains(part), part) for part in sites]))
 
 
 def abstract_of(url: str | None, html: str | None, sites: Mapping[str, Site] = SITES) -> str | None:
@@ -105,11 +104,13 @@ def abstract_of(url: str | None, html: str | None, sites: Mapping[str, Site] = S
 
 def page_candidates(url: Column) -> Column:
     """Addresses at which the page of a paper's URL may be: web pages instead of PDF files, with and without a closing slash."""
-    u = X.repair_url(X.strip(url))
+    return X.let(X.repair_url(X.strip(url)), lambda u: X.let(site_of(u), lambda site: _candidates(u, site)))
+
+
+def _candidates(u: Column, site: Column) -> Column:
     acl = F.regexp_replace(u, r"\.pdf$", "")
     cvf = F.when(F.lower(u).endswith(".pdf"), F.regexp_replace(F.regexp_replace(u, r"(?i)_paper\.pdf$", "_paper.html"), "/papers/", "/html/")).otherwise(u)
     pmlr = F.when(u.endswith(".html"), u).otherwise(F.concat(F.regexp_replace(u, "/+$", ""), F.lit(".html")))
-    site = site_of(u)
     return (
         F.when(site == "aclanthology.org", F.array_distinct(F.array(acl, F.concat(F.regexp_replace(acl, "/+$", ""), F.lit("/")))))
         .when(site == "thecvf.com", F.array(cvf))
@@ -137,6 +138,22 @@ def first_abstract(response: Column, least: int = 30) -> Column:
     return F.get(usable, F.lit(0))
 
 
+def _stem(url: Column) -> Column:
+    return F.regexp_replace(url, "/+$", "")
+
+
+def _joined(rows: DataFrame, key: Column, more: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
+    """rows with what more has under the key, if anything.
+
+    Rows without a key would all go to one task.  They are dealt out by a hash of
+    their columns; the second condition lets them meet nothing.
+    """
+    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name in columns and isinstance(f.dataType, (StringType, NumericType))]
+    spread = F.concat(F.lit("\0"), F.xxhash64(F.lit(0), *plain).cast("string"))
+    keyed = rows.withColumn("__key", key).withColumn("__dealt", F.coalesce("__key", spread))
+    return keyed.join(more, (F.col("__dealt") == F.col(name)) & F.col("__key").isNotNull(), "left").drop("__key", "__dealt", name)
+
+
 def fill_missing(papers: DataFrame, pages: DataFrame, searches: DataFrame | None = None, limit: int | None = None, order: Sequence[str] = ("conference", "year", "title"), sites: Mapping[str, Site] = SITES, least: int = 30) -> DataFrame:
     """papers with ``abstract`` filled where it is missing or short, and ``abstract_from``: 'own', 'html', 's2', 'empty' or 'not tried'.
 
@@ -149,25 +166,29 @@ def fill_missing(papers: DataFrame, pages: DataFrame, searches: DataFrame | None
     rows = papers if "abstract" in papers.columns else papers.withColumn("abstract", F.lit(""))
     columns = rows.columns
     missing = ~X.has_abstract(F.col("abstract"), least)
-    own, tried = rows.where(~missing), rows.where(missing)
-    parts = [own.withColumn("abstract_from", F.lit("own"))]
+    rows, later = rows.withColumn("__own", ~missing), None
     if limit is not None:
-        every = tried
+        every = rows.where(missing)
         tried = every.orderBy(*order, *(F.col(f"`{c}`") for c in columns)).limit(limit)
-        parts.append(every.exceptAll(tried).withColumn("abstract_from", F.lit("not tried")))
+        later = every.exceptAll(tried).drop("__own").withColumn("abstract_from", F.lit("not tried"))
+        rows = rows.where(~missing).unionByName(tried)
+    own = F.col("__own")
     url = F.col("openreview_url") if "openreview_url" in columns else F.lit(None).cast("string")
+    # Candidates of a row differ by slashes at the end only, so that one join finds them all.
     made = abstracts(pages, sites).where("found IS NOT NULL").groupBy("url").agg(F.min("found").alias("found"))
-    tried = tried.withColumn("__pages", page_candidates(url))
-    for k in (0, 1):
-        tried = tried.join(made.select(F.col("url").alias(f"__url{k}"), F.col("found").alias(f"__found{k}")), F.get("__pages", F.lit(k)) == F.col(f"__url{k}"), "left")
-    html, s2 = F.coalesce("__found0", "__found1"), F.lit(None).cast("string")
+    made = made.groupBy(_stem(F.col("url")).alias("__stem")).agg(F.map_from_entries(F.collect_list(F.struct("url", "found"))).alias("__made"))
+    rows = rows.withColumn("__pages", F.when(~own, page_candidates(url)))
+    rows = _joined(rows, _stem(F.get("__pages", F.lit(0))), made, "__stem", columns)
+    html, s2 = F.coalesce(*[F.element_at("__made", F.get("__pages", F.lit(k))) for k in (0, 1)]), F.lit(None).cast("string")
+    rows = rows.withColumn("__html", html).drop("__made", "__pages")
+    html = F.col("__html")
     if searches is not None:
         hits = searches.select(X.strip(F.col("title")).alias("__title"), first_abstract(F.col("response"), least).alias("__s2")).where("__s2 IS NOT NULL").groupBy("__title").agg(F.min("__s2").alias("__s2"))
         title = X.strip(F.col("title"))
-        tried, s2 = tried.join(hits, F.when(html.isNull() & (F.length(title) >= 12), title) == F.col("__title"), "left"), F.col("__s2")
-    source = F.when(html.isNotNull(), "html").when(s2.isNotNull(), "s2").otherwise("empty")
-    parts.append(tried.select(*[F.coalesce(html, s2, F.col("abstract")).alias(c) if c == "abstract" else F.col(f"`{c}`") for c in columns], source.alias("abstract_from")))
-    return functools.reduce(DataFrame.unionByName, parts)
+        rows, s2 = _joined(rows, F.when(~own & html.isNull() & (F.length(title) >= 12), title), hits, "__title", columns), F.col("__s2")
+    source = F.when(own, "own").when(html.isNotNull(), "html").when(s2.isNotNull(), "s2").otherwise("empty")
+    out = rows.select(*[F.when(own, F.col("abstract")).otherwise(F.coalesce(html, s2, F.col("abstract"))).alias(c) if c == "abstract" else F.col(f"`{c}`") for c in columns], source.alias("abstract_from"))
+    return out if later is None else out.unionByName(later)
 
 
 def _statistics(least: int) -> list[Column]:
