@@ -1,9 +1,10 @@
 """What must not grow with the tables: memory of tasks, passes over texts, keys without a value."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trendloom.functions import text as X
-from trendloom.operators import abstracts, keywords, listings, phrases, titles
+from trendloom.operators import abstracts, extractors, keywords, listings, phrases, titles
 
 
 def plan(df) -> str:
@@ -80,3 +81,14 @@ def test_papers_without_an_address_are_dealt_out(spark):
     assert most < 200
     by = {r.abstract: r.abstract_from for r in got.where("abstract_from <> 'empty'").collect()}
     assert by == {f"{long} x": "html", f"{long} y": "html", f"{long} 3": "s2", long: "own"} and got.count() == 403
+
+
+def test_weights_of_words_are_worked_out_once(monkeypatch):
+    calls = []
+    own = extractors.hashlib.md5
+    monkeypatch.setattr(extractors.hashlib, "md5", lambda x: calls.append(x) or own(x))
+    find = extractors.by_weights(extractors.Weights(np.arange(extractors.CELLS), 1000))
+    text = "alpha beta gamma alpha beta delta delta alpha"
+    first = find(text, (1, 3), 24, 0.7)
+    assert find(text, (1, 3), 24, 0.7) == first and len(calls) == 4
+    assert len(first) == len(set(first)) == 4 + 6 + 6 and find("alpha", (2, 3), 5, 0.7) == []

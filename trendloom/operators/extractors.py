@@ -66,7 +66,7 @@ def cell_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(F.explode(word_cells(F.col(text_col))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Weights:
     """Numbers of texts by counter, and the number of all texts."""
 
@@ -74,10 +74,19 @@ class Weights:
     texts: int
 
     def of(self, word: str) -> float:
+        """The weight of a word; those met most lately are kept in a worker."""
+        return _weight(self, word)
+
+    def _of(self, word: str) -> float:
         cell = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % CELLS
         return math.log((1 + self.texts) / (1 + int(self.counts[cell]))) + 1 if self.texts > int(self.counts[cell]) else 1.0
 
 
+@functools.lru_cache(maxsize=200_000)
+def _weight(weights: Weights, word: str) -> float:
+    return weights._of(word)
+
+
 def word_weights(texts: DataFrame, text_col: str = "text") -> Broadcast:
     """Weights of a corpus, for all tasks: at most CELLS rows reach the driver."""
     rows = texts.select(F.explode(F.concat(word_cells(F.col(text_col)), F.array(F.lit(-1).cast("long")))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
@@ -92,7 +101,7 @@ def by_weights(weights: Weights | None = None) -> Extractor:
 
     Both are cosines of word numbers times weights.  A phrase's likeness to those
     taken only grows, so its last known worth bounds the present one: phrases wait
-    in a heap by that bound, and only what comes out on top is worked out anew.
+    in order of that bound, and only what comes out on top is worked out anew.
     Ties go to the shorter phrase, then to the one that comes first.
     """
 
@@ -101,38 +110,75 @@ def by_weights(weights: Weights | None = None) -> Extractor:
         have = Counter(words)
         weight = {w: weights.of(w) if weights else 1.0 for w in have}
         norm = math.sqrt(sum((n * weight[w]) ** 2 for w, n in have.items()))
-        own = {w: n * weight[w] ** 2 for w, n in have.items()}  # what a word of a phrase adds to its product with the text
-        waiting, known = [], set()
-        for n in range(runs[0], runs[1] + 1):
-            for i in range(len(words) - n + 1):
-                part = words[i : i + n]
-                phrase = " ".join(part)
-                if phrase not in known:
-                    known.add(phrase)
-                    near = sum(own[w] for w in part) / (norm * _size(part, weight))
-                    waiting.append((-(1 - diversity) * near, len(phrase), len(waiting), phrase, near, 0.0, 0))
-        heapq.heapify(waiting)
-        out: list[str] = []
-        while waiting and len(out) < most:
-            _, length, place, phrase, near, like, seen = heapq.heappop(waiting)
+        square = {w: v**2 for w, v in weight.items()}
+        own = {w: n * square[w] for w, n in have.items()}  # what a word of a phrase adds to its product with the text
+        if len(words) < runs[0]:
+            return []
+        place = {w: k for k, w in enumerate(have)}
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        squares, owns, sizes = (np.array([f(w) for w in have], float) for f in (square.__getitem__, own.__getitem__, len))
+        starts, counts, nears, lengths, norms = [], [], [], [], []
+        known = np.zeros(len(at) + 1, np.int64)  # numbers of the distinct runs of one word less, by place
+        for n in range(1, min(runs[1], len(at)) + 1):
+            _, first, known = np.unique(known[: len(at) - n + 1] * len(have) + at[n - 1 :], return_index=True, return_inverse=True)
+            if n < runs[0]:
+                continue
+            first = np.sort(first)
+            parts = [at[first + k] for k in range(n)]
+            size = np.sqrt(_sum([squares[x] for x in parts]))
+            twice = np.zeros(len(first), bool)
+            for k in range(n):
+                for j in range(k):
+                    twice |= parts[k] == parts[j]
+            for k in np.flatnonzero(twice):
+                size[k] = _size(words[first[k] : first[k] + n], weight)
+            starts.append(first)
+            counts.append(np.full(len(first), n))
+            nears.append(_sum([owns[x] for x in parts]) / (norm * size))
+            lengths.append(np.add.reduce([sizes[x] for x in parts]) + n - 1)
+            norms.append(size)
+        starts, counts, nears, lengths, norms = map(np.concatenate, (starts, counts, nears, lengths, norms))
+        bounds = -(1 - diversity) * nears
+        order = np.lexsort((lengths, bounds))  # stable: what comes first stays first
+        ahead = zip(bounds[order].tolist(), lengths[order].tolist(), order.tolist(), strict=True)
+        waiting: list[tuple] = []
+        following = next(ahead, None)
+        out: list[tuple[tuple, float]] = []
+        holding: dict[str, list[int]] = {}  # which of the phrases taken have a word
+        while (waiting or following) and len(out) < most:
+            # Runs enter the heap as they may be the best by the bounds known.
+            if following and (not waiting or following < waiting[0][:3]):
+                k = following[2]
+                heapq.heappush(waiting, (*following, tuple(words[starts[k] : starts[k] + counts[k]]), float(norms[k]), float(nears[k]), 0.0, 0))
+                following = next(ahead, None)
+            _, length, k, part, size, near, like, seen = waiting[0]
             if seen == len(out):
-                out.append(phrase)
+                heapq.heappop(waiting)
+                for w in set(part):
+                    holding.setdefault(w, []).append(len(out))
+                out.append((part, size))
                 continue
-            like = max(like, *(_likeness(phrase.split(), p.split(), weight) for p in out[seen:]))
-            heapq.heappush(waiting, (diversity * like - (1 - diversity) * near, length, place, phrase, near, like, len(out)))
-        return out
+            for j in {j for w in part if w in holding for j in holding[w] if j >= seen}:
+                other, other_size = out[j]
+                like = max(like, sum([square[w] for w in part for x in other if w == x]) / (size * other_size))
+            heapq.heapreplace(waiting, (diversity * like - (1 - diversity) * near, length, k, part, size, near, like, len(out)))
+        return [" ".join(part) for part, _ in out]
 
     return run
 
 
-def _size(words: Sequence[str], weight: dict[str, float]) -> float:
-    return math.sqrt(sum((n * weight[w]) ** 2 for w, n in Counter(words).items()))
+def _sum(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """Sums place by place that carry what rounding lost, so that equal words in another order weigh the same."""
+    total, lost = parts[0], np.zeros(len(parts[0]))
+    for x in parts[1:]:
+        both = total + x
+        lost = lost + np.where(np.abs(total) >= np.abs(x), (total - both) + x, (x - both) + total)
+        total = both
+    return total + lost
 
 
-def _likeness(a: Sequence[str], b: Sequence[str], weight: dict[str, float]) -> float:
-    """Cosine of two phrases; the sums are those of equal words."""
-    common = sum(weight[w] ** 2 for w in a for x in b if w == x)
-    return common / (_size(a, weight) * _size(b, weight)) if common else 0.0
+def _size(words: Sequence[str], weight: dict[str, float]) -> float:
+    return math.sqrt(sum((n * weight[w]) ** 2 for w, n in Counter(words).items()))
 
 
 by_counts = by_weights()
